@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fertility, html_wrappers, mixing, near_dedup, packing, toxicity
+from . import ann, chat, fertility, html_wrappers, mixing, near_dedup, packing, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op6_near_dedup": op6_near_dedup,
     "op7_chat": op7_chat,
     "op8_toxicity": op8_toxicity,
+    "op9_neighbours": op9_neighbours,
     "op10_fertility": op10_fertility,
 }
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows above which a per-key table is joined by shuffle rather than broadcast.
-BROADCAST_ROWS = 50_000
+#: Rows above which a per-key table, and one of bare identifiers, is joined by shuffle rather than broadcast.
+BROADCAST_ROWS, BROADCAST_IDS = 50_000, 1_000_000
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -51,11 +51,11 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_small(df: DataFrame, small: DataFrame, on: Column, how: str = "left") -> DataFrame:
-    """Joins a table that has one row for each key. Its rows are counted first: up to BROADCAST_ROWS they are
+def join_small(df: DataFrame, small: DataFrame, on: Column, how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
+    """Joins a table that has one row for each key. Its rows are counted first: up to `most` they are
     broadcast, beyond that Spark picks a shuffled join (AQE splits its hot keys)."""
-    rows = small.limit(BROADCAST_ROWS + 1).count()
-    return df.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
+    rows = small.limit(most + 1).count()
+    return df.join(F.broadcast(small) if rows <= most else small, on, how)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
