@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, fertility, html_wrappers, mixing, near_dedup, packing, toxicity
+from . import ann, chat, fertility, html_wrappers, licenses, mixing, near_dedup, packing, quality_lm, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).select("doc_id", *packing.ADDED)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -28,6 +32,11 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrappers.main_text(table(spark, sf_dir, "pages"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licenses.license_scan(table(spark, sf_dir, "documents"), path)
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -64,8 +73,10 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
     "op4_html": op4_html,
+    "op5_licenses": op5_licenses,
     "op6_near_dedup": op6_near_dedup,
     "op7_chat": op7_chat,
     "op8_toxicity": op8_toxicity,
