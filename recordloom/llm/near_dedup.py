@@ -4,7 +4,8 @@
    with one set form a class; only its representative goes on.
 2. Chosen paths: in each of TREES independent trees a node's documents branch by their minwise token at a coordinate
    that the node chooses; a node of at most SMALL documents is compared exhaustively on sketches, a larger one
-   branches again, into BRANCHES children per document. A pair of similarity 0.75 meets at a node of the first level
+   branches again, into BRANCHES children per document on average (one, and in some nodes a second):
+   the inverse of the similarity, so that a pair of it keeps one common path on average. A pair of similarity 0.75 meets at a node of the first level
    with probability 0.75, so twenty trees miss it with 0.25 ** 20. Before it branches, a large node gives up the
    documents that are near its first one (estimate NEAR): that edge stands for them.
 3. Nodes emit only a spanning forest of their pairs with estimate CANDIDATE or more, five standard deviations below
@@ -30,7 +31,7 @@ from .text import M1, mix64, written
 
 WIDTH, THRESHOLD = 5, 75
 SKETCH, PATHS = 128, 64
-TREES, SMALL, BRANCHES, DEPTH = 20, 1500, 2, 8
+TREES, SMALL, BRANCHES, DEPTH = 20, 3000, 4 / 3, 8
 NEAR, CANDIDATE = 0.9, 0.5
 #: A block of a cluster: at most so many documents, and shingles on average.
 BLOCK_DOCS, BLOCK_SHINGLES = 1000, 1_000_000
@@ -219,7 +220,7 @@ def grouped(rows: DataFrame, work: Callable, schema: str) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInPandas(work, schema)
 
 
-def candidates(reps: DataFrame, trees: int, small: int, branches: int, depth: int) -> DataFrame:
+def candidates(reps: DataFrame, trees: int, small: int, branches: float, depth: int) -> DataFrame:
     """Edges (a, b) between representatives that may be links; components of them hold every link."""
     token = lambda paths, i: F.element_at(paths, i + 1)
     # equal sketches branch alike for ever: one of each stands for all, joined to it by an edge
@@ -243,7 +244,9 @@ def candidates(reps: DataFrame, trees: int, small: int, branches: int, depth: in
             edges.append(large.where("rep != first").select(F.col("rep").alias("a"), F.col("first").alias("b")))
             break
         edges.append(large.where((F.col("rep") != F.col("first")) & (F.col("agree") >= NEAR)).select(F.col("rep").alias("a"), F.col("first").alias("b")))
-        going = large.where((F.col("rep") == F.col("first")) | (F.col("agree") < NEAR)).withColumn("child", F.explode(F.sequence(F.lit(1), F.lit(branches))))
+        going = large.where((F.col("rep") == F.col("first")) | (F.col("agree") < NEAR))
+        twice = going.where(F.pmod(F.xxhash64("key"), F.lit(1000)) < round((branches - 1) * 1000))
+        going = going.select("key", "rep", "paths", F.lit(1).alias("child")).union(twice.select("key", "rep", "paths", F.lit(2).alias("child")))
         at = F.pmod(F.xxhash64("key", "child"), F.lit(PATHS)).cast("int")
         level = going.select(F.xxhash64("key", "child", at, token(F.col("paths"), at)).alias("key"), "rep")
     out = edges[0]
@@ -265,7 +268,7 @@ def links(docs: DataFrame, identifier: Column, text: Column, clusters: DataFrame
     return grouped(tasks, verified, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, small: int = SMALL, branches: int = BRANCHES, depth: int = DEPTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, small: int = SMALL, branches: float = BRANCHES, depth: int = DEPTH) -> DataFrame:
     """For each row of docs: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * common shingles >= 75 * shingles of either. component_id is the smallest doc_id
