@@ -2,7 +2,7 @@
 
 Two passes over all files. The first counts, for each term of the templates, the files that hold it: these are the
 inverse document frequencies. The second compares each file's candidate segments (lines with an anchor word, long ones in
-overlapping windows) with the notices, and whole short files with the licence texts, as sparse vectors. A licence file
+windows around it) with the notices, and whole short files with the licence texts, as sparse vectors. A licence file
 (by its name, or all of it matching a template) licenses its directory; files without a notice of their own take the
 licence of the nearest directory above them, by a join of their ancestor paths with the licensed directories.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,8 +41,9 @@ NOTICES: dict[str, tuple[str, ...]] = {
 
 ANCHOR = re.compile(r"licen[sc]e|copyright|public domain|permission is|permission to|redistribution|spdx-|creative commons", re.I)
 TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
-#: Words of a window of a long line, and its step; the least cosine of a notice.
-WINDOW, STEP, LEAST = 32, 16, 0.7
+WORDS = re.compile(r"\S+")
+#: Words of the windows of a long line; the least cosine of a notice.
+WINDOWS, LEAST = (6, 12, 24), 0.7
 #: A file of at most so many words may be a licence file by its text alone, if its cosine is at least this.
 WHOLE_WORDS, WHOLE_LEAST = 400, 0.85
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense)([.-][^/]*)?$"
@@ -81,19 +83,21 @@ class Matcher:
 
 
 def segments(text: str) -> Iterator[str]:
-    """Lines with an anchor word; those longer than a window also in windows around it."""
+    """Lines with an anchor word; of long lines, windows of several sizes at each anchor, as a notice may stand amid other prose."""
     for line in text.split("\n"):
-        if ANCHOR.search(line):
-            words = line.split()
-            if len(words) <= WINDOW:
-                yield line
-            else:
-                for i in range(0, len(words), STEP):
-                    part = " ".join(words[i : i + WINDOW])
-                    if ANCHOR.search(part):
-                        yield part
-                        # sentences inside: a notice may stand amid other prose
-                        yield from (s for s in re.split(r"(?<=[.;:!?])\s+(?=[A-Z])", part) if ANCHOR.search(s))
+        if not ANCHOR.search(line):
+            continue
+        starts = [m.start() for m in WORDS.finditer(line)]
+        if len(starts) <= WINDOWS[-1]:
+            yield line
+            continue
+        starts.append(len(line))
+        for m in ANCHOR.finditer(line):
+            at = bisect_right(starts, m.start()) - 1
+            for before in (0, 4):
+                first = max(0, at - before)
+                for size in WINDOWS:
+                    yield line[starts[first] : starts[min(first + size, len(starts) - 1)]]
 
 
 def license_scan(files: DataFrame, path: Column, *, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, tuple[str, ...]] | None = None, least: float = LEAST) -> DataFrame:
