@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,12 @@ BLANKS = r"[ \t\n\x0B\f\r]"
 HASH_START, LOW_32 = 1469598103934665603, 0xFFFFFFFF
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: expressions that name an operand many times would otherwise repeat it in the
+    plan, and nest such repeats."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{BLANKS}+|{BLANKS}+$", "")
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import collapse, digits_in, is_digits, lower, split_parts, trim, upper, words
+from .text import collapse, digits_in, is_digits, let, lower, split_parts, trim, upper, words
 
 KINDS = ("id", "name", "address", "money", "date", "status", "text", "email", "phone", "number")
 COERCIBLE = ("id", "money", "date")
@@ -48,25 +48,32 @@ def month_number(word: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """ISO date of a day in year-first, year-last or spelt-month form, with an optional clock; null otherwise."""
-    t = trim(c)
+    return let(trim(c), lambda t: F.when((F.octet_length(t) > 0) & (F.octet_length(t) <= 40), F.coalesce(numeric_date(t, YEAR_FIRST, 1, 3, 4), numeric_date(t, YEAR_LAST, 4, 1, 3), spelt_date(t))))
 
-    def numeric(pattern: str, y: int, m: int, d: int) -> Column:
-        clock = F.regexp_extract(t, pattern, 5)
-        hour, minute = (F.trim(F.split_part(clock, F.lit(":"), F.lit(i))).try_cast("int") for i in (1, 2))
-        good = t.rlike(pattern) & ((clock == "") | ((F.length(clock) >= 4) & (hour < 24) & (minute < 60)))
-        part = lambda g: F.replace(F.regexp_extract(t, pattern, g), F.lit("+"), F.lit(""))
-        return F.when(good, iso(part(y), part(m), part(d)))
 
-    w = words(t)
-    word = lambda i: F.get(w, F.lit(i))
-    spelt = lambda m, d: F.when((F.size(w) == 3) & month_number(word(m)).isNotNull() & is_digits(word(d)) & is_digits(word(2)) & (F.length(word(d)) <= 2) & (F.length(word(2)) == 4), iso(word(2), month_number(word(m)), word(d)))
-    found = F.coalesce(numeric(YEAR_FIRST, 1, 3, 4), numeric(YEAR_LAST, 4, 1, 3), spelt(0, 1), spelt(1, 0))
-    return F.when((F.octet_length(t) > 0) & (F.octet_length(t) <= 40), found)
+def numeric_date(t: Column, pattern: str, y: int, m: int, d: int) -> Column:
+    part = lambda g: F.replace(F.regexp_extract(t, pattern, g), F.lit("+"), F.lit(""))
+    clock = lambda i: F.trim(F.split_part(F.regexp_extract(t, pattern, 5), F.lit(":"), F.lit(i))).try_cast("int")
+    timed = F.regexp_extract(t, pattern, 5)
+    good = t.rlike(pattern) & ((timed == "") | ((F.length(timed) >= 4) & (clock(1) < 24) & (clock(2) < 60)))
+    return F.when(good, iso(part(y), part(m), part(d)))
+
+
+def spelt_date(t: Column) -> Column:
+    def of(w: Column) -> Column:
+        word = lambda i: F.get(w, F.lit(i))
+        form = lambda m, d: F.when(month_number(word(m)).isNotNull() & is_digits(word(d)) & is_digits(word(2)) & (F.length(word(d)) <= 2) & (F.length(word(2)) == 4), iso(word(2), month_number(word(m)), word(d)))
+        return F.when(F.size(w) == 3, F.coalesce(form(0, 1), form(1, 0)))
+
+    return let(words(t), of)
 
 
 def validate(kind: str, c: Column, low: float | None = None, high: float | None = None) -> Column:
     """Whether a value is plausible for a kind; null counts as empty."""
-    v = trim(F.coalesce(c, F.lit("")))
+    return let(trim(F.coalesce(c, F.lit(""))), lambda v: plausible(kind, v, low, high))
+
+
+def plausible(kind: str, v: Column, low: float | None, high: float | None) -> Column:
     n, digits, alpha = F.octet_length(v), digits_in(v), v.rlike("[A-Za-z]")
     if kind == "id":
         good = n.between(3, 30) & parse_date(v).isNull() & ~v.contains("$") & (digits >= 2) & (digits * 10 >= n * 4)
@@ -106,22 +113,31 @@ def normalize(kind: str, c: Column) -> Column:
     if kind == "money":
         return F.coalesce(money_text(parse_money(v)), v)
     if kind == "date":
-        return F.coalesce(parse_date(v), v)
+        return let(v, lambda x: F.coalesce(parse_date(x), x))
     return upper(collapse(v)) if kind == "id" else lower(collapse(v)) if kind == "email" else collapse(v)
 
 
-def coerce(kind: str, c: Column, low: float | None = None, high: float | None = None) -> Column:
-    """struct<ok, value, reformatted>: the normal form of a value, or of the first valid part inside it (id, money, date)."""
-    v = trim(F.coalesce(c, F.lit("")))
-    own = F.when(validate(kind, v, low, high), v)
-    inner = F.lit(None).cast("string")
-    if kind in COERCIBLE:
+def chosen(kind: str, c: Column, low: float | None = None, high: float | None = None) -> Column:
+    """struct<value, reformatted>: the value itself if it is valid, else the first valid part inside it (id, money, date); null if none."""
+
+    def of(v: Column) -> Column:
+        own = F.when(plausible(kind, v, low, high) & (v != ""), F.struct(v.alias("value"), F.lit(False).alias("reformatted")))
+        if kind not in COERCIBLE:
+            return own
         after = F.when(v.contains(":"), trim(F.substring(v, F.instr(v, ":") + 1, F.length(v))))
         tokens = F.transform(F.split(v, " ", -1), lambda t: F.regexp_replace(t, r"^[:;,#()\[\]]+|[:;,#()\[\]]+\z", ""))
-        found = F.filter(F.concat(F.array(after), tokens), lambda t: F.coalesce(t != "", F.lit(False)) & validate(kind, t))
-        inner = F.get(found, F.lit(0))
-    chosen = F.coalesce(own, inner)
-    return F.struct(chosen.isNotNull().alias("ok"), normalize(kind, F.coalesce(chosen, F.lit(""))).alias("value"), (own.isNull() & chosen.isNotNull()).alias("reformatted"))
+        found = F.get(F.filter(F.concat(F.array(after), tokens), lambda t: F.coalesce(t != "", F.lit(False)) & validate(kind, t)), F.lit(0))
+        return F.coalesce(own, let(found, lambda x: F.when(x.isNotNull(), F.struct(x.alias("value"), F.lit(True).alias("reformatted")))))
+
+    return let(trim(F.coalesce(c, F.lit(""))), of)
+
+
+def coerce(kind: str, c: Column, low: float | None = None, high: float | None = None) -> Column:
+    """struct<ok, value, reformatted>: the normal form of what chosen() finds."""
+    if kind == "money":  # an Arrow function can't stand in a lambda
+        x = chosen(kind, c, low, high)
+        return F.struct(x.isNotNull().alias("ok"), normalize(kind, F.coalesce(x["value"], F.lit(""))).alias("value"), F.coalesce(x["reformatted"], F.lit(False)).alias("reformatted"))
+    return let(chosen(kind, c, low, high), lambda x: F.struct(x.isNotNull().alias("ok"), normalize(kind, F.coalesce(x["value"], F.lit(""))).alias("value"), F.coalesce(x["reformatted"], F.lit(False)).alias("reformatted")))
 
 
 __all__ = ["KINDS", "coerce", "normalize", "parse_date", "parse_money", "split_parts", "validate"]

@@ -1,2 +1,253 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries on documents, cells, pages and conversations: scalars, naive Bayes, mapping, projections, crawling, compaction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text, values
+from ..operators import classify, mapping
+from ..sources import formats, web
+from .derived import table
+
+
+def slug_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    head = F.substring("text", 1, 200)
+    return d.select("doc_id", text.slug(head).alias("slug"), text.collapse(head).alias("collapsed"), F.size(text.words(F.col("text"))).alias("n_words"))
+
+
+def money_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, cents = F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("long")
+    plain = F.concat((F.floor(cents / 100)).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    shape = F.element_at(F.array(plain, F.concat(F.lit("$ "), plain), F.concat(F.lit("("), plain, F.lit(")")), F.concat(F.lit("-"), plain), F.concat(plain, F.lit(" USD")), F.concat(F.lit("$$"), plain), F.concat(F.lit("1-"), plain)), (k % 7 + 1).cast("int"))
+    o = table(spark, sf_dir, "orders").select(k, shape.alias("shown"))
+    return o.select("o_orderkey", "shown", values.parse_money(F.col("shown")).alias("amount"), values.validate("money", F.col("shown")).alias("valid"))
+
+
+def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    fmt = lambda f: F.date_format(day, f)
+    shape = F.element_at(F.array(fmt("yyyy-MM-dd"), fmt("yyyy/M/d"), fmt("M/d/yyyy"), fmt("MM-dd-yyyy"), fmt("MMMM d, yyyy"), fmt("d MMM yyyy"), F.concat(fmt("yyyy-MM-dd"), F.lit("T10:30:00Z")), F.concat(fmt("yyyy-MM-dd"), F.lit(" junk")), F.concat(fmt("yyyy"), F.lit("-02-31"))), (k % 9 + 1).cast("int"))
+    o = table(spark, sf_dir, "orders").select(k, day, shape.alias("shown"))
+    return o.select("o_orderkey", "shown", values.parse_date(F.col("shown")).alias("iso"))
+
+
+def kind_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which kinds accept each distinct word of the documents."""
+    w = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("v")).where("v != ''").distinct()
+    kinds = ("id", "name", "status", "text", "phone", "email")
+    return w.select("v", *[values.validate(k, F.col("v")).alias(f"is_{k}") for k in kinds])
+
+
+def coerce_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    shown = F.when(k % 3 == 0, F.concat(F.lit("Case: "), k.cast("string"), F.lit("-A"))).when(k % 3 == 1, F.concat(F.lit("no ("), (k + 1000).cast("string"), F.lit("),"))).otherwise("none given")
+    c = table(spark, sf_dir, "orders").select(k, values.coerce("id", shown).alias("c"))
+    return c.select("o_orderkey", "c.ok", F.when(F.col("c.ok"), F.col("c.value")).alias("value"), "c.reformatted")
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as cells of seven sources that use their own labels."""
+    k = F.col("o_orderkey")
+    pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % 2 + 1).cast("int"))
+    cell = lambda i, label, value: F.struct(F.lit(i).alias("label_ord"), label.alias("label"), value.alias("value"))
+    o = table(spark, sf_dir, "orders")
+    row = F.array(
+        cell(0, pick("Parcel Number", "apn"), F.concat(F.lit("P-"), F.lpad(F.col("o_custkey").cast("string"), 6, "0"))),
+        cell(1, pick("Balance Due", "amount owed"), F.when(k % 11 == 0, F.lit("n/a")).otherwise(F.concat(F.lit("$"), F.col("o_totalprice").cast("decimal(15,2)").cast("string")))),
+        cell(2, pick("Filed Date", "date"), F.date_format("o_orderdate", "M/d/yyyy")),
+        cell(3, pick("Status", "Disposition"), F.when(F.col("o_orderstatus") == "F", "sold").otherwise("open")),
+        cell(4, pick("Lat Lon", "lat lon"), F.concat((k % 90).cast("string"), F.lit(".5, -"), (k % 180).cast("string"), F.lit(".25"))),
+    )
+    return o.select(F.concat(F.lit("s"), (k % 14).cast("string")).alias("source_id"), k.alias("record"), F.explode(row).alias("c")).select("source_id", "record", "c.label_ord", "c.label", "c.value")
+
+
+def value_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = mapping.samples(cells(spark, sf_dir))
+    return s.groupBy("source_id", "label").agg(F.count("*").alias("sampled"), F.avg(values.validate("money", F.col("value")).cast("double")).alias("money_rate"), F.max("record").alias("last_record"))
+
+
+def part_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.part_counts(mapping.samples(cells(spark, sf_dir)))
+
+
+def infer_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mapping.infer_mapping(cells(spark, sf_dir), mapping.schema_fields(spark))
+    return m.select("source_id", "name", "label", "part", F.round("confidence", 6).alias("confidence"))
+
+
+def extract_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields, c = mapping.schema_fields(spark), cells(spark, sf_dir)
+    r = mapping.extract(c, mapping.infer_mapping(c, fields), fields)
+    get = lambda f: F.element_at("canonical", f)
+    return r.select("source_id", "record", get("parcel_id").alias("parcel_id"), get("amount_due").alias("amount_due"), get("event_date").alias("event_date"), F.round("completeness", 6).alias("completeness"))
+
+
+def extracted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells all the way to property events."""
+    fields, c = mapping.schema_fields(spark), cells(spark, sf_dir)
+    r = mapping.extract(c, mapping.infer_mapping(c, fields), fields)
+    sources = c.select("source_id").distinct().select("source_id", F.lit("Elm County").alias("jurisdiction"), F.lit("tax_delinquency").alias("label"), F.lit("2024").alias("as_of"), F.lit("2024-01-01T00:00:00Z").alias("recorded_at"), F.lit(0.9).alias("confidence"))
+    return mapping.build_events(r, fields, sources).select("property_key", "kind", "event_date", "source_id", "amount")
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").alias("doc"), F.col("lang").alias("class"), "text")
+    bag = classify.bags(d, "doc", F.col("text"), "class")
+    return d.select("doc", "class"), bag
+
+
+def nb_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels, bag = labelled(spark, sf_dir)
+    return classify.train(bag, labels)[1]
+
+
+def nb_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels, bag = labelled(spark, sf_dir)
+    hits, totals = classify.train(bag.where("doc % 2 = 0"), labels.where("doc % 2 = 0"))
+    p = classify.predict(labels.where("doc % 2 = 1"), bag.where("doc % 2 = 1").drop("class"), hits, totals)
+    return p.where("place = 1").select("doc", "class", F.round("probability", 6).alias("probability"))
+
+
+def nb_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels, bag = labelled(spark, sf_dir)
+    hits, totals = classify.train(bag, labels)
+    p = classify.leave_one_out(labels, bag, hits, totals)
+    return p.where("place = 1").join(labels.withColumnRenamed("class", "truth"), "doc").select("doc", "truth", F.col("class").alias("guess"), F.round("probability", 6).alias("probability"))
+
+
+def nb_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels, bag = labelled(spark, sf_dir)
+    return classify.vocabulary(*classify.train(bag, labels), 20).withColumn("lift", F.round("lift", 6))
+
+
+def confusion_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the quality label predicts the toxic one: plain scores of two label columns."""
+    pairs = table(spark, sf_dir, "labels").select(F.col("quality").cast("string").alias("truth"), F.col("toxic").cast("string").alias("guess"))
+    s = classify.scores(pairs)
+    return s.select("class", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat objects without a parser: keys in order, values as text."""
+    e = table(spark, sf_dir, "events").select("event_id", "props", F.explode(F.json_object_keys("props")).alias("label"))
+    return e.select("event_id", "label", F.get(F.map_values(F.map_filter(F.from_json("props", "map<string,string>"), lambda k, v: k == F.col("label"))), F.lit(0)).alias("value"))
+
+
+def parsed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each kind of event as one JSON document, each market segment as one CSV, through detection and parsing."""
+    e = table(spark, sf_dir, "events")
+    js = e.groupBy(F.concat("event_type", F.lit("-"), (F.col("user_id") % 50).cast("string")).alias("source_id")).agg(F.to_json(F.struct(F.lit(1).alias("version"), F.array_sort(F.collect_list(F.struct("event_id", "value", F.struct("user_id").alias("who")))).alias("rows"))).alias("body"))
+    c = table(spark, sf_dir, "customer")
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), "c_name", F.lit(', Mr"')), F.col("c_acctbal").cast("string"))
+    cs = c.groupBy(F.concat("c_mktsegment", F.lit("-"), F.col("c_nationkey").cast("string")).alias("source_id")).agg(F.concat(F.lit("key,name,balance\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("body"))
+    docs = js.unionByName(cs).select("source_id", F.lit("").alias("content_type"), "body")
+    cells = formats.parse_documents(docs)
+    return cells.groupBy("format", "label").agg(F.count("*").alias("cells"), F.countDistinct("source_id").alias("documents"))
+
+
+def page_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", formats.page_projection(F.col("html")).alias("p"), formats.script_shell(F.col("html")).alias("shell"))
+    return p.select("page_id", F.col("p.title").alias("title"), F.size("p.headings").alias("headings"), F.array_join("p.links", " ").alias("links"), F.col("p.items").alias("items"), "shell")
+
+
+def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a host linked in a ring, crawled from its first page for four rounds; robots rules close one path."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    h = web.host(F.col("url"))
+    after = Window.partitionBy(h).orderBy("page_id")
+    edges = p.select("url", F.lead("url").over(after).alias("target")).where("target is not null").union(p.select("url", F.lead("url", 3).over(after).alias("target")).where("target is not null"))
+    seeds = p.groupBy(h.alias("h")).agg(F.min_by("url", "page_id").alias("url")).select("url")
+    reached = web.crawl(seeds, p.groupBy("url").agg(F.min(F.sha2("html", 256)).alias("body_hash")), edges, 4)
+    rules = p.select(h.alias("host")).distinct().select("host", F.lit("*").alias("agent"), F.lit(False).alias("allow"), F.lit("/de").alias("prefix"))
+    return web.allowed(reached, rules, "recordloom").select("url", "depth", "allowed")
+
+
+def api_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web.paged(table(spark, sf_dir, "orders"), 1000, 5000)
+
+
+def turn_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long conversations: all but the last turns folded into a summary's tail."""
+    w = Window.partitionBy("conv_id")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    n = c.withColumn("n", F.count("*").over(w)).withColumn("at", F.row_number().over(w.orderBy("turn", "role", "text")))
+    old = (F.col("n") > 4) & (F.col("at") <= F.col("n") - 2)
+    folded = n.groupBy("conv_id").agg(F.count_if(~old).alias("kept"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(old, F.struct("at", F.concat("role", F.lit(": "), "text").alias("said"))))), lambda x: x["said"]), "\n").alias("summary"))
+    return folded.select("conv_id", "kept", F.substring(F.col("summary"), F.greatest(F.length("summary") - 2399, F.lit(1)), F.lit(2400)).alias("summary"))
+
+
+QUERIES = {f.__name__: f for f in (slug_tokens, money_parse, date_parse, kind_validate, coerce_values, value_samples, part_counts, infer_mapping, extract_records, extracted_events, nb_counts, nb_predict, nb_leave_one_out, nb_vocabulary, confusion_f1, json_flatten, parsed_bodies, page_projection, crawl_frontier, api_pages, turn_compaction)}
+
+WORDS = "list_transform(regexp_extract_all(regexp_replace({}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[A-Za-z0-9]+'), lambda w: lower(w))"
+STOP = ", ".join(f"'{w}'" for w in classify.STOP)
+SQL_BAG = f"""
+tk as (select doc_id as doc, lang as class, list_filter({WORDS.format("coalesce(text, '')")}, lambda w: length(w) >= 2 and not list_contains([{STOP}], w) and not regexp_matches(w, '^[0-9]+$'))[1:600] as ts from documents where doc_id is not null),
+bag as (select doc, class, token, count(*) as n from (select doc, class, unnest(ts) as token from tk) group by all)
+"""
+SQL_CELLS = """
+ce as (
+  select 's' || (o_orderkey % 14) as source_id, o_orderkey as record, o_orderkey % 2 as odd, 'P-' || lpad(cast(o_custkey as varchar), 6, '0') as parcel,
+    case when o_orderkey % 11 = 0 then null else cast(o_totalprice as decimal(15, 2)) end as amount, strftime(o_orderdate, '%Y-%m-%d') as day, o_orderstatus
+  from orders)
+"""
+TRIM = "regexp_replace(regexp_replace({}, '^[ \\t\\n\\x0B\\f\\r]+', ''), '[ \\t\\n\\x0B\\f\\r]+$', '')"
+
+ORACLE_SQL = {
+    "slug_tokens": f"""select doc_id, array_to_string({WORDS.format('substr(text, 1, 200)')}, '_') as slug, regexp_replace({TRIM.format('substr(text, 1, 200)')}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') as collapsed,
+  cast(len({WORDS.format('text')}) as integer) as n_words from documents""",
+    "money_parse": """with c as (select o_orderkey, cast(round(o_totalprice * 100) as bigint) as cents from orders), p as (select *, cast(cents // 100 as varchar) || '.' || lpad(cast(cents % 100 as varchar), 2, '0') as plain, o_orderkey % 7 as k from c)
+select o_orderkey, [plain, '$ ' || plain, '(' || plain || ')', '-' || plain, plain || ' USD', '$$' || plain, '1-' || plain][k + 1] as shown,
+  case when k in (0, 1) then cast(plain as double) when k in (2, 3) then -cast(plain as double) end as amount, k in (0, 1) as valid from p""",
+    "date_parse": """select o_orderkey, [strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate, '%Y/%-m/%-d'), strftime(o_orderdate, '%-m/%-d/%Y'), strftime(o_orderdate, '%m-%d-%Y'), strftime(o_orderdate, '%B %-d, %Y'), strftime(o_orderdate, '%-d %b %Y'),
+  strftime(o_orderdate, '%Y-%m-%dT10:30:00Z'), strftime(o_orderdate, '%Y-%m-%d junk'), strftime(o_orderdate, '%Y-02-31')][o_orderkey % 9 + 1] as shown, case when o_orderkey % 9 < 7 then strftime(o_orderdate, '%Y-%m-%d') end as iso from orders""",
+    "kind_validate": """with w as (select distinct unnest(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+')) as v from documents), f as (select v, strlen(v) as n, length(regexp_replace(v, '[^0-9]', '', 'g')) as d, regexp_matches(v, '[A-Za-z]') as alpha from w where v <> '')
+select v, n between 3 and 30 and not contains(v, '$') and d >= 2 and d * 10 >= n * 4 and not regexp_matches(v, '^[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}$') as is_id, n between 2 and 80 and alpha and not contains(v, '$') and d * 2 <= n as is_name,
+  n <= 60 and alpha as is_status, n >= 3 as is_text, d between 10 and 15 and regexp_matches(v, '^[-0-9() +.xX]*$') as is_phone,
+  n between 6 and 254 and regexp_matches(v, '^[^@ ]+@[^@ ]+[.][^@. ]{2,}$') as is_email from f""",
+    "coerce_values": """with s as (select o_orderkey, o_orderkey % 3 as k, cast(o_orderkey as varchar) as own, cast(o_orderkey + 1000 as varchar) as more from orders),
+t as (select *, length(own) * 10 >= (length(own) + 8) * 4 and length(own) >= 2 as whole from s)
+select o_orderkey, case k when 0 then length(own) >= 2 when 1 then true else false end as ok, case when k = 0 and length(own) >= 2 then case when whole then 'CASE: ' || own || '-A' else own || '-A' end when k = 1 then 'NO (' || more || '),' end as value,
+  k = 0 and length(own) >= 2 and not whole as reformatted from t""",
+    "value_samples": "with " + SQL_CELLS + """, l as (select source_id, record, unnest(case when odd = 0 then ['Parcel Number', 'Balance Due', 'Filed Date', 'Status', 'Lat Lon'] else ['apn', 'amount owed', 'date', 'Disposition', 'lat lon'] end) as label, unnest([false, amount is not null, false, false, false]) as money from ce),
+r as (select *, row_number() over (partition by source_id, label order by record) as n from l)
+select source_id, label, count(*) as sampled, avg(case when money then 1.0 else 0.0 end) as money_rate, max(record) as last_record from r where n <= 25 group by all""",
+    "part_counts": "with " + SQL_CELLS + "select source_id, unnest(case when odd = 0 then ['Parcel Number', 'Balance Due', 'Filed Date', 'Status', 'Lat Lon'] else ['apn', 'amount owed', 'date', 'Disposition', 'lat lon'] end) as label, cast(unnest([0, 0, 0, 0, 2]) as integer) as parts from (select distinct source_id, odd from ce)",
+    "extracted_events": "with " + SQL_CELLS + "select 'elm_county|p:' || replace(parcel, '-', '') as property_key, 'tax_delinquency' as kind, day as event_date, source_id, coalesce(cast(amount as double), 0.0) as amount from ce",
+    "extract_records": "with " + SQL_CELLS + "select source_id, record, parcel as parcel_id, cast(amount as varchar) as amount_due, day as event_date, round((6 - case when amount is null then 1 else 0 end) / 6.0::double, 6) as completeness from ce",
+    "nb_counts": "with " + SQL_BAG + "select class, (select count(*) from documents d where d.lang is not distinct from b.class and doc_id is not null) as docs, cast(sum(n) as bigint) as tokens from bag b group by class",
+    "nb_predict": "with " + SQL_BAG + """,
+h as (select class, token, sum(n) as hits from bag where doc % 2 = 0 group by all), t as (select class, sum(hits) as tokens from h group by class), d as (select class, count(*) as docs from tk where doc % 2 = 0 group by class),
+v as (select count(distinct token) as v from h), a as (select count(*) as all_docs from tk where doc % 2 = 0),
+k as (select b.doc, b.token, b.n from bag b where doc % 2 = 1 and token in (select token from h)),
+s as (select tk.doc, d.class, ln(d.docs / (select all_docs from a)) + coalesce((select sum(k.n * ln((coalesce(h.hits, 0) + 1.0) / (t.tokens + (select v from v)))) from k left join h on h.token = k.token and h.class = d.class where k.doc = tk.doc), 0) as score
+  from tk cross join d join t on t.class = d.class where tk.doc % 2 = 1),
+p as (select doc, class, exp(score - max(score) over (partition by doc)) as e from s), q as (select doc, class, e / sum(e) over (partition by doc) as probability from p)
+select doc, class, round(probability, 6) as probability from (select *, row_number() over (partition by doc order by probability desc, class) as n from q) where n = 1""",
+    "nb_leave_one_out": "with " + SQL_BAG + """,
+h as (select class, token, sum(n) as hits from bag group by all), t as (select class, sum(hits) as tokens from h group by class), d as (select class, count(*) as docs from tk group by class),
+f as (select token, count(distinct doc) as df from bag group by token), v as (select count(*) as v from f), a as (select count(*) as all_docs from tk),
+o as (select tk.doc, tk.class as truth, coalesce(sum(n), 0) as own, coalesce(sum(case when df = 1 then 1 else 0 end), 0) as lone from tk left join bag b on b.doc = tk.doc left join f on f.token = b.token group by all),
+k as (select b.doc, b.class as truth, b.token, b.n from bag b join f using (token) where df > 1),
+c as (select o.doc, o.truth, d.class, d.docs - (d.class = o.truth)::int as docs, t.tokens - case when d.class = o.truth then own else 0 end + (select v from v) - lone as den from o cross join d join t on t.class = d.class),
+x as (select c.doc, c.truth, c.class, c.docs, sum(k.n * ln((coalesce(h.hits, 0) - case when c.class = c.truth then k.n else 0 end + 1.0) / c.den)) as lift from c left join k on k.doc = c.doc left join h on h.token = k.token and h.class = c.class where c.docs > 0 group by all),
+s as (select doc, truth, class, ln(docs / ((select all_docs from a) - 1)) + coalesce(lift, 0) as score from x),
+p as (select *, exp(score - max(score) over (partition by doc)) as e from s), q as (select *, e / sum(e) over (partition by doc) as probability from p)
+select doc, truth, class as guess, round(probability, 6) as probability from (select *, row_number() over (partition by doc order by probability desc, class) as n from q) where n = 1""",
+    "nb_vocabulary": "with " + SQL_BAG + """,
+h as (select class, token, sum(n) as hits from bag group by all), w as (select *, sum(hits) over (partition by token) as everywhere, sum(hits) over (partition by class) as tokens, sum(hits) over () as all_tokens from h),
+l as (select class, token, cast(hits as bigint) as hits, (hits / tokens) / (everywhere / all_tokens) as lift from w where hits >= 2),
+r as (select *, row_number() over (partition by class order by round(lift * ln(1 + hits), 9) desc, token) as place from l)
+select class, token, hits, round(lift, 6) as lift, cast(place as integer) as place from r where place <= 20""",
+    "confusion_f1": """with p as (select cast(quality as varchar) as truth, cast(toxic as varchar) as guess from labels), c as (select distinct truth as class from p union select distinct guess from p),
+n as (select class, (select count(*) from p where truth = class) as t, (select count(*) from p where guess = class) as g, (select count(*) from p where truth = class and guess = class) as tp from c),
+r as (select class, case when g > 0 then tp / g else 0.0 end as precision, case when t > 0 then tp / t else 0.0 end as recall, t as support from n)
+select class, round(precision, 6) as precision, round(recall, 6) as recall, round(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0.0 end, 6) as f1, support from r""",
+    "json_flatten": "select event_id, key as label, json_extract_string(props, '$.' || key) as value from (select event_id, props, unnest(json_keys(props)) as key from events)",
+    "api_pages": """with n as (select least(count(*), 5000) as upto from orders), p as (select upto, unnest(range(0, cast(upto // 1000 as bigint) + 1)) as page from n)
+select cast(page as integer) as page, least(1000, upto - page * 1000) as n, case when (page + 1) * 1000 >= 5000 then 'truncated' when upto - page * 1000 < 1000 then 'short' else 'next' end as stop from p where page * 1000 < 5000""",
+    "turn_compaction": """with c as (select *, count(*) over (partition by conv_id) as n, row_number() over (partition by conv_id order by turn, role, text) as at from conversations),
+f as (select conv_id, count(*) filter (n <= 4 or at > n - 2) as kept, coalesce(string_agg(role || ': ' || text, chr(10) order by at) filter (n > 4 and at <= n - 2), '') as summary from c group by conv_id)
+select conv_id, kept, right(summary, 2400) as summary from f""",
+}
