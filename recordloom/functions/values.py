@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import collapse, digits_in, is_digits, let, lower, split_parts, trim, upper, words
 
@@ -103,7 +104,7 @@ def plausible(kind: str, v: Column, low: float | None, high: float | None) -> Co
     return F.when(n == 0, F.lit(False)).otherwise(F.coalesce(good, F.lit(False)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def money_text(amount: pd.Series) -> pd.Series:
     return amount.map(lambda x: None if x != x else f"{x:.2f}")
 
