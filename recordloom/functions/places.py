@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import alphanumeric, is_digits, slug, upper, words
+from .text import alphanumeric, is_digits, let, slug, upper, words
 
 # Postal abbreviations, directions, street suffixes, unit markers.
 ABBREVIATIONS = {
@@ -27,11 +27,8 @@ def normalize_parcel(c: Column) -> Column:
 def address_words(c: Column) -> Column:
     short = F.create_map(*[F.lit(x) for x in chain(*ABBREVIATIONS.items())])
 
-    def one(w: Column) -> Column:
-        w = F.coalesce(F.element_at(short, w), w)
-        return F.when(is_digits(w), F.regexp_replace(w, "^0+(?=[0-9])", "")).otherwise(w)
-
-    return F.transform(words(F.coalesce(c, F.lit(""))), one)
+    stripped = lambda w: F.when(is_digits(w), F.regexp_replace(w, "^0+(?=[0-9])", "")).otherwise(w)
+    return F.transform(F.transform(words(F.coalesce(c, F.lit(""))), lambda w: F.coalesce(F.element_at(short, w), w)), stripped)
 
 
 def normalize_address(c: Column) -> Column:
@@ -44,7 +41,10 @@ def parse_address(c: Column) -> Column:
     A fold over the words: after a unit marker the next word is the unit, the first direction and the last suffix count,
     the rest is the street. A single letter that ends a longer street is the unit. "Block of" can't be located.
     """
-    w = address_words(c)
+    return let(address_words(c), parsed_words)
+
+
+def parsed_words(w: Column) -> Column:
     size = F.size(w)
     block = F.exists(F.arrays_zip(F.slice(w, 1, F.greatest(size - 1, F.lit(0))).alias("a"), F.slice(w, 2, F.greatest(size - 1, F.lit(0))).alias("b")), lambda x: x["a"].isin("block", "blk") & (x["b"] == "of"))
     first = F.coalesce(F.get(w, F.lit(0)), F.lit(""))
@@ -69,7 +69,7 @@ def parse_address(c: Column) -> Column:
         )
 
     def finish(a: Column) -> Column:
-        last = F.coalesce(F.element_at(F.when(F.size(a["street"]) > 0, a["street"]), -1), empty)
+        last = F.coalesce(F.get(a["street"], F.size(a["street"]) - 1), empty)
         lone = (a["unit"] == "") & (F.size(a["street"]) > 1) & last.rlike("^[a-z]\\z")
         street = F.array_join(F.when(lone, F.slice(a["street"], 1, F.size(a["street"]) - 1)).otherwise(a["street"]), " ")
         number = F.when(numbered, first).otherwise(empty)

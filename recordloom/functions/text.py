@@ -60,19 +60,20 @@ def digits_in(c: Column) -> Column:
 
 def content_hash(c: Column) -> Column:
     """64-bit hash of the UTF-8 bytes as 16 hex digits. A fold on two 32-bit halves, so nothing overflows in ANSI mode."""
-    raw = F.encode(c, "UTF-8")
-    at = F.when(F.length(raw) > 0, F.sequence(F.lit(1), F.length(raw))).otherwise(F.array().cast("array<int>"))
-    byte = lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("long")
     start = F.struct(F.lit(HASH_START >> 32).cast("long").alias("hi"), F.lit(HASH_START & LOW_32).cast("long").alias("lo"))
     # times 2^40 + 435, modulo 2^64
-    step = lambda a, x: F.struct((a["hi"] * 435 + F.shiftright(x * 435, 32) + F.shiftleft(x, 8)).bitwiseAND(F.lit(LOW_32)).alias("hi"), (x * 435).bitwiseAND(F.lit(LOW_32)).alias("lo"))
+    mixed = lambda hi, x: F.struct((hi * 435 + F.shiftright(x * 435, 32) + F.shiftleft(x, 8)).bitwiseAND(F.lit(LOW_32)).alias("hi"), (x * 435).bitwiseAND(F.lit(LOW_32)).alias("lo"))
     half = lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")
-    return F.aggregate(at, start, lambda a, i: step(a, a["lo"].bitwiseXOR(byte(i))), lambda a: F.concat(half(a["hi"]), half(a["lo"])))
+
+    # as ISO-8859-1 each byte is a character, and its code the byte
+    codes = F.transform(F.split(F.decode(F.encode(c, "UTF-8"), "ISO-8859-1"), ""), lambda x: F.ascii(x).cast("long"))
+    return F.when(c == "", F.concat(half(start["hi"]), half(start["lo"]))).otherwise(F.aggregate(codes, start, lambda a, x: mixed(a["hi"], a["lo"].bitwiseXOR(x)), lambda a: F.concat(half(a["hi"]), half(a["lo"]))))
 
 
 def split_parts(c: Column) -> Column:
     """Trimmed parts of a composite value: at the first of , ; | and tab that leaves two or more, none empty. Else empty."""
-    t = trim(c)
-    cuts = [F.transform(F.split(t, sep, -1), trim) for sep in (",", ";", r"\|", "\t")]
-    good = [F.when((F.size(p) >= 2) & ~F.exists(p, lambda x: x == ""), p) for p in cuts]
-    return F.coalesce(*good, F.array().cast("array<string>"))
+
+    def cut(t: Column, sep: str) -> Column:
+        return let(F.transform(F.split(t, sep, -1), trim), lambda p: F.when((F.size(p) >= 2) & ~F.exists(p, lambda x: x == ""), p))
+
+    return let(trim(c), lambda t: F.coalesce(*[cut(t, sep) for sep in (",", ";", r"\|", "\t")], F.array().cast("array<string>")))
