@@ -181,4 +181,11 @@ select source_id, round(confidence, 6) as confidence, case when rate >= 0.7 * ba
     "mdape": "with " + SQL_SALES + ", e as (select state, abs(assessed * 0.95 - price) / price as off from ok) select state, round(median(off), 6) as mdape, round(avg(case when off <= 0.1 then 1.0 else 0.0 end), 6) as within_share from e group by state",
     "feature_scales": "with " + SQL_SALES + " select f as feature, round(avg(x), 2) as mean, round(stddev_pop(x), 2) as std from (select unnest(['price', 'assessed', 'quantity']) as f, unnest([price, assessed, cast(quantity as double)]) as x from sales) group by f",
     "labeling_votes": "with " + SQL_COLUMNS + "select example, 'lexicon_exact' as lf, class from c join lex on lex.term = concat_ws('_', a, b) union all select example, 'lexicon_token', class from tie where ties = 1",
+    "rate_budget": """with recursive r as (select cast(user_id % 25 as varchar) as host, cast(floor(floor(epoch(ts)) / 10) as bigint) as at_s, event_id as id from events),
+n as (select *, row_number() over (partition by host order by at_s, id) as i from r),
+w as (
+  select host, at_s, id, i, at_s as opened, 1 as used, true as allowed from n where i = 1
+  union all select n.host, n.at_s, n.id, n.i, case when n.at_s >= opened + 600 then n.at_s else opened end, case when n.at_s >= opened + 600 then 1 when used < 5 then used + 1 else used end, n.at_s >= opened + 600 or used < 5
+  from w join n on n.host = w.host and n.i = w.i + 1)
+select host, at_s, id, allowed from w""",
 }

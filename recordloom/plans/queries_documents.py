@@ -250,4 +250,17 @@ select cast(page as integer) as page, least(1000, upto - page * 1000) as n, case
     "turn_compaction": """with c as (select *, count(*) over (partition by conv_id) as n, row_number() over (partition by conv_id order by turn, role, text) as pos from conversations),
 f as (select conv_id, count(*) filter (n <= 4 or pos > n - 2) as kept, coalesce(string_agg(role || ': ' || text, chr(10) order by pos) filter (n > 4 and pos <= n - 2), '') as summary from c group by conv_id)
 select conv_id, kept, right(summary, 2400) as summary from f""",
+    "page_projection": r"""with p as (select page_id, html, regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*["'']([^"''#]+)', 1) as l,
+  regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g'), '(?s)<[^>]*>', '', 'g') as bare from pages)
+select page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as title,
+  cast(len(regexp_extract_all(html, '(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]>')) as integer) as headings, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') as links,
+  cast(len(regexp_extract_all(html, '(?i)<li\b')) as integer) as items,
+  regexp_matches(lower(html), 'id="(root|app|__next)"\s*>\s*</div>|data-reactroot|ng-app') or strlen(trim(bare)) * 4 < strlen(array_to_string(regexp_extract_all(html, '(?is)<script\b[^>]*>(.*?)</script\s*>', 1), '')) as shell from p""",
+    "crawl_frontier": r"""with recursive p as (select page_id, url, html, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) as h from pages),
+e as (select url, lead(url) over (partition by h order by page_id) as a, lead(url, 3) over (partition by h order by page_id) as b from p),
+g as (select distinct url, target from (select url, unnest([a, b]) as target from e) where target is not null),
+w as (select distinct arg_min(url, page_id) as url, 0 as depth from p group by h union select g.target, w.depth + 1 from w join g on g.url = w.url where w.depth < 4),
+d as (select url, min(depth) as depth from w group by url), b as (select url, min(sha256(html)) as body from pages group by url),
+r as (select d.url, depth, row_number() over (partition by body order by depth, d.url) as n from d join b on b.url = d.url)
+select url, cast(depth as integer) as depth, not starts_with(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)?', 1), '/de') as allowed from r where n = 1""",
 }

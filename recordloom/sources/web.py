@@ -39,15 +39,16 @@ def links(pages: DataFrame) -> DataFrame:
 def crawl(seeds: DataFrame, pages: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """Breadth-first over edges (url, target) from seeds (url): (url, depth) of reached pages, each body once (pages: url, body_hash).
 
-    A frontier is a DataFrame: joined with the edges, less what was visited. The rounds are max_depth at most.
+    A frontier is a DataFrame: joined with the edges, less what was visited. The rounds are max_depth at most; each is
+    persisted (it spills to disk, and a lost executor recomputes it), as the next ones read it again.
     """
-    visited = seeds.select("url").distinct().withColumn("depth", F.lit(0))
-    frontier = visited
+    frontier = seeds.select("url").distinct().withColumn("depth", F.lit(0)).persist()
+    visited = frontier
     for depth in range(1, max_depth + 1):
         found = frontier.select("url").join(edges, "url").select(F.col("target").alias("url")).distinct()
-        frontier = found.join(visited, "url", "left_anti").withColumn("depth", F.lit(depth))
+        frontier = found.join(visited.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)).persist()
         visited = visited.unionByName(frontier)
-    reached = visited.join(pages, "url")
+    reached = visited.join(pages, "url")  # rounds are disjoint
     return first_by(reached, ["body_hash"], "depth", "url").select("url", "depth")
 
 
