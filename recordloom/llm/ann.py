@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .text import join_small, written
 
 CURVES, DIMS, BITS = 4, 8, 7
-#: Classes of a block of ranks; classes that scales and the window are fitted on.
-BLOCK, FITTED, TUNED = 4096, 2000, 96
+#: Classes of a block of ranks, and queries that meet it at once, about; classes that scales and the window are fitted on.
+BLOCK, ASKS, FITTED, TUNED = 4096, 4096, 2000, 96
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -144,8 +144,14 @@ def neighbours(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     near = F.sequence(F.floor(F.greatest(F.col("rank") - window, F.lit(0)) / BLOCK), F.floor(F.least(F.col("rank") + window, F.lit(total - 1)) / BLOCK))
     with_vec = classes.select("cls", "vec")
     places = ranks.join(with_vec, "cls")
-    given = places.select("curve", F.floor(F.col("rank") / BLOCK).alias("block"), "rank", "cls", "vec", F.lit(False).alias("asks"))
-    asking = places.join(asked, "cls").select("curve", F.explode(near).alias("block"), "rank", "cls", "vec", F.lit(True).alias("asks"))
+    # where windows are wide, a block's queries are dealt into slices, and its vectors meet each: a group stays bounded
+    to_ask = ranks.join(asked, "cls").select("curve", F.explode(near).alias("block"))
+    most = to_ask.groupBy("curve", "block").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    slices = max(1, -(-most // ASKS))
+    slice_of = F.pmod(F.xxhash64("cls"), F.lit(slices)).cast("int").alias("slice")
+    every_slice = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
+    given = places.select("curve", F.floor(F.col("rank") / BLOCK).alias("block"), every_slice, "rank", "cls", "vec", F.lit(False).alias("asks"))
+    asking = places.join(asked, "cls").select("curve", F.explode(near).alias("block"), slice_of, "rank", "cls", "vec", F.lit(True).alias("asks"))
 
     def block(group: pd.DataFrame) -> pd.DataFrame:
         q, v = group[group["asks"]], group[~group["asks"]]
@@ -156,7 +162,7 @@ def neighbours(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
                 found.append(pd.DataFrame({"asker": q["cls"].iat[i], "cls": ids, "score": d}))
         return pd.concat(found) if found else pd.DataFrame({"asker": pd.Series(dtype="int64"), "cls": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
-    found = given.union(asking).groupBy("curve", "block").applyInPandas(block, "asker long, cls long, score double")
+    found = given.union(asking).groupBy("curve", "block", "slice").applyInPandas(block, "asker long, cls long, score double")
     found = found.groupBy("asker", "cls").agg(F.min("score").alias("score"))
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("asker").orderBy("score", "cls"))).where(F.col("n") <= k + 1)
     # rows of a class are at one distance, and those of a farther class come after it
