@@ -13,8 +13,8 @@ from .derived import table
 
 def slug_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    head = F.substring("text", 1, 200)
-    return d.select("doc_id", text.slug(head).alias("slug"), text.collapse(head).alias("collapsed"), F.size(text.words(F.col("text"))).alias("n_words"))
+    whole = F.col("text")
+    return d.select("doc_id", text.slug(whole).alias("slug"), text.collapse(whole).alias("collapsed"), F.size(text.words(whole)).alias("n_words"))
 
 
 def money_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +195,7 @@ ce as (
 TRIM = "regexp_replace(regexp_replace({}, '^[ \\t\\n\\x0B\\f\\r]+', ''), '[ \\t\\n\\x0B\\f\\r]+$', '')"
 
 ORACLE_SQL = {
-    "slug_tokens": f"""select doc_id, array_to_string({WORDS.format('substr(text, 1, 200)')}, '_') as slug, regexp_replace({TRIM.format('substr(text, 1, 200)')}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') as collapsed,
+    "slug_tokens": f"""select doc_id, array_to_string({WORDS.format('text')}, '_') as slug, regexp_replace({TRIM.format('text')},'[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') as collapsed,
   cast(len({WORDS.format('text')}) as integer) as n_words from documents""",
     "money_parse": """with c as (select o_orderkey, cast(round(o_totalprice * 100) as bigint) as cents from orders), p as (select *, cast(cents // 100 as varchar) || '.' || lpad(cast(cents % 100 as varchar), 2, '0') as plain, o_orderkey % 7 as k from c)
 select o_orderkey, [plain, '$ ' || plain, '(' || plain || ')', '-' || plain, plain || ' USD', '$$' || plain, '1-' || plain][k + 1] as shown,
