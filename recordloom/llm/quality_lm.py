@@ -1,6 +1,6 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text, perplexity bands by language.
 
-The model has words over spellings and, as an option, word pairs over these. Its lowest order spells a word by characters, folded to an alphabet of 32
+The model has word pairs over words over spellings (the pairs can be switched off). Its lowest order spells a word by characters, folded to an alphabet of 32
 symbols (Latin letters without accents, one symbol each for capitals, digits, white space, punctuation, other marks, other
 letters) with ORDER symbols to a gram, so it gives any word a probability and has 32 ** ORDER rows at most. Counts of words and
 pairs grow with the trusted text and have no bound; they stay tables: continuation counts, count-of-counts discounts and
@@ -12,7 +12,7 @@ gram's hash, and a sum with map-side combining. Two tables of fixed size keep th
 frequent grams (HOT at most) are shipped to the tasks, so no frequent word is a hot key; and a bitmap of the others' hashes (2 **
 BITMAP bits) lets tasks leave out grams that the model surely lacks, whose weight is none. Neither changes a result.
 
-A text's own words make it likely, so a third of the trusted documents is held out from counting: the upper bounds are quantiles of
+A text's own words and pairs make it likely, so a third of the trusted documents is held out from counting: the upper bounds are quantiles of
 these, the lower ones of all trusted documents.
 """
 
@@ -186,15 +186,21 @@ def counted_pairs(letters: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Ite
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for rows in spans(batch["text"]):
-                hashes, spelling, words, of = sequences([t for t in batch["text"].iloc[rows] if isinstance(t, str) and t.strip()], letters)
+                hashes, _, words, of = sequences([t for t in batch["text"].iloc[rows] if isinstance(t, str) and t.strip()], letters)
                 g, at, _ = pairs_of(hashes, words, of)
-                g, first, times = np.unique(g, return_index=True, return_counts=True)
-                v, w = words[at[first]], words[at[first] + 1]
-                yield pd.DataFrame({"g": g.view(np.int64), "v": hashes[v].view(np.int64), "w": hashes[w].view(np.int64), "c": times, "spelling": spelling[w]})
+                _, first, times = np.unique(g, return_index=True, return_counts=True)
+                yield pd.DataFrame({"v": hashes[words[at[first]]].view(np.int64), "w": hashes[words[at[first] + 1]].view(np.int64), "c": times})
 
     return run
 
 
+def hashed_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(g, weight, c) from (v, w, weight, c), by the hash of pairs_of."""
+    for b in batches:
+        g = mix64(b["v"].to_numpy().view(np.uint64) * M1 + b["w"].to_numpy().view(np.uint64))
+        yield pd.DataFrame({"g": g.view(np.int64), "weight": b["weight"], "c": b["c"]})
+
+
 def cut_by(d: list[float]) -> Column:
     return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
 
@@ -215,20 +221,23 @@ def gram_weights(texts: DataFrame, letters: np.ndarray) -> tuple[DataFrame, floa
 
     A word's weight is the logarithm of its probability over its share of the spelling's, plus that of its interpolation weight as
     a context; a pair's that of its probability over what its words alone would give."""
-    pairs = texts.mapInPandas(counted_pairs(letters), "g long, v long, w long, c long, spelling double")
-    pairs = written(pairs.groupBy("g", "v", "w").agg(F.sum("c").alias("c"), F.max("spelling").alias("spelling")))
-    words = written(pairs.groupBy("w").agg(F.count("*").alias("c"), F.sum("c").alias("times"), F.max("spelling").alias("spelling")))
+    pairs = texts.mapInPandas(counted_pairs(letters), "v long, w long, c long")
+    pairs = written(pairs.groupBy("v", "w").agg(F.sum("c").alias("c")).sortWithinPartitions("v"))
+    spelled = texts.mapInPandas(counted_words(letters), "w long, c long, spelling double").groupBy("w").agg(F.max("spelling").alias("spelling"))  # apart, as pairs are many
+    words = written(pairs.groupBy("w").agg(F.count("*").alias("c"), F.sum("c").alias("times")).join(spelled, "w"))
     of_words, of_pairs = cut_by(discounts(words)), cut_by(discounts(pairs))
     total, left = words.agg(F.sum("c"), F.sum(of_words)).first()
     share = left / total if total else 1.0
     p = (F.col("c") - of_words) / F.lit(float(total or 1)) + share * F.pow(F.lit(2.0), "spelling")
     words = written(words.select("w", "times", "spelling", F.log2(p).alias("log_p")))
     contexts = written(pairs.groupBy("v").agg(F.sum("c").alias("total"), (F.sum(of_pairs) / F.sum("c")).alias("back")))
-    rows = pairs.select("g", "v", "w", "c").join(words.select("w", "log_p"), "w").join(contexts, "v")
+    rows = join_small(pairs, words.select(F.col("w").alias("of_w"), "log_p"), F.col("w") == F.col("of_w"), "inner", BROADCAST_IDS)
+    rows = join_small(rows, contexts.withColumnRenamed("v", "of_v"), F.col("v") == F.col("of_v"), "inner", BROADCAST_IDS)
     both = F.log2((F.col("c") - of_pairs) / F.col("total") + F.col("back") * F.pow(F.lit(2.0), "log_p"))
     single = words.select(F.col("w").alias("g"), (F.col("log_p") - F.lit(float(np.log2(share))) - F.col("spelling")).alias("weight"), F.col("times").alias("c"))
     single = single.union(contexts.select("v", F.log2("back"), "total")).groupBy("g").agg(F.sum("weight").alias("weight"), F.max("c").alias("c"))
-    return written(single.union(rows.select("g", (both - F.log2("back") - F.col("log_p")).alias("weight"), "c"))), share
+    rows = rows.select("v", "w", (both - F.log2("back") - F.col("log_p")).alias("weight"), "c").mapInPandas(hashed_pairs, "g long, weight double, c long")
+    return written(single.union(rows)), share
 
 
 @dataclass
@@ -300,7 +309,7 @@ def shipped(weights: DataFrame, letters: np.ndarray, share: float, pairs: bool,
     return Known(letters, share, pairs, g[order], w[order], bitmap.view(np.uint64)), rest
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_id_col: str = "doc_id", trusted_col: str = "quality", low: float = 0.001, high: float = 0.999, slack: float = 1.5, pairs: bool = False, hot: int = HOT) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_id_col: str = "doc_id", trusted_col: str = "quality", low: float = 0.001, high: float = 0.999, slack: float = 1.5, pairs: bool = True, hot: int = HOT) -> DataFrame:
     """One row for each row of docs: doc_id, n_chars, n_words, perplexity (of a word), kept.
 
     Trusted documents are those whose label is above 0. kept: the perplexity is within the low quantile of the trusted

@@ -135,3 +135,26 @@ def test_perplexity_against_plain_python(spark, with_pairs, hot):
             assert r["perplexity"] == pytest.approx(want, rel=1e-4)
         else:
             assert r["perplexity"] is None and not r["kept"]
+
+
+def test_registered_query_sees_word_order(spark, tmp_path):
+    from recordloom.llm import queries
+
+    rng = random.Random(8)
+    names = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 7))) for _ in range(40)]
+    follows = {w: rng.sample(names, 3) for w in names}
+
+    def said():
+        out = [rng.choice(names)]
+        while len(out) < 60:
+            out.append(rng.choice(follows[out[-1]]))
+        return out
+
+    texts = [said() for _ in range(200)]
+    salad = [rng.sample(t, len(t)) for t in texts[150:]]
+    rows = [(i, " ".join(t), "en") for i, t in enumerate(texts)] + [(1150 + i, " ".join(t), "en") for i, t in enumerate(salad)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(150)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in queries.op2_quality(spark, str(tmp_path)).collect()}
+    assert all(got[1000 + i]["perplexity"] > 2 * got[i]["perplexity"] for i in range(150, 200))
+    assert all(got[i]["kept"] for i in range(150, 200)) and not any(got[1000 + i]["kept"] for i in range(150, 200))
