@@ -17,7 +17,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -127,8 +127,25 @@ def close(stack: list[Node], tag: str) -> None:
             return
 
 
+def run(task: Generator) -> object:
+    """Result of a generator that yields the generators whose results it needs: recursion of any depth without Python frames."""
+    stack, value = [task], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as e:
+            stack.pop()
+            value = e.value
+    return value
+
+
 def infer(node: Node, inside: bool = False) -> dict:
     """A wrapper of one tree: l label, q quantity ('', '?', '+', '*'), c children, m text that isn't furniture or links."""
+    return run(inferring(node, inside))
+
+
+def inferring(node: Node, inside: bool) -> Generator:
     inside = inside or node.furniture
     items: list[dict] = []
     for c in node.children:
@@ -137,17 +154,17 @@ def infer(node: Node, inside: bool = False) -> dict:
             if size:
                 items.append({"l": "#text", "q": "", "c": [], "m": 0 if inside else size, "f": inside})
         else:
-            items.append(infer(c, inside or c.tag == "a"))
-    items = repeats(items)
+            items.append((yield inferring(c, inside or c.tag == "a")))
+    items = yield repeats(items)
     return {"l": node.label, "q": "", "c": items, "m": sum(i["m"] for i in items), "f": node.furniture, "t": node.tag}
 
 
-def repeats(items: list[dict]) -> list[dict]:
+def repeats(items: list[dict]) -> Generator:
     """Runs of equal labels, then of equal groups, as one repeated item each."""
     out: list[dict] = []
     for i in items:
         if out and out[-1]["l"] == i["l"]:
-            out[-1] = merge(out[-1], i)
+            out[-1] = yield merging(out[-1], i)
             out[-1]["q"] = "+" if out[-1]["q"] in ("", "+") else "*"
         else:
             out.append(i)
@@ -160,7 +177,10 @@ def repeats(items: list[dict]) -> list[dict]:
             if times > 1:
                 group = out[at : at + k]
                 for t in range(1, times):
-                    group = [merge(a, b) for a, b in zip(group, out[at + t * k : at + (t + 1) * k], strict=True)]
+                    merged = []
+                    for a, b in zip(group, out[at + t * k : at + (t + 1) * k], strict=True):
+                        merged.append((yield merging(a, b)))
+                    group = merged
                 packed.append({"l": "(" + " ".join(names) + ")", "q": "+", "c": group, "m": sum(i["m"] for i in group), "f": False})
                 at += k * times
             else:
@@ -172,26 +192,41 @@ def repeats(items: list[dict]) -> list[dict]:
 
 def merge(a: dict, b: dict) -> dict:
     """One wrapper for what either matches; both have one label."""
+    return run(merging(a, b))
+
+
+def merging(a: dict, b: dict) -> Generator:
     optional = "?" in a["q"] + b["q"] or "*" in a["q"] + b["q"]
     many = any(q in a["q"] + b["q"] for q in "+*")
-    return a | {"q": ("*" if optional else "+") if many else "?" if optional else "", "c": aligned(a["c"], b["c"]), "m": a["m"] + b["m"], "f": a["f"] and b["f"]}
+    return a | {"q": ("*" if optional else "+") if many else "?" if optional else "", "c": (yield aligned(a["c"], b["c"])) if a["c"] or b["c"] else [], "m": a["m"] + b["m"], "f": a["f"] and b["f"]}
 
 
-def aligned(a: list[dict], b: list[dict]) -> list[dict]:
-    if not a and not b:
-        return []
+def aligned(a: list[dict], b: list[dict]) -> Generator:
     out: list[dict] = []
     once = lambda items: [i | {"q": "*" if i["q"] in ("+", "*") else "?"} for i in items]
-    for kind, i, j, x, y in SequenceMatcher(None, [c["l"] for c in a], [c["l"] for c in b], autojunk=False).get_opcodes():
-        out += [merge(p, q) for p, q in zip(a[i:j], b[x:y], strict=True)] if kind == "equal" else once(a[i:j]) + once(b[x:y])
+    names = [c["l"] for c in a], [c["l"] for c in b]
+    codes = [("equal", 0, len(a), 0, len(b))] if names[0] == names[1] else SequenceMatcher(None, *names, autojunk=False).get_opcodes()
+    for kind, i, j, x, y in codes:
+        if kind == "equal":
+            for p, q in zip(a[i:j], b[x:y], strict=True):
+                out.append((yield merging(p, q)))
+        else:
+            out += once(a[i:j]) + once(b[x:y])
     return out
 
 
 def expression(w: dict) -> str:
     """The wrapper as a union-free regular expression."""
+    return run(expressing(w))
+
+
+def expressing(w: dict) -> Generator:
     if w["l"] == "#text":
         return "#text" + w["q"]
-    inner = " ".join(map(expression, w["c"]))
+    parts = []
+    for c in w["c"]:
+        parts.append((yield expressing(c)))
+    inner = " ".join(parts)
     if w["l"].startswith("("):
         return f"({inner}){w['q']}"
     body = f"<{w['l']}>{inner}</>" if inner else f"<{w['l']}/>"

@@ -45,3 +45,12 @@ def test_empty(spark):
 def test_very_deep_and_unclosed_pages_are_read():
     assert h.read_page("<article><p>ok" + "<b>" * 300 + "deep", None) == "okdeep"
     assert h.read_page("<article><p>a<!-- never closed", None) == "a"
+
+
+def test_five_thousand_open_elements(spark):
+    for tag in ("div", "font", "span"):
+        one, two = (h.infer(h.parse("<article><p>ok" + f"<{tag}>{x}" * 5000)) for x in ("", "a"))
+        assert h.expression(h.merge(one, two)).count(f"<{tag}") == 5000
+    rows = [(1, "http://h/1", "<article><p>ok</p>" + "<div>" * 5000 + "deep"), (2, "http://h/2", "<article><p>fine</p></article>")]
+    got = {r["page_id"]: r["text"] for r in h.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "ok\ndeep", 2: "fine"}
