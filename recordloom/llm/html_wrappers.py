@@ -1,15 +1,17 @@
 """Main text of web pages by wrappers: union-free regular expressions over the tags of a host's pages.
 
 A page is a tree of labels (a tag, with class and id where these tell sections apart). Its wrapper is an expression
-over them with text slots: runs of one label, and runs of a group of up to GROUP labels, become repeated groups. Pages of
-one host (a sample of at most PAGES, the same on every run) are aligned one after another: children that match are
+over them with text slots: runs of one label, and runs of a group of up to GROUP labels, become repeated groups. All pages of
+one host are aligned: children that match are
 merged, a mismatch becomes optional, a repeat on either side stays one. In the host's wrapper the main region is the
 article, or else the section with most of the text that isn't link text or within furniture (navigation, headers,
-adverts, forms, reader comments, ...). Every page is then read by its host's wrapper; a page that the wrapper doesn't
-match is read by one of its own.
+adverts, forms, reader comments, ...). Articles side by side are one region, whatever their classes. The regions that
+single pages' wrappers have are the host's layouts. A page is read by the first region, that of the host's wrapper and then the
+layouts by their pages, that holds at least SHARE of the page's text; if none does, by the one with most text, the region
+of the page's own wrapper among them.
 
-Hosts are sampled by aggregation with map-side combining and wrappers are joined back by host, so a host with a third
-of all pages costs its share of a scan and no task more.
+Tasks align their pages of each host, each structure once; what they have is aligned by salted key, then by host. Layouts are
+counted with map-side combining and both are joined back by host, so a host with a third of all pages costs its share of a scan.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Generator, Iterator
 from difflib import SequenceMatcher
 
@@ -26,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .text import join_small, written
 
-#: Pages of a host that its wrapper is inferred from, at most; labels of a repeated group, at most.
-PAGES, GROUP = 16, 4
+#: Labels of a repeated group, at most; share of a page's text that a region has to hold.
+GROUP, SHARE = 4, 0.5
+#: Structures that a task holds before it aligns or hands on what it has; salts of a host's wrappers.
+HELD, SALTS = 2_000, 32
 
 # HTML's own element classes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -249,8 +254,11 @@ def main_path(w: dict) -> list[str]:
                     if best is None or rank > best[:2]:
                         best = (*rank, here)
                 heap.append((c, here))
-    if best:
-        return best[2]
+    return best[2] if best else mass_path(w)
+
+
+def mass_path(w: dict) -> list[str]:
+    """Labels from the root to the section that holds most text, whatever its element."""
     path: list[str] = []
     node = w
     while True:
@@ -262,13 +270,85 @@ def main_path(w: dict) -> list[str]:
         node = top
 
 
-def regions(root: Node, path: list[str]) -> list[Node]:
+def main_region(w: dict) -> list[str | list[str]]:
+    """main_path, with the labels of all articles that stand side by side at its end."""
+    path = main_path(w)
+    nodes = [w]
+    for label in path[:-1]:
+        nodes = [c for c in within(nodes) if c["l"] == label and not c["f"]]
+    beside = within(nodes)
+    if not any(c["l"] == path[-1] and c.get("t") == "article" for c in beside if path):
+        return path
+    return [*path[:-1], sorted({c["l"] for c in beside if c.get("t") == "article" and c["m"] and not c["f"]})]
+
+
+def own_regions(w: dict) -> list[list[str | list[str]]]:
+    """A wrapper's main region; if that holds too little of the text, the section elsewhere that holds most, too."""
+    main, other = main_region(w), mass_path(w)
+    size, nodes = 0, [w]
+    for label in main:
+        nodes = [c for c in within(nodes) if c["l"] in ([label] if isinstance(label, str) else label) and not c["f"]]
+    size = sum(n["m"] for n in nodes)
+    return [main] if size >= SHARE * w["m"] or around(other, main) else [main, other]
+
+
+def around(a: list[str | list[str]], b: list[str | list[str]]) -> bool:
+    """Whether region a is b or holds it."""
+    return len(a) <= len(b) and all(x == y or (isinstance(y, list) and x in y) for x, y in zip(a, b))
+
+
+def within(nodes: list[dict]) -> list[dict]:
+    """Children of wrappers, those of repeated groups instead of the groups."""
+    out: list[dict] = []
+    work = [c for n in reversed(nodes) for c in reversed(n["c"])]
+    while work:
+        c = work.pop()
+        if c["l"].startswith("("):
+            work.extend(reversed(c["c"]))
+        else:
+            out.append(c)
+    return out
+
+
+def regions(root: Node, path: list[str | list[str]]) -> list[Node]:
     nodes = [root]
     for label in path:
-        nodes = [c for n in nodes for c in n.children if isinstance(c, Node) and c.label == label and not c.furniture]
+        labels = [label] if isinstance(label, str) else label
+        nodes = [c for n in nodes for c in n.children if isinstance(c, Node) and c.label in labels and not c.furniture]
     return nodes
 
 
+def flat(w: dict) -> tuple[str, list[int]]:
+    """A wrapper's structure as text, and the amounts of text of its nodes."""
+    shape, sizes, work = [], [], [w]
+    while work:
+        n = work.pop()
+        shape.append([n["l"], n["q"], int(n["f"]), n.get("t"), len(n["c"])])
+        sizes.append(n["m"])
+        work.extend(reversed(n["c"]))
+    return json.dumps(shape, ensure_ascii=False, separators=(",", ":")), sizes
+
+
+def unflat(shape: str, sizes: list[int]) -> dict:
+    done: list[dict] = []
+    for (label, q, f, tag, n), m in zip(reversed(json.loads(shape)), reversed(list(sizes)), strict=True):
+        done.append({"l": label, "q": q, "c": [done.pop() for _ in range(n)], "m": int(m), "f": bool(f), "t": tag})
+    return done.pop()
+
+
+def all_merged(found: dict[str, list[int]]) -> dict:
+    """One wrapper for several structures, aligned in pairs, then pairs of these."""
+    some = [unflat(*x) for x in sorted(found.items())]
+    while len(some) > 1:
+        some = [merge(*some[i : i + 2]) if i + 1 < len(some) else some[i] for i in range(0, len(some), 2)]
+    return some[0]
+
+
+def add(found: dict[str, list[int]], shape: str, sizes: list[int]) -> None:
+    have = found.get(shape)
+    found[shape] = [a + b for a, b in zip(have, sizes, strict=True)] if have else sizes
+
+
 def blocks(node: Node) -> list[str]:
     """The text blocks of a region in page order, without furniture."""
     out: list[str] = []
@@ -299,56 +379,104 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def read_page(page: str, path: list[str] | None) -> str:
-    """A page's main text by its host's wrapper, or by one of its own."""
+def read_page(page: str, paths: list[list[str | list[str]]] | None) -> str:
+    """A page's main text by its host's regions, or by its own."""
     root = parse(page)
-    found = regions(root, path) if path else []
-    if not found:
-        found = regions(root, main_path(infer(root)))
-    return "\n".join(b for n in found for b in blocks(n))
+    whole = sum(len(b) for b in blocks(root)) if paths else 0
+    own: list[list[str | list[str]]] | None = None
+    most, best = -1, ""
+    for path in [*(paths or []), None]:
+        if path is None or not (isinstance(path[-1] if path else "", list) or own):
+            own = own or own_regions(infer(root))
+        for p in own if path is None else [path]:
+            if path is not None and (not path or (own and path not in own and around(path, own[0]))):
+                continue  # all of the page, or the surroundings of its own region
+            some = [b for n in regions(root, p) for b in blocks(n)]
+            size = sum(map(len, some))
+            if size and paths and size >= SHARE * whole:
+                return "\n".join(some)
+            if size > most:
+                most, best = size, "\n".join(some)
+    return best
 
 
 def host_of(url: str) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame, url: str, page: str, sample: int) -> DataFrame:
-    """(host, path, wrapper) for each host, from a sample of its pages."""
-    key = F.xxhash64(F.col(url), F.col(page))
-    rows = pages.where(F.col(page).isNotNull()).select(host_of(url).alias("host"), key.alias("key"), F.col(page).alias("page"))
-    chosen = rows.groupBy("host", F.pmod("key", F.lit(sample)).alias("slot")).agg(F.min("key").alias("chosen")).select("host", "chosen")
-    chosen = written(chosen).withColumnRenamed("host", "of")
-    rows = join_small(rows, chosen, (F.col("host") == F.col("of")) & (F.col("key") == F.col("chosen")), "inner").dropDuplicates(["host", "key"])
-
-    def learn(group: pd.DataFrame) -> pd.DataFrame:
-        w = None
-        for page in group.sort_values("key")["page"]:
-            one = infer(parse(page))
-            w = one if w is None else merge(w, one)
-        return pd.DataFrame({"of_host": [group["host"].iat[0]], "path": [json.dumps(main_path(w))], "wrapper": [expression(w)]})
-
-    return rows.select("host", "key", "page").groupBy("host").applyInPandas(learn, "of_host string, path string, wrapper string")
-
-
-def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = PAGES) -> DataFrame:
+def learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of hosts' wrappers (shape, sizes) and of layouts (path, pages), each over a part of the pages."""
+    shapes: dict[str, dict[str, list[int]]] = {}
+    layouts: Counter = Counter()
+
+    def rows() -> pd.DataFrame:
+        out = [(host, *flat(all_merged(found)), None, 0) for host, found in shapes.items()] + [(host, None, None, path, n) for (host, path), n in layouts.items()]
+        shapes.clear()
+        layouts.clear()
+        return pd.DataFrame(out, columns=["host", "shape", "sizes", "path", "pages"])
+
+    held = 0
+    for b in batches:
+        for host, page in zip(b["host"], b["page"], strict=True):
+            w = infer(parse(page))
+            of = shapes.setdefault(host, {})
+            before = len(of)
+            add(of, *flat(w))
+            held += len(of) - before
+            layouts.update((host, json.dumps(path)) for path in own_regions(w))
+            if held >= HELD:
+                yield rows()
+                held = 0
+    if shapes:
+        yield rows()
+
+
+def wrappers(pages: DataFrame, url: str, page: str) -> DataFrame:
+    """(of_host, paths, wrapper) for each host, from all of its pages; paths: its wrapper's region, then its layouts'."""
+    rows = pages.where(F.col(page).isNotNull()).select(host_of(url).alias("host"), F.col(page).alias("page"))
+    parts = written(rows.mapInPandas(learned, "host string, shape string, sizes array<long>, path string, pages long").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))))
+    shape = "host string, shape string, sizes array<long>"
+
+    def joined(group: pd.DataFrame) -> dict:
+        found: dict[str, list[int]] = {}
+        for shape, sizes in zip(group["shape"], group["sizes"], strict=True):
+            add(found, shape, [int(x) for x in sizes])
+        return all_merged(found)
+
+    def partly(group: pd.DataFrame) -> pd.DataFrame:
+        shape, sizes = flat(joined(group))
+        return pd.DataFrame({"host": [group["host"].iat[0]], "shape": [shape], "sizes": [sizes]})
+
+    def wholly(group: pd.DataFrame) -> pd.DataFrame:
+        w = joined(group)
+        return pd.DataFrame({"of_host": [group["host"].iat[0]], "path": [json.dumps(main_region(w))], "wrapper": [expression(w)]})
+
+    merged = parts.where("shape is not null").select("host", "salt", "shape", "sizes").groupBy("host", "salt").applyInPandas(partly, shape)
+    merged = merged.groupBy("host").applyInPandas(wholly, "of_host string, path string, wrapper string")
+    layouts = parts.where("path is not null").groupBy("host", "path").agg(F.sum("pages").alias("pages")).where("pages > 1")  # a page alone has its own region
+    layouts = layouts.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("n"), "path"))).alias("found")).select("host", F.col("found.path").alias("layouts"))
+    paths = F.array_distinct(F.concat(F.array("path"), F.coalesce("layouts", F.array().cast("array<string>"))))
+    return merged.join(layouts, F.col("of_host") == F.col("host"), "left").select("of_host", paths.alias("paths"), "wrapper")
+
+
+def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each row of pages: page_id, url, text, n_chars (code points).
 
     A null or empty page gives the empty text. A null or odd url belongs to the host ''. Repeated rows are read alike;
     other columns aren't looked at; an empty table gives an empty one.
     """
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("page"))
-    known = written(wrappers(rows, "url", "page", sample))
+    known = written(wrappers(rows, "url", "page"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        paths: dict[str, list[str]] = {}
         for b in batches:
-            texts = []
-            for page, path in zip(b["page"], b["path"], strict=True):
-                if isinstance(path, str) and path not in paths:
-                    paths[path] = json.loads(path)
-                texts.append(read_page(page, paths.get(path)) if isinstance(page, str) else "")
+            texts, known = [], {}
+            for host, page, found in zip(b["host"], b["page"], b["paths"], strict=True):
+                if host not in known:
+                    known[host] = [json.loads(p) for p in found] if found is not None else None
+                texts.append(read_page(page, known[host]) if isinstance(page, str) else "")
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    out = join_small(rows.withColumn("host", host_of("url")), known.select("of_host", "path"), F.col("host") == F.col("of_host"))
-    return out.select("page_id", "url", "page", "path").mapInPandas(read, f"page_id {kind}, url string, text string, n_chars long")
+    out = join_small(rows.withColumn("host", host_of("url")), known.select("of_host", "paths"), F.col("host") == F.col("of_host"))
+    return out.select("page_id", "url", "host", "page", "paths").mapInPandas(read, f"page_id {kind}, url string, text string, n_chars long")

@@ -54,3 +54,16 @@ def test_five_thousand_open_elements(spark):
     rows = [(1, "http://h/1", "<article><p>ok</p>" + "<div>" * 5000 + "deep"), (2, "http://h/2", "<article><p>fine</p></article>")]
     got = {r["page_id"]: r["text"] for r in h.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: "ok\ndeep", 2: "fine"}
+
+
+def test_every_layout_of_a_host_is_read(spark):
+    prose = lambda i: f"Page {i} has quite a lot to say, in a sentence as long as this one is."
+    rows = [(i, f"http://h/{i}", f"<body><article class=news><p>{prose(i)}</p></article></body>") for i in range(60)]
+    rows += [(i, f"http://h/{i}", f"<body><article class=news><p>Teaser</p></article><main class=blog><p>{prose(i)}</p></main></body>") for i in range(60, 90)]
+    rows += [(i, f"http://h/{i}", f"<body><article class=news></article><div class=old><p>{prose(i)}</p></div></body>") for i in range(90, 95)]
+    rows += [(99, "http://h/99", f"<body><article class=news><p>{prose(99)}</p></article><article class=more><p>And {prose(99)}</p></article></body>")]
+    got = {r["page_id"]: r["text"] for r in h.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == prose(i) for i in range(95))
+    assert got[99] == f"{prose(99)}\nAnd {prose(99)}"
+    learned = h.wrappers(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html").collect()
+    assert len(learned) == 1 and "blog" in learned[0]["wrapper"] and "old" in learned[0]["wrapper"] and "more" in learned[0]["wrapper"]
