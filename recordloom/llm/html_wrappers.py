@@ -10,6 +10,10 @@ single pages' wrappers have are the host's layouts. A page is read by the first
 layouts by their pages, that holds at least SHARE of the page's text; if none does, by the one with most text, the region
 of the page's own wrapper among them.
 
+A leaf of the wrapper is a path of labels that ends in a block; runs of one label share it. A block of text that at least ALIKE of
+a host's distinct pages with that leaf have there (DISTINCT pages or more) is template, other blocks fill slots, and only slots are
+the page's text. Where templates are more than half of a host's text, its pages are copies of each other, and all blocks count as slots.
+
 Tasks align their pages of each host, each structure once; what they have is aligned by salted key, then by host. Layouts are
 counted with map-side combining and both are joined back by host, so a host with a third of all pages costs its share of a scan.
 """
@@ -24,6 +28,7 @@ from collections.abc import Generator, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +36,8 @@ from .text import join_small, written
 
 #: Labels of a repeated group, at most; share of a page's text that a region has to hold.
 GROUP, SHARE = 4, 0.5
+#: Least share and number of a host's distinct pages that hold a block of template text.
+ALIKE, DISTINCT = 0.9, 4
 #: Structures that a task holds before it aligns or hands on what it has; salts of a host's wrappers.
 HELD, SALTS = 2_000, 32
 
@@ -351,21 +358,40 @@ def add(found: dict[str, list[int]], shape: str, sizes: list[int]) -> None:
 
 def blocks(node: Node) -> list[str]:
     """The text blocks of a region in page order, without furniture."""
-    out: list[str] = []
+    return [b for _, b in leaves(node, 0)]
+
+
+def below(leaf: int, label: str) -> int:
+    return xxhash.xxh64_intdigest(label, leaf)
+
+
+def region_leaves(root: Node, path: list[str | list[str]]) -> list[tuple[int, str]]:
+    """(leaf, text) of the blocks of a page's regions; a leaf is a hash of the labels from the root to the block."""
+    above = 0
+    for label in path[:-1]:
+        above = below(above, label)
+    return [x for n in regions(root, path) for x in leaves(n, below(above, n.label) if path else 0)]
+
+
+def leaves(node: Node, leaf: int) -> list[tuple[int, str]]:
+    """(leaf, text) of the blocks of a region, whose own leaf is given."""
+    out: list[tuple[int, str]] = []
     text: list[str] = []
+    at = leaf
 
     def end() -> None:
         if text:
             block = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if block:
-                out.append(block)
+                out.append((at, block))
 
-    work: list[Node | str | None] = [node]
+    work: list[tuple[Node | str | None, int]] = [(node, leaf)]
     while work:
-        n = work.pop()
+        n, here = work.pop()
         if n is None:
             end()
+            at = here
         elif isinstance(n, str):
             text.append(n)
         elif n.tag == "br":
@@ -373,58 +399,80 @@ def blocks(node: Node) -> list[str]:
         elif not n.furniture:
             if n.tag in BLOCK:
                 end()
-                work.append(None)
-            work.extend(reversed(n.children))
+                work.append((None, at))
+                at = here
+            work.extend((c, below(here, c.label) if isinstance(c, Node) else here) for c in reversed(n.children))
     end()
     return out
 
 
-def read_page(page: str, paths: list[list[str | list[str]]] | None) -> str:
-    """A page's main text by its host's regions, or by its own."""
+def read_page(page: str, paths: list[list[str | list[str]]] | None, template: frozenset[int] = frozenset()) -> str:
+    """A page's main text by its host's regions, or by its own, without the host's template."""
     root = parse(page)
     whole = sum(len(b) for b in blocks(root)) if paths else 0
     own: list[list[str | list[str]]] | None = None
-    most, best = -1, ""
+    most, best = -1, []
     for path in [*(paths or []), None]:
         if path is None or not (isinstance(path[-1] if path else "", list) or own):
             own = own or own_regions(infer(root))
         for p in own if path is None else [path]:
             if path is not None and (not path or (own and path not in own and around(path, own[0]))):
                 continue  # all of the page, or the surroundings of its own region
-            some = [b for n in regions(root, p) for b in blocks(n)]
-            size = sum(map(len, some))
+            some = region_leaves(root, p)
+            size = sum(len(b) for _, b in some)
             if size and paths and size >= SHARE * whole:
-                return "\n".join(some)
+                return slots(some, template)
             if size > most:
-                most, best = size, "\n".join(some)
-    return best
+                most, best = size, some
+    return slots(best, template)
+
+
+def block_id(leaf: int, text: str) -> int:
+    """A block's text at its leaf, as a signed hash."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), leaf)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def slots(some: list[tuple[int, str]], template: frozenset[int]) -> str:
+    return "\n".join(b for leaf, b in some if not template or block_id(leaf, b) not in template)
 
 
 def host_of(url: str) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+PARTS = "host shape sizes path pages key ids leaves lengths".split()
+
+
 def learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of hosts' wrappers (shape, sizes) and of layouts (path, pages), each over a part of the pages."""
+    """Rows of hosts' wrappers (shape, sizes) and of layouts (path, pages), each over a part of the pages, and a page's blocks (key, ids, leaves, lengths)."""
     shapes: dict[str, dict[str, list[int]]] = {}
     layouts: Counter = Counter()
+    texts: list[tuple] = []
 
     def rows() -> pd.DataFrame:
-        out = [(host, *flat(all_merged(found)), None, 0) for host, found in shapes.items()] + [(host, None, None, path, n) for (host, path), n in layouts.items()]
+        none = (None, None, None, None)
+        out = [(host, *flat(all_merged(found)), None, 0, *none) for host, found in shapes.items()] + [(host, None, None, path, n, *none) for (host, path), n in layouts.items()] + texts
         shapes.clear()
         layouts.clear()
-        return pd.DataFrame(out, columns=["host", "shape", "sizes", "path", "pages"])
+        texts.clear()
+        return pd.DataFrame({c: pd.Series(list(v), dtype=object) for c, v in zip(PARTS, zip(*out, strict=True), strict=True)})
 
     held = 0
     for b in batches:
         for host, page in zip(b["host"], b["page"], strict=True):
-            w = infer(parse(page))
+            root = parse(page)
+            w = infer(root)
             of = shapes.setdefault(host, {})
             before = len(of)
             add(of, *flat(w))
             held += len(of) - before
-            layouts.update((host, json.dumps(path)) for path in own_regions(w))
-            if held >= HELD:
+            own = own_regions(w)
+            layouts.update((host, json.dumps(path)) for path in own)
+            some = [x for path in own for x in region_leaves(root, path)]
+            ids = {block_id(leaf, b): (leaf - (1 << 64) if leaf >> 63 else leaf, len(b)) for leaf, b in some}
+            texts.append((host, None, None, None, 0, block_id(0, " ".join(map(str, sorted(ids)))), list(ids), [x[0] for x in ids.values()], [x[1] for x in ids.values()]))
+            if held >= HELD or len(texts) >= HELD:
                 yield rows()
                 held = 0
     if shapes:
@@ -434,7 +482,7 @@ def learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def wrappers(pages: DataFrame, url: str, page: str) -> DataFrame:
     """(of_host, paths, wrapper) for each host, from all of its pages; paths: its wrapper's region, then its layouts'."""
     rows = pages.where(F.col(page).isNotNull()).select(host_of(url).alias("host"), F.col(page).alias("page"))
-    parts = written(rows.mapInPandas(learned, "host string, shape string, sizes array<long>, path string, pages long").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))))
+    parts = written(rows.mapInPandas(learned, "host string, shape string, sizes array<long>, path string, pages long, key long, ids array<long>, leaves array<long>, lengths array<long>").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))))
     shape = "host string, shape string, sizes array<long>"
 
     def joined(group: pd.DataFrame) -> dict:
@@ -456,7 +504,20 @@ def wrappers(pages: DataFrame, url: str, page: str) -> DataFrame:
     layouts = parts.where("path is not null").groupBy("host", "path").agg(F.sum("pages").alias("pages")).where("pages > 1")  # a page alone has its own region
     layouts = layouts.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("n"), "path"))).alias("found")).select("host", F.col("found.path").alias("layouts"))
     paths = F.array_distinct(F.concat(F.array("path"), F.coalesce("layouts", F.array().cast("array<string>"))))
-    return merged.join(layouts, F.col("of_host") == F.col("host"), "left").select("of_host", paths.alias("paths"), "wrapper")
+    out = merged.join(layouts, F.col("of_host") == F.col("host"), "left").select("of_host", paths.alias("paths"), "wrapper")
+    return out.join(templates(parts), F.col("of_host") == F.col("host"), "left").select("of_host", "paths", "wrapper", "template")
+
+
+def templates(parts: DataFrame) -> DataFrame:
+    """(host, template): the blocks that recur at their leaf on a host's distinct pages."""
+    pages = parts.where("key is not null").select("host", "key", "ids", "leaves", "lengths").dropDuplicates(["host", "key"])
+    found = pages.select("host", F.inline(F.arrays_zip("ids", "leaves", "lengths"))).groupBy("host", "leaves", "ids").agg(F.count("*").alias("n"), F.max("lengths").alias("length"))
+    found = written(found)
+    of_leaf = pages.select("host", F.explode(F.array_distinct("leaves")).alias("leaf")).groupBy("host", "leaf").agg(F.count("*").alias("held")).where(F.col("held") >= DISTINCT).withColumnRenamed("host", "leaf_host")
+    same = found.where(F.col("n") >= DISTINCT).join(of_leaf, (F.col("host") == F.col("leaf_host")) & (F.col("leaves") == F.col("leaf"))).where(F.col("n") >= ALIKE * F.col("held"))
+    same = same.groupBy("host").agg(F.collect_list("ids").alias("template"), F.sum(F.col("n") * F.col("length")).alias("size"))
+    whole = found.groupBy(F.col("host").alias("whole_host")).agg(F.sum(F.col("n") * F.col("length")).alias("whole"))
+    return same.join(whole, F.col("host") == F.col("whole_host")).where(F.col("size") <= 0.5 * F.col("whole")).select("host", "template")
 
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -471,12 +532,12 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts, known = [], {}
-            for host, page, found in zip(b["host"], b["page"], b["paths"], strict=True):
+            for host, page, found, template in zip(b["host"], b["page"], b["paths"], b["template"], strict=True):
                 if host not in known:
-                    known[host] = [json.loads(p) for p in found] if found is not None else None
-                texts.append(read_page(page, known[host]) if isinstance(page, str) else "")
+                    known[host] = [json.loads(p) for p in found] if found is not None else None, frozenset(map(int, template)) if template is not None else frozenset()
+                texts.append(read_page(page, *known[host]) if isinstance(page, str) else "")
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    out = join_small(rows.withColumn("host", host_of("url")), known.select("of_host", "paths"), F.col("host") == F.col("of_host"))
-    return out.select("page_id", "url", "host", "page", "paths").mapInPandas(read, f"page_id {kind}, url string, text string, n_chars long")
+    out = join_small(rows.withColumn("host", host_of("url")), known.select("of_host", "paths", "template"), F.col("host") == F.col("of_host"))
+    return out.select("page_id", "url", "host", "page", "paths", "template").mapInPandas(read, f"page_id {kind}, url string, text string, n_chars long")

@@ -67,3 +67,13 @@ def test_every_layout_of_a_host_is_read(spark):
     assert got[99] == f"{prose(99)}\nAnd {prose(99)}"
     learned = h.wrappers(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html").collect()
     assert len(learned) == 1 and "blog" in learned[0]["wrapper"] and "old" in learned[0]["wrapper"] and "more" in learned[0]["wrapper"]
+
+
+def test_text_that_all_pages_share_is_template(spark):
+    prose = lambda i: f"Seite {i} hat einiges zu sagen, in einem Satz, der so lang ist wie dieser hier."
+    promo, werbung = "<p>Jetzt abonnieren!</p>", "<div class=werbung>Nur heute billig</div>"
+    rows = [(i, f"http://h/{i}", f"<body><article><h1>T{i}</h1>{promo if i else ''}<p>{prose(i)}</p>{werbung if i % 3 else ''}<p>Ende {i % 5}</p></article></body>") for i in range(30)]
+    rows += [(100 + i, "http://g/", f"<article><h2>T{i}</h2><p>{prose(0)}</p><p>{prose(1)}</p></article>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in h.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"T{i}\n{prose(i)}\nEnde {i % 5}" for i in range(30))
+    assert all(got[100 + i] == f"T{i}\n{prose(0)}\n{prose(1)}" for i in range(6))  # copies, no template
