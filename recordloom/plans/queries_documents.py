@@ -135,13 +135,18 @@ def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "label", F.get(F.map_values(F.map_filter(F.from_json("props", "map<string,string>"), lambda k, v: k == F.col("label"))), F.lit(0)).alias("value"))
 
 
+#: Keys that one body spans, so that its size doesn't grow with the table.
+BODY_KEYS = 20_000
+
+
 def parsed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each kind of event as one JSON document, each market segment as one CSV, through detection and parsing."""
+    """Kinds of events as JSON documents, market segments as CSV ones, of up to BODY_KEYS keys each, through detection and parsing."""
+    part = lambda key: F.floor(F.col(key) / BODY_KEYS).cast("string")
     e = table(spark, sf_dir, "events")
-    js = e.groupBy(F.concat("event_type", F.lit("-"), (F.col("user_id") % 50).cast("string")).alias("source_id")).agg(F.to_json(F.struct(F.lit(1).alias("version"), F.array_sort(F.collect_list(F.struct("event_id", "value", F.struct("user_id").alias("who")))).alias("rows"))).alias("body"))
+    js = e.groupBy(F.concat("event_type", F.lit("-"), (F.col("user_id") % 50).cast("string"), F.lit("-"), part("event_id")).alias("source_id")).agg(F.to_json(F.struct(F.lit(1).alias("version"), F.array_sort(F.collect_list(F.struct("event_id", "value", F.struct("user_id").alias("who")))).alias("rows"))).alias("body"))
     c = table(spark, sf_dir, "customer")
     line = F.concat_ws(",", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), "c_name", F.lit(', Mr"')), F.col("c_acctbal").cast("string"))
-    cs = c.groupBy(F.concat("c_mktsegment", F.lit("-"), F.col("c_nationkey").cast("string")).alias("source_id")).agg(F.concat(F.lit("key,name,balance\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("body"))
+    cs = c.groupBy(F.concat("c_mktsegment", F.lit("-"), F.col("c_nationkey").cast("string"), F.lit("-"), part("c_custkey")).alias("source_id")).agg(F.concat(F.lit("key,name,balance\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("body"))
     docs = js.unionByName(cs).select("source_id", F.lit("").alias("content_type"), "body")
     cells = formats.parse_documents(docs)
     return cells.groupBy("format", "label").agg(F.count("*").alias("cells"), F.countDistinct("source_id").alias("documents"))

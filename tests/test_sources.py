@@ -97,3 +97,18 @@ def test_county_from_events(spark):
     merged = got[("elm|a:12 elm st", "elm|p:1")]
     assert merged["state"] == "FORECLOSURE_FILED" and merged["fields"]["owner"] == "Ann" and merged["conflicts"] == 1 and merged["occupancy"] == "owner_occupied" and merged["due"] == 10.0
     assert len(got) == 3 and not got[("elm|p:7",)]["locatable"]
+
+
+def test_bodies_of_a_large_group_are_cut(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from recordloom.plans import queries_documents
+    from recordloom.sources import formats
+
+    monkeypatch.setattr(formats, "MAX_BYTES", 1 << 21)
+    n = 60_000  # in one group: 3 MB as one body
+    spark.range(n).select(F.col("id").alias("event_id"), F.lit("view").alias("event_type"), F.lit(7).cast("long").alias("user_id"), F.lit(1.5).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(n).select(F.col("id").alias("c_custkey"), F.lit("C").alias("c_name"), F.lit(1.5).alias("c_acctbal"), F.lit("AUTO").alias("c_mktsegment"), F.lit(1).alias("c_nationkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    got = {(r["format"], r["label"]): (r["cells"], r["documents"]) for r in queries_documents.parsed_bodies(spark, str(tmp_path)).collect()}
+    assert got["json", "event_id"] == got["json", "value"] == got["json", "who.user_id"] == (n, 3)
+    assert {f for f, _ in got} == {"json", "text"} and got["text", None][1] == 3
