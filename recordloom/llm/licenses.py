@@ -1,8 +1,8 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 Two passes over all files. The first counts, for each term of the templates, the files that hold it: these are the
-inverse document frequencies. The second compares each file's candidate segments (lines with an anchor word, long ones in
-windows around it) with the notices, and whole short files with the licence texts, as sparse vectors. A licence file
+inverse document frequencies. The second compares each file's candidate segments (lines with an anchor word, and windows
+of the whole text around it, across lines and comment leaders) with the notices, and whole short files with the licence texts, as sparse vectors. A licence file
 (by its name, or all of it matching a template) licenses its directory; files without a notice of their own take the
 licence of the nearest directory above them, by a join of their ancestor paths with the licensed directories.
 """
@@ -42,7 +42,8 @@ NOTICES: dict[str, tuple[str, ...]] = {
 ANCHOR = re.compile(r"licen[sc]e|copyright|public domain|permission is|permission to|redistribution|spdx-|creative commons", re.I)
 TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 WORDS = re.compile(r"\S+")
-#: Words of the windows of a long line; the least cosine of a notice.
+LETTER = re.compile(r"[^\W_]")
+#: Words of the windows besides those of the notices' own lengths; the least cosine of a notice.
 WINDOWS, LEAST = (6, 12, 24), 0.7
 #: A file of at most so many words may be a licence file by its text alone, if its cosine is at least this.
 WHOLE_WORDS, WHOLE_LEAST = 400, 0.85
@@ -82,22 +83,37 @@ class Matcher:
         return (dots[top] / norm, self.templates[top][0]) if norm and dots[top] else (0.0, None)
 
 
-def segments(text: str) -> Iterator[str]:
-    """Lines with an anchor word; of long lines, windows of several sizes at each anchor, as a notice may stand amid other prose."""
+def word_starts(text: str) -> list[int]:
+    """Places of a text's words; comment leaders and other marks alone are none."""
+    return [m.start() for m in WORDS.finditer(text) if LETTER.search(m.group())]
+
+
+def spans(notices: dict[str, tuple[str, ...]]) -> list[tuple[int, int]]:
+    """(words before the anchor, words) of windows: where each notice has its first anchor, and a few general ones."""
+    out = {(before, size) for before in (0, 4) for size in WINDOWS}
+    for notice in (n for texts in notices.values() for n in texts):
+        starts = word_starts(notice)
+        if first := ANCHOR.search(notice):
+            out.add((bisect_right(starts, first.start()) - 1, len(starts)))
+    return sorted(out)
+
+
+def segments(text: str, windows: list[tuple[int, int]]) -> Iterator[str]:
+    """Lines of up to WINDOWS[-1] words with an anchor word, and windows of the whole text at each anchor: a notice may stand amid other prose or be wrapped."""
     for line in text.split("\n"):
-        if not ANCHOR.search(line):
-            continue
-        starts = [m.start() for m in WORDS.finditer(line)]
-        if len(starts) <= WINDOWS[-1]:
+        if ANCHOR.search(line) and len(line.split(None, WINDOWS[-1])) <= WINDOWS[-1]:
             yield line
-            continue
-        starts.append(len(line))
-        for m in ANCHOR.finditer(line):
-            at = bisect_right(starts, m.start()) - 1
-            for before in (0, 4):
-                first = max(0, at - before)
-                for size in WINDOWS:
-                    yield line[starts[first] : starts[min(first + size, len(starts) - 1)]]
+    starts = word_starts(text)
+    starts.append(len(text))
+    seen = set()
+    for m in ANCHOR.finditer(text):
+        at = max(0, bisect_right(starts, m.start()) - 1)
+        for before, size in windows:
+            first = max(0, at - before)
+            window = first, min(first + size, len(starts) - 1)
+            if window not in seen:
+                seen.add(window)
+                yield text[starts[window[0]] : starts[window[1]]]
 
 
 def license_scan(files: DataFrame, path: Column, *, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, tuple[str, ...]] | None = None, least: float = LEAST) -> DataFrame:
@@ -136,14 +152,14 @@ def license_scan(files: DataFrame, path: Column, *, id_col: str = "doc_id", text
     rare = math.log(total + 1) + 1
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(idf, rare, chosen)
+        matcher, windows = Matcher(idf, rare, chosen), spans(chosen)
         name = re.compile(LICENCE_FILE)
         for batch in batches:
             out = []
             for where, text in zip(batch["path"], batch["text"], strict=True):
                 score, found, whole = 0.0, None, False
                 if isinstance(text, str) and ANCHOR.search(text):
-                    for s in segments(text):
+                    for s in segments(text, windows):
                         got = matcher.best(s)
                         if got[1] and (got[0] > score or (got[0] == score and found and got[1] < found)):
                             score, found = got

@@ -43,3 +43,19 @@ def test_cosine_against_plain_python():
 
 def test_empty(spark):
     assert lic.license_scan(spark.createDataFrame([], "doc_id long, path string, text string"), F.col("path")).count() == 0
+
+
+def test_notices_in_short_lines_and_across_lines(spark):
+    filler = [f"word{i} thing{i}" for i in range(400)]
+    texts = {
+        1: ("MIT", "alpha beta gamma delta epsilon zeta Released under the MIT License. eta theta iota kappa lambda mu nu"),
+        2: ("GPL-2.0", "# you can redistribute it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 2 of the License\n# or so"),
+        3: ("GPL-3.0", "// you can redistribute it under the terms of the GNU General Public License as published by\n// the Free Software Foundation, either version 3 of the License\n// or so"),
+        4: ("MIT", " * Permission is hereby granted, free of charge,\n * to any person obtaining a copy\n * of this software and associated documentation files\n * now"),
+        5: ("BSD-3-Clause", "-- Redistribution and use in source and binary\n-- forms, with or without modification, are\n-- permitted provided that the following conditions are met\n-- now"),
+    }
+    rows = [(i, t) for i, (_, t) in texts.items()] + [(100 + i, f) for i, f in enumerate(filler)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in lic.license_scan(docs, F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/f"))).collect()}
+    assert {i: got[i] for i in texts} == {i: name for i, (name, _) in texts.items()}
+    assert not any(got[100 + i] for i in range(len(filler)))
