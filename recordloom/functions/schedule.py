@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that mark a business, time zones of states, hours of contact.
-BUSINESS = "llc inc corp corporation company co lp llp ltd trust bank holdings properties realty investments group partners church city county state association assn foundation university school ministries enterprises ventures capital management development".split()
-ZONES = {"America/New_York": "ny ma ct nj pa md va nc sc ga fl oh mi", "America/Chicago": "il wi mn ia mo tx tn al ms la ok ks ne", "America/Denver": "co ut nm wy mt az", "America/Los_Angeles": "ca wa or nv"}
+from .text import let
+
+# Words that mark a business, time zones of states.
+BUSINESS = (
+    "llc", "inc", "corp", "corporation", "company", "co", "ltd", "lp", "llp", "trust", "trustee", "trustees", "holdings", "properties", "investments", "enterprises", "partners", "partnership",
+    "bank", "association", "hoa", "church", "ministries", "authority", "realty", "development", "group", "city of", "county of", "commonwealth of", "school board",
+)
+ZONES = {"America/New_York": "va nc md dc fl ga", "America/Chicago": "tx il", "America/Denver": "co", "America/Phoenix": "az", "America/Los_Angeles": "ca wa or"}
 
 
 def owner_type(owner: Column) -> Column:
-    """business, person, or unknown; an estate is a person's."""
-    o = F.lower(F.coalesce(owner, F.lit("")))
-    estate = o.rlike(r"\bestate of\b")
-    return F.when(F.trim(o) == "", "unknown").when(~estate & o.rlike(rf"\b({'|'.join(BUSINESS)})\b"), "business").otherwise("person")
+    """business, person, or unknown; an estate is a person's. Words count whole, between spaces; . , & ( ) are spaces."""
+    spaced = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(owner, F.lit(""))), "[.,&()]", " "), r"\s+", " ")
+    return let(F.trim(spaced), lambda o: F.when(o == "", "unknown").when(o.rlike("(^| )estate of( |$)"), "person").when(o.rlike(f"(^| )({'|'.join(BUSINESS)})( |$)"), "business").otherwise("person"))
 
 
-def zone_of(state: Column) -> Column:
-    found = [F.when(F.lower(state).isin(*names.split()), zone) for zone, names in ZONES.items()]
+def zone_of(jurisdiction: Column) -> Column:
+    """The time zone of a jurisdiction whose name ends in _ and a state's two small letters; New York's for others."""
+    state = F.regexp_extract(F.coalesce(jurisdiction, F.lit("")), r"_([a-z]{2})\z", 1)
+    found = [F.when(state.isin(*names.split()), zone) for zone, names in ZONES.items()]
     return F.coalesce(*found, F.lit("America/New_York"))
 
 

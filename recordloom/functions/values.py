@@ -1,15 +1,12 @@
 """Parsing, validation, normalisation and coercion of canonical values by kind.
 
-Kinds: id, name, address, money, date, status, text, email, phone, number. Lengths are in bytes. All native but the
-text of money with over two decimals, which must round the binary value as C's printf does.
+Kinds: id, name, address, money, date, status, text, email, phone, number. Lengths are in bytes. All native.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .text import collapse, digits_in, is_digits, let, lower, split_parts, trim, upper, words
 
@@ -104,15 +101,28 @@ def plausible(kind: str, v: Column, low: float | None, high: float | None) -> Co
     return F.when(n == 0, F.lit(False)).otherwise(F.coalesce(good, F.lit(False)))
 
 
-@F.pandas_udf(T.StringType())
-def money_text(amount: pd.Series) -> pd.Series:
-    return amount.map(lambda x: None if x != x else f"{x:.2f}")
+def money_text(amount: Column) -> Column:
+    """Two decimals, rounded by the amount's binary value as C's printf does: cents are exact of the fraction, and the product
+    with 1000 that is held against their midpoint is exact with its error term (Dekker, 1971). Null stays null."""
+
+    def of(x: Column) -> Column:
+        whole = F.floor(F.abs(x)).cast("long")
+        return let(F.abs(x) - whole.cast("double"), lambda f: F.concat(F.when(x < 0, "-").otherwise(""), parts(whole, f)))
+
+    def parts(whole: Column, f: Column) -> Column:
+        high = lambda v: v * 134217729.0 - (v * 134217729.0 - v)
+        below = F.floor(f * 100).cast("long")
+        beyond = (f * 1000.0 - (below * 10 + 5).cast("double")) + ((high(f) * 1000.0 - f * 1000.0) + (f - high(f)) * 1000.0)
+        cents = below + F.when((beyond > 0) | ((beyond == 0) & (below % 2 == 1)), 1).otherwise(0)
+        return let(cents, lambda c: F.concat((whole + F.when(c == 100, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad((c % 100).cast("string"), 2, "0")))
+
+    return F.when(amount.isNotNull() & ~F.isnan(amount), let(amount, of))
 
 
 def normalize(kind: str, c: Column) -> Column:
     v = trim(F.coalesce(c, F.lit("")))
     if kind == "money":
-        return F.coalesce(money_text(parse_money(v)), v)
+        return let(v, lambda x: F.coalesce(let(parse_money(x), money_text), x))
     if kind == "date":
         return let(v, lambda x: F.coalesce(parse_date(x), x))
     return upper(collapse(v)) if kind == "id" else lower(collapse(v)) if kind == "email" else collapse(v)
@@ -135,9 +145,6 @@ def chosen(kind: str, c: Column, low: float | None = None, high: float | None =
 
 def coerce(kind: str, c: Column, low: float | None = None, high: float | None = None) -> Column:
     """struct<ok, value, reformatted>: the normal form of what chosen() finds."""
-    if kind == "money":  # an Arrow function can't stand in a lambda
-        x = chosen(kind, c, low, high)
-        return F.struct(x.isNotNull().alias("ok"), normalize(kind, F.coalesce(x["value"], F.lit(""))).alias("value"), F.coalesce(x["reformatted"], F.lit(False)).alias("reformatted"))
     return let(chosen(kind, c, low, high), lambda x: F.struct(x.isNotNull().alias("ok"), normalize(kind, F.coalesce(x["value"], F.lit(""))).alias("value"), F.coalesce(x["reformatted"], F.lit(False)).alias("reformatted")))
 
 

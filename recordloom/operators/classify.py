@@ -6,6 +6,8 @@ closed form, so n refits become one join.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,21 +21,24 @@ STOP = (
 BODY_TOKENS = 600
 
 
-def body_tokens(text: Column, limit: int = BODY_TOKENS) -> Column:
-    """The first `limit` words that are no stop words, numbers or single letters."""
-    return F.slice(F.filter(words(F.coalesce(text, F.lit(""))), lambda w: (F.length(w) >= 2) & ~w.isin(*STOP) & ~is_digits(w)), 1, limit)
+def body_tokens(text: Column, limit: int | None = BODY_TOKENS) -> Column:
+    """Words that are no stop words, numbers or single letters: the first `limit`, or all."""
+    kept = F.filter(words(F.coalesce(text, F.lit(""))), lambda w: (F.length(w) >= 2) & ~w.isin(*STOP) & ~is_digits(w))
+    return kept if limit is None else F.slice(kept, 1, limit)
 
 
-def bags(docs: DataFrame, id_col: str, text: Column, class_col: str | None = None) -> DataFrame:
+def bags(docs: DataFrame, id_col: str, text: Column, class_col: str | None = None, limit: int | None = BODY_TOKENS) -> DataFrame:
     """(doc, class, token, n)."""
     keep = [F.col(id_col).alias("doc"), *([F.col(class_col).alias("class")] if class_col else [])]
-    return docs.select(*keep, F.explode(body_tokens(text)).alias("token")).groupBy(*[k for k in ("doc", "class") if k == "doc" or class_col], "token").agg(F.count("*").alias("n"))
+    return docs.select(*keep, F.explode(body_tokens(text, limit)).alias("token")).groupBy(*[k for k in ("doc", "class") if k == "doc" or class_col], "token").agg(F.count("*").alias("n"))
 
 
-def train(bag: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((class, token, hits), (class, docs, tokens)) from bags and (doc, class) of all examples, empty ones included."""
-    hits = bag.groupBy("class", "token").agg(F.sum("n").alias("hits"))
-    totals = labels.groupBy("class").agg(F.count("*").alias("docs")).join(hits.groupBy("class").agg(F.sum("hits").alias("tokens")), "class", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+def train(bag: DataFrame, labels: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """((class, token, hits), (class, docs, tokens)) from bags and (doc, class) of all examples, empty ones included; a model
+    for each value of the columns `by`, if any."""
+    key = [*by, "class"]
+    hits = bag.groupBy(*key, "token").agg(F.sum("n").alias("hits"))
+    totals = labels.groupBy(*key).agg(F.count("*").alias("docs")).join(hits.groupBy(*key).agg(F.sum("hits").alias("tokens")), key, "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     return hits, totals
 
 
@@ -45,18 +50,19 @@ def posteriors(scores: DataFrame) -> DataFrame:
     return p.withColumn("place", F.row_number().over(per.orderBy(F.desc("probability"), "class"))).select("doc", "class", "probability", "place")
 
 
-def predict(docs: DataFrame, bag: DataFrame, hits: DataFrame, totals: DataFrame, alpha: float = 1.0) -> DataFrame:
+def predict(docs: DataFrame, bag: DataFrame, hits: DataFrame, totals: DataFrame, alpha: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
     """Posteriors of each doc of docs (doc). Tokens outside the vocabulary are skipped. Absent (class, token) pairs share
     one value per class, so only present pairs are joined: score = prior + (tokens known) * ln(alpha / denominator) + sum over hits.
-    The table of classes is one row per class."""
-    vocabulary = hits.select("token").distinct()
-    v = vocabulary.agg(F.count("*").alias("v"))
-    examples = totals.agg(F.sum("docs").alias("all_docs"))
-    frame = totals.crossJoin(F.broadcast(v)).crossJoin(F.broadcast(examples)).withColumn("denominator", F.col("tokens") + alpha * F.col("v"))
-    known = bag.join(vocabulary, "token")
+    The table of classes is one row per class. Rows of docs and bag are scored by the model with their values of `by`."""
+    key = list(by) or None  # no columns: one model, joined to all rows
+    vocabulary = hits.select(*by, "token").distinct()
+    v = vocabulary.groupBy(*by).agg(F.count("*").alias("v"))
+    examples = totals.groupBy(*by).agg(F.sum("docs").alias("all_docs"))
+    frame = totals.join(F.broadcast(v), key).join(F.broadcast(examples), key).withColumn("denominator", F.col("tokens") + alpha * F.col("v"))
+    known = bag.join(vocabulary, [*by, "token"])
     sizes = known.groupBy("doc").agg(F.sum("n").alias("known"))
-    present = known.join(hits, "token").groupBy("doc", "class").agg(F.sum(F.col("n") * F.log((F.col("hits") + alpha) / F.lit(alpha))).alias("lift"))
-    pairs = docs.select("doc").join(sizes, "doc", "left").crossJoin(F.broadcast(frame))
+    present = known.join(hits, [*by, "token"]).groupBy("doc", "class").agg(F.sum(F.col("n") * F.log((F.col("hits") + alpha) / F.lit(alpha))).alias("lift"))
+    pairs = docs.select("doc", *by).join(sizes, "doc", "left").join(F.broadcast(frame), key)
     scored = pairs.join(present, ["doc", "class"], "left")
     score = F.log(F.col("docs") / F.col("all_docs")) + F.coalesce("known", F.lit(0)) * F.log(F.lit(alpha) / F.col("denominator")) + F.coalesce("lift", F.lit(0.0))
     return posteriors(scored.select("doc", "class", score.alias("score")))

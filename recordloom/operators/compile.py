@@ -30,21 +30,24 @@ def guarded(grouped: DataFrame, parcels: DataFrame) -> DataFrame:
 
 def buckets(grouped: DataFrame) -> DataFrame:
     """(group_key, property_key, bucket): keys of a group by first fit, in key order, into buckets whose directions and
-    suffixes don't clash. A bucket is known by its one direction and suffix, so the fold carries these and not its
-    members' addresses. Groups of one key skip it."""
-    sized = grouped.groupBy("group_key").agg(F.array_sort(F.collect_list(F.struct("property_key", F.coalesce("directional", F.lit("")).alias("directional"), F.coalesce("suffix", F.lit("")).alias("suffix")))).alias("keys"))
+    suffixes don't clash. A bucket is known by its one direction and suffix, and only gets narrower, so keys with equal ones
+    share their first one's bucket: the fold runs over a group's distinct directions and suffixes, however many keys it has."""
+    keys = grouped.select("group_key", "property_key", F.coalesce("directional", F.lit("")).alias("directional"), F.coalesce("suffix", F.lit("")).alias("suffix"))
+    kinds = keys.groupBy("group_key", "directional", "suffix").agg(F.min("property_key").alias("first"))
+    kinds = kinds.groupBy("group_key").agg(F.array_sort(F.collect_list(F.struct("first", "directional", "suffix"))).alias("kinds"))
     fits = lambda a, b: (a == "") | (b == "") | (a == b)
 
     def step(held: Column, k: Column) -> Column:
         open_ = F.transform(held, lambda b: fits(b["directional"], k["directional"]) & fits(b["suffix"], k["suffix"]))
         at = F.array_position(open_, True)
-        put = F.transform(held, lambda b, i: F.when(F.lit(i + 1) == at, F.struct(F.when(b["directional"] == "", k["directional"]).otherwise(b["directional"]).alias("directional"), F.when(b["suffix"] == "", k["suffix"]).otherwise(b["suffix"]).alias("suffix"), F.concat(b["members"], F.array(k["property_key"])).alias("members"))).otherwise(b))
-        new = F.array(F.struct(k["directional"], k["suffix"], F.array(k["property_key"]).alias("members")))
+        own = F.struct(k["directional"].alias("directional"), k["suffix"].alias("suffix"))
+        put = F.transform(held, lambda b, i: F.when(F.lit(i + 1) == at, F.struct(F.when(b["directional"] == "", k["directional"]).otherwise(b["directional"]).alias("directional"), F.when(b["suffix"] == "", k["suffix"]).otherwise(b["suffix"]).alias("suffix"), F.concat(b["members"], F.array(own)).alias("members"))).otherwise(b))
+        new = F.array(F.struct(k["directional"], k["suffix"], F.array(own).alias("members")))
         return F.when(at > 0, put).otherwise(F.concat(held, new))
 
-    start = F.array().cast("array<struct<directional:string,suffix:string,members:array<string>>>")
-    many = sized.where(F.size("keys") > 1).select("group_key", F.posexplode(F.aggregate("keys", start, step)).alias("bucket", "b")).select("group_key", F.explode("b.members").alias("property_key"), "bucket")
-    return many.unionByName(sized.where(F.size("keys") == 1).select("group_key", F.col("keys")[0]["property_key"].alias("property_key"), F.lit(0).alias("bucket")))
+    start = F.array().cast("array<struct<directional:string,suffix:string,members:array<struct<directional:string,suffix:string>>>>")
+    found = kinds.select("group_key", F.posexplode(F.aggregate("kinds", start, step)).alias("bucket", "b")).select("group_key", F.explode("b.members").alias("m"), "bucket")
+    return keys.join(found.select("group_key", "m.directional", "m.suffix", "bucket"), ["group_key", "directional", "suffix"]).select("group_key", "property_key", "bucket")
 
 
 def same_key(kind: Column, value: Column) -> Column:

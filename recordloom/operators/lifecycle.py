@@ -34,13 +34,14 @@ def state_name(rank: Column) -> Column:
 def states(events: DataFrame) -> DataFrame:
     """(property_key, state_rank, state): the highest rank after the last reset, in chronological order.
 
-    Both steps aggregate with map-side combining, so a property with very many events needs no ordering of them.
+    One aggregation with map-side combining finds the last event of each rank, which is all that counts, so a property with very
+    many events needs neither an ordering nor a join of them.
     """
     e = events.select("property_key", F.struct(*ORDER).alias("at"), rank_of(F.col("kind")).alias("rank"))
-    resets = e.groupBy("property_key").agg(F.max(F.when(F.col("rank") == 0, F.col("at"))).alias("reset"))
-    after = e.join(resets, "property_key").groupBy("property_key").agg(F.max(F.when(F.col("reset").isNull() | (F.col("at") > F.col("reset")), F.col("rank"))).alias("rank"))
-    rank = F.coalesce("rank", F.lit(0)).cast("int")
-    return after.select("property_key", rank.alias("state_rank"), state_name(rank).alias("state"))
+    last = e.groupBy("property_key").agg(*[F.max(F.when(F.col("rank") == r, F.col("at"))).alias(f"last_{r}") for r in range(len(STATES))])
+    after = lambda r: F.col(f"last_{r}").isNotNull() & (F.col("last_0").isNull() | (F.col(f"last_{r}") > F.col("last_0")))
+    rank = F.coalesce(*[F.when(after(r), r) for r in range(len(STATES) - 1, 0, -1)], F.lit(0)).cast("int")
+    return last.select("property_key", rank.alias("state_rank"), state_name(rank).alias("state"))
 
 
 def transitions(events: DataFrame) -> DataFrame:

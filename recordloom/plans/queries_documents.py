@@ -94,19 +94,21 @@ def extracted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").alias("doc"), F.col("lang").alias("class"), "text")
-    bag = classify.bags(d, "doc", F.col("text"), "class")
+    bag = classify.bags(d, "doc", F.col("text"), "class", limit=None)
     return d.select("doc", "class"), bag
 
 
 def nb_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels, bag = labelled(spark, sf_dir)
-    return classify.train(bag, labels)[1]
+    """Documents and tokens of each class; the words of a text are counted in place."""
+    d = table(spark, sf_dir, "documents").where("doc_id is not null")
+    return d.groupBy(F.col("lang").alias("class")).agg(F.count("*").alias("docs"), F.sum(F.size(classify.body_tokens(F.col("text"), None)).cast("long")).alias("tokens"))
 
 
 def nb_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels, bag = labelled(spark, sf_dir)
-    hits, totals = classify.train(bag.where("doc % 2 = 0"), labels.where("doc % 2 = 0"))
-    p = classify.predict(labels.where("doc % 2 = 1"), bag.where("doc % 2 = 1").drop("class"), hits, totals)
+    """Documents with even identifiers by the model of odd ones, and the other way round."""
+    labels, bag = (t.withColumn("fold", F.pmod("doc", F.lit(2))) for t in labelled(spark, sf_dir))
+    hits, totals = classify.train(bag.withColumn("fold", 1 - F.col("fold")), labels.withColumn("fold", 1 - F.col("fold")), ["fold"])
+    p = classify.predict(labels, bag.drop("class"), hits, totals, by=["fold"])
     return p.where("place = 1").select("doc", "class", F.round("probability", 6).alias("probability"))
 
 
@@ -131,8 +133,7 @@ def confusion_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat objects without a parser: keys in order, values as text."""
-    e = table(spark, sf_dir, "events").select("event_id", "props", F.explode(F.json_object_keys("props")).alias("label"))
-    return e.select("event_id", "label", F.get(F.map_values(F.map_filter(F.from_json("props", "map<string,string>"), lambda k, v: k == F.col("label"))), F.lit(0)).alias("value"))
+    return table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("label", "value"))
 
 
 #: Keys that one body spans, so that its size doesn't grow with the table.
@@ -188,7 +189,7 @@ QUERIES = {f.__name__: f for f in (slug_tokens, money_parse, date_parse, kind_va
 WORDS = "list_transform(regexp_extract_all(regexp_replace({}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[A-Za-z0-9]+'), lambda w: lower(w))"
 STOP = ", ".join(f"'{w}'" for w in classify.STOP)
 SQL_BAG = f"""
-tk as (select doc_id as doc, lang as class, list_filter({WORDS.format("coalesce(text, '')")}, lambda w: length(w) >= 2 and not list_contains([{STOP}], w) and not regexp_matches(w, '^[0-9]+$'))[1:600] as ts from documents where doc_id is not null),
+tk as (select doc_id as doc, lang as class, list_filter({WORDS.format("coalesce(text, '')")}, lambda w: length(w) >= 2 and not list_contains([{STOP}], w) and not regexp_matches(w, '^[0-9]+$')) as ts from documents where doc_id is not null),
 bag as (select doc, class, token, count(*) as n from (select doc, class, unnest(ts) as token from tk) group by all)
 """
 SQL_CELLS = """
@@ -223,11 +224,12 @@ select source_id, label, count(*) as sampled, avg(case when money then 1.0 else
     "extract_records": "with " + SQL_CELLS + "select source_id, record, parcel as parcel_id, cast(amount as varchar) as amount_due, day as event_date, round((4 - case when amount is null then 1 else 0 end) / 4.0::double, 6) as completeness from ce",
     "nb_counts": "with " + SQL_BAG + "select class, (select count(*) from documents d where d.lang is not distinct from b.class and doc_id is not null) as docs, cast(sum(n) as bigint) as tokens from bag b group by class",
     "nb_predict": "with " + SQL_BAG + """,
-h as (select class, token, sum(n) as hits from bag where doc % 2 = 0 group by all), t as (select class, sum(hits) as tokens from h group by class), d as (select class, count(*) as docs from tk where doc % 2 = 0 group by class),
-v as (select count(distinct token) as v from h), a as (select count(*) as all_docs from tk where doc % 2 = 0),
-k as (select b.doc, b.token, b.n from bag b where doc % 2 = 1 and token in (select token from h)),
-s as (select tk.doc, d.class, ln(d.docs / (select all_docs from a)) + coalesce((select sum(k.n * ln((coalesce(h.hits, 0) + 1.0) / (t.tokens + (select v from v)))) from k left join h on h.token = k.token and h.class = d.class where k.doc = tk.doc), 0) as score
-  from tk cross join d join t on t.class = d.class where tk.doc % 2 = 1),
+h as (select 1 - doc % 2 as fold, class, token, sum(n) as hits from bag group by all), t as (select fold, class, sum(hits) as tokens from h group by all), d as (select 1 - doc % 2 as fold, class, count(*) as docs from tk group by all),
+v as (select fold, count(distinct token) as v from h group by fold), a as (select fold, sum(docs) as all_docs from d group by fold),
+c as (select d.fold, d.class, ln(d.docs / a.all_docs) as prior, t.tokens + v.v as den from d join t using (fold, class) join v using (fold) join a using (fold)),
+z as (select distinct fold, token from h), k as (select b.doc, b.token, b.n, z.fold from bag b join z on z.token = b.token and z.fold = b.doc % 2),
+l as (select k.doc, c.class, sum(k.n * ln((coalesce(h.hits, 0) + 1.0) / c.den)) as lift from k join c on c.fold = k.fold left join h on h.fold = k.fold and h.token = k.token and h.class = c.class group by all),
+s as (select tk.doc, c.class, c.prior + coalesce(l.lift, 0) as score from tk join c on c.fold = tk.doc % 2 left join l on l.doc = tk.doc and l.class = c.class),
 p as (select doc, class, exp(score - max(score) over (partition by doc)) as e from s), q as (select doc, class, e / sum(e) over (partition by doc) as probability from p)
 select doc, class, round(probability, 6) as probability from (select *, row_number() over (partition by doc order by probability desc, class) as n from q) where n = 1""",
     "nb_leave_one_out": "with " + SQL_BAG + """,

@@ -3,7 +3,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-from recordloom.functions import schedule
+from recordloom.functions import schedule, values
 from recordloom.operators import columns
 
 
@@ -26,3 +26,20 @@ def test_owners_and_windows(spark):
     r = at.select(schedule.may_send(F.col("t"), F.lit("person"), F.lit("America/New_York")).alias("p"), schedule.may_send(F.col("t"), F.lit("business"), F.lit("America/New_York")).alias("b"), schedule.next_send(F.col("t"), F.lit("business"), F.lit("America/New_York")).alias("n")).first()
     assert r["p"] and not r["b"]
     assert r["n"] == dt.datetime(2024, 3, 11, 13, 0)  # Monday 9:00, after the clocks changed
+
+
+def test_zones_of_jurisdictions(spark):
+    rows = spark.createDataFrame([("richmond_va",), ("phoenix_az",), ("king_wa",), ("cook_il",), ("denver_co",), ("elm_zz",), ("va",), (None,)], "j string")
+    want = ["America/New_York", "America/Phoenix", "America/Los_Angeles", "America/Chicago", "America/Denver", *["America/New_York"] * 3]
+    assert [r[0] for r in rows.select(schedule.zone_of(F.col("j"))).collect()] == want
+    owners = spark.createDataFrame([("City of Elm",), ("Ann City",), ("A.B. Trustees",), ("Bank&Sons (hoa)",), ("  ",)], "o string")
+    assert [r[0] for r in owners.select(schedule.owner_type(F.col("o"))).collect()] == ["business", "person", "business", "business", "unknown"]
+
+
+def test_money_text_rounds_as_printf(spark):
+    rng = np.random.default_rng(4)
+    cents = rng.integers(0, 10**9, 2000) / 1000
+    some = [0.0, 0.125, 0.375, 0.005, 0.015, 1.005, 2.675, 0.995, 0.9950000001, 9.999, 99.995, 1e17, 123456789012345.675, -0.125, -1.005, -3.0, *cents, *(-cents[:100]), *(rng.random(2000) * 10.0 ** rng.integers(-3, 14, 2000))]
+    rows = spark.createDataFrame([(float(x),) for x in some] + [(None,)], "x double")
+    got = [r[0] for r in rows.select(values.money_text(F.col("x"))).collect()]
+    assert got == [f"{x:.2f}" for x in some] + [None]
