@@ -5,7 +5,7 @@ import pytest
 from recordloom import queries
 
 SF = "/root/testdata/sf0.001"
-NATIVE = "lifecycle_state lifecycle_transitions property_signals entity_groups uniqueness_guard content_ids decision_match idempotent_ingest latest_run ewma_baseline counties_rollup state_ratio mdape money_parse date_parse nb_counts nb_leave_one_out json_flatten page_projection resolve_fields resolve_conflicts edition_change nb_predict extract_records".split()
+NATIVE = "lifecycle_state lifecycle_transitions property_signals entity_groups uniqueness_guard content_ids decision_match idempotent_ingest latest_run ewma_baseline counties_rollup state_ratio mdape money_parse date_parse nb_counts nb_leave_one_out json_flatten page_projection resolve_fields resolve_conflicts edition_change nb_predict".split()
 
 
 def plan(df):
