@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import join_small, written
+from .text import join_small, spans, written
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -119,17 +119,8 @@ def repeated_words(ids: np.ndarray, doc: np.ndarray, words: int, n: int) -> np.n
 
 
 def chunks(texts: pd.Series) -> Iterator[slice]:
-    """Slices of rows of about CHUNK characters; a longer text is alone."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        size = len(t) if t else 0
-        if held and held + size > CHUNK:
-            yield slice(start, i)
-            start = i
-            held = 0
-        held += size
-    if start < len(texts):
-        yield slice(start, len(texts))
+    """Slices of rows that are measured together."""
+    return spans(texts, CHUNK)
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str, vocabulary: str) -> DataFrame:
@@ -187,6 +178,3 @@ def with_verdict(docs: DataFrame, **options: object) -> DataFrame:
     id_col = str(options.get("id_col", "doc_id"))
     gone = quality_rules(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
-
-
-

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,21 +27,36 @@ def n_words(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which executors share; a folder of our own only where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir, which executors share. Where it is unset, a folder of our own serves a local session, as
+    in tests; on a cluster executors would each write to their own disk, so there it has to be set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        have = spark.sparkContext.getCheckpointDir()
-        folder = have or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Jobs within remove their shuffle files when they are done: whoever keeps their result needs these no more."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, *, partition_rows: int | None = None) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/recordloom-{uuid.uuid4().hex}"
     writer = df.write.option("maxRecordsPerFile", partition_rows) if partition_rows else df.write
-    writer.parquet(path)
+    with shuffles_removed(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,6 +82,19 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
+def spans(texts: pd.Series, most: int) -> Iterator[slice]:
+    """Slices of rows of about `most` characters; a longer text is alone."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        size = len(t) if isinstance(t, str) else 0
+        if held and held + size > most:
+            yield slice(start, i)
+            start, held = i, 0
+        held += size
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit integers."""
     x = x.astype(np.uint64, copy=True)
