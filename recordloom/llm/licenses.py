@@ -2,8 +2,8 @@
 
 Two passes over all files. The first counts, for each term of the templates, the files that hold it: these are the
 inverse document frequencies. The second compares each file's candidate segments (lines with an anchor word, and windows
-of the whole text around it, across lines and comment leaders) with the notices, and whole short files with the licence texts, as sparse vectors. A licence file
-(by its name, or all of it matching a template) licenses its directory; files without a notice of their own take the
+of the whole text around it, across lines and comment leaders) with the notices, and whole files and their openings with the licence texts, as sparse vectors. A licence file
+(by its name, or by its whole text or opening, whatever its name) licenses its directory; files without a notice of their own take the
 licence of the nearest directory above them, by a join of their ancestor paths with the licensed directories.
 """
 
@@ -14,6 +14,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,14 +40,45 @@ NOTICES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"),
 }
 
+# Whole texts of short public licences (without their copyright lines), and how the texts of long ones open.
+TEXTS: dict[str, str] = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>""",
+}
+OPENINGS: dict[str, str] = {
+    "Apache-2.0": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions.",
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "MPL-2.0": "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.",
+    "CC-BY-4.0": "Attribution 4.0 International Creative Commons Corporation is not a law firm and does not provide legal services or legal advice.",
+    "CC-BY-SA-4.0": "Attribution-ShareAlike 4.0 International Creative Commons Corporation is not a law firm and does not provide legal services or legal advice.",
+    "CC-BY-NC-4.0": "Attribution-NonCommercial 4.0 International Creative Commons Corporation is not a law firm and does not provide legal services or legal advice.",
+    "CC0-1.0": "Creative Commons Legal Code CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES.",
+}
+
 ANCHOR = re.compile(r"licen[sc]e|copyright|public domain|permission is|permission to|redistribution|spdx-|creative commons", re.I)
 TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 WORDS = re.compile(r"\S+")
 LETTER = re.compile(r"[^\W_]")
 #: Words of the windows besides those of the notices' own lengths; the least cosine of a notice.
 WINDOWS, LEAST = (6, 12, 24), 0.7
-#: A file of at most so many words may be a licence file by its text alone, if its cosine is at least this.
-WHOLE_WORDS, WHOLE_LEAST = 400, 0.85
+#: A file is a licence file by its text if all of it has at least this cosine to a licence's text or notice, or its opening to a long text's.
+WHOLE_LEAST = 0.85
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense)([.-][^/]*)?$"
 
 
@@ -116,6 +148,17 @@ def segments(text: str, windows: list[tuple[int, int]]) -> Iterator[str]:
                 yield text[starts[window[0]] : starts[window[1]]]
 
 
+def whole_licence(text: str, texts: Matcher, openings: Matcher, sizes: list[int]) -> tuple[float, str | None]:
+    """The licence whose text a file is, by all of it or by its opening, as the highest cosine."""
+    best = texts.best(text)
+    starts = [*islice((m.start() for m in WORDS.finditer(text) if LETTER.search(m.group())), max(sizes) + 1), len(text)]
+    for size in sizes:
+        got = openings.best(text[: starts[min(size, len(starts) - 1)]])
+        if got[1] and (got[0] > best[0] or (got[0] == best[0] and best[1] and got[1] < best[1])):
+            best = got
+    return best
+
+
 def license_scan(files: DataFrame, path: Column, *, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, tuple[str, ...]] | None = None, least: float = LEAST) -> DataFrame:
     """One row for each row of files: doc_id, path, license (null if none), score, origin (notice, file, inherited, none).
 
@@ -124,7 +167,8 @@ def license_scan(files: DataFrame, path: Column, *, id_col: str = "doc_id", text
     Rows that repeat an identifier are judged one by one; other columns aren't looked at; an empty table gives an empty one.
     """
     chosen = notices or NOTICES
-    known = sorted({t for texts in chosen.values() for x in texts for t in terms(x)})
+    templates = [x for texts in chosen.values() for x in texts] + ([*TEXTS.values(), *OPENINGS.values()] if notices is None else [])
+    known = sorted({t for x in templates for t in terms(x)})
     words = {t for t in known if " " not in t}
     pairs = {t for t in known if " " in t}
     firsts = {p.split(" ")[0] for p in pairs}
@@ -153,6 +197,10 @@ def license_scan(files: DataFrame, path: Column, *, id_col: str = "doc_id", text
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher, windows = Matcher(idf, rare, chosen), spans(chosen)
+        own = {name: (text,) for name, text in TEXTS.items()} if notices is None else {}
+        texts = Matcher(idf, rare, {name: (*chosen.get(name, ()), *own.get(name, ())) for name in {*chosen, *own}})
+        openings = Matcher(idf, rare, {name: (text,) for name, text in OPENINGS.items()} if notices is None else {"": ("",)})
+        sizes = sorted({len(word_starts(text)) for text in OPENINGS.values()}) if notices is None else [0]
         name = re.compile(LICENCE_FILE)
         for batch in batches:
             out = []
@@ -163,9 +211,11 @@ def license_scan(files: DataFrame, path: Column, *, id_col: str = "doc_id", text
                         got = matcher.best(s)
                         if got[1] and (got[0] > score or (got[0] == score and found and got[1] < found)):
                             score, found = got
-                    if found and score >= least:
-                        few = len(text.split(None, WHOLE_WORDS + 1)) <= WHOLE_WORDS
-                        whole = bool(isinstance(where, str) and name.search(where)) or (few and matcher.best(text)[0] >= WHOLE_LEAST)
+                    all_of_it = whole_licence(text, texts, openings, sizes)
+                    if all_of_it[0] >= WHOLE_LEAST:
+                        (score, found), whole = all_of_it, True
+                    elif found and score >= least:
+                        whole = bool(isinstance(where, str) and name.search(where))
                 out.append((found, score, whole) if found and score >= least else (None, 0.0, False))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "path": batch["path"], "license": [o[0] for o in out], "score": [o[1] for o in out], "whole": [o[2] for o in out]})
 

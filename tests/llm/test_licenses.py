@@ -59,3 +59,51 @@ def test_notices_in_short_lines_and_across_lines(spark):
     got = {r["doc_id"]: r["license"] for r in lic.license_scan(docs, F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/f"))).collect()}
     assert {i: got[i] for i in texts} == {i: name for i, (name, _) in texts.items()}
     assert not any(got[100 + i] for i in range(len(filler)))
+
+
+def test_licence_files_by_their_text_under_any_name(spark):
+    gpl = lic.OPENINGS["GPL-3.0"].replace("Inc. Everyone", "Inc. <https://fsf.org/>\n Everyone") + "\n" + " ".join(f"clause{i} of the work" for i in range(3000))
+    apache = "\n\n      " + lic.OPENINGS["Apache-2.0"].replace("License Version", "License\n            Version") + " " + " ".join(f'"Term{i}" shall mean something' for i in range(900))
+    rows = [
+        (1, "m/about.txt", "Copyright (c) 2020 Ann\n\n" + lic.TEXTS["MIT"]),
+        (2, "b/NOTES", "Copyright 2011, Some People\n" + lic.TEXTS["BSD-3-Clause"].replace("2. Redist", "\n* Redist")),
+        (3, "g/terms.md", gpl),
+        (4, "a/terms.md", apache),
+        (5, "i/x", "Copyright 1999 B\n" + lic.TEXTS["ISC"]),
+        *[(10 + i, f"{d}/src/code.py", "print(1)") for i, d in enumerate("mbgai")],
+        (20, "n/story.txt", " ".join(f"word{i}" for i in range(500)) + " " + lic.TEXTS["MIT"] + " " + " ".join(f"word{i}" for i in range(3000))),
+        (21, "n/src/code.py", "print(1)"),
+        (22, "n2/permit.txt", "a license to drive is not what this is about, permission is another matter"),
+    ]
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in lic.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).collect()}
+    names = ["MIT", "BSD-3-Clause", "GPL-3.0", "Apache-2.0", "ISC"]
+    assert [got[i] for i in range(1, 6)] == [(n, "file") for n in names]
+    assert [got[10 + i] for i in range(5)] == [(n, "inherited") for n in names]
+    assert got[20] == ("MIT", "notice") and got[21] == (None, "none") and got[22] == (None, "none")
+
+
+def test_scan_against_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    known = sorted({t for x in [*(x for texts in lic.NOTICES.values() for x in texts), *lic.TEXTS.values(), *lic.OPENINGS.values()] for t in lic.terms(x)})
+    held = [set(lic.terms(r["text"])) if r["text"] else set() for r in rows]
+    idf = {t: math.log((len(rows) + 1) / (sum(t in h for h in held) + 1)) + 1 for t in known}
+    rare = math.log(len(rows) + 1) + 1
+
+    def cosine(a, b):
+        x, nx = lic.vector(lic.terms(a), idf, rare)
+        y, ny = lic.vector(lic.terms(b), idf, rare)
+        return sum(x[t] * y.get(t, 0) for t in x) / (nx * ny) if nx and ny else 0.0
+
+    windows = lic.spans(lic.NOTICES)
+    want = {}
+    for r in rows:
+        best = max(((cosine(s, t), n) for s in lic.segments(r["text"] or "", windows) for n, ts in lic.NOTICES.items() for t in ts), default=(0.0, None), key=lambda x: x[0])
+        want[r["doc_id"]] = best if best[0] >= lic.LEAST else (0.0, None)
+    got = lic.license_scan(docs, F.concat(F.col("doc_id").cast("string"), F.lit("/f")))
+    some = 0
+    for r in got.collect():
+        if r["origin"] in ("notice", "none"):
+            assert r["license"] == want[r["doc_id"]][1] and math.isclose(r["score"], want[r["doc_id"]][0], rel_tol=1e-9)
+            some += r["license"] is not None
+    assert some
