@@ -8,8 +8,9 @@ Their document counts over the labelled sample are aggregated in Spark, and thos
 pass a likelihood-ratio test at one and a half times the Bonferroni level become the model's vocabulary, FEATURES at most. The sample is
 bounded by `max_labelled`; scoring covers every word of every document with the few model weights shipped along.
 
-Labels of 0 and 1 carry no degrees. There, toxic samples are graded 1 to 3 by terciles of the amount of chosen toxic
-features that they hold; labels that go above 1 are used as they are.
+Labels of 0 and 1 carry no degrees. There, toxic samples are graded 1 to 3 by terciles of the score that a model of one threshold
+gives them which was fitted on the other half of the sample, so a grade says how strongly texts that the model hasn't seen are
+taken for toxic; labels that go above 1 are used as they are. The column graded_from says which of the two it was.
 """
 
 from __future__ import annotations
@@ -24,13 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import written
+from .text import mix64, spans, written
 
 #: The most features a model has, and labelled rows (about) that it is fitted on.
 FEATURES, MAX_LABELLED = 2000, 20_000
 PREFIXES = (4, 5)
 STRIP = b".,;:!?\"'()[]{}<>*#-_|%$&"
-ADDED = ("expected_severity", "grade", "p_toxic", "toxic")
 CHUNK = 2_000_000
 
 
@@ -49,18 +49,6 @@ def tables(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return list(table), ids, np.repeat(np.arange(len(split)), sizes)
 
 
-def spans(texts: pd.Series) -> Iterator[slice]:
-    start = held = 0
-    for i, t in enumerate(texts):
-        size = len(t) if isinstance(t, str) else 0
-        if held and held + size > CHUNK:
-            yield slice(start, i)
-            start, held = i, 0
-        held += size
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
 def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each feature of a batch, how many toxic and how many other texts have it."""
     for batch in batches:
@@ -94,6 +82,7 @@ class Model:
     index: dict[str, int]
     weights: np.ndarray
     thresholds: np.ndarray
+    graded_from: str = "labels"
 
     def above(self, texts: list[str | None]) -> np.ndarray:
         """P(grade > k) for each text and k."""
@@ -128,6 +117,20 @@ def fit_ordinal(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, grades:
     return w, raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))])
 
 
+def tercile_grades(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, toxic: np.ndarray, size: int, half: np.ndarray) -> np.ndarray:
+    """Grades 0 to 3 from labels of 0 and 1: each half's toxic samples by their scores under a model of the other half."""
+    n = len(toxic)
+    score = np.zeros(n)
+    for side in (half, ~half):
+        own = side[doc]
+        row = np.cumsum(side) - 1
+        w, t = fit_ordinal(row[doc[own]], feature[own], value[own], toxic[side], size, rounds=200)
+        other = np.bincount(doc, w[feature] * value, minlength=n) - t[0] if len(doc) else np.zeros(n)
+        score = np.where(side, score, other)
+    low, high = np.quantile(score[toxic == 1], [1 / 3, 2 / 3])
+    return np.where(toxic == 1, 1 + (score > low) + (score > high), 0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", grade_col: str = "toxic", max_labelled: int = MAX_LABELLED, limit: int = FEATURES) -> Model:
     """A model from documents and their labelled grades (0: harmless). Null grades and identifiers count as unlabelled."""
     graded = labels.select(F.col(f"`{label_id_col}`").cast("long").alias("__label_id"), F.col(f"`{grade_col}`").cast("int").alias("grade")).where("grade is not null and __label_id is not null")
@@ -148,34 +151,33 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     a, b = F.col("a"), F.col("b")
     g2 = 2 * (term(a, n * a_all / n_all) + term(b, n * b_all / n_all) + term(F.lit(a_all) - a, (F.lit(n_all) - n) * a_all / n_all) + term(F.lit(b_all) - b, (F.lit(n_all) - n) * b_all / n_all))
     level = 3 * np.log(max(2, counts.count()))
-    best = counts.select("feature", g2.alias("g2"), (a * b_all > b * a_all).alias("up")).where(F.col("g2") >= float(level)).orderBy(F.desc("g2"), "feature").limit(limit).collect()
+    best = counts.select("feature", g2.alias("g2")).where(F.col("g2") >= float(level)).orderBy(F.desc("g2"), "feature").limit(limit).collect()
     index = {r["feature"]: i for i, r in enumerate(best)}
-    up = np.array([r["up"] for r in best], bool)
 
     def matrix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for s in spans(batch["text"]):
+            for s in spans(batch["text"], CHUNK):
                 part = batch.iloc[s]
                 doc, feature, value = hits(list(part["text"]), index)
                 at = np.searchsorted(doc, np.arange(len(part) + 1))
-                yield pd.DataFrame({"grade": part["grade"].to_numpy(), "f": [feature[i:j] for i, j in zip(at, at[1:])], "v": [value[i:j] for i, j in zip(at, at[1:])]})
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "grade": part["grade"].to_numpy(), "f": [feature[i:j] for i, j in zip(at, at[1:])], "v": [value[i:j] for i, j in zip(at, at[1:])]})
 
-    got = rows.mapInPandas(matrix, "grade int, f array<long>, v array<double>").toPandas()  # the bounded sample
+    got = rows.mapInPandas(matrix, "id long, grade int, f array<long>, v array<double>").toPandas()  # the bounded sample
     grades = got["grade"].to_numpy().astype(np.int64)
     sizes = got["f"].map(len).to_numpy()
     doc = np.repeat(np.arange(len(got)), sizes)
     feature = np.concatenate([*got["f"], np.zeros(0)]).astype(np.int64)
     value = np.concatenate([*got["v"], np.zeros(0)])
+    graded_from = "labels"
     if grades.max() == 1 and len(index):
-        amount = np.bincount(doc[up[feature]], value[up[feature]], minlength=len(got))
-        low, high = np.quantile(amount[grades == 1], [1 / 3, 2 / 3])
-        grades = np.where(grades == 1, 1 + (amount > low) + (amount > high), 0)
+        graded_from = "terciles of held-out scores"
+        grades = tercile_grades(doc, feature, value, grades, len(index), mix64(got["id"].to_numpy().view(np.uint64)) & np.uint64(1) == 1)
     grades = np.unique(grades, return_inverse=True)[1]  # grades that occur, in order
-    return Model(index, *fit_ordinal(doc, feature, value, grades, len(index)))
+    return Model(index, *fit_ordinal(doc, feature, value, grades, len(index)), graded_from)
 
 
 def severity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, expected_severity, grade (the likeliest), p_toxic, toxic.
+    """One row for each row of docs: doc_id, expected_severity, grade (the likeliest), p_toxic, toxic, graded_from.
 
     A null or empty text scores as one without features. Other columns aren't looked at; an empty table gives an
     empty one. Without labels of both kinds the model finds nothing toxic.
@@ -183,14 +185,14 @@ def severity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for s in spans(batch["text"]):
+            for s in spans(batch["text"], CHUNK):
                 part = batch.iloc[s]
                 above = model.above([t if isinstance(t, str) else None for t in part["text"]])
                 each = np.diff(np.concatenate([np.ones((len(part), 1)), above, np.zeros((len(part), 1))], axis=1), axis=1) * -1
-                yield pd.DataFrame({"doc_id": part["id"].to_numpy(), "expected_severity": above.sum(axis=1), "grade": each.argmax(axis=1).astype("int32"), "p_toxic": above[:, 0], "toxic": above[:, 0] >= 0.5})
+                yield pd.DataFrame({"doc_id": part["id"].to_numpy(), "expected_severity": above.sum(axis=1), "grade": each.argmax(axis=1).astype("int32"), "p_toxic": above[:, 0], "toxic": above[:, 0] >= 0.5, "graded_from": model.graded_from})
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, expected_severity double, grade int, p_toxic double, toxic boolean")
+    return rows.mapInPandas(run, "doc_id long, expected_severity double, grade int, p_toxic double, toxic boolean, graded_from string")
 
 
 def harmless(docs: DataFrame, model: Model, **options: str) -> DataFrame:
