@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .text import M1, mix64, written
+from .text import M1, join_small, mix64, spans, written
 
 WIDTH, THRESHOLD = 5, 75
 SKETCH, PATHS = 128, 64
@@ -82,22 +82,9 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return least
 
 
-def spans(texts: pd.Series) -> Iterator[slice]:
-    """Slices of rows of about CHUNK characters."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        size = len(t) if isinstance(t, str) else 0
-        if held and held + size > CHUNK:
-            yield slice(start, i)
-            start, held = i, 0
-        held += size
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
 def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for rows in spans(batch["text"]):
+        for rows in spans(batch["text"], CHUNK):
             part = batch.iloc[rows]
             sets = shingle_sets([t if isinstance(t, str) else None for t in part["text"]])
             marks = [sketch(s) if len(s) else None for s in sets]
@@ -209,7 +196,7 @@ def as_edges(found: Iterator[list]) -> Iterator[pd.DataFrame]:
 
 def with_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for rows in spans(batch["text"]):
+        for rows in spans(batch["text"], CHUNK):
             part = batch.iloc[rows]
             sets = shingle_sets([t if isinstance(t, str) else None for t in part["text"]])
             yield pd.DataFrame({"rep": part["id"].to_numpy(), "cluster": part["cluster"].to_numpy(), "blocks": part["blocks"].to_numpy(), "shingles": [s.tobytes() for s in sets]})
@@ -237,7 +224,8 @@ def candidates(reps: DataFrame, trees: int, small: int, branches: float, depth:
         large = nodes.where(F.col("size") > small)
         if not large.limit(1).count():
             break
-        large = large.join(heads, "rep").join(heads.select(F.col("rep").alias("first"), F.col("paths").alias("first_paths")), "first")
+        firsts = written(large.select(F.col("first").alias("rep")).distinct().join(heads.select("rep", F.col("paths").alias("first_paths")), "rep").withColumnRenamed("rep", "of_first"))
+        large = join_small(large.join(heads, "rep"), firsts, F.col("first") == F.col("of_first"), "inner")
         agree = F.size(F.filter(F.arrays_zip("paths", "first_paths"), lambda z: z["paths"] == z["first_paths"])) / PATHS
         large = written(large.select("key", "rep", "first", "paths", agree.alias("agree")))
         if d == depth - 1:  # the exact check takes what is still large as one cluster
