@@ -33,6 +33,18 @@ def bags(docs: DataFrame, id_col: str, text: Column, class_col: str | None = Non
     return docs.select(*keep, F.explode(body_tokens(text, limit)).alias("token")).groupBy(*[k for k in ("doc", "class") if k == "doc" or class_col], "token").agg(F.count("*").alias("n"))
 
 
+def features(docs: DataFrame, limit: int | None = BODY_TOKENS) -> DataFrame:
+    """(doc, token, n) of docs (doc, format, labels, title, headings, text, url): format, words of labels (stop words too), of title,
+    headings and URL, each with its prefix, and of the text. Labels and headings are arrays."""
+    all_words = lambda c: words(F.coalesce(c, F.lit("")))
+    kept = lambda c: body_tokens(c, None)
+    of_each = lambda c, f: F.flatten(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), f))
+    named = lambda prefix, c: F.transform(c, lambda w: F.concat(F.lit(prefix), w))
+    labels = F.filter(of_each("labels", all_words), lambda w: (F.length(w) >= 2) & ~is_digits(w))
+    parts = [F.array(F.concat(F.lit("fmt:"), F.coalesce("format", F.lit("")))), named("label:", labels), named("title:", kept(F.col("title"))), named("h:", of_each("headings", kept)), body_tokens(F.col("text"), limit), named("url:", kept(F.col("url")))]
+    return docs.select("doc", F.explode(F.concat(*parts)).alias("token")).groupBy("doc", "token").agg(F.count("*").alias("n"))
+
+
 def train(bag: DataFrame, labels: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """((class, token, hits), (class, docs, tokens)) from bags and (doc, class) of all examples, empty ones included; a model
     for each value of the columns `by`, if any."""
@@ -87,6 +99,26 @@ def leave_one_out(labels: DataFrame, bag: DataFrame, hits: DataFrame, totals: Da
     return posteriors(scored.select("doc", "class", score.alias("score")))
 
 
+# Smoothing constants that are tried, and what a model has to reach: accuracy left one out, and examples.
+ALPHAS = (0.1, 0.3, 0.5, 1.0, 2.0)
+LEAST_ACCURACY, LEAST_EXAMPLES = 0.80, 8
+
+
+def sweep(labels: DataFrame, bag: DataFrame, hits: DataFrame, totals: DataFrame, alphas: Sequence[float] = ALPHAS) -> DataFrame:
+    """(alpha, examples, accuracy, best, passes): accuracy left one out for each constant; best: the first of the most accurate;
+    passes: it is accurate enough on enough examples."""
+    tried = []
+    for i, a in enumerate(alphas):
+        p = leave_one_out(labels, bag, hits, totals, a).where("place = 1").join(labels.withColumnRenamed("class", "truth"), "doc")
+        right = (F.col("class").eqNullSafe(F.col("truth"))).cast("double")
+        tried.append(p.agg(F.lit(i).alias("turn"), F.lit(float(a)).alias("alpha"), F.count("*").alias("examples"), F.avg(right).alias("accuracy")))
+    rows = tried[0]
+    for t in tried[1:]:
+        rows = rows.unionByName(t)
+    best = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("accuracy"), "turn")) == 1
+    return rows.withColumn("best", best).select("alpha", "examples", "accuracy", "best", ((F.col("accuracy") >= LEAST_ACCURACY) & (F.col("examples") >= LEAST_EXAMPLES)).alias("passes"))
+
+
 def vocabulary(hits: DataFrame, totals: DataFrame, top: int = 10) -> DataFrame:
     """(class, token, hits, lift, place): a class's tokens by lift * ln(1 + hits), those seen once left out."""
     corpus = hits.groupBy("token").agg(F.sum("hits").alias("everywhere"))
@@ -110,3 +142,12 @@ def scores(pairs: DataFrame) -> DataFrame:
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     rows = rows.withColumn("precision", share(F.col("tp"), F.col("n_guess"))).withColumn("recall", share(F.col("tp"), F.col("n_truth")))
     return rows.select("class", "precision", "recall", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")).alias("f1"), F.col("n_truth").alias("support"))
+
+
+def overall(pairs: DataFrame, none: str = "none") -> DataFrame:
+    """(macro_f1, positive_accuracy, examples) of (truth, guess): the mean F1 of the classes that occur as truth but `none`, and the
+    share of examples of these that are guessed right."""
+    f1 = scores(pairs).where((F.col("support") > 0) & (F.col("class") != none)).agg(F.coalesce(F.avg("f1"), F.lit(0.0)).alias("macro_f1"))
+    positive = F.col("truth") != none
+    right = pairs.agg(F.coalesce(F.avg(F.when(positive, (F.col("truth") == F.col("guess")).cast("double"))), F.lit(0.0)).alias("positive_accuracy"), F.count("*").alias("examples"))
+    return right.crossJoin(F.broadcast(f1)).select("macro_f1", "positive_accuracy", "examples")

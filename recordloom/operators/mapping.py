@@ -210,3 +210,35 @@ def mapping_scores(golden: DataFrame, inferred: DataFrame) -> DataFrame:
     share = lambda a, b: F.when(a + b > 0, a / (a + b)).otherwise(1.0)
     t = total.withColumn("precision", share(F.col("tp"), F.col("spurious"))).withColumn("recall", share(F.col("tp"), F.col("missing")))
     return t.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
+
+
+def field_rates(cells: DataFrame) -> DataFrame:
+    """(source_id, field, rate) of (source_id, record, field, ok): the share of the source's records with a valid value of the field."""
+    n = cells.groupBy("source_id").agg(F.count_distinct("record").alias("records"))
+    hits = cells.groupBy("source_id", "field").agg(F.count_if("ok").alias("hits"))
+    return hits.join(n, "source_id").select("source_id", "field", (F.col("hits") / F.col("records")).alias("rate"))
+
+
+def overall_rates(records: DataFrame) -> DataFrame:
+    """(source_id, rate): the mean completeness of all of a source's records, empty ones included."""
+    return records.groupBy("source_id").agg(F.avg(F.coalesce("completeness", F.lit(0.0))).alias("rate"))
+
+
+def mapping_confidence(mapping: DataFrame) -> DataFrame:
+    """(source_id, confidence): the mean of a mapping's fields."""
+    return mapping.groupBy("source_id").agg(F.avg("confidence").alias("confidence"))
+
+
+def mapping_faults(mapping: DataFrame) -> DataFrame:
+    """(source_id, fault, at) of a stored mapping (source_id, name, label, part, confidence): scores outside 0 to 1, a field that is
+    mapped twice, a label's part that is used twice. A mapping without rows here can be used."""
+    scored = mapping.where(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False))).select("source_id", F.lit("score").alias("fault"), F.col("name").alias("at"))
+    twice = lambda *by: mapping.groupBy("source_id", *by).agg(F.count("*").alias("n")).where("n > 1")
+    fields = twice("name").select("source_id", F.lit("field twice").alias("fault"), F.col("name").alias("at"))
+    parts = twice("label", "part").select("source_id", F.lit("part twice").alias("fault"), F.concat_ws("|", "label", F.col("part").cast("string")).alias("at"))
+    return scored.unionByName(fields).unionByName(parts)
+
+
+def in_schema_order(mapping: DataFrame, fields: DataFrame) -> DataFrame:
+    """A mapping's rows by source, in the order that the schema has its fields."""
+    return mapping.join(F.broadcast(fields.select("name", "field_ord")), "name").orderBy("source_id", "field_ord")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -41,8 +41,25 @@ def held_out(domain: Column, fold: int) -> Column:
 
 
 def use_group(use: Column) -> Column:
+    """What a property is used for, by the first of the rules that its description fits."""
     u = F.lower(F.coalesce(use, F.lit("")))
-    return F.when(u.contains("condo"), "condo").when(u.contains("multi") | u.contains("apartment") | u.contains("family"), "residential").when(u.contains("commercial") | u.contains("office") | u.contains("retail"), "commercial").when(u.contains("vacant") | u.contains("land"), "land").otherwise("other")
+    return F.when(u.rlike("resid|condo|single|town home"), "residential").when(u.contains("apart"), "apartments").when(u.contains("commerc"), "commercial").when(u.contains("industr"), "industrial").when(u.contains("vacant") | u.contains("land"), "vacant").otherwise("other")
+
+
+def use_group_of_states(use: Column, groups: Sequence[str] = ("residential", "commercial", "agricultural", "industrial", "exempt")) -> Column:
+    """The variant for several states: the first group whose first six letters the description holds, else residential for homes."""
+    u = F.lower(F.coalesce(use, F.lit("")))
+    found = [F.when(u.contains(g[:6]), g) for g in groups]
+    return F.coalesce(*found, F.when(u.contains("town home") | u.contains("condominium") | u.contains("apartment"), "residential"), F.lit("other"))
+
+
+def ranged(estimates: DataFrame, errors: DataFrame) -> DataFrame:
+    """estimates (state, estimate) with low and high, the median error of the state off: errors (state, mdape). A state that wasn't
+    calibrated has no estimate and so no range."""
+    e = errors.select("state", "mdape")
+    near = estimates.join(F.broadcast(e), "state", "left")  # a row for each state
+    value = F.when(F.col("mdape").isNotNull(), F.col("estimate"))
+    return near.withColumns({"estimate": value, "low": value * (1 - F.col("mdape")), "high": value * (1 + F.col("mdape"))}).drop("mdape")
 
 
 def estimate(rows: DataFrame, features: list[str], layers: list[tuple[np.ndarray, np.ndarray]], clamp: float = 3.0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slug
+from ..functions.values import KINDS, validate
 
 # The least weight of a function, that of one that never fired, rounds, and the share of weight that is confident.
 FLOOR, SILENT, ROUNDS, CONFIDENT = 0.05, 0.1, 20, 0.5
@@ -27,6 +28,70 @@ def token_votes(columns: DataFrame, lexicon: DataFrame) -> DataFrame:
     return top.select("example", F.lit("lexicon_token").alias("lf"), "class")
 
 
+STRONG = ("id", "money", "date", "email", "phone", "number")
+
+
+def accepted(columns: DataFrame, fields: DataFrame) -> DataFrame:
+    """(example, field, kind, passed, n): how many of a column's n values each field takes. columns: (example, values), fields:
+    (field, kind), which is configuration."""
+    each = columns.select("example", F.size("values").alias("n"), F.explode("values").alias("v"))
+    ok = F.coalesce(*[F.when(F.col("kind") == k, validate(k, F.col("v"))) for k in KINDS], F.lit(False))
+    kinds = F.broadcast(fields.select("kind").distinct())
+    by_kind = each.crossJoin(kinds).groupBy("example", "kind", "n").agg(F.count_if(ok).alias("passed"))
+    return by_kind.join(F.broadcast(fields.select("field", "kind")), "kind").select("example", "field", "kind", "passed", "n")
+
+
+def unique_votes(columns: DataFrame, fields: DataFrame) -> DataFrame:
+    """(example, lf, class): columns of two values or more all of which pass exactly one field of a strict kind."""
+    hits = accepted(columns, fields).where(F.col("kind").isin(*STRONG) & (F.col("n") >= 2) & (F.col("passed") == F.col("n")))
+    one = hits.groupBy("example").agg(F.count("*").alias("claims"), F.min("field").alias("class")).where("claims = 1")
+    return one.select("example", F.lit("validator_unique").alias("lf"), "class")
+
+
+def veto_votes(columns: DataFrame, fields: DataFrame) -> DataFrame:
+    """(example, lf, class): none for columns of two values or more of which no field takes any."""
+    sums = accepted(columns, fields).where("n >= 2").groupBy("example").agg(F.max("passed").alias("most")).where("most = 0")
+    return sums.select("example", F.lit("validator_veto").alias("lf"), F.lit("none").alias("class"))
+
+
+def told_votes(columns: DataFrame, told: DataFrame) -> DataFrame:
+    """(example, lf, class): labels that a language model gave columns of that domain and name, the last one (seq) if several."""
+    last = told.where("coalesce(label, '') != ''").groupBy("domain", "name").agg(F.max_by("label", "seq").alias("class"))
+    return columns.join(last, ["domain", "name"]).select("example", F.lit("llm").alias("lf"), "class")
+
+
+def weak_labels(columns: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(example, class, masked) of columns (example, name, display) by lexicon (term, class): the class whose term either name is;
+    masked where the names disagree, or where neither is a term but touches one (either holds the other, four letters or more)."""
+    slugs = columns.select("example", slug(F.coalesce("name", F.lit(""))).alias("a"), slug(F.coalesce("display", F.lit(""))).alias("b"))
+    first = lexicon.groupBy("term").agg(F.min("class").alias("class"))  # a term of several fields names the first
+    hit = lambda c: F.broadcast(first.select(F.col("term").alias(c), F.col("class").alias(f"by_{c}")))
+    rows = slugs.join(hit("a"), "a", "left").join(hit("b"), "b", "left")
+    terms = F.broadcast(lexicon.where(F.length("term") >= 4).agg(F.collect_set("term").alias("terms")))  # configuration
+    touches = lambda s: (F.length(s) >= 4) & F.exists("terms", lambda t: s.contains(t) | t.contains(s))
+    found = F.coalesce("by_a", "by_b")
+    clash = F.coalesce(F.col("by_a") != F.col("by_b"), F.lit(False))
+    near = found.isNull() & (touches(F.col("a")) | touches(F.col("b")))
+    return rows.crossJoin(terms).select("example", F.when(~clash, found).alias("class"), (clash | near).alias("masked"))
+
+
+def corpus_counts(corpus: DataFrame) -> DataFrame:
+    """(what, value, n) of a corpus of columns (domain, name, label, label_source): rows, and rows for each domain, label and source."""
+    parts = F.array(F.struct(F.lit("columns").alias("what"), F.lit("").alias("value")), *[F.struct(F.lit(c).alias("what"), F.coalesce(F.col(c), F.lit("")).alias("value")) for c in ("domain", "label", "label_source")])
+    return corpus.select(F.explode(parts).alias("x")).groupBy("x.what", "x.value").agg(F.count("*").alias("n"))
+
+
+def suspects(votes: DataFrame, truth: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(example, class, given, suspicion_rank) of labelled examples (example, class) whose votes speak for another class: given is the
+    share of weight that their own label has, the least first, ties by example."""
+    weight = F.coalesce(*[F.when(F.col("lf") == k, w) for k, w in weights.items()], F.lit(0.0))
+    t = truth.withColumnRenamed("class", "truth")
+    shares = votes.join(t, "example").groupBy("example", "truth").agg((F.sum(F.when(F.col("class") == F.col("truth"), weight).otherwise(0.0)) / F.sum(weight)).alias("given"))
+    best = tally(votes, weights).select("example", "class")
+    odd = shares.join(best, "example").where(F.col("class") != F.col("truth"))
+    return odd.select("example", F.col("truth").alias("class"), "given", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("given", "example")).alias("suspicion_rank"))
+
+
 def summary(votes: DataFrame, truth: DataFrame, examples: int) -> DataFrame:
     """(lf, coverage, accuracy) against (example, class)."""
     judged = votes.join(truth.withColumnRenamed("class", "truth"), "example", "left")
@@ -47,7 +112,7 @@ def label_model(votes: DataFrame, classes: int, rounds: int = ROUNDS) -> tuple[D
     consensus. Each round aggregates the votes to one number for each function; only these come to the driver."""
     names = [r["lf"] for r in votes.select("lf").distinct().orderBy("lf").collect()]
     weights = dict.fromkeys(names, 1.0)
-    votes = votes.cache()
+    votes = votes.persist()  # read in every round; released at the end
     for _ in range(rounds):
         consensus = tally(votes, weights).withColumnRenamed("class", "agreed")
         rates = {r["lf"]: r["rate"] for r in votes.join(consensus, "example").where(F.col("confidence") >= CONFIDENT).groupBy("lf").agg(F.avg((F.col("class") == F.col("agreed")).cast("double")).alias("rate")).collect()}
@@ -60,4 +125,6 @@ def label_model(votes: DataFrame, classes: int, rounds: int = ROUNDS) -> tuple[D
         weights = new
         if moved < 1e-9:
             break
-    return tally(votes, weights), weights
+    kept = votes.select("*")
+    votes.unpersist()
+    return tally(kept, weights), weights

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..operators.operations import first_by
 
 
@@ -36,6 +37,42 @@ def links(pages: DataFrame) -> DataFrame:
     return pages.select("url", href.alias("href")).select("url", target.alias("target")).where(host(F.col("url")) == host(F.col("target")))
 
 
+def normalized(p: Column) -> Column:
+    """A path without . and .. parts and empty ones; .. at the top goes nowhere."""
+    step = lambda held, x: F.when((x == "") | (x == "."), held).when(x == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.concat(held, F.array(x)))
+    parts = F.aggregate(F.split(p, "/", -1), F.array().cast("array<string>"), step)
+    return let(parts, lambda x: F.concat(F.lit("/"), F.array_join(x, "/"), F.when(p.rlike(r"(^|/)\.{0,2}\z") & (F.size(x) > 0), "/").otherwise("")))
+
+
+def resolved(base: Column, href: Column) -> Column:
+    """An http address that a link on a page leads to, without its fragment and with . and .. resolved; null for other schemes."""
+    scheme, site = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*):", 1), F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+
+    def of(h: Column) -> Column:
+        tail = F.regexp_extract(h, r"(\?.*)?\z", 1)
+        bare = F.regexp_replace(h, r"\?.*\z", "")
+        around = F.regexp_extract(path(base), "^(.*/)", 1)
+        own = F.when(bare == "", path(base)).when(bare.startswith("/"), normalized(bare)).otherwise(normalized(F.concat(around, bare)))
+        inside = F.concat(site, own, tail)
+        return F.when(h.rlike("(?i)^https?://"), h).when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None).when(h.startswith("//"), F.concat(scheme, F.lit(":"), h)).when(h != "", inside)
+
+    return let(F.regexp_replace(F.trim(href), "#.*$", ""), of)
+
+
+def ordered_links(pages: DataFrame, limit: int) -> DataFrame:
+    """pages (url, html, ...) with target and place: links in page order, those to further pages of a list (next, a number, rel=next)
+    before others, each target once, `limit` of a page at most. They are ordered within the page's own array."""
+    anchor = F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^>]*>.*?(?:</a\s*>|\z)"), 0)
+    value = lambda x, name: F.coalesce(F.nullif(F.regexp_extract(x, rf"""(?is)^<a\b[^>]*?\b{name}\s*=\s*"([^"]*)\"""", 1), F.lit("")), F.regexp_extract(x, rf"""(?is)^<a\b[^>]*?\b{name}\s*=\s*'([^']*)'""", 1))
+    said = lambda x: F.lower(F.trim(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>", " "), r"\s+", " ")))
+    found = F.transform(anchor, lambda x, i: F.struct(i.alias("i"), value(x, "href").alias("href"), said(x).alias("said"), F.lower(value(x, "rel")).alias("rel")))
+    leads = lambda x: x["said"].isin("next", "next page", ">", "&gt;", "\u00bb", "&raquo;") | (x["rel"] == "next") | x["said"].rlike("^[0-9]{1,3}\\z")
+    placed = F.transform("found", lambda x: F.struct((~leads(x)).alias("later"), x["i"].alias("i"), resolved(F.col("url"), x["href"]).alias("target")))
+    targets = F.array_distinct(F.transform(F.filter(F.array_sort(placed), lambda x: x["target"].isNotNull()), lambda x: x["target"]))
+    rows = pages.withColumn("found", found).withColumn("targets", F.slice(targets, 1, limit))
+    return rows.select(*pages.columns, F.posexplode("targets").alias("place", "target"))
+
+
 def crawl(seeds: DataFrame, pages: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """Breadth-first over edges (url, target) from seeds (url): (url, depth) of reached pages, each body once (pages: url, body_hash).
 
