@@ -51,9 +51,9 @@ def property_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def county_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hundred properties that a county report would list first."""
+    """All properties in the order of a county report."""
     rows = comp.signals(property_events(spark, sf_dir), NOW).select("property_key", "due", "violations", F.lit(None).cast("double").alias("assessed"))
-    return comp.ranked(rows).limit(100).select("property_key", "due", "violations")
+    return comp.ranked(rows).select("property_key", "due", "violations")
 
 
 def county_document(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +205,7 @@ h as (select *, row_number() over (partition by property_key order by as_of desc
 p as (select b.property_key, b.current, arg_min(cast(substr(h.value, 2) as double), h.place) as previous from b join h on h.property_key = b.property_key and h.as_of <> b.as_of and cast(substr(h.value, 2) as double) > 0 group by all)
 select property_key, current, previous, round((current - previous) / previous, 6) as change from p where current > 0""",
     "property_signals": SQL_SIGNALS + "select * from l",
-    "county_ranking": SQL_SIGNALS + "select property_key, due, violations from l order by due desc, violations desc, property_key limit 100",
+    "county_ranking": SQL_SIGNALS + "select property_key, due, violations from l order by due desc, violations desc, property_key",
     "county_document": SQL_SIGNALS + "select property_key, due, auction_date, case when due > 0 then round(due / 1000.0, 6) end as debt_to_value from l where violations > 0",
     "parse_addresses": SQL_ADDRESS + "select property_key, concat_ws(' ', number, nullif(directional, ''), street, nullif(suffix, '')) as normal, number, street, suffix, directional, true as locatable from a",
     "entity_groups": SQL_ADDRESS + "select property_key, group_key from g",

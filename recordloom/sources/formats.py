@@ -1,6 +1,6 @@
 """Documents to records: format detection as columns, and one Arrow pass that parses a body into labelled cells.
 
-The parsers are small: the standard library reads JSON, CSV and deflate streams, the rest is regular expressions. Each gives
+The parsers are small: the standard library reads JSON, CSV, tags and deflate streams, the rest is regular expressions. Each gives
 a list of records, a record being a list of (label, value). What needs no parser (flat JSON, HTML projections, text tables of
 known shape) has native forms beside them.
 """
@@ -8,7 +8,6 @@ known shape) has native forms beside them.
 from __future__ import annotations
 
 import csv
-import html
 import io
 import json
 import re
@@ -21,8 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, lower, trim
+from . import tagsoup
 
 MAX_BYTES = 32 * 1024 * 1024
+DEEPEST = 64
 Record = list[tuple[str, str]]
 Json = dict | list | str | float | bool | None
 
@@ -92,8 +93,21 @@ def record_array(value: Json) -> list[dict]:
     return best[1]
 
 
+def depth(value: Json) -> int:
+    most, work = 0, [(value, 1)]
+    while work:
+        v, d = work.pop()
+        if isinstance(v, (dict, list)):
+            most = max(most, d)
+            work += [(x, d + 1) for x in (v.values() if isinstance(v, dict) else v)]
+    return most
+
+
 def parse_json(body: str) -> list[Record]:
-    return [flat(x) for x in record_array(json.loads(body))]
+    value = json.loads(body)
+    if depth(value) > DEEPEST:
+        raise ValueError(f"nested more than {DEEPEST} deep")
+    return [flat(x) for x in record_array(value)]
 
 
 # --- delimited and fixed-width text
@@ -128,56 +142,10 @@ def parse_lines(lines: list[str]) -> list[Record]:
     return [list(zip(names, r)) for i, r in enumerate(rows) if at is None or i > at]
 
 
-# --- HTML
-
-
-def text_of(markup: str) -> str:
-    return " ".join(html.unescape(re.sub(r"(?s)<[^>]*>", " ", markup)).split())
-
-
-def table_records(markup: str) -> list[Record]:
-    rows = [[(c.group(1).lower(), text_of(c.group(2))) for c in re.finditer(r"(?is)<(t[dh])\b[^>]*>(.*?)(?=<t[dhr]\b|</t(?:able|r|body|head)\b|\Z)", r)] for r in re.split(r"(?i)<tr\b[^>]*>", markup)[1:]]
-    rows = [r for r in rows if r]
-    if not rows:
-        return []
-    headed = all(k == "th" for k, _ in rows[0]) or not any(numeric(c) for _, c in rows[0])
-    names = [c or f"col_{i}" for i, (_, c) in enumerate(rows[0])] if headed else [f"col_{i}" for i in range(len(rows[0]))]
-    return [[(n, c) for n, (_, c) in zip(names, r)] for r in rows[1 if headed else 0 :] if len(r) >= 2]
-
-
-LABELLED = (
-    re.compile(r"""(?is)<(\w+)\b[^>]*\b(?:data-field|data-name|data-key|data-label|itemprop)\s*=\s*["']?([\w .-]+)["']?[^>]*>(.*?)</\1>"""),
-    re.compile(r"(?is)<(dt)\b[^>]*>(.*?)</dt>\s*<dd\b[^>]*>(.*?)</dd>"),
-    re.compile(r"(?is)<(b|strong)\b[^>]*>([^<]*?):?\s*</\1>\s*:?\s*([^<]+)"),
-    re.compile(r"""(?is)<(span|div|td|p)\b[^>]*\bclass\s*=\s*["']?([\w-]+)["']?[^>]*>([^<]+)</\1>"""),
-)
-
-
-def block_records(markup: str) -> list[Record]:
-    """Three or more elements of one tag and class, each with two or more labelled values; the best by blocks times cells."""
-    best: list[Record] = []
-    for tag, cls in Counter(re.findall(r"""(?i)<(article|div|section|li|tr)\b[^>]*\bclass\s*=\s*["']?([\w -]+)""", markup)):
-        blocks = re.split(rf"""(?i)<{tag}\b[^>]*\bclass\s*=\s*["']?{re.escape(cls)}["']?[^>]*>""", markup)[1:]
-        records = [[(text_of(m.group(2)), text_of(m.group(3))) for p in LABELLED for m in p.finditer(b)] for b in blocks]
-        records = [r for r in records if len(r) >= 2]
-        if len(records) >= 3 and len(records) * len(records[0]) > len(best) * len(best[0] if best else ()):
-            best = records
-    return best
-
-
-def parse_html(body: str) -> list[Record]:
-    clean = re.sub(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ", body)
-    tables = [table_records(t) for t in re.split(r"(?i)<table\b[^>]*>", clean)[1:]]
-    table = max(tables, key=lambda t: len(t) * len(t[0]) if t else 0, default=[])
-    blocks = block_records(clean)
-    area = lambda r: len(r) * len(r[0]) if r else 0
-    return table if area(table) >= area(blocks) else blocks
-
-
 # --- PDF
 
 
-SHOW = re.compile(rb"\((?:\\.|[^\\()])*\)\s*(?:Tj|')|\[(?:[^\]\\]|\\.)*\]\s*TJ|T\*|T[dD]\b|BT\b")
+SHOW = re.compile(rb"\((?:\\.|[^\\()])*\)\s*(?:Tj|'|\")|\[(?:[^\]\\]|\\.)*\]\s*TJ|T\*|T[dDm]\b|BT\b")
 STRING = re.compile(rb"\(((?:\\.|[^\\()])*)\)|(-?\d+(?:\.\d+)?)")
 ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
@@ -190,7 +158,10 @@ def pdf_lines(body: bytes) -> list[str]:
     for m in re.finditer(rb"(?s)<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", body):
         if b"/Image" in m.group(1) or (b"/Filter" in m.group(1) and b"FlateDecode" not in m.group(1)):
             continue
-        data = zlib.decompress(m.group(2)) if b"FlateDecode" in m.group(1) else m.group(2)
+        try:
+            data = zlib.decompressobj().decompress(m.group(2)) if b"FlateDecode" in m.group(1) else m.group(2)
+        except zlib.error:
+            continue  # one corrupt stream leaves the others
         line = ""
         for op in SHOW.finditer(data):
             token = op.group()
@@ -204,12 +175,13 @@ def pdf_lines(body: bytes) -> list[str]:
     return lines
 
 
-PARSERS = {"json": parse_json, "csv": parse_csv, "html": parse_html, "text": lambda b: parse_lines(b.split("\n")), "pdf": lambda b: parse_lines(pdf_lines(b.encode("latin-1", "replace")))}
+PARSERS = {"json": parse_json, "csv": parse_csv, "html": tagsoup.records, "text": lambda b: parse_lines(b.split("\n")), "pdf": lambda b: parse_lines(pdf_lines(b if isinstance(b, bytes) else b.encode("latin-1", "replace")))}
 
 
 def parse_documents(docs: DataFrame) -> DataFrame:
     """docs (source_id, content_type, body) as cells (source_id, format, record, label_ord, label, value, error).
 
+    body: text, or binary as files and responses have it; a PDF's bytes reach its reader as they are, others are read as UTF-8.
     A body that can't be parsed gives one row with an error and no cell. label_ord is the place of a label's first appearance.
     """
 
@@ -217,6 +189,8 @@ def parse_documents(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for source, kind, body in zip(batch["source_id"], batch["format"], batch["body"], strict=True):
+                if isinstance(body, (bytes, bytearray)):
+                    body = bytes(body) if kind == "pdf" else bytes(body).decode("utf-8", "replace")
                 try:
                     records, error = PARSERS[kind](body) if kind in PARSERS else [], None
                 except (ValueError, RecursionError, zlib.error, csv.Error) as e:
@@ -226,7 +200,13 @@ def parse_documents(docs: DataFrame) -> DataFrame:
                 out += rows or [(source, kind, None, None, None, None, error or "no records")]
             yield pd.DataFrame(out, columns=["source_id", "format", "record", "label_ord", "label", "value", "error"]).astype({"record": "Int64", "label_ord": "Int32"})
 
-    typed = docs.withColumn("format", detect_format(F.col("content_type"), F.col("body"))).select("source_id", "format", "body")
+    if dict(docs.dtypes)["body"] == "binary":
+        large = F.octet_length("body") > MAX_BYTES
+        shown = F.when(~large, F.decode(F.col("body"), "ISO-8859-1"))  # no byte fails: PDFs are told by their first ones
+        typed = docs.withColumn("format", F.when(shown.startswith("%PDF-"), "pdf").otherwise(detect_format(F.col("content_type"), F.when(~large, F.try_validate_utf8(F.col("body").cast("string"))))))
+        typed = typed.select("source_id", "format", "body")
+    else:
+        typed = docs.withColumn("format", detect_format(F.col("content_type"), F.col("body"))).select("source_id", "format", "body")
     return typed.mapInPandas(run, "source_id string, format string, record long, label_ord int, label string, value string, error string")
 
 

@@ -26,15 +26,26 @@ def distinct_events(stream: DataFrame, watermark: str = "", time_col: str = "see
     return stream.withWatermark(time_col, watermark).dropDuplicatesWithinWatermark(["id"]) if watermark else stream.dropDuplicates(["id"])
 
 
+def county_of(rows: DataFrame) -> DataFrame:
+    """rows with the county that the store has a folder for: a batch reads the folders of its own counties only."""
+    return rows.withColumn("county", F.substring_index("property_key", "|", 1))
+
+
+def stored_near(batch: DataFrame, store: str) -> DataFrame:
+    """The stored events of the batch's counties, whose names (a few thousand at most) prune the store's folders."""
+    counties = [r["county"] for r in batch.select("county").distinct().collect()]
+    return batch.sparkSession.read.parquet(store).where(F.col("county").isin(counties))
+
+
 def append_new(store: str, key: str = "id") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: rows whose key isn't stored yet are appended. A batch that is replayed after a failure adds nothing."""
+    """A foreachBatch sink: rows whose key isn't stored yet are appended, by county. A batch that is replayed after a failure adds
+    nothing. An event's key is its content's, so it can only be stored in its own county."""
 
     def sink(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = first_by(batch, [key], "recorded_at")
-        if stored(spark, store):
-            fresh = fresh.join(spark.read.parquet(store).select(key), key, "left_anti")
-        fresh.write.mode("append").parquet(store)
+        fresh = first_by(county_of(batch), [key], "recorded_at")
+        if stored(batch.sparkSession, store):
+            fresh = fresh.join(stored_near(county_of(batch), store).select(key), key, "left_anti")
+        fresh.write.mode("append").partitionBy("county").parquet(store)
 
     return sink
 
@@ -50,9 +61,8 @@ def keep_states(store: str, states: str) -> Callable[[DataFrame, int], None]:
 
     def sink(batch: DataFrame, number: int) -> None:
         append(batch, number)
-        spark = batch.sparkSession
         touched = batch.select("property_key").distinct()
-        now = lifecycle.states(spark.read.parquet(store).join(touched, "property_key", "left_semi"))
+        now = lifecycle.states(stored_near(county_of(batch), store).join(touched, "property_key", "left_semi"))
         now.withColumn("batch", F.lit(number)).write.mode("append").parquet(states)
 
     return sink

@@ -112,3 +112,42 @@ def test_bodies_of_a_large_group_are_cut(spark, tmp_path, monkeypatch):
     got = {(r["format"], r["label"]): (r["cells"], r["documents"]) for r in queries_documents.parsed_bodies(spark, str(tmp_path)).collect()}
     assert got["json", "event_id"] == got["json", "value"] == got["json", "who.user_id"] == (n, 3)
     assert {f for f, _ in got} == {"json", "text"} and got["text", None][1] == 3
+
+
+def test_tag_soup():
+    from recordloom.sources import tagsoup
+
+    rows = tagsoup.parse("<table><tr><td>a<td>b<tr><td>c<td>d</table>").find("tr")
+    assert [[c.text() for c in r.elements()] for r in rows] == [["a", "b"], ["c", "d"]]
+    stray = tagsoup.parse("<div>a</span></div><p>b</p>")
+    assert len(stray.find("div")) == 1 and stray.text() == "a b"
+    cell = tagsoup.parse('<td class="Owner-Name main" data-field=taxpayer>Smith &amp; Sons&#44; LLC</td>').find("td")[0]
+    assert cell.signature() == "td.main.owner-name" and cell.text() == "Smith & Sons, LLC" and cell.attributes["data-field"] == "taxpayer"
+    raw = tagsoup.parse('<script>if (a < b) { render("<td>"); }</script><!-- <td>x</td> --><br><img src="a.png"><p>visible</p>')
+    assert not raw.find("td") and len(raw.find("p")) == 1 and raw.text() == "visible"
+    div = tagsoup.parse("<div><span>Owner:</span> Jane Smith</div>").find("div")[0]
+    assert div.own_text() == "Jane Smith" and div.text() == "Owner: Jane Smith"
+    assert len(tagsoup.parse("<div>" * 50_000 + "deep").find("div")) == 50_000
+
+
+def test_nested_tables_and_repeated_blocks():
+    from recordloom.sources import tagsoup
+
+    nested = "<table><tr><th>Parcel<th>Due</tr><tr><td>12-1<td>$5 <table><tr><td>x<td>y</table></tr><tr><td>12-2<td>$6</tr></table>"
+    assert tagsoup.records(nested) == [[("Parcel", "12-1"), ("Due", "$5 x y")], [("Parcel", "12-2"), ("Due", "$6")]]
+    bare = "<table><tr><td>1<td>2</tr><tr><td>3<td></tr></table>"
+    assert tagsoup.records(bare) == [[("col_1", "1"), ("col_2", "2")], [("col_1", "3")]]
+    block = lambda i: f'<li class="b a"><dl><dt>Case<dd>CE-{i}</dl><p><b>Owner:</b> Ann {i}</p><span class="value status">open</span><i>Parcel: 04-11{i}</i></li>'
+    got = tagsoup.records("<ul>" + "".join(map(block, range(3))) + '<li class="other">x</li></ul>')
+    assert got[1] == [("Case", "CE-1"), ("Owner", "Ann 1"), ("status", "open"), ("Parcel", "04-111")] and len(got) == 3
+
+
+def test_binary_bodies_and_corrupt_streams(spark):
+    good = pdf(["Parcel    Due", "1-001    $5", "1-002    $6", "1-003    (7)"], True).encode("latin-1")
+    broken = b"%PDF-1.4\n<< /Filter /FlateDecode >>\nstream\nnot deflated\nendstream\n" + good
+    deep = b"[" * 80 + b"{}" + b"]" * 80
+    rows = [("pdf", "", good), ("broken", "", broken), ("json", "", b'[{"a": "\xc3\xa9", "b": 1}]'), ("deep", "", deep), ("none", "", None)]
+    got = formats.parse_documents(spark.createDataFrame(rows, "source_id string, content_type string, body binary")).toPandas()
+    value = lambda s, label: list(got[(got.source_id == s) & (got.label == label)].value)
+    assert value("pdf", "Due") == ["$5", "$6", "(7)"] == value("broken", "Due") and value("json", "a") == ["é"]
+    assert "deep" in got[got.source_id == "deep"].error.iat[0] and got[got.source_id == "none"].error.iat[0] == "no records"
