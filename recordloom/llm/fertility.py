@@ -173,8 +173,8 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def with_verdict(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of docs that quality_rules keeps, with the columns of docs. Identifiers are taken to be unique up to
-    repeated rows: of rows with one identifier all stay or go (they go if any is rejected)."""
-    id_col = str(options.get("id_col", "doc_id"))
-    gone = quality_rules(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of docs that quality_rules keeps, with the columns of docs. Rows are told apart by identifier, text and language, so
+    those that share an identifier are judged one by one."""
+    key = F.xxhash64(*[F.col(f"`{options.get(c, d)}`") for c, d in (("id_col", "doc_id"), ("text_col", "text"), ("lang_col", "lang"))])
+    judged = quality_rules(docs.withColumn("__judged", key), **options | {"id_col": "__judged"})
+    return docs.join(judged.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), key == F.col("__gone"), "left_anti")

@@ -196,7 +196,8 @@ def severity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def harmless(docs: DataFrame, model: Model, **options: str) -> DataFrame:
-    """The rows of docs that aren't toxic, with the columns of docs; of rows with one identifier all stay or go."""
-    key = F.col(f"`{options.get('id_col', 'doc_id')}`").cast("long")
-    gone = severity(docs, model, **options).where("toxic").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, key.eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of docs that aren't toxic, with the columns of docs. Rows are told apart by identifier and text, so those that
+    share an identifier are judged one by one."""
+    key = F.xxhash64(*[F.col(f"`{options.get(c, d)}`") for c, d in (("id_col", "doc_id"), ("text_col", "text"))])
+    judged = severity(docs.withColumn("__judged", key), model, **options | {"id_col": "__judged"})
+    return docs.join(judged.where("toxic").select(F.col("doc_id").alias("__gone")).distinct(), key == F.col("__gone"), "left_anti")
