@@ -83,18 +83,20 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
     them gets which slot isn't fixed. An empty table gives an empty one.
     """
     size = F.coalesce(length.cast("long"), F.lit(0).cast("long")) if length is not None else n_words(F.col(f"`{text_col}`"))
-    rows = docs.withColumn("__pack_len", size)
-    histogram = rows.groupBy(length_bin(F.col("__pack_len")).alias("bin")).agg(F.max("__pack_len").alias("longest"), F.count("*").alias("n"), F.sum("__pack_len").alias("tokens"))
+    order = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col("__pack_len"))
+    rows = docs.withColumn("__pack_len", size).withColumn("__pack_order", order)
+    lengths = written(rows.select("__pack_len", "__pack_order"))  # so that texts are read twice only, here and for the result
+    histogram = lengths.groupBy(length_bin(F.col("__pack_len")).alias("bin")).agg(F.max("__pack_len").alias("longest"), F.count("*").alias("n"), F.sum("__pack_len").alias("tokens"))
     bins = sorted((r["longest"], r["n"], r["tokens"]) for r in histogram.collect())  # bounded: see length_bin
     ends = optimal_boundaries([b[0] for b in bins], [b[1] for b in bins], [b[2] for b in bins], buckets) or [0]
     total = sum(b[1] for b in bins)
     chunks = max(1, math.ceil(total / CHUNK_ROWS))
     bucket = sum((F.col("__pack_len") > e).cast("int") for e in ends[:-1]) if len(ends) > 1 else F.lit(0)
     bucket_len = F.element_at(F.array(*[F.lit(e).cast("long") for e in ends]), F.col("__pack_bucket") + 1)
-    order = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col("__pack_len"))
-    rows = rows.withColumn("__pack_bucket", bucket).withColumn("__pack_order", order).withColumn("__pack_chunk", F.pmod(F.shiftright("__pack_order", 20), F.lit(chunks)).cast("int"))
+    placed = {"__pack_bucket": bucket if isinstance(bucket, Column) else F.lit(bucket), "__pack_chunk": F.pmod(F.shiftright("__pack_order", 20), F.lit(chunks)).cast("int")}
+    rows = rows.withColumns(placed)
     before = Window.partitionBy("bucket_of").orderBy("chunk_of").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(F.col("__pack_bucket").alias("bucket_of"), F.col("__pack_chunk").alias("chunk_of")).agg(F.count("*").alias("n"))
+    sizes = lengths.withColumns(placed).groupBy(F.col("__pack_bucket").alias("bucket_of"), F.col("__pack_chunk").alias("chunk_of")).agg(F.count("*").alias("n"))
     offsets = written(sizes.select("bucket_of", "chunk_of", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__pack_offset")))
     within = Window.partitionBy("__pack_bucket", "__pack_chunk").orderBy("__pack_order", F.col(f"`{id_col}`"))
     rows = rows.withColumn("__pack_row", F.row_number().over(within))
