@@ -25,6 +25,8 @@ from .text import join_small, written
 CURVES, DIMS, BITS = 4, 8, 7
 #: Classes of a block of ranks, and queries that meet it at once, about; classes that scales and the window are fitted on.
 BLOCK, ASKS, FITTED, TUNED = 4096, 4096, 2000, 96
+#: Queries whose distances to a block are held at once.
+AT_ONCE = 256
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -157,9 +159,12 @@ def neighbours(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
         q, v = group[group["asks"]], group[~group["asks"]]
         found = []
         if len(q) and len(v):
-            allowed = np.abs(q["rank"].to_numpy()[:, None] - v["rank"].to_numpy()[None]) <= window
-            for i, ids, d in nearest(stacked(q["vec"]), stacked(v["vec"]), v["cls"].to_numpy(), allowed, k + 1):
-                found.append(pd.DataFrame({"asker": q["cls"].iat[i], "cls": ids, "score": d}))
+            vectors, ids, ranked_at = stacked(v["vec"]), v["cls"].to_numpy(), v["rank"].to_numpy()
+            for at in range(0, len(q), AT_ONCE):
+                some = q.iloc[at : at + AT_ONCE]
+                allowed = np.abs(some["rank"].to_numpy()[:, None] - ranked_at[None]) <= window
+                for i, near_ids, d in nearest(stacked(some["vec"]), vectors, ids, allowed, k + 1):
+                    found.append(pd.DataFrame({"asker": some["cls"].iat[i], "cls": near_ids, "score": d}))
         return pd.concat(found) if found else pd.DataFrame({"asker": pd.Series(dtype="int64"), "cls": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     found = given.union(asking).groupBy("curve", "block", "slice").applyInPandas(block, "asker long, cls long, score double")
