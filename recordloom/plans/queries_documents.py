@@ -171,7 +171,7 @@ def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def api_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return web.paged(table(spark, sf_dir, "orders"), 1000, 5000)
+    return web.paged(table(spark, sf_dir, "orders").select("o_orderkey"), 1000)
 
 
 def turn_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,8 +252,8 @@ n as (select class, (select count(*) from p where truth = class) as t, (select c
 r as (select class, case when g > 0 then tp / g else 0.0 end as precision, case when t > 0 then tp / t else 0.0 end as recall, t as support from n)
 select class, round(precision, 6) as precision, round(recall, 6) as recall, round(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0.0 end, 6) as f1, support from r""",
     "json_flatten": "select event_id, key as label, json_extract_string(props, '$.' || key) as value from (select event_id, props, unnest(json_keys(props)) as key from events)",
-    "api_pages": """with n as (select least(count(*), 5000) as upto from orders), p as (select upto, unnest(range(0, cast(upto // 1000 as bigint) + 1)) as page from n)
-select cast(page as integer) as page, least(1000, upto - page * 1000) as n, case when (page + 1) * 1000 >= 5000 then 'truncated' when upto - page * 1000 < 1000 then 'short' else 'next' end as stop from p where page * 1000 < 5000""",
+    "api_pages": """with n as (select count(*) as upto from orders), p as (select upto, unnest(range(0, cast(upto // 1000 as bigint) + 1)) as page from n)
+select cast(page as integer) as page, least(1000, upto - page * 1000) as n, case when upto - page * 1000 < 1000 then 'short' else 'next' end as stop from p""",
     "turn_compaction": """with c as (select *, count(*) over (partition by conv_id) as n, row_number() over (partition by conv_id order by turn, role, text) as pos from conversations),
 f as (select conv_id, count(*) filter (n <= 4 or pos > n - 2) as kept, coalesce(string_agg(role || ': ' || text, chr(10) order by pos) filter (n > 4 and pos <= n - 2), '') as summary from c group by conv_id)
 select conv_id, kept, right(summary, 2400) as summary from f""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
@@ -89,12 +89,21 @@ def crawl(seeds: DataFrame, pages: DataFrame, edges: DataFrame, max_depth: int)
     return first_by(reached, ["body_hash"], "depth", "url").select("url", "depth")
 
 
-def paged(rows: DataFrame, page: int, cap: int) -> DataFrame:
-    """(page, n, stop): how offset paging of all rows ends: the cap truncates first, then a short page stops it. From the count
-    alone, as each page's size follows from it."""
-    total = rows.agg(F.count("*").alias("total"))
-    upto = F.least(F.col("total"), F.lit(cap))
-    at = total.select(upto.alias("upto"), F.explode(F.sequence(F.lit(0), F.floor(upto / page).cast("int"))).alias("page"))
-    n = F.least(F.lit(page), F.col("upto") - F.col("page") * page)
-    stop = F.when((F.col("page") + 1) * page >= cap, "truncated").when(n < page, "short").otherwise("next")
-    return at.select("page", n.cast("long").alias("n"), stop.alias("stop")).where(F.col("page") * page < cap)
+def paged(rows: DataFrame, page: int, cap: int | None = None) -> DataFrame:
+    """(page, n, stop): offset paging of all rows, which ends with a page that isn't full, or at `cap` rows as truncated. Each
+    partition's rows fall on the pages that its place among the others gives, so no row is numbered or moved."""
+    parts = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = parts.select(before.alias("first"), (before + F.col("n")).alias("end"))  # one row for each partition
+    if cap is not None:
+        ends = ends.select("first", F.least("end", F.lit(cap)).alias("end"))
+    last = ends.agg(F.coalesce(F.max("end"), F.lit(0)).alias("end")).select(F.col("end").alias("first"), "end")  # a full last page is followed by an empty one
+    pages = F.explode(F.sequence(F.floor(F.col("first") / page), F.floor(F.greatest(F.col("end") - 1, F.col("first")) / page)))
+    each = ends.where("end > first").union(last).select("first", "end", pages.alias("page"))
+    held = F.least("end", (F.col("page") + 1) * page) - F.greatest("first", F.col("page") * page)
+    n = each.groupBy(F.col("page").cast("int").alias("page")).agg(F.sum(held).alias("n"))
+    stop = F.when(F.col("n") < page, "short").otherwise("next")
+    if cap is not None:
+        n = n.where(F.col("page") * page < cap)
+        stop = F.when((F.col("page") + 1) * page >= cap, "truncated").otherwise(stop)
+    return n.select("page", "n", stop.alias("stop"))
