@@ -358,4 +358,14 @@ s as (select c.*, ln(c.docs / ((select all_docs from a) - 1)) + coalesce(z.known
 g as (select *, row_number() over (partition by doc, alpha order by score desc, class) as n from s),
 r as (select alpha, turn, count(*) as examples, round(avg(case when class = truth then 1.0 else 0.0 end), 9) as accuracy from g where n = 1 group by all)
 select alpha, examples, accuracy, row_number() over (order by accuracy desc, turn) = 1 as best, accuracy >= 0.8 and examples >= 8 as passes from r""",
+    "page_links": r"""with a as (select page_id, url, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*>.*?(?:</a\s*>|\z)')) as x, generate_subscripts(regexp_extract_all(html, '(?is)<a\b[^>]*>.*?(?:</a\s*>|\z)'), 1) as i from pages),
+b as (select *, regexp_replace(trim(regexp_extract(x, '(?is)^<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1)), '#.*$', '') as h,
+  lower(trim(regexp_replace(regexp_replace(x, '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) as said, lower(regexp_extract(x, '(?is)^<a\b[^>]*?\brel\s*=\s*["'']([^"'']*)["'']', 1)) as rel,
+  regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) as site, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)?', 1) as p from a),
+d as (select page_id, i, not (said in ('next', 'next page', '>', '&gt;', '»', '&raquo;') or rel = 'next' or regexp_matches(said, '^[0-9]{1,3}$')) as later,
+  case when regexp_matches(h, '(?i)^https?://') then h when h = '' or regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') then null when starts_with(h, '//') then regexp_extract(site, '^[^:]*:') || h when starts_with(h, '/') then site || h
+  else site || regexp_extract(case when p = '' then '/' else p end, '^(.*/)', 1) || h end as target from b),
+e as (select page_id, target, min(later::int * 1000000 + i) as pos from d where target is not null group by all),
+f as (select page_id, cast(row_number() over (partition by page_id order by pos) - 1 as integer) as place, target from e)
+select page_id, place, target from f where place < 40""",
 }
