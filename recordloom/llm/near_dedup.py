@@ -211,8 +211,8 @@ def candidates(reps: DataFrame, trees: int, small: int, branches: float, depth:
     """Edges (a, b) between representatives that may be links; components of them hold every link."""
     token = lambda paths, i: F.element_at(paths, i + 1)
     # equal sketches branch alike for ever: one of each stands for all, joined to it by an edge
-    same = reps.groupBy(F.xxhash64("marks", "paths").alias("mark")).agg(F.min("rep").alias("head"), F.count("*").alias("n"))
-    same = reps.select("rep", F.xxhash64("marks", "paths").alias("mark")).join(same.where("n > 1"), "mark").where("rep != head")
+    shared = written(reps.groupBy(F.xxhash64("marks", "paths").alias("of_mark")).agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1"))
+    same = join_small(reps.select("rep", F.xxhash64("marks", "paths").alias("mark")), shared, F.col("mark") == F.col("of_mark"), "inner").where("rep != head")
     edges = [same.select(F.col("rep").alias("a"), F.col("head").alias("b"))]
     heads = written(reps.join(same.select("rep"), "rep", "left_anti"))
     level = heads.select("rep", F.posexplode(F.slice("paths", 1, trees)).alias("tree", "token")).select(F.xxhash64("tree", "token").alias("key"), "rep")
