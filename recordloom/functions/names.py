@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .similarity import similarity
-from .text import let, lower, trim, words
+from .text import let, lower, words
 
 # The least similarity of one owner's names; where links lead.
 SAME_OWNER = 0.93
@@ -122,10 +122,27 @@ def iso_from_unix(seconds: Column) -> Column:
     return F.concat(day, F.lit("T"), two(F.floor(rest / 3600)), F.lit(":"), two(F.floor(rest / 60) % 60), F.lit(":"), two(rest % 60), F.lit("Z"))
 
 
+def plain_number(value: Column) -> Column:
+    """A number without a needless fraction."""
+    return F.when((value == F.floor(value)) & (F.abs(value) < 1e15), value.cast("long").cast("string")).otherwise(value.cast("string"))
+
+
 def shown(kind: str, value: Column) -> Column:
-    """A signal as text: money in whole dollars, ratio in whole per cent, days with their unit, counts plainly."""
+    """A signal as text: money in whole dollars, a ratio with x, days with their unit, others plainly."""
     if kind == "money":
-        return F.concat(F.lit("$"), F.format_number(F.round(value), 0))
-    if kind == "ratio":
-        return F.concat(F.round(value * 100).cast("long").cast("string"), F.lit("%"))
-    return F.concat(F.round(value).cast("long").cast("string"), F.lit(" days")) if kind == "days" else trim(F.format_number(value, "0.##########"))
+        return F.concat(F.lit("$"), F.format_number(F.floor(value + 0.5), 0))
+    if kind == "days":
+        return F.concat(plain_number(value), F.when(value == 1, " day").otherwise(" days"))
+    return F.concat(plain_number(value), F.lit("x")) if kind == "ratio" else plain_number(value)
+
+
+# How comparisons read.
+READS = {"gte": "at least", "gt": "more than", "lte": "at most", "lt": "less than", "eq": "exactly"}
+
+
+def explained(label: str, kind: str, op: str, needed: float, actual: Column) -> Column:
+    """Why a property meets a condition or not."""
+    need = F.concat(F.lit(f"(needs {READS[op]} "), shown(kind, F.lit(float(needed))), F.lit(")"))
+    met = {"gte": actual >= needed, "gt": actual > needed, "lte": actual <= needed, "lt": actual < needed, "eq": actual == needed}[op]
+    told = F.concat(F.when(met, "\u2713 ").otherwise("\u2717 "), F.lit(f"{label} "), shown(kind, actual), F.lit(" "), need)
+    return F.when(actual.isNull(), F.concat(F.lit(f"\u2717 {label} is not measured for this property "), need)).otherwise(told)

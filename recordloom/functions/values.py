@@ -16,6 +16,7 @@ WEAK = ("name", "address", "status", "text")
 
 MONEY = r"^(?=[^.]*\.?[^.]*$)(?=[^$]*\$?[^$]*$)(?:[., $-]*[0-9][0-9., $]*|[., $-]*\([., $-]*[0-9][0-9., $]*\)[0-9., $]*)\z"
 NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
+HEX = r"^([+-]?)0[xX]([0-9a-fA-F]*)\.?([0-9a-fA-F]*)(?:[pP]([+-]?[0-9]+))?\z"
 TWO = r"[ ]*(\+[0-9]|[0-9]{1,2}+)"
 YEAR_FIRST = rf"^([0-9]{{1,4}}+)([-/]){TWO}\2{TWO}(?:\z|[T ]([ ]*[0-9]{{1,2}}+:[ ]*[0-9]{{1,2}}+))"
 YEAR_LAST = rf"^([0-9]{{1,2}}+)([-/]){TWO}\2[ ]*([0-9]{{1,4}}+)(?:\z|[T ]([ ]*[0-9]{{1,2}}+:[ ]*[0-9]{{1,2}}+))"
@@ -71,6 +72,14 @@ def validate(kind: str, c: Column, low: float | None = None, high: float | None
     return let(trim(F.coalesce(c, F.lit(""))), lambda v: plausible(kind, v, low, high))
 
 
+def hexadecimal(v: Column) -> Column:
+    """The value of a hexadecimal number, which may have a fraction and a power of two."""
+    part = lambda i: F.regexp_extract(v, HEX, i)
+    digits = F.conv(F.concat(F.lit("0"), part(2), part(3)), 16, 10).try_cast("double")
+    scale = F.pow(F.lit(2.0), F.coalesce(part(4).try_cast("double"), F.lit(0.0)) - 4 * F.length(part(3)))
+    return digits * scale * F.when(part(1) == "-", -1).otherwise(1)
+
+
 def plausible(kind: str, v: Column, low: float | None, high: float | None) -> Column:
     n, digits, alpha = F.octet_length(v), digits_in(v), v.rlike("[A-Za-z]")
     if kind == "id":
@@ -91,8 +100,8 @@ def plausible(kind: str, v: Column, low: float | None, high: float | None) -> Co
         domain = F.substring_index(v, "@", -1)
         good = n.between(6, 254) & v.rlike(r"^[^@ ]+@[^@ ]*\z") & domain.rlike(r"^.+\.[^.]{2,}\z")
     elif kind == "number":
-        good = (n <= 40) & v.rlike(NUMBER)
-        x = F.when(good, v.try_cast("double"))
+        good = (n <= 40) & (v.rlike(NUMBER) | (v.rlike(HEX) & v.rlike("[xX]\\.?[0-9a-fA-F]")))
+        x = F.when(v.rlike(NUMBER), v.try_cast("double")).when(good, hexadecimal(v))
         good = good & (F.abs(x) < float("inf")) & ((x >= low) if low is not None else F.lit(True)) & ((x <= high) if high is not None else F.lit(True))
     elif kind == "phone":
         good = digits.between(10, 15) & v.rlike(r"^[-0-9() +.xX]*\z")

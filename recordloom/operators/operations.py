@@ -53,6 +53,17 @@ def freshness(sources: DataFrame, runs: DataFrame, now_epoch: int, stale_hours:
     return sources.join(last, "source_id", "left").select("source_id", age.alias("age_hours"), F.when(F.col("last_epoch").isNull(), "undated").when(age > stale_hours, "stale").otherwise("ok").alias("status"))
 
 
+def record_ages(sources: DataFrame, runs: DataFrame, now_epoch: int, stale_hours: float = 48.0) -> DataFrame:
+    """Each source's latest run (source_id, seq, ok, finished_epoch, newest_epoch) by two ages: of the fetch, and of its newest record.
+
+    verdict: pending without a run, failed, unchanged if no record is dated, ok also for records of the future, review for rows
+    older than stale_hours, which a fetch that succeeds may still bring."""
+    last = first_by(runs, ["source_id"], F.desc("seq"))
+    age = lambda c: (F.lit(now_epoch) - F.col(c)) / 3600.0
+    verdict = F.when(F.col("ok").isNull(), "pending").when(~F.col("ok"), "failed").when(F.col("newest_epoch").isNull(), "unchanged").when(age("newest_epoch") > stale_hours, "review").otherwise("ok")
+    return sources.select("source_id").join(last, "source_id", "left").select("source_id", age("finished_epoch").alias("fetch_age"), age("newest_epoch").alias("record_age"), verdict.alias("verdict"))
+
+
 def baselines(runs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """(source_id, baseline, good_runs): smoothed rate of each source's runs in order of `seq`; an accepted repair starts anew.
     A source's runs are folded as an array of (seq, rate, repaired)."""
@@ -80,21 +91,25 @@ def repairs(proposals: DataFrame) -> DataFrame:
     return p.withColumn("resolution", F.when(good, "accepted").otherwise("queued"))
 
 
-def host_budget(requests: DataFrame, per_window: int = 60, window_s: int = 60) -> DataFrame:
-    """(host, at_s, id, allowed): replay of a budget per host whose window starts on the first request after the last one
+def host_budget(requests: DataFrame, per_window: int = 60, window_s: int = 60, gap_s: float = 0.0) -> DataFrame:
+    """(host, at_s, id, allowed, wait_s): replay of a budget per host whose window starts on the first request after the last one
     ended. Each window's start depends on the one before, so a host's requests are walked in order of time; the walk reads
-    sorted batches and holds a host's window only, never its requests."""
+    sorted batches and holds a host's window only, never its requests. wait_s: what an allowed request waits so that it comes gap_s
+    after the one before; null for others."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        host, opened, used = None, 0, 0
+        host, opened, used, last = None, 0, 0, None
         for b in batches:
-            out = []
+            out, waits = [], []
             for h, at in zip(b["host"], b["at_s"], strict=True):
+                last = last if h == host else None
                 if h != host or at >= opened + window_s:
                     host, opened, used = h, at, 0
                 out.append(used < per_window)
                 used += out[-1]
-            yield b.assign(allowed=out)
+                waits.append((max(0.0, gap_s - (at - last)) if last is not None else 0.0) if out[-1] else None)
+                last = at + waits[-1] if out[-1] else last
+            yield b.assign(allowed=out, wait_s=pd.Series(waits, dtype="float64").to_numpy())
 
     rows = requests.select(F.col("host").cast("string").alias("host"), F.col("at_s").cast("long").alias("at_s"), F.col("id").cast("long").alias("id"))
-    return rows.repartition("host").sortWithinPartitions("host", "at_s", "id").mapInPandas(walk, "host string, at_s long, id long, allowed boolean")
+    return rows.repartition("host").sortWithinPartitions("host", "at_s", "id").mapInPandas(walk, "host string, at_s long, id long, allowed boolean, wait_s double")

@@ -83,7 +83,7 @@ def repair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rate_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return ops.host_budget(e.select((F.col("user_id") % 25).cast("string").alias("host"), F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 10).cast("long").alias("at_s"), F.col("event_id").alias("id")), per_window=5, window_s=600)
+    return ops.host_budget(e.select((F.col("user_id") % 25).cast("string").alias("host"), F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 10).cast("long").alias("at_s"), F.col("event_id").alias("id")), per_window=5, window_s=600).select("host", "at_s", "id", "allowed")
 
 
 def counties_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

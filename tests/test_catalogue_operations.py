@@ -27,8 +27,9 @@ def test_stamps(spark):
 
 def test_shown_values(spark):
     assert column(spark, [1234567.5, None], lambda c: names.shown("money", c), "double") == ["$1,234,568", None]
-    assert column(spark, [0.256], lambda c: names.shown("ratio", c), "double") == ["26%"]
-    assert column(spark, [30.0], lambda c: names.shown("days", c), "double") == ["30 days"]
+    assert column(spark, [0.25, 2.0], lambda c: names.shown("ratio", c), "double") == ["0.25x", "2x"]
+    assert column(spark, [30.0, 1.0], lambda c: names.shown("days", c), "double") == ["30 days", "1 day"]
+    assert column(spark, [3.0, None, 1.0], lambda c: names.explained("violations", "count", "gte", 2, c), "double") == ["\u2713 violations 3 (needs at least 2)", "\u2717 violations is not measured for this property (needs at least 2)", "\u2717 violations 1 (needs at least 2)"]
 
 
 def test_paths_and_links(spark):
@@ -123,3 +124,97 @@ def test_sweep_takes_the_first_best(spark, alphas):
     labels = d.select("doc", "class")
     got = classify.sweep(labels, bag, *classify.train(bag, labels), alphas).collect()
     assert [r["alpha"] for r in got if r["best"]] == [alphas[0]] and all(r["accuracy"] == 1.0 and r["passes"] for r in got)
+
+
+def test_numbers_in_c_forms(spark):
+    from recordloom.functions import values
+
+    rows = ["0x10", "-0X1.8p1", "0x", "0x.", "1e5", "inf", "nan", "1d", "0x1G", ".5", "0x.8"]
+    assert column(spark, rows, lambda c: values.validate("number", c)) == [True, True, False, False, True, False, False, False, False, True, True]
+    assert column(spark, ["0x10", "0x11", "-0x1.8p1"], lambda c: values.validate("number", c, -3.0, 16.0)) == [True, False, True]
+
+
+def test_profiles_and_their_next_question(spark):
+    from recordloom.operators import profiles
+
+    empty = spark.createDataFrame([], "id long, " + profiles.PROFILE)
+    update = "id long, " + profiles.PROFILE + ", any_event_age boolean"
+    none = (None,) * 8
+    first = profiles.updated(empty, spark.createDataFrame([(1, None, "elm_va", *none[2:], None), (2, *none, None)], update), "id")
+    ask = lambda p: {r["id"]: r["q"] for r in p.select("id", profiles.next_field().alias("q")).collect()}
+    assert ask(first) == {1: "min_owed", 2: "county"}
+    then = profiles.updated(first, spark.createDataFrame([(1, None, None, 5.0, 0.0, "any", 30, None, None, None)], update), "id")
+    assert ask(then)[1] == "require_approval" and then.where("id = 1").first()["markets"] == ["elm_va"]
+    freed = profiles.updated(then, spark.createDataFrame([(1, ["a", "b"], None, None, None, None, None, None, True, True)], update), "id", defaults=True)
+    got = {r["id"]: r for r in freed.collect()}
+    assert ask(freed) == {1: None, 2: "county"} and got[1]["county"] == "a" and got[1]["max_days"] is None and got[1]["min_owed"] == 5.0 and got[2]["evidence"] == "multiple_sources"
+
+
+def test_messages_and_work_are_known_again(spark):
+    import hashlib
+
+    from recordloom.operators import profiles
+
+    m = spark.createDataFrame([("h", 2, "late"), ("h", 1, "first"), ("g", 3, "x")], "handle string, seq long, text string")
+    assert {r["text"] for r in profiles.inbound(m).collect()} == {"first", "x"}
+    w = spark.createDataFrame([("elm_va", "5:t", 3, None, "", "ann"), ("elm_va", "5:t", 3, "2", "c", None)], "c string, s string, a int, r string, v string, n string")
+    got = [r[0] for r in w.select(profiles.workflow_id(*[F.col(c) for c in "csarvn"])).collect()]
+    assert got == ["county-elm_va-" + hashlib.sha256(x.encode()).hexdigest()[:20] for x in ("elm_va:5:t:3:notify:ann", "elm_va:5:t:3:2:coverage:c")]
+
+
+def test_two_ages_and_gaps(spark):
+    from recordloom.operators import operations
+
+    now = 1_000_000
+    runs_ = [("a", 1, True, now - 7200, now - 3600 * 72), ("b", 1, False, now, None), ("c", 1, True, now, None), ("d", 1, True, now - 3600, now + 3600), ("a", 0, False, 0, None)]
+    got = operations.record_ages(spark.createDataFrame([(x,) for x in "abcde"], "source_id string"), spark.createDataFrame(runs_, "source_id string, seq long, ok boolean, finished_epoch long, newest_epoch long"), now)
+    assert {r["source_id"]: (r["fetch_age"], r["record_age"], r["verdict"]) for r in got.collect()} == {"a": (2.0, 72.0, "review"), "b": (0.0, None, "failed"), "c": (0.0, None, "unchanged"), "d": (1.0, -1.0, "ok"), "e": (None, None, "pending")}
+    asked = spark.createDataFrame([("h", 0, 1), ("h", 0, 2), ("h", 5, 3), ("h", 5, 4), ("g", 0, 5)], "host string, at_s long, id long")
+    waits = {r["id"]: (r["allowed"], r["wait_s"]) for r in operations.host_budget(asked, per_window=3, gap_s=2.0).collect()}
+    assert waits == {1: (True, 0.0), 2: (True, 2.0), 3: (True, 0.0), 4: (False, None), 5: (True, 0.0)}
+
+
+def test_store_readers(spark, tmp_path):
+    import json
+
+    from recordloom.sources import store
+
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "a.txt").write_bytes(b"abc")
+    (tmp_path / "files" / "b.txt").write_bytes(b"x" * 20)
+    assert {(r["path"][-5:], r["error"]) for r in store.scan_files(spark, str(tmp_path / "files"), 10).collect()} == {("a.txt", None), ("b.txt", "body over 10 bytes")}
+    key = {"sources": [{"id": "s", "classification": "deed", "fields": {"owner": ["Owner", "Name"], "due": "Due"}}, {"id": "t", "classification": ["a", "b"]}, {"id": "t", "classification": "a"}, {"classification": "a"}, {"id": "u"}]}
+    (tmp_path / "golden.json").write_text(json.dumps(key, indent=1))
+    rows = [(r["source_id"], r["classifications"], r["fault"]) for r in store.golden(spark, str(tmp_path / "golden.json")).collect()]
+    assert sorted(rows, key=str) == sorted([("s", ["deed"], None), ("t", ["a", "b"], "repeated id"), ("t", ["a"], "repeated id"), ("", ["a"], "no id"), ("u", None, "no classification")], key=str)
+    assert store.golden(spark, str(tmp_path / "golden.json")).where("source_id = 's'").first()["fields"] == {"owner": ["Owner", "Name"], "due": ["Due"]}
+    c = spark.createDataFrame([("a.org", "due", None, ["1", "2"], "amount", "lexicon")], store.CORPUS)
+    store.append_corpus(c, str(tmp_path / "corpus"))
+    store.append_corpus(c, str(tmp_path / "corpus"))
+    assert store.read_corpus(spark, str(tmp_path / "corpus")).count() == 2
+    bodies = spark.createDataFrame([("s", "body"), ("t", "body"), ("u", "other"), ("v", None)], "source_id string, body string")
+    store.keep_bodies(bodies, str(tmp_path / "bodies"))
+    store.keep_bodies(bodies.limit(1), str(tmp_path / "bodies"))
+    want = bodies.where("source_id = 's'").select(F.sha2("body", 256).alias("body_hash"))
+    assert [bytes(r["body"]) for r in store.kept_bodies(spark, str(tmp_path / "bodies"), want).collect()] == [b"body"]
+
+
+def test_snapshots_pages_and_models(spark, tmp_path):
+    import json
+
+    from recordloom.sources import store
+
+    cells = spark.createDataFrame([("s", 0, i, f"l{i}", f"v{i}") for i in range(14)] + [("s", 1, 0, "l0", "w")], "source_id string, record long, label_ord int, label string, value string")
+    runs_ = spark.createDataFrame([("s", "r1", "t", "csv", "csv[2]", "deed", 0.9)], "source_id string, run_id string, at string, format string, container string, label string, confidence double")
+    rates = spark.createDataFrame([("s", "owner", 0.5)], "source_id string, field string, rate double")
+    got = json.loads(store.snapshots(runs_, cells, rates).first()["snapshot"])
+    assert len(got["labels"]) == 14 and got["raw_sample"][11] == {"label": "l11", "value": "v11"} and len(got["raw_sample"]) == 12 and got["field_rates"] == {"owner": 0.5} and got["classification"] == {"label": "deed", "confidence": 0.9}
+    pages = spark.createDataFrame([("s", 0, 0, "a", "1"), ("s", 1, 0, "a", "2"), ("s", 2, 0, "b", "3"), ("s", 3, 0, "a", "4"), ("t", 0, 0, "b", "5")], "source_id string, page int, record long, label string, value string")
+    assert {r["value"] for r in store.same_pages(pages).collect()} == {"1", "2", "5"}
+    hits = spark.createDataFrame([("a", "x", 2), ("a", "y", 1), ("b", "x", 4)], "class string, token string, hits long")
+    totals = spark.createDataFrame([("a", 2, 3), ("b", 1, 4)], "class string, docs long, tokens long")
+    store.save_model(hits, totals, str(tmp_path / "model"))
+    assert store.load_model(spark, str(tmp_path / "model"))[0].count() == 3
+    store.save_model(hits.where("token = 'x'"), totals, str(tmp_path / "model"))
+    with pytest.raises(ValueError, match="add up"):
+        store.load_model(spark, str(tmp_path / "model"))
