@@ -15,6 +15,9 @@ KINDS = (
 #: Canonical fields of the observations: name, kind, authority.
 FIELDS = (("owner", "name", "deed_transfer"), ("assessed_value", "money", "assessor_roll"), ("status", "status", ""))
 
+#: How far sources are trusted in a field, whatever their events' own confidence.
+TRUST = (("s1", "owner", 0.95), ("s3", "assessed_value", 0.05), ("s5", "status", 0.65))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,8 +69,9 @@ pe as (
 
 SQL_OBSERVATIONS = SQL_EVENTS + """,
 ob as (
-  select property_key, event_date, recorded_at, id, source_id, source_label, as_of, confidence, f.field, f.authority,
+  select property_key, event_date, recorded_at, id, source_id, source_label, as_of, coalesce(t.confidence, pe.confidence) as confidence, f.field, f.authority,
     case f.field when 'owner' then owner when 'assessed_value' then assessed_value else status end as value,
     case when source_label = f.authority and f.authority <> '' then 1 else 0 end as ruling
-  from pe cross join (values ('owner', 'deed_transfer'), ('assessed_value', 'assessor_roll'), ('status', '')) f(field, authority))
+  from pe cross join (values ('owner', 'deed_transfer'), ('assessed_value', 'assessor_roll'), ('status', '')) f(field, authority)
+  left join (values ('s1', 'owner', 0.95::double), ('s3', 'assessed_value', 0.05::double), ('s5', 'status', 0.65::double)) t(source, of_field, confidence) on t.source = source_id and t.of_field = f.field)
 """

@@ -34,9 +34,9 @@ def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kind_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which kinds accept each distinct word of the documents."""
+    """Which kinds accept each distinct word of the documents; money and dates have queries of their own."""
     w = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("v")).where("v != ''").distinct()
-    kinds = ("id", "name", "status", "text", "phone", "email")
+    kinds = ("id", "name", "status", "text", "phone", "email", "address", "number")
     return w.select("v", *[values.validate(k, F.col("v")).alias(f"is_{k}") for k in kinds])
 
 
@@ -210,7 +210,7 @@ select o_orderkey, [plain, '$ ' || plain, '(' || plain || ')', '-' || plain, pla
   strftime(o_orderdate, '%Y-%m-%dT10:30:00Z'), strftime(o_orderdate, '%Y-%m-%d junk'), strftime(o_orderdate, '%Y-02-31')][o_orderkey % 9 + 1] as shown, case when o_orderkey % 9 < 7 then strftime(o_orderdate, '%Y-%m-%d') end as iso from orders""",
     "kind_validate": """with w as (select distinct unnest(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+')) as v from documents), f as (select v, strlen(v) as n, length(regexp_replace(v, '[^0-9]', '', 'g')) as d, regexp_matches(v, '[A-Za-z]') as alpha from w where v <> '')
 select v, n between 3 and 30 and not contains(v, '$') and d >= 2 and d * 10 >= n * 4 and not regexp_matches(v, '^[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}$') as is_id, n between 2 and 80 and alpha and not contains(v, '$') and d * 2 <= n as is_name,
-  n <= 60 and alpha as is_status, n >= 3 as is_text, d between 10 and 15 and regexp_matches(v, '^[-0-9() +.xX]*$') as is_phone,
+  n <= 60 and alpha as is_status, n >= 3 as is_text, n between 5 and 120 and alpha and d >= 1 and d * 2 <= n as is_address, n <= 40 and regexp_matches(v, '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?0[xX]([0-9a-fA-F]+[.]?[0-9a-fA-F]*|[.][0-9a-fA-F]+)([pP][+-]?[0-9]+)?$') as is_number, d between 10 and 15 and regexp_matches(v, '^[-0-9() +.xX]*$') as is_phone,
   n between 6 and 254 and regexp_matches(v, '^[^@ ]+@[^@ ]+[.][^@. ]{2,}$') as is_email from f""",
     "coerce_values": """with s as (select o_orderkey, o_orderkey % 3 as k, cast(o_orderkey as varchar) as own, cast(o_orderkey + 1000 as varchar) as more from orders),
 t as (select *, length(own) * 10 >= (length(own) + 8) * 4 and length(own) >= 2 as whole from s)

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import places, text
 from ..operators import compile as comp
 from ..operators import decisions, lifecycle
-from .derived import SQL_EVENTS, SQL_OBSERVATIONS, fields, property_events, table
+from .derived import SQL_EVENTS, SQL_OBSERVATIONS, TRUST, fields, property_events, table
 
 #: 2026-01-01T00:00:00Z
 NOW = 1767225600
 
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trust = spark.createDataFrame([], "source_id string, field string, confidence double")
+    trust = spark.createDataFrame(TRUST, "source_id string, field string, confidence double")
     return comp.observations(property_events(spark, sf_dir), fields(spark), trust)
 
 

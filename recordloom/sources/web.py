@@ -73,20 +73,23 @@ def ordered_links(pages: DataFrame, limit: int) -> DataFrame:
     return rows.select(*pages.columns, F.posexplode("targets").alias("place", "target"))
 
 
-def crawl(seeds: DataFrame, pages: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
+def crawl(seeds: DataFrame, pages: DataFrame, edges: DataFrame, max_depth: int, *, rules: DataFrame | None = None, agent: str = "", most: int | None = None) -> DataFrame:
     """Breadth-first over edges (url, target) from seeds (url): (url, depth) of reached pages, each body once (pages: url, body_hash).
 
     A frontier is a DataFrame: joined with the edges, less what was visited. The rounds are max_depth at most; each is
-    persisted (it spills to disk, and a lost executor recomputes it), as the next ones read it again.
+    persisted (it spills to disk, and a lost executor recomputes it), as the next ones read it again. With robots rules a page that
+    they close to the agent is neither returned nor followed; `most` keeps the first pages by depth and address (a crawl's limit).
     """
-    frontier = seeds.select("url").distinct().withColumn("depth", F.lit(0)).persist()
+    may = (lambda f: allowed(f, rules, agent).where("allowed").drop("allowed")) if rules is not None else (lambda f: f)
+    frontier = may(seeds.select("url").distinct().withColumn("depth", F.lit(0))).persist()
     visited = frontier
     for depth in range(1, max_depth + 1):
         found = frontier.select("url").join(edges, "url").select(F.col("target").alias("url")).distinct()
-        frontier = found.join(visited.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)).persist()
+        frontier = may(found.join(visited.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))).persist()
         visited = visited.unionByName(frontier)
     reached = visited.join(pages, "url")  # rounds are disjoint
-    return first_by(reached, ["body_hash"], "depth", "url").select("url", "depth")
+    out = first_by(reached, ["body_hash"], "depth", "url").select("url", "depth")
+    return out if most is None else out.orderBy("depth", "url").limit(most)
 
 
 def paged(rows: DataFrame, page: int, cap: int | None = None) -> DataFrame:
