@@ -148,21 +148,26 @@ def train(texts: DataFrame) -> np.ndarray:
     return np.log2(p).astype(np.float32)
 
 
-def sequences(texts: list[str | None], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and spelling logarithms of the texts' distinct words (first the start and the end), and, for each place of the
+def placed(texts: list[str | None]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' distinct words with their numbers, from 2, all hashes (first of the start and the end), and, for each place of the
     texts laid end to end, its word and its text."""
     table: defaultdict[bytes, int] = defaultdict(count(2).__next__)
     split = [(t or "").encode("utf-8", "replace").split() for t in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     ids = np.fromiter((table[w] for ws in split for w in ws), np.int64, int(sizes.sum()))
     hashes = np.fromiter((1, 2, *map(xxhash.xxh64_intdigest, table)), np.uint64, len(table) + 2)
-    codes, lengths = grams([w.decode("utf-8", "replace") + " " for w in table])
-    spelling = np.bincount(np.repeat(np.arange(len(table)), lengths), letters[codes], minlength=len(table)) + np.log2(1 - 2.0**STOP)
     starts = np.cumsum(sizes + 2) - sizes - 2
     words = np.full(int(sizes.sum()) + 2 * len(split), -1, np.int64)
     words[starts], words[starts + sizes + 1] = START, END
     words[words < 0] = ids
-    return hashes, np.concatenate([[0.0, STOP], spelling]), words, np.repeat(np.arange(len(split)), sizes + 2)
+    return table, hashes, words, np.repeat(np.arange(len(split)), sizes + 2)
+
+
+def spelled(table: dict[bytes, int], letters: np.ndarray) -> np.ndarray:
+    """Spelling logarithms of the start, the end, and the words."""
+    codes, lengths = grams([w.decode("utf-8", "replace") + " " for w in table])
+    spelling = np.bincount(np.repeat(np.arange(len(table)), lengths), letters[codes], minlength=len(table)) + np.log2(1 - 2.0**STOP)
+    return np.concatenate([[0.0, STOP], spelling])
 
 
 def pairs_of(hashes: np.ndarray, words: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,7 +180,8 @@ def counted_words(letters: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Ite
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for rows in spans(batch["text"], CHUNK):
-                hashes, spelling, words, _ = sequences([t for t in batch["text"].iloc[rows] if isinstance(t, str) and t.strip()], letters)
+                table, hashes, words, _ = placed([t for t in batch["text"].iloc[rows] if isinstance(t, str) and t.strip()])
+                spelling = spelled(table, letters)
                 times = np.bincount(words, minlength=len(hashes))
                 seen = np.flatnonzero(times)
                 seen = seen[seen != START]
@@ -191,11 +197,11 @@ def coded(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.where(common[at] == hashes, at.astype(np.uint64), hashes | RARE)
 
 
-def counted_pairs(letters: np.ndarray, common: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def counted_pairs(common: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for rows in spans(batch["text"], BLOCK):
-                hashes, _, words, of = sequences([t for t in batch["text"].iloc[rows] if isinstance(t, str) and t.strip()], letters)
+                _, hashes, words, of = placed([t for t in batch["text"].iloc[rows] if isinstance(t, str) and t.strip()])
                 codes = coded(hashes, common)
                 g, at, _ = pairs_of(codes, words, of)
                 _, first, times = np.unique(g, return_index=True, return_counts=True)
@@ -268,13 +274,13 @@ def looked_up(rows: DataFrame, key: str, facts: DataFrame) -> DataFrame:
     facts = facts.withColumnRenamed("code", "of_code")
     same = F.col(key) == F.col("of_code")
     often = rows.where(F.col(key) >= 0).join(F.broadcast(facts.where("of_code >= 0")), same)
-    return often.union(join_small(rows.where(F.col(key) < 0), facts.where("of_code < 0"), same, "inner", BROADCAST_IDS)).drop("of_code")
+    return often.union(join_small(rows.where(F.col(key) < 0), facts.where("of_code < 0"), same, "inner")).drop("of_code")
 
 
-def gram_weights(texts: DataFrame, words: DataFrame, letters: np.ndarray, common: np.ndarray) -> Weights:
+def gram_weights(texts: DataFrame, words: DataFrame, common: np.ndarray) -> Weights:
     """A model of pairs over words. A word's weight is the logarithm of its probability over its share of the spelling's, plus that
     of its interpolation weight as a context; a pair's that of its probability over what its words alone would give."""
-    pairs = texts.mapInPandas(counted_pairs(letters, common), "v long, w long, c long")
+    pairs = texts.mapInPandas(counted_pairs(common), "v long, w long, c long")
     pairs = written(pairs.groupBy("v", "w").agg(F.sum("c").alias("c")))
     before = written(pairs.groupBy("w").agg(F.count("*").alias("c")))
     of_words, of_pairs = cut_by(discounts(before)), cut_by(discounts(pairs))
@@ -368,7 +374,8 @@ class Known:
     def judged(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """For each text its words and the part of its logarithm that needs no join; and (gram, text), sorted by gram, of the
         words and of the pairs that a join has to weigh."""
-        hashes, spelling, words, of = sequences(texts, self.letters)
+        table, hashes, words, of = placed(texts)
+        spelling = spelled(table, self.letters)
         codes = coded(hashes, self.common)
         g = hashed(codes, np.full(len(codes), ALONE), self.bits)
         weight, wanted = self.look(g)
@@ -479,14 +486,15 @@ def shipped(weights: Weights, letters: np.ndarray, common: np.ndarray, pairs: bo
     often = most_frequent(weights.counts, hot)
     # one task packs the most frequent grams, `hot` at most, so that the driver never holds them as rows
     top = written(weights.rows.where(often).select("v", "w", "weight").repartition(1).mapInPandas(packed_weights(bits), "grams binary, weights binary"))
-    packed = top.first()
+    packed = top.toArrow()  # one row
     rest = written(weights.rows.where(~often).select("v", "w", "weight").mapInPandas(dealt_weights(shards, bits), MEETING))
     for t in (*weights.tables, top):
         drop_written(t)
     bitmaps = rest.select("grams").mapInPandas(taken, "grams binary").repartition(8).mapInPandas(either, "grams binary")
     with shuffles_removed(spark):
-        bitmap = next(iter(bitmaps.repartition(1).mapInPandas(either, "grams binary").collect()), None)  # one row: eight bitmaps meet
-    return Known(letters, common, weights.share, pairs, bits, packed["grams"], packed["weights"], bitmap["grams"] if bitmap else zlib.compress(bytes(1 << (BITMAP - 3)), 1)), rest, shards
+        bitmap = bitmaps.repartition(1).mapInPandas(either, "grams binary").toArrow()  # one row at most: eight bitmaps meet
+    none = zlib.compress(bytes(1 << (BITMAP - 3)), 1)
+    return Known(letters, common, weights.share, pairs, bits, packed["grams"][0].as_py(), packed["weights"][0].as_py(), bitmap["grams"][0].as_py() if bitmap.num_rows else none), rest, shards
 
 
 def asked_weights(known: Known, shards: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -594,7 +602,7 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     texts = join_small(rows.select("text", "doc_id"), trusted.where("not held_out"), F.col("doc_id") == F.col("trusted_id"), "left_semi", BROADCAST_IDS).select("text")
     letters = train(texts)
     words, common = words_of(texts, letters)
-    weights = gram_weights(texts, words, letters, common) if pairs else word_weights(words)
+    weights = gram_weights(texts, words, common) if pairs else word_weights(words)
     known, rest, shards = shipped(weights, letters, common, pairs, hot)
     scored = scored_texts(rows, rest, known, shards)
     perplexity = F.when(F.col("n_words") > 0, F.pow(F.lit(2.0), -F.col("logs") / (F.col("n_words") + 1)))
