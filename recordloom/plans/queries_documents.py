@@ -254,8 +254,8 @@ select class, round(precision, 6) as precision, round(recall, 6) as recall, roun
     "json_flatten": "select event_id, key as label, json_extract_string(props, '$.' || key) as value from (select event_id, props, unnest(json_keys(props)) as key from events)",
     "parsed_bodies": """with e as (select event_type || '-' || (user_id % 50) || '-' || (event_id // 20000) as source_id, event_id, value, user_id from events),
 j as (select source_id, unnest(['event_id', 'value', 'who.user_id']) as label, unnest([event_id is not null, value is not null, user_id is not null]) as held from e),
-c as (select c_mktsegment || '-' || c_nationkey || '-' || (c_custkey // 20000) as source_id, unnest(['key', 'name', 'balance']) as label from customer)
-select 'json' as format, label, count(*) as cells, count(distinct source_id) as documents from j where held group by label union all select 'csv', label, count(*), count(distinct source_id) from c group by label""",
+c as (select distinct c_mktsegment || '-' || c_nationkey || '-' || (c_custkey // 20000) as source_id from customer)
+select 'json' as format, label, count(*) as cells, count(distinct source_id) as documents from j where held group by label union all select 'text', null, count(*), count(*) from c""",
     "api_pages": """with n as (select count(*) as upto from orders), p as (select upto, unnest(range(0, cast(upto // 1000 as bigint) + 1)) as page from n)
 select cast(page as integer) as page, least(1000, upto - page * 1000) as n, case when upto - page * 1000 < 1000 then 'short' else 'next' end as stop from p""",
     "turn_compaction": """with c as (select *, count(*) over (partition by conv_id) as n, row_number() over (partition by conv_id order by turn, role, text) as pos from conversations),

@@ -32,8 +32,7 @@ def detect_format(content_type: Column, body: Column) -> Column:
     """pdf, json, html, csv or text: by magic, by what parses, by markers at the start, by content type, by delimiters."""
     head, kind = lower(F.substring(body, 1, 256)), lower(F.coalesce(content_type, F.lit("")))
     start = F.substring(trim(body), 1, 1)
-    unquoted = lambda x: F.regexp_replace(x, '"[^"]*"', "")
-    lines = F.transform(F.slice(F.filter(F.split(body, "\n", -1), lambda x: trim(x) != ""), 1, 6), unquoted)
+    lines = F.slice(F.filter(F.split(body, "\n", -1), lambda x: trim(x) != ""), 1, 6)  # delimiters inside quotes count, too
     same = lambda sep: (F.size(lines) >= 2) & (F.size(F.array_distinct(F.transform(lines, lambda x: F.size(F.split(x, sep, -1))))) == 1) & (F.size(F.split(F.get(lines, F.lit(0)), sep, -1)) > 1)
     delimited = same(",") | same(";") | same("\t") | same(r"\|")
     return (
