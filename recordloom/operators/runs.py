@@ -60,6 +60,24 @@ def largest(properties: DataFrame) -> DataFrame:
     return properties.groupBy("jurisdiction").agg(F.count("*").alias("properties")).orderBy(F.desc("properties"), "jurisdiction").limit(1)
 
 
+def latest_tenant(tenants: DataFrame, credentials: DataFrame, messages: DataFrame) -> DataFrame:
+    """The tenant (tenant_id) with credentials whose last message (tenant_id, at) is the newest, those without messages last, ties by
+    identifier: one row at most."""
+    able = tenants.join(credentials.select("tenant_id"), "tenant_id", "left_semi")
+    last = messages.groupBy("tenant_id").agg(F.max("at").alias("last_at"))
+    return able.join(last, "tenant_id", "left").orderBy(F.desc_nulls_last("last_at"), "tenant_id").limit(1)
+
+
+def crawl_order(found: DataFrame) -> DataFrame:
+    """Results of a crawl (url, records, extraction), those that gave most records at the best rate first, ties by address."""
+    return found.orderBy(F.desc(F.col("records") * F.col("extraction")), "url")
+
+
+def first_matches(matches: DataFrame, limit: int | None, *order: Column | str) -> DataFrame:
+    """The first matches of an answer: three unless it says otherwise, one at least."""
+    return matches.orderBy(*order).limit(max(1, 3 if limit is None else limit))
+
+
 def most_owed(properties: DataFrame, limit: int = PROPERTY_LIMIT) -> DataFrame:
     """A page of properties: most owed first, those that owe nothing known before all, ties by key."""
     return properties.orderBy(F.desc_nulls_first("owed"), "property_key").limit(limit)

@@ -97,6 +97,20 @@ def largest_jurisdiction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.largest(property_events(spark, sf_dir).select("property_key").distinct().select(F.substring_index("property_key", "|", 1).alias("jurisdiction")))
 
 
+def latest_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A top-1 report: the customer with a good balance whose last order is the newest."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tenant_id"), "c_acctbal")
+    return runs.latest_tenant(c.select("tenant_id"), c.where("c_acctbal > 0"), orders(spark, sf_dir).select(F.col("o_custkey").alias("tenant_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("at")))
+
+
+def fetch_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each page would be taken, by content types that servers might name."""
+    k = F.col("page_id")
+    kind = pick(("text/html", "application/JSON", "application/pdf", "text/csv; charset=utf-8", ""), k)
+    url = F.when(k % 7 == 0, F.concat(F.lit("render+"), "url")).when(k % 11 == 0, "data/page.html").otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", formats.fetch_mode(url, kind, F.col("html")).alias("mode"))
+
+
 def most_owed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of 20,000 properties: the feature is the limit."""
     e = property_events(spark, sf_dir).groupBy("property_key").agg(F.max(F.when(F.col("kind") == "tax_delinquency", F.col("amount"))).alias("owed"))
@@ -246,7 +260,7 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.ordered_links(table(spark, sf_dir, "pages").select("page_id", "url", "html"), 40).select("page_id", "place", "target")
 
 
-QUERIES = {f.__name__: f for f in (same_owners, markets, service_rows, stamp_hours, wave_totals, stage_times, data_complete, sweep_states, event_outcomes, largest_jurisdiction, most_owed, recent_events, resolved_repairs, repaired_states, upserted, catalogue_changes, expanded_urls, field_rates, mapping_checks, validator_votes, weak_label_masks, corpus_counts, vote_suspects, overall_scores, page_features, nb_sweep, use_groups, value_ranges, page_links)}
+QUERIES = {f.__name__: f for f in (same_owners, markets, service_rows, stamp_hours, wave_totals, stage_times, data_complete, sweep_states, event_outcomes, largest_jurisdiction, latest_tenant, fetch_modes, most_owed, recent_events, resolved_repairs, repaired_states, upserted, catalogue_changes, expanded_urls, field_rates, mapping_checks, validator_votes, weak_label_masks, corpus_counts, vote_suspects, overall_scores, page_features, nb_sweep, use_groups, value_ranges, page_links)}
 
 WORDS = "list_transform(regexp_extract_all(regexp_replace({}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[A-Za-z0-9]+'), lambda w: lower(w))"
 CAPITAL = "list_transform({}, lambda p: upper(substr(p, 1, 1)) || substr(p, 2))"
@@ -302,6 +316,11 @@ n as (select sweep, count(*) filter (state = 'complete') as completed, count(*)
 select sweep, completed, failed, total, case when completed + failed < total then 'running' when failed > 0 then 'error' else 'complete' end as state from n""",
     "event_outcomes": "select event_type as outcome, count(*) as n from events group by 1",
     "largest_jurisdiction": "with " + SQL_EVENTS + "select split_part(property_key, '|', 1) as jurisdiction, count(distinct property_key) as properties from pe group by 1 order by 2 desc, 1 limit 1",
+    "latest_tenant": """select c_custkey as tenant_id, max(strftime(o_orderdate, '%Y-%m-%d')) as last_at from customer left join orders on o_custkey = c_custkey where c_acctbal > 0 group by 1 order by 2 desc nulls last, 1 limit 1""",
+    "fetch_modes": r"""with p as (select page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g'), '(?s)<[^>]*>', '', 'g') as bare,
+  array_to_string(regexp_extract_all(html, '(?is)<script\b[^>]*>(.*?)</script\s*>', 1), '') as script, lower(html) as low from pages),
+s as (select *, regexp_matches(low, 'id="(root|app|__next)"\s*>\s*</div>|data-reactroot|ng-app') or strlen(trim(bare)) * 4 < strlen(script) as shell from p)
+select page_id, case when page_id % 7 = 0 then 'rendered' when page_id % 5 in (1, 3) then 'api' when page_id % 5 = 2 then 'document' when shell and page_id % 11 > 0 then 'shell' else 'html' end as mode from s""",
     "most_owed": "with " + SQL_EVENTS + "select property_key, max(case when kind = 'tax_delinquency' then amount end) as owed from pe group by 1 order by owed desc nulls first, property_key limit 20000",
     "recent_events": "with " + SQL_EVENTS + "select id, recorded_at, case when cast(id as bigint) % 17 > 0 then event_date end as event_date from pe order by 3 desc nulls last, recorded_at desc, id limit 10000",
     "resolved_repairs": "with " + SQL_REPAIRS + "select id, resolution, error, applied from d",

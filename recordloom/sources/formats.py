@@ -227,3 +227,11 @@ def page_projection(body: Column) -> Column:
     heads = F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]>"), 1), squeeze)
     links = F.array_distinct(F.regexp_extract_all(body, F.lit(r"""(?is)<a\b[^>]*\bhref\s*=\s*["']([^"'#]+)"""), 1))
     return F.struct(squeeze(F.regexp_extract(body, r"(?is)<title\b[^>]*>(.*?)</title>", 1)).alias("title"), heads.alias("headings"), links.alias("links"), F.size(F.regexp_extract_all(body, F.lit(r"(?i)<li\b"), 0)).alias("items"))
+
+
+def fetch_mode(url: Column, content_type: Column, body: Column) -> Column:
+    """How a fetched body is taken: rendered if it was asked for, api and document by content type, html; shell for a page that only a
+    browser could fill (local files are taken as they are)."""
+    kind, shell = lower(F.coalesce(content_type, F.lit(""))), F.coalesce(script_shell(body), F.lit(False))
+    local = ~F.coalesce(url.rlike("^(render\\+)?https?://"), F.lit(False))
+    return F.when(url.startswith("render+"), "rendered").when(kind.rlike("json|csv|xml"), "api").when(kind.contains("pdf"), "document").when(shell & ~local, "shell").otherwise("html")
