@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The vocabulary (marks, then printable ASCII, then the rest) and the lengths that are read.
@@ -61,6 +61,26 @@ def random_weights(classes: int, width: int = 48, layers: int = 2, inner: int =
     return out
 
 
+def save_weights(spark: SparkSession, weights: dict[str, np.ndarray], path: str) -> None:
+    """Weights as a table of one row for each: name, shape and values."""
+    rows = [(k, list(v.shape), [float(x) for x in v.ravel()]) for k, v in sorted(weights.items())]
+    spark.createDataFrame(rows, "name string, shape array<int>, values array<double>").write.mode("overwrite").parquet(path)
+
+
+def load_weights(spark: SparkSession, path: str, expected: dict[str, tuple[int, ...]] | None = None) -> dict[str, np.ndarray]:
+    """Saved weights (a model's, so few and small). A shape that its values don't fill, a value that isn't finite, a repeated name, or
+    names and shapes other than the expected ones raise."""
+    out: dict[str, np.ndarray] = {}
+    for r in spark.read.parquet(path).orderBy("name").collect():
+        values, shape = np.array(r["values"], float), tuple(r["shape"])
+        if len(values) != int(np.prod(shape)) or not np.isfinite(values).all() or r["name"] in out:
+            raise ValueError(f"weights {r['name']} at {path} don't add up")
+        out[r["name"]] = values.reshape(shape)
+    if expected is not None and {k: v.shape for k, v in out.items()} != expected:
+        raise ValueError(f"weights at {path} aren't those of this model")
+    return out
+
+
 def tag(columns: DataFrame, weights: dict[str, np.ndarray], classes: list[str], heads: int = 4) -> DataFrame:
     """columns (example, name, values) with the likeliest class and its probability."""
     length = len(weights["position"])

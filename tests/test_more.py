@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from recordloom.functions import schedule, values
@@ -43,3 +44,17 @@ def test_money_text_rounds_as_printf(spark):
     rows = spark.createDataFrame([(float(x),) for x in some] + [(None,)], "x double")
     got = [r[0] for r in rows.select(values.money_text(F.col("x"))).collect()]
     assert got == [f"{x:.2f}" for x in some] + [None]
+
+
+def test_saved_weights_give_the_same_answers(spark, tmp_path):
+    w = columns.random_weights(3)
+    columns.save_weights(spark, w, str(tmp_path / "w"))
+    back = columns.load_weights(spark, str(tmp_path / "w"), {k: v.shape for k, v in w.items()})
+    ids = np.array([columns.tokens("owner", ["Ann"])])
+    assert np.abs(columns.forward(ids, w) - columns.forward(ids, back)).max() < 1e-12
+    for broken in ([("b", [2], [1.0])], [("b", [1], [float("nan")])], [("b", [1], [1.0])] * 2):
+        spark.createDataFrame(broken, "name string, shape array<int>, values array<double>").write.mode("overwrite").parquet(str(tmp_path / "bad"))
+        with pytest.raises(ValueError, match="add up"):
+            columns.load_weights(spark, str(tmp_path / "bad"))
+    with pytest.raises(ValueError, match="this model"):
+        columns.load_weights(spark, str(tmp_path / "w"), {"b": (3,)})
