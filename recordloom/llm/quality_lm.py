@@ -336,7 +336,7 @@ def from_fixed(b: bytes) -> np.ndarray:
 
 def places(g: np.ndarray) -> list[np.ndarray]:
     """A gram's places in the bitmap."""
-    return [mix64(g + np.uint64(i + 1) * M1) >> np.uint64(64 - BITMAP) for i in range(PLACES)]
+    return [mix64(g + np.uint64((i + 1) * int(M1) % (1 << 64))) >> np.uint64(64 - BITMAP) for i in range(PLACES)]
 
 
 @dataclass
