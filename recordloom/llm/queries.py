@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, fertility, html_wrappers, licenses, mixing, near_dedup, packing, quality_lm, toxicity
+from . import ann, chat, fertility, html_wrappers, lexical_search, licenses, mixing, near_dedup, packing, quality_lm, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +71,10 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_neighbours": op9_neighbours,
     "op10_fertility": op10_fertility,
+    "op13_search": op13_search,
 }
 
 SQL_OP3 = r"""
@@ -135,4 +140,24 @@ select conv_id, count(*) as n_turns,
 from n group by conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": SQL_OP3, "op7_chat": SQL_OP7}
+SQL_OP13 = r"""
+with i as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark),
+d as (
+  select doc_id, row_number() over () as r,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents),
+n as (select count(*) as documents, sum(len(terms))::bigint as total from d where len(terms) > 0),
+p as (
+  select doc_id, r, len(terms) as length, unnest(terms) as term from d),
+f as (select doc_id, r, length, term, count(*) as tf from p where term in (select term from i) group by all),
+w as (select term, floor(1000 * ln((2 * (select documents from n) + 2) / (2 * count(*) + 1)::double))::bigint as weight from f group by term),
+s as (
+  select i.item_id, f.doc_id, f.r, sum(w.weight * ((1000000000 * f.tf) // (1000 * f.tf + 8 * (10 + (90 * f.length * (select documents from n)) // (select total from n)))))::bigint as score
+  from i join f using (term) join w using (term) group by all)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id nulls last) as integer) as rank, doc_id, score from s where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id nulls last) <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_mixing": SQL_OP3, "op7_chat": SQL_OP7, "op13_search": SQL_OP13}

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_against_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, SF), c.sql(queries.ORACLE_SQL[name])
     order = sorted(got.columns)
@@ -30,4 +30,4 @@ def test_chat_runs_no_python(spark):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == [*range(1, 11), 13]
