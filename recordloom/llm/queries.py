@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, fertility, html_wrappers, lexical_search, licenses, mixing, near_dedup, packing, quality_lm, toxicity
+from . import ann, chat, conversation_repair, fertility, html_wrappers, lexical_search, licenses, mixing, near_dedup, packing, quality_lm, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +71,16 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    conversations, repaired = conversation_repair.repair(conversation_repair.damaged(turns))
+    digests = conversation_repair.digests(repaired).select(F.col("conv_id").alias("d_conv"), "sha256")
+    out = turns.select(F.col("conv_id").alias("every")).distinct().join(conversations, F.col("every").eqNullSafe(F.col("conv_id")), "left").join(digests, F.col("every").eqNullSafe(F.col("d_conv")), "left")
+    counts = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return out.select(F.col("every").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", nothing).alias("repaired_sha256"))
+
+
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -86,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_neighbours": op9_neighbours,
     "op10_fertility": op10_fertility,
+    "op12_repair": op12_repair,
     "op13_search": op13_search,
 }
 
@@ -140,6 +151,65 @@ select conv_id, count(*) as n_turns,
 from n group by conv_id
 """
 
+SQL_OP12 = r"""
+with recursive c as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as key
+  from conversations),
+k as (
+  select *, xor(4294967295, list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(key, ''), lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda s, e: case when e >= 0 then xor(s, e) else xor(s >> 1, 3988292384 * (s & 1)) end)) % 20 as kind
+  from c),
+d as (
+  select conv_id, turn, case kind when 4 then 'user' else role end as role,
+    case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(case kind when 3 then [0, 1] else [0] end) as copy
+  from k where kind <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i from d),
+f as (
+  select *, substr(role, 1, 1) as x, case
+    when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank'
+    when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+    when right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) not in ('.', '!', '?') then 'truncated' else '' end as fault
+  from o),
+v as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated, count(*) as n
+  from f group by conv_id),
+g as (
+  select conv_id, count(*) as illegal from (select conv_id, lag(x) over (partition by conv_id order by i) as before, x from f)
+  where before is not null and before || x not in ('su', 'ua', 'au') group by conv_id),
+step as (
+  select conv_id, 0::bigint as i, [{'c': 0, 'a': '', 'r': ''}, {'c': 1000000, 'a': '', 'r': ''}, {'c': 1000000, 'a': '', 'r': ''}, {'c': 1000000, 'a': '', 'r': ''}] as s from v
+  union all
+  select conv_id, i, [
+    {'c': e[1].c + 4, 'a': e[1].a || 'D', 'r': e[1].r},
+    list_min([{'c': e[2].c + 4, 'a': e[2].a || 'D', 'r': e[2].r}, {'c': case when x = 's' then e[1].c + keep else 1000000 end, 'a': e[1].a || 'K', 'r': e[1].r || line}]),
+    list_min([{'c': e[3].c + 4, 'a': e[3].a || 'D', 'r': e[3].r},
+      {'c': case when x = 'u' then e[1].c + keep else 1000000 end, 'a': e[1].a || 'K', 'r': e[1].r || line},
+      {'c': case when x = 'u' then e[2].c + keep else 1000000 end, 'a': e[2].a || 'K', 'r': e[2].r || line},
+      {'c': case when x = 'u' then e[4].c + keep else 1000000 end, 'a': e[4].a || 'K', 'r': e[4].r || line},
+      {'c': e[1].c + keep + 3, 'a': e[1].a || 'R', 'r': e[1].r || chr(10) || 'user:' || text},
+      {'c': e[2].c + keep + 3, 'a': e[2].a || 'R', 'r': e[2].r || chr(10) || 'user:' || text},
+      {'c': e[4].c + keep + 3, 'a': e[4].a || 'R', 'r': e[4].r || chr(10) || 'user:' || text}]),
+    list_min([{'c': e[4].c + 4, 'a': e[4].a || 'D', 'r': e[4].r},
+      {'c': case when x = 'a' then e[3].c + keep else 1000000 end, 'a': e[3].a || 'K', 'r': e[3].r || line},
+      {'c': e[3].c + keep + 3, 'a': e[3].a || 'R', 'r': e[3].r || chr(10) || 'assistant:' || text}])]
+  from (
+    select f.conv_id, f.i, x, text, chr(10) || role || ':' || text as line, case fault when '' then 0 when 'truncated' then 3 else 900000 end as keep, [
+      s[1], s[2],
+      list_min([s[3]] || [{'c': q.c + 3, 'a': q.a || 'I', 'r': q.r || chr(10) || 'user:'} for q in [s[1], s[2], s[4]]]),
+      list_min([s[4], {'c': s[3].c + 3, 'a': s[3].a || 'I', 'r': s[3].r || chr(10) || 'assistant:'}]
+        || [{'c': q.c + 6, 'a': q.a || 'II', 'r': q.r || chr(10) || 'user:' || chr(10) || 'assistant:'} for q in [s[1], s[2]]])] as e
+    from step join f on f.conv_id is not distinct from step.conv_id and f.i = step.i + 1)),
+z as (
+  select v.*, list_min([s[1], s[4], {'c': s[3].c + 3, 'a': s[3].a || 'I', 'r': s[3].r || chr(10) || 'assistant:'},
+    {'c': s[2].c + 6, 'a': s[2].a || 'II', 'r': s[2].r || chr(10) || 'user:' || chr(10) || 'assistant:'}]) as best
+  from v join step on v.conv_id is not distinct from step.conv_id and v.n = step.i)
+select a.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, coalesce(best.c, 0)::bigint as cost, coalesce(best.a, '') as audit, sha256(substr(coalesce(best.r, ''), 2)) as repaired_sha256
+from (select distinct conv_id from conversations) a left join z on a.conv_id is not distinct from z.conv_id left join g on a.conv_id is not distinct from g.conv_id
+"""
+
 SQL_OP13 = r"""
 with i as (
   select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
@@ -160,4 +230,4 @@ select item_id, cast(row_number() over (partition by item_id order by score desc
 qualify row_number() over (partition by item_id order by score desc, doc_id nulls last) <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": SQL_OP3, "op7_chat": SQL_OP7, "op13_search": SQL_OP13}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": SQL_OP3, "op7_chat": SQL_OP7, "op12_repair": SQL_OP12, "op13_search": SQL_OP13}
