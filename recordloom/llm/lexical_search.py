@@ -166,7 +166,7 @@ class Shard:
                         heapq.heappush(heap, (-int(bound[i]), int(starts[i]), int(stops[i]), int(split[i]), a[i], b[i]))
 
 
-def searched(batches: Iterator[pa.RecordBatch], items: list[tuple], weights: np.ndarray, documents: int, total: int, top: int, item_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def searched(batches: Iterator[pa.RecordBatch], items: list[tuple], weights: np.ndarray, documents: int, total: int, top: int, item_type: pa.DataType, postings: int) -> Iterator[pa.RecordBatch]:
     """Counted documents to each item's best ones among them: (item_id, doc_id, score)."""
     best = [Best(top) for _ in items]
     ids, lengths, terms, tfs, sizes = [], [], [], [], []
@@ -185,7 +185,7 @@ def searched(batches: Iterator[pa.RecordBatch], items: list[tuple], weights: np.
         at, ends = 0, batch.column(2).offsets.to_numpy()
         while at < batch.num_rows:
             held = sum(map(len, terms))
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + POSTINGS - held, "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + postings - held, "right")) - 1)
             part = batch.slice(at, to - at)
             ids.extend(part.column(0).to_pylist())
             lengths.extend(part.column(1).to_pylist())
@@ -193,7 +193,7 @@ def searched(batches: Iterator[pa.RecordBatch], items: list[tuple], weights: np.
             terms.append(part.column(2).flatten().to_numpy())
             tfs.append(part.column(3).flatten().to_numpy())
             at = to
-            if sum(map(len, terms)) >= POSTINGS or len(ids) >= POSTINGS:
+            if sum(map(len, terms)) >= postings or len(ids) >= postings:
                 close()
     close()
     rows = [(item, None if i == math.inf else i, -s) for (item, _), b in zip(items, best) for s, i in b.rows]
@@ -237,6 +237,6 @@ def best_of_block(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str,
     documents, total = table.agg(F.count("*"), F.sum("n")).first()
     holding = dict(table.select(F.explode("terms").alias("term")).groupBy("term").count().collect())  # as many rows as the block has terms
     weights = np.array([weight(documents, holding.get(k, 0)) for k in range(len(numbers))], np.int64)
-    item_type = to_arrow_type(item_field.dataType)
+    item_type, postings = to_arrow_type(item_field.dataType), POSTINGS
     out = T.StructType([item_field, id_field, T.StructField("score", T.LongType())])
-    return table.where(F.size("terms") > 0).mapInArrow(lambda b: searched(b, items, weights, documents, total or 1, top, item_type), out)
+    return table.where(F.size("terms") > 0).mapInArrow(lambda b: searched(b, items, weights, documents, total or 1, top, item_type, postings), out)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, conversation_repair, fertility, html_wrappers, lexical_search, licenses, mixing, near_dedup, packing, quality_lm, toxicity
+from . import ann, chat, conversation_repair, fertility, html_wrappers, lexical_search, licenses, mixing, near_dedup, packing, quality_lm, repeated_spans, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +71,12 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_spans.repeated_spans(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     conversations, repaired = conversation_repair.repair(conversation_repair.damaged(turns))
@@ -96,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_neighbours": op9_neighbours,
     "op10_fertility": op10_fertility,
+    "op11_repeats": op11_repeats,
     "op12_repair": op12_repair,
     "op13_search": op13_search,
 }
@@ -151,6 +158,23 @@ select conv_id, count(*) as n_turns,
 from n group by conv_id
 """
 
+SQL_OP11 = r"""
+with d as (select doc_id, encode(coalesce(text, '')) as data, row_number() over (order by doc_id nulls first) as r from documents),
+p as (select r, unnest(range(1, octet_length(data) - 98)) as i, data from d where octet_length(data) >= 100),
+w as (select r, i, array_slice(data, i, i + 99) as s from p),
+m as (select r, i from w qualify row_number() over (partition by s order by r, i) > 1),
+e as (select r, i, case when i - 100 <= lag(i) over (partition by r order by i) then 0 else 1 end as opens from m),
+g as (select r, i, sum(opens) over (partition by r order by i) as span from e),
+s as (select r, span, min(i) as a, max(i) + 99 as b from g group by r, span),
+k as (
+  select s.r, coalesce(lag(b) over (partition by s.r order by a), 0) + 1 as a, s.a - 1 as b, d.data from s join d using (r)
+  union all select s.r, max(b) + 1, octet_length(any_value(d.data)), any_value(d.data) from s join d using (r) group by s.r),
+h as (select r, unhex(coalesce(string_agg(hex(array_slice(data, a, b)), '' order by a) filter (b >= a), '')) as kept from k group by r),
+c as (select r, sum(b - a + 1)::bigint as n_removed, count(*) as n_spans from s group by r)
+select d.doc_id, octet_length(d.data) as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(coalesce(h.kept, d.data)) as kept_sha256
+from d left join c using (r) left join h using (r)
+"""
+
 SQL_OP12 = r"""
 with recursive c as (
   select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as key
@@ -230,4 +254,4 @@ select item_id, cast(row_number() over (partition by item_id order by score desc
 qualify row_number() over (partition by item_id order by score desc, doc_id nulls last) <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": SQL_OP3, "op7_chat": SQL_OP7, "op12_repair": SQL_OP12, "op13_search": SQL_OP13}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": SQL_OP3, "op7_chat": SQL_OP7, "op11_repeats": SQL_OP11, "op12_repair": SQL_OP12, "op13_search": SQL_OP13}
