@@ -46,7 +46,7 @@ def parse_address(c: Column) -> Column:
 
 def parsed_words(w: Column) -> Column:
     size = F.size(w)
-    block = F.exists(F.arrays_zip(F.slice(w, 1, F.greatest(size - 1, F.lit(0))).alias("a"), F.slice(w, 2, F.greatest(size - 1, F.lit(0))).alias("b")), lambda x: x["a"].isin("block", "blk") & (x["b"] == "of"))
+    block = F.exists(F.transform(w, lambda x, i: F.coalesce(x.isin("block", "blk") & (F.get(w, i + 1) == "of"), F.lit(False))), lambda hit: hit)
     first = F.coalesce(F.get(w, F.lit(0)), F.lit(""))
     numbered = is_digits(first) | first.rlike("^[0-9].")
     rest = F.slice(w, F.when(numbered, 2).otherwise(1), F.greatest(size, F.lit(1)))

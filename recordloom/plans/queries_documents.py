@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import sql
 from ..functions import text, values
 from ..operators import classify, mapping
 from ..sources import formats, web
@@ -140,19 +141,40 @@ def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 BODY_KEYS = 20_000
 
 
-def parsed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds of events as JSON documents, market segments as CSV ones, of up to BODY_KEYS keys each, through detection and parsing."""
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of events as JSON documents, market segments as CSV ones, of up to BODY_KEYS keys each."""
     part = lambda key: F.floor(F.col(key) / BODY_KEYS).cast("string")
     e = table(spark, sf_dir, "events")
     js = e.groupBy(F.concat("event_type", F.lit("-"), (F.col("user_id") % 50).cast("string"), F.lit("-"), part("event_id")).alias("source_id")).agg(F.to_json(F.struct(F.lit(1).alias("version"), F.array_sort(F.collect_list(F.struct("event_id", "value", F.struct("user_id").alias("who")))).alias("rows"))).alias("body"))
     c = table(spark, sf_dir, "customer")
     line = F.concat_ws(",", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), "c_name", F.lit(', Mr"')), F.col("c_acctbal").cast("string"))
     cs = c.groupBy(F.concat("c_mktsegment", F.lit("-"), F.col("c_nationkey").cast("string"), F.lit("-"), part("c_custkey")).alias("source_id")).agg(F.concat(F.lit("key,name,balance\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("body"))
-    docs = js.unionByName(cs).select("source_id", F.lit("").alias("content_type"), "body")
-    cells = formats.parse_documents(docs)
+    return js.unionByName(cs).select("source_id", F.lit("").alias("content_type"), "body")
+
+
+def parsed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those documents through detection and parsing."""
+    cells = formats.parse_documents(bodies(spark, sf_dir))
     return cells.groupBy("format", "label").agg(F.count("*").alias("cells"), F.countDistinct("source_id").alias("documents"))
 
 
+def sql_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents from SQL: a table function over the table of them."""
+    sql.register(spark, "detect_format", "parse_documents")
+    return spark.sql("""
+        select format, label, count(*) as cells, count(distinct source_id) as documents
+        from parse_documents(table(select source_id, detect_format(content_type, body) as format, body from {docs})) group by format, label""", docs=bodies(spark, sf_dir))
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers through the functions that SQL can call."""
+    sql.register(spark, "slug", "parse_money", "property_key", "jaro_winkler", "validate_id")
+    return spark.sql("""
+        select c_custkey, slug(c_name) as slug, parse_money('$' || cast(cast(abs(c_acctbal) as decimal(15, 2)) as string)) as amount, property_key(c_mktsegment || ' County', 'P-' || c_custkey, null) as property,
+          round(jaro_winkler(c_name, reverse(substring(c_name, -2)) || c_name), 6) as likeness, validate_id('P-' || c_custkey) as plausible
+        from {customer}""", customer=table(spark, sf_dir, "customer"))
+
+
 def page_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", formats.page_projection(F.col("html")).alias("p"), formats.script_shell(F.col("html")).alias("shell"))
     return p.select("page_id", F.col("p.title").alias("title"), F.size("p.headings").alias("headings"), F.array_join("p.links", " ").alias("links"), F.col("p.items").alias("items"), "shell")
@@ -184,7 +206,7 @@ def turn_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("conv_id", "kept", F.substring(F.col("summary"), F.greatest(F.length("summary") - 2399, F.lit(1)), F.lit(2400)).alias("summary"))
 
 
-QUERIES = {f.__name__: f for f in (slug_tokens, money_parse, date_parse, kind_validate, coerce_values, value_samples, part_counts, infer_mapping, extract_records, extracted_events, nb_counts, nb_predict, nb_leave_one_out, nb_vocabulary, confusion_f1, json_flatten, parsed_bodies, page_projection, crawl_frontier, api_pages, turn_compaction)}
+QUERIES = {f.__name__: f for f in (slug_tokens, money_parse, date_parse, kind_validate, coerce_values, value_samples, part_counts, infer_mapping, extract_records, extracted_events, nb_counts, nb_predict, nb_leave_one_out, nb_vocabulary, confusion_f1, json_flatten, parsed_bodies, sql_documents, sql_functions, page_projection, crawl_frontier, api_pages, turn_compaction)}
 
 WORDS = "list_transform(regexp_extract_all(regexp_replace({}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[A-Za-z0-9]+'), lambda w: lower(w))"
 STOP = ", ".join(f"'{w}'" for w in classify.STOP)
@@ -256,6 +278,10 @@ select class, round(precision, 6) as precision, round(recall, 6) as recall, roun
 j as (select source_id, unnest(['event_id', 'value', 'who.user_id']) as label, unnest([event_id is not null, value is not null, user_id is not null]) as held from e),
 c as (select distinct c_mktsegment || '-' || c_nationkey || '-' || (c_custkey // 20000) as source_id from customer)
 select 'json' as format, label, count(*) as cells, count(distinct source_id) as documents from j where held group by label union all select 'text', null, count(*), count(*) from c""",
+    "sql_functions": """select c_custkey, array_to_string(list_transform(regexp_extract_all(regexp_replace(c_name, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[A-Za-z0-9]+'), lambda w: lower(w)), '_') as slug,
+  cast(abs(cast(c_acctbal as decimal(15, 2))) as double) as amount, lower(c_mktsegment) || '_county|p:P' || c_custkey as property, round(jaro_winkler_similarity(c_name, reverse(right(c_name, 2)) || c_name), 6) as likeness,
+  length(shown) between 3 and 30 and not contains(shown, '$') and length(regexp_replace(shown, '[^0-9]', '', 'g')) >= 2 and length(regexp_replace(shown, '[^0-9]', '', 'g')) * 10 >= length(shown) * 4
+    and not regexp_matches(shown, '^[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}$') as plausible from (select *, 'P-' || c_custkey as shown from customer)""",
     "api_pages": """with n as (select count(*) as upto from orders), p as (select upto, unnest(range(0, cast(upto // 1000 as bigint) + 1)) as page from n)
 select cast(page as integer) as page, least(1000, upto - page * 1000) as n, case when upto - page * 1000 < 1000 then 'short' else 'next' end as stop from p""",
     "turn_compaction": """with c as (select *, count(*) over (partition by conv_id) as n, row_number() over (partition by conv_id order by turn, role, text) as pos from conversations),
@@ -275,3 +301,4 @@ d as (select url, min(depth) as depth from w group by url), b as (select url, mi
 r as (select d.url, depth, row_number() over (partition by body order by depth, d.url) as n from d join b on b.url = d.url)
 select url, cast(depth as integer) as depth, not starts_with(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)?', 1), '/de') as allowed from r where n = 1""",
 }
+ORACLE_SQL["sql_documents"] = ORACLE_SQL["parsed_bodies"]

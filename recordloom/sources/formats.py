@@ -178,6 +178,22 @@ def pdf_lines(body: bytes) -> list[str]:
 PARSERS = {"json": parse_json, "csv": parse_csv, "html": tagsoup.records, "text": lambda b: parse_lines(b.split("\n")), "pdf": lambda b: parse_lines(pdf_lines(b if isinstance(b, bytes) else b.encode("latin-1", "replace")))}
 
 
+CELL_TYPE = "record long, label_ord int, label string, value string, error string"
+
+
+def cells_of(kind: str | None, body: str | bytes | None) -> list[tuple]:
+    """(record, label_ord, label, value, error) of one body: its cells, or a row that says why there are none."""
+    if isinstance(body, (bytes, bytearray)):
+        body = bytes(body) if kind == "pdf" else bytes(body).decode("utf-8", "replace")
+    try:
+        records, error = PARSERS[kind](body) if kind in PARSERS else [], None
+    except (ValueError, RecursionError, zlib.error, csv.Error) as e:
+        records, error = [], str(e)[:200]
+    order: dict[str, int] = {}
+    rows = [(i, order.setdefault(k, len(order)), k, v, None) for i, r in enumerate(records) for k, v in r]
+    return rows or [(None, None, None, None, error or "no records")]
+
+
 def parse_documents(docs: DataFrame) -> DataFrame:
     """docs (source_id, content_type, body) as cells (source_id, format, record, label_ord, label, value, error).
 
@@ -189,15 +205,7 @@ def parse_documents(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for source, kind, body in zip(batch["source_id"], batch["format"], batch["body"], strict=True):
-                if isinstance(body, (bytes, bytearray)):
-                    body = bytes(body) if kind == "pdf" else bytes(body).decode("utf-8", "replace")
-                try:
-                    records, error = PARSERS[kind](body) if kind in PARSERS else [], None
-                except (ValueError, RecursionError, zlib.error, csv.Error) as e:
-                    records, error = [], str(e)[:200]
-                order: dict[str, int] = {}
-                rows = [(source, kind, i, order.setdefault(k, len(order)), k, v, None) for i, r in enumerate(records) for k, v in r]
-                out += rows or [(source, kind, None, None, None, None, error or "no records")]
+                out += [(source, kind, *cell) for cell in cells_of(kind, body)]
             yield pd.DataFrame(out, columns=["source_id", "format", "record", "label_ord", "label", "value", "error"]).astype({"record": "Int64", "label_ord": "Int32"})
 
     if dict(docs.dtypes)["body"] == "binary":
@@ -207,7 +215,7 @@ def parse_documents(docs: DataFrame) -> DataFrame:
         typed = typed.select("source_id", "format", "body")
     else:
         typed = docs.withColumn("format", detect_format(F.col("content_type"), F.col("body"))).select("source_id", "format", "body")
-    return typed.mapInPandas(run, "source_id string, format string, record long, label_ord int, label string, value string, error string")
+    return typed.mapInPandas(run, f"source_id string, format string, {CELL_TYPE}")
 
 
 # --- native projections
