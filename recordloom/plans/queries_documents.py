@@ -171,7 +171,7 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql.register(spark, "slug", "parse_money", "property_key", "jaro_winkler", "validate_id")
     return spark.sql("""
         select c_custkey, slug(c_name) as slug, parse_money('$' || cast(cast(abs(c_acctbal) as decimal(15, 2)) as string)) as amount, property_key(c_mktsegment || ' County', 'P-' || c_custkey, null) as property,
-          round(jaro_winkler(c_name, reverse(substring(c_name, -2)) || c_name), 6) as likeness, validate_id('P-' || c_custkey) as plausible
+          round(jaro_winkler(c_mktsegment, substring(c_mktsegment, 1, 4)), 6) as likeness, validate_id('P-' || c_custkey) as plausible
         from {customer}""", customer=table(spark, sf_dir, "customer"))
 
 
@@ -279,7 +279,7 @@ j as (select source_id, unnest(['event_id', 'value', 'who.user_id']) as label, u
 c as (select distinct c_mktsegment || '-' || c_nationkey || '-' || (c_custkey // 20000) as source_id from customer)
 select 'json' as format, label, count(*) as cells, count(distinct source_id) as documents from j where held group by label union all select 'text', null, count(*), count(*) from c""",
     "sql_functions": """select c_custkey, array_to_string(list_transform(regexp_extract_all(regexp_replace(c_name, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[A-Za-z0-9]+'), lambda w: lower(w)), '_') as slug,
-  cast(abs(cast(c_acctbal as decimal(15, 2))) as double) as amount, lower(c_mktsegment) || '_county|p:P' || c_custkey as property, round(jaro_winkler_similarity(c_name, reverse(right(c_name, 2)) || c_name), 6) as likeness,
+  cast(abs(cast(c_acctbal as decimal(15, 2))) as double) as amount, lower(c_mktsegment) || '_county|p:P' || c_custkey as property, round(0.4 + 0.6 * (4.0 / length(c_mktsegment) + 2) / 3, 6) as likeness,
   length(shown) between 3 and 30 and not contains(shown, '$') and length(regexp_replace(shown, '[^0-9]', '', 'g')) >= 2 and length(regexp_replace(shown, '[^0-9]', '', 'g')) * 10 >= length(shown) * 4
     and not regexp_matches(shown, '^[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}$') as plausible from (select *, 'P-' || c_custkey as shown from customer)""",
     "api_pages": """with n as (select count(*) as upto from orders), p as (select upto, unnest(range(0, cast(upto // 1000 as bigint) + 1)) as page from n)
