@@ -128,7 +128,7 @@ class Windows:
         for off in range(2 * K, 2 * LENGTH - K, 2 * K):
             fp = joined(fp, double(np.minimum(start + off, last)))
         fp = joined(fp, double(last))
-        return start + a, n, h[anchor[start].astype(np.int64)], fp
+        return start + a, n, mix64(h[anchor[start].astype(np.int64)]), fp  # anchors have the least hashes: mixed, they spread over all shards
 
     def single(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of whole windows."""
