@@ -20,8 +20,9 @@ def subject(*names: str) -> Column:
     return F.map_filter(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("double"))]), lambda _, v: v.isNotNull())
 
 
-def validate_graph(graph: dict[str, Any]) -> list[str]:
-    """What is wrong with a graph {entry, nodes: {id: {kind, ...}}}: missing nodes and unreachable or odd ones."""
+def validate_graph(graph: dict[str, Any], known: list[str] | None = None) -> list[str]:
+    """What is wrong with a graph {entry, nodes: {id: {kind, ...}}}: missing nodes, odd operators, signals that aren't known, no match.
+    Graphs as data, in which identifiers can repeat, are checked by criteria.problems."""
     nodes, wrong = graph["nodes"], []
     if graph["entry"] not in nodes:
         wrong.append(f"missing entry {graph['entry']}")
@@ -29,6 +30,10 @@ def validate_graph(graph: dict[str, Any]) -> list[str]:
         wrong += [f"{name}: no node {node[k]}" for k in ("then", "else", "next") if node.get(k) is not None and node[k] not in nodes]
         if node["kind"] == "condition" and node["op"] not in OPERATORS:
             wrong.append(f"{name}: unknown operator {node['op']}")
+        if node["kind"] == "condition" and known is not None and node["signal"] not in known:
+            wrong.append(f"{name}: unknown signal {node['signal']}")
+    if not any(n["kind"] == "action" and n["name"] == "match" for n in nodes.values()):
+        wrong.append("no match action: nothing can ever qualify")
     return wrong
 
 

@@ -84,11 +84,26 @@ def drifted(state: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def repairs(proposals: DataFrame) -> DataFrame:
-    """Proposals (source_id, mapping_confidence, rate, baseline) with confidence and resolution: accepted or queued."""
-    gain = F.least(F.lit(1.0), F.when(F.col("baseline") > 0, F.col("rate") / F.col("baseline")).otherwise(F.lit(1.0)))
+    """Proposals (source_id, mapping_confidence, rate, baseline) with confidence and resolution: auto (accepted) or pending. Without a
+    baseline the rate itself is the recovery, and any rate above 0 is enough."""
+    based = F.col("baseline") > 0
+    gain = F.when(based, F.least(F.lit(1.0), F.col("rate") / F.col("baseline"))).otherwise(F.col("rate"))
+    enough = F.when(based, F.col("rate") >= REPAIR_RATE * F.col("baseline")).otherwise(F.col("rate") > 0)
     p = proposals.withColumn("confidence", 0.5 * F.col("mapping_confidence") + 0.5 * gain)
-    good = (F.col("rate") >= REPAIR_RATE * F.col("baseline")) & (F.col("confidence") >= REPAIR_CONFIDENCE)
-    return p.withColumn("resolution", F.when(good, "accepted").otherwise("queued"))
+    return p.withColumn("resolution", F.when(enough & (F.col("confidence") >= REPAIR_CONFIDENCE), "auto").otherwise("pending"))
+
+
+def ranked(rows: DataFrame, name: str, *order: str | Column) -> DataFrame:
+    """rows with their place in an order over all of them: partitions by range, sorted, each numbered from where the one before
+    ends. The rows are checkpointed in between, so that both readings number the same ones."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = placed.checkpoint()
+    part = F.shiftright("__at", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = sizes.select("__part", before.alias("__before"))  # one row for each partition
+    out = placed.withColumn("__part", part).join(F.broadcast(firsts), "__part")
+    return out.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__at", "__part", "__before")
 
 
 def host_budget(requests: DataFrame, per_window: int = 60, window_s: int = 60, gap_s: float = 0.0) -> DataFrame:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slug
 from ..functions.values import KINDS, validate
+from .operations import ranked
 
-# The least weight of a function, that of one that never fired, rounds, and the share of weight that is confident.
-FLOOR, SILENT, ROUNDS, CONFIDENT = 0.05, 0.1, 20, 0.5
+# The least weight of a function, that of one that never fired, rounds, the share of weight that is confident, the least
+# rate in log odds, and the change that is none.
+FLOOR, SILENT, ROUNDS, CONFIDENT, LEAST, SETTLED = 0.05, 0.1, 20, 0.5, 1e-3, 1e-4
 
 
 def exact_votes(columns: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -21,11 +23,13 @@ def exact_votes(columns: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def token_votes(columns: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(example, lf, class): the class most of a name's tokens stand for; ties abstain."""
-    tokens = columns.select("example", F.explode(F.split(slug(F.col("name")), "_")).alias("term")).join(lexicon, "term").groupBy("example", "class").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("example")
-    top = tokens.withColumn("most", F.max("n").over(w)).where("n = most").withColumn("ties", F.count("*").over(w)).where("ties = 1")
-    return top.select("example", F.lit("lexicon_token").alias("lf"), "class")
+    """(example, lf, class): the one class that has a term of two words or more all of which are in the name; several classes abstain."""
+    parts = F.split(slug(F.col("term")), "_")
+    terms = lexicon.select("class", "term", parts.alias("parts")).where(F.size("parts") >= 2).select("class", "term", F.explode(F.array_distinct("parts")).alias("token"), F.size(F.array_distinct("parts")).alias("wanted"))
+    tokens = columns.select("example", F.explode(F.array_distinct(F.split(slug(F.coalesce("name", F.lit(""))), "_"))).alias("token"))
+    whole = tokens.join(terms, "token").groupBy("example", "class", "term", "wanted").agg(F.count("*").alias("n")).where("n = wanted")
+    one = whole.groupBy("example").agg(F.count_distinct("class").alias("n"), F.min("class").alias("class")).where("n = 1")
+    return one.select("example", F.lit("lexicon_token").alias("lf"), "class")
 
 
 STRONG = ("id", "money", "date", "email", "phone", "number")
@@ -81,15 +85,30 @@ def corpus_counts(corpus: DataFrame) -> DataFrame:
     return corpus.select(F.explode(parts).alias("x")).groupBy("x.what", "x.value").agg(F.count("*").alias("n"))
 
 
+def probabilities(votes: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(example, class, probability): the share of an example's weight of votes that each class has. Classes without a vote have none."""
+    sums = votes.groupBy("example", "class").agg(F.sum(weight_of(weights)).alias("w"))
+    return sums.select("example", "class", (F.col("w") / F.sum("w").over(Window.partitionBy("example"))).alias("probability"))
+
+
 def suspects(votes: DataFrame, truth: DataFrame, weights: dict[str, float]) -> DataFrame:
     """(example, class, given, suspicion_rank) of labelled examples (example, class) whose votes speak for another class: given is the
-    share of weight that their own label has, the least first, ties by example."""
-    weight = F.coalesce(*[F.when(F.col("lf") == k, w) for k, w in weights.items()], F.lit(0.0))
-    t = truth.withColumnRenamed("class", "truth")
-    shares = votes.join(t, "example").groupBy("example", "truth").agg((F.sum(F.when(F.col("class") == F.col("truth"), weight).otherwise(0.0)) / F.sum(weight)).alias("given"))
-    best = tally(votes, weights).select("example", "class")
-    odd = shares.join(best, "example").where(F.col("class") != F.col("truth"))
-    return odd.select("example", F.col("truth").alias("class"), "given", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("given", "example")).alias("suspicion_rank"))
+    probability of their own label, the least first, ties by example. No window sees all of them: ranks come from a range partition."""
+    p = probabilities(votes, weights)
+    best = p.groupBy("example").agg(F.min_by("class", F.struct(-F.col("probability"), "class")).alias("best"))
+    own = truth.join(p.withColumnRenamed("probability", "given"), ["example", "class"], "left")
+    odd = own.join(best, "example").where(F.col("best") != F.col("class")).select("example", "class", F.coalesce("given", F.lit(0.0)).alias("given"))
+    return ranked(odd, "suspicion_rank", "given", "example")
+
+
+def audit(votes: DataFrame, truth: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """One row: examples, covered (with a vote), agree (whose likeliest class is the given one), suspects, and their shares."""
+    p = probabilities(votes, weights)
+    best = p.groupBy("example").agg(F.min_by("class", F.struct(-F.col("probability"), "class")).alias("best"))
+    j = truth.join(best, "example", "left").agg(F.count("*").alias("examples"), F.count("best").alias("covered"), F.count_if(F.col("best") == F.col("class")).alias("agree"))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    j = j.withColumn("suspects", F.col("covered") - F.col("agree"))
+    return j.select("*", share("covered", "examples").alias("coverage"), share("agree", "covered").alias("agreement"), share("suspects", "examples").alias("suspect_share"))
 
 
 def summary(votes: DataFrame, truth: DataFrame, examples: int) -> DataFrame:
@@ -98,33 +117,34 @@ def summary(votes: DataFrame, truth: DataFrame, examples: int) -> DataFrame:
     return judged.groupBy("lf").agg((F.count("*") / F.lit(float(examples))).alias("coverage"), F.avg((F.col("class") == F.col("truth")).cast("double")).alias("accuracy"))
 
 
+def weight_of(weights: dict[str, float]) -> Column:
+    return F.coalesce(*[F.when(F.col("lf") == k, w) for k, w in weights.items()], F.lit(0.0))
+
+
 def tally(votes: DataFrame, weights: dict[str, float]) -> DataFrame:
     """(example, class, confidence): the class with the greatest weight of votes, ties by name. Weights: one for each function."""
-    weight = F.coalesce(*[F.when(F.col("lf") == k, w) for k, w in weights.items()], F.lit(0.0))
-    sums = votes.groupBy("example", "class").agg(F.sum(weight).alias("w"))
-    per = Window.partitionBy("example")
-    ranked = sums.withColumn("share", F.col("w") / F.sum("w").over(per)).withColumn("n", F.row_number().over(per.orderBy(F.desc("w"), "class")))
-    return ranked.where("n = 1").select("example", "class", F.col("share").alias("confidence"))
+    best = F.min_by(F.struct("class", "probability"), F.struct(-F.col("probability"), "class")).alias("b")
+    return probabilities(votes, weights).groupBy("example").agg(best).select("example", "b.class", F.col("b.probability").alias("confidence"))
 
 
-def label_model(votes: DataFrame, classes: int, rounds: int = ROUNDS) -> tuple[DataFrame, dict[str, float]]:
-    """Consensus and weights by iterated weighted voting: a function's weight is the log odds of its agreement with the
-    consensus. Each round aggregates the votes to one number for each function; only these come to the driver."""
+def label_model(votes: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, dict[str, float]]:
+    """Consensus and weights by iterated weighted voting: a function's weight is the log odds of its agreement with the consensus
+    where that is confident. Votes are first counted by pattern (which function says which class), of which there are few however
+    many examples; each round reads these, and one number for each function comes to the driver."""
+    votes = votes.groupBy("example", "lf").agg(F.min("class").alias("class"))  # one vote of each function
     names = [r["lf"] for r in votes.select("lf").distinct().orderBy("lf").collect()]
+    said = F.map_from_entries(F.array_sort(F.collect_list(F.struct("lf", "class"))))
+    patterns = votes.groupBy("example").agg(F.to_json(said).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")).persist()
+    each = patterns.select(F.col("pattern").alias("example"), "n", F.explode(F.from_json("pattern", "map<string, string>")).alias("lf", "class"))
     weights = dict.fromkeys(names, 1.0)
-    votes = votes.persist()  # read in every round; released at the end
     for _ in range(rounds):
-        consensus = tally(votes, weights).withColumnRenamed("class", "agreed")
-        rates = {r["lf"]: r["rate"] for r in votes.join(consensus, "example").where(F.col("confidence") >= CONFIDENT).groupBy("lf").agg(F.avg((F.col("class") == F.col("agreed")).cast("double")).alias("rate")).collect()}
-        new = {}
-        for k in names:
-            p = rates.get(k)
-            p = None if p is None else min(max(p, 1e-3), 1 - 1e-3)
-            new[k] = SILENT if p is None else max(FLOOR, math.log(p * (classes - 1) / (1 - p)) if classes > 1 else FLOOR)
-        moved = max((abs(new[k] - weights[k]) for k in names), default=0.0)
+        consensus = tally(each, weights).withColumnRenamed("class", "agreed").where(F.col("confidence") >= CONFIDENT)
+        agree = F.sum(F.when(F.col("class") == F.col("agreed"), F.col("n")).otherwise(0)) / F.sum("n")
+        rates = {r["lf"]: r["rate"] for r in each.join(consensus, "example").groupBy("lf").agg(agree.alias("rate")).collect()}
+        new = {k: SILENT if rates.get(k) is None else max(FLOOR, math.log(max(rates[k], LEAST) / max(1 - rates[k], LEAST))) for k in names}
+        settled = all(abs(new[k] - weights[k]) <= SETTLED + 1e-5 * abs(weights[k]) for k in names)
         weights = new
-        if moved < 1e-9:
+        if settled:
             break
-    kept = votes.select("*")
-    votes.unpersist()
-    return tally(kept, weights), weights
+    patterns.unpersist()
+    return tally(votes, weights), weights

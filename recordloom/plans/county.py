@@ -44,5 +44,5 @@ def compile_county(events: DataFrame, fields: DataFrame, trust: DataFrame, now_e
     out = signals.join(lifecycle.states(merged), "property_key").join(members, "property_key").join(resolved, "property_key", "left")
     get = lambda f: F.element_at("fields", f)
     out = out.withColumn("assessed", get("assessed_value").try_cast("double")).withColumn("occupancy", comp.occupancy(get("mailing_address"), get("address")))
-    located = F.coalesce(get("address"), F.lit("")) != ""
+    located = (F.coalesce(get("parcel_id"), F.lit("")) != "") | F.coalesce(parse_address(get("address"))["locatable"], F.lit(False))
     return comp.ranked(out.withColumn("locatable", located))

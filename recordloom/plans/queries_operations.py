@@ -350,7 +350,7 @@ select * from uv union all select * from vv union all select example, 'llm', cla
 select example, case when a <> b then null else coalesce(a, b) end as class, coalesce(a <> b, false) or (coalesce(a, b) is null and near) as masked from x""",
     "corpus_counts": "with " + SQL_VALUES + """, x as (select unnest(['columns', 'domain', 'label', 'label_source']) as what, unnest(['', domain, case when example % 2 = 0 then name else '' end, 'lexicon']) as value from vc) select what, value, count(*) as n from x group by all""",
     "vote_suspects": "with " + SQL_VALUES + """, v as (select * from uv union all select * from vv), t as (select v.example, v.class as said, case when v.example % 4 = 0 then 'mail' else 'none' end as class from v)
-select example, class, 0.0::double as given, cast(row_number() over (order by example) as integer) as suspicion_rank from t where said <> class""",
+select example, class, 0.0::double as given, row_number() over (order by example) as suspicion_rank from t where said <> class""",
     "overall_scores": """with p as (select ['none', 'a', 'b', 'c'][l_orderkey % 4 + 1] as truth, ['none', 'a', 'b'][(l_orderkey + l_linenumber) % 3 + 1] as guess from lineitem), c as (select unnest(['a', 'b', 'c']) as class),
 s as (select class, (select count(*) from p where truth = class) as t, (select count(*) from p where guess = class) as g, (select count(*) from p where truth = class and guess = class) as tp from c)
 select round(avg(case when t + g > 0 then 2.0 * tp / (t + g) else 0 end) filter (t > 0), 9) as macro_f1, (select round(avg(case when truth = guess then 1.0 else 0.0 end), 9) from p where truth <> 'none') as positive_accuracy, (select count(*) from p) as examples from s""",

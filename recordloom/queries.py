@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import queries_catalogue, queries_documents, queries_operations, queries_properties
+from .plans import queries_catalogue, queries_decisions, queries_documents, queries_operations, queries_properties
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-PARTS = (queries_properties, queries_catalogue, queries_documents, queries_operations)
+PARTS = (queries_properties, queries_catalogue, queries_documents, queries_operations, queries_decisions)
 QUERIES: dict[str, Query] = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in PARTS for name, sql in part.ORACLE_SQL.items()}
 FLAGSHIP = "lifecycle_state"

@@ -67,6 +67,18 @@ def test_repairs_are_decided_once(spark):
     assert {tuple(r) for r in runs.repaired_states(states, got).collect()} == {("s", "m2", 0), ("u", "kept", 3)}
 
 
+def test_proposed_repairs_can_be_decided(spark):
+    from recordloom.operators import operations
+
+    rows = [("a", 0.9, 0.8, 1.0), ("b", 0.6, 0.5, 1.0), ("c", 1.0, 0.0, 0.0), ("d", 0.9, 0.7, 0.0), ("e", 1.0, 0.69, 1.0), ("f", 0.5, 2.0, 1.0)]
+    p = operations.repairs(spark.createDataFrame(rows, "source_id string, mapping_confidence double, rate double, baseline double"))
+    got = {r["source_id"]: (round(r["confidence"], 6), r["resolution"]) for r in p.collect()}
+    assert got == {"a": (0.85, "auto"), "b": (0.55, "pending"), "c": (0.5, "pending"), "d": (0.8, "auto"), "e": (0.845, "pending"), "f": (0.75, "auto")}
+    queued = p.selectExpr("source_id as id", "source_id", "resolution", "'m' as mapping")
+    decided = runs.resolved_repairs(queued, spark.createDataFrame([("a", True), ("b", True), ("c", False)], "id string, approved boolean"))
+    assert {r["id"]: (r["resolution"], r["applied"]) for r in decided.collect() if r["id"] in "abc"} == {"a": ("auto", False), "b": ("approved", True), "c": ("rejected", False)}
+
+
 def test_validators_vote_and_veto(spark):
     cols = spark.createDataFrame([(1, ["a@b.org", "c@d.org"]), (2, ["a@b.org"]), (3, ["-", "-"]), (4, ["$5.00", "7"]), (5, None)], "example long, values array<string>")
     fields = spark.createDataFrame([("mail", "email"), ("due", "money"), ("size", "number"), ("note", "text")], "field string, kind string")

@@ -1,4 +1,5 @@
 import datetime as dt
+import zoneinfo
 
 import numpy as np
 import pytest
@@ -26,7 +27,37 @@ def test_owners_and_windows(spark):
     at = spark.createDataFrame([(dt.datetime(2024, 3, 8, 23, 1),)], "t timestamp")  # Friday, 18:01 in New York
     r = at.select(schedule.may_send(F.col("t"), F.lit("person"), F.lit("America/New_York")).alias("p"), schedule.may_send(F.col("t"), F.lit("business"), F.lit("America/New_York")).alias("b"), schedule.next_send(F.col("t"), F.lit("business"), F.lit("America/New_York")).alias("n")).first()
     assert r["p"] and not r["b"]
-    assert r["n"] == dt.datetime(2024, 3, 11, 13, 0)  # Monday 9:00, after the clocks changed
+    assert r["n"] == dt.datetime(2024, 3, 11, 14, 0)  # Monday 9:00 by Friday's clocks: minutes are added in UTC
+
+
+def windows(now, kind, zone):
+    """As a loop over days."""
+    local = now.replace(tzinfo=dt.timezone.utc).astimezone(zoneinfo.ZoneInfo(zone))
+    minutes, today = local.hour * 60 + local.minute, (local.weekday() + 1) % 7
+    for offset in range(8):
+        day = (today + offset) % 7
+        work = 1 <= day <= 5
+        start, end, why = ((540, 1020, 0) if work else (0, 0, None)) if kind == "business" else (1050, 1230, 1) if work else (600, 1230, 2)
+        if why is None:
+            continue
+        if offset == 0 and start <= minutes < end:
+            return now, schedule.REASONS[why]
+        if (late := offset * 1440 + start - minutes) > 0:
+            return now + dt.timedelta(minutes=late), schedule.REASONS[why]
+
+
+def test_every_hour_of_some_weeks(spark):
+    start = dt.datetime(2024, 3, 7, 0, 7, 31)
+    rows = [(start + dt.timedelta(minutes=37 * i), kind, zone) for i in range(400) for kind in ("business", "person") for zone in ("America/New_York", "America/Phoenix")]
+    df = spark.createDataFrame(rows, "t timestamp, kind string, zone string")
+    got = {(r["t"], r["kind"], r["zone"]): (r["w"]["at"], r["w"]["reason"]) for r in df.withColumn("w", schedule.next_window(F.col("t"), F.col("kind"), F.col("zone"))).collect()}
+    assert all(got[r] == windows(*r) for r in rows)
+
+
+def test_moments_in_a_zone(spark):
+    rows = [(dt.datetime(2024, 11, 25, 22, 30), "America/New_York"), (dt.datetime(2024, 7, 4, 16, 5), "America/Los_Angeles"), (dt.datetime(2024, 7, 4, 7, 5), "America/Phoenix")]
+    got = [r[0] for r in spark.createDataFrame(rows, "t timestamp, z string").select(schedule.in_zone(F.col("t"), F.col("z"))).collect()]
+    assert got == ["Mon, Nov 25, 5:30 PM EST", "Thu, Jul 4, 9:05 AM PDT", "Thu, Jul 4, 12:05 AM MST"]
 
 
 def test_zones_of_jurisdictions(spark):

@@ -1,6 +1,8 @@
+import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from recordloom.operators import classify, decisions, lifecycle, mapping, operations, valuation, weak_labels
@@ -87,11 +89,13 @@ def test_budget_replay(spark):
 
 def test_graph_walk_cycle_and_missing(spark):
     node = lambda t, e: {"kind": "condition", "signal": "x", "op": "gte", "value": 1.0, "then": t, "else": e}
-    graph = {"entry": "a", "nodes": {"a": node("b", "a2"), "a2": node("a", "a"), "b": {"kind": "approval", "next": "c"}, "c": {"kind": "action", "name": "go"}}}
+    graph = {"entry": "a", "nodes": {"a": node("b", "a2"), "a2": node("a", "a"), "b": {"kind": "approval", "next": "c"}, "c": {"kind": "action", "name": "match"}}}
     rows = spark.createDataFrame([(1, {"x": 2.0}), (2, {"x": 0.0}), (3, {})], "i int, signals map<string,double>")
     got = {r["i"]: (r["outcome"], r["requires_approval"], r["valid"]) for r in decisions.evaluate(rows, graph).collect()}
-    assert got == {1: ("go", True, True), 2: (None, False, False), 3: (None, False, False)}
+    assert got == {1: ("match", True, True), 2: (None, False, False), 3: (None, False, False)}
     assert decisions.validate_graph(graph) == [] and decisions.validate_graph({"entry": "z", "nodes": graph["nodes"]})
+    assert decisions.validate_graph(graph, ["y"]) == ["a: unknown signal x", "a2: unknown signal x"]
+    assert decisions.validate_graph({"entry": "c", "nodes": {"c": {"kind": "action", "name": "discard"}}}) == ["no match action: nothing can ever qualify"]
 
 
 def cells(rows):
@@ -118,11 +122,62 @@ def test_mapping_scores(spark):
     assert (r["tp"], r["spurious"], r["missing"]) == (1, 1, 1) and r["precision"] == 0.5
 
 
+def label_model_by_hand(votes, rounds=20):
+    by = {}
+    for e, f, c in votes:
+        by.setdefault(e, {})[f] = c
+    names = sorted({f for _, f, _ in votes})
+    w = dict.fromkeys(names, 1.0)
+
+    def shares(v):
+        out = {}
+        for f, c in v.items():
+            out[c] = out.get(c, 0.0) + w[f]
+        total = sum(out.values())
+        return min((-x / total, c) for c, x in out.items())
+
+    for _ in range(rounds):
+        best = {e: shares(v) for e, v in by.items()}
+        new = {}
+        for f in names:
+            fired = [e for e, v in by.items() if f in v and -best[e][0] >= 0.5]
+            rate = sum(by[e][f] == best[e][1] for e in fired) / len(fired) if fired else None
+            new[f] = 0.1 if rate is None else max(0.05, math.log(max(rate, 1e-3) / max(1 - rate, 1e-3)))
+        done = all(abs(new[f] - w[f]) <= 1e-4 + 1e-5 * abs(w[f]) for f in names)
+        w.update(new)
+        if done:
+            break
+    return {e: (shares(v)[1], -shares(v)[0]) for e, v in by.items()}, w
+
+
 def test_label_model(spark):
-    votes = [(i, f, "a" if i % 2 else "b") for i in range(20) for f in ("good", "fair")] + [(i, "bad", "a" if i % 3 else "b") for i in range(20)]
-    out, weights = weak_labels.label_model(spark.createDataFrame(votes, "example long, lf string, class string"), 2)
-    assert {r["example"]: r["class"] for r in out.collect()} == {i: "a" if i % 2 else "b" for i in range(20)}
-    assert weights["good"] > weights["bad"] >= weak_labels.FLOOR
+    r = random.Random(3)
+    votes = [(e, f, r.choice("abc") if r.random() < p else "abc"[e % 3]) for e in range(120) for f, p in (("good", 0.1), ("fair", 0.4), ("bad", 0.9)) if r.random() < 0.8]
+    out, weights = weak_labels.label_model(spark.createDataFrame(votes + votes[:3], "example long, lf string, class string"))
+    want, w = label_model_by_hand(votes)
+    assert weights == pytest.approx(w) and weights["good"] > weights["bad"] >= weak_labels.FLOOR
+    assert {x["example"]: (x["class"], pytest.approx(x["confidence"])) for x in out.collect()} == want
+    agreed = weak_labels.label_model(spark.createDataFrame([(1, "f", "a"), (2, "f", "b")], "example long, lf string, class string"))[1]
+    assert agreed["f"] == pytest.approx(math.log(1 / 1e-3))  # never wrong: log odds at the least rate
+
+
+def test_suspects_are_ranked_without_one_task(spark):
+    votes = [(e, f, c) for e, cs in enumerate(["aab", "bbb", "abb", "cab"]) for f, c in zip("xyz", cs)]
+    truth = spark.createDataFrame([(0, "b"), (1, "b"), (2, "a"), (3, "d"), (9, "a")], "example long, class string")
+    v = spark.createDataFrame(votes, "example long, lf string, class string")
+    got = weak_labels.suspects(v, truth, {"x": 1.0, "y": 2.0, "z": 0.5})
+    assert {tuple(r) for r in got.collect()} == {(3, "d", 0.0, 1), (0, "b", 0.5 / 3.5, 2), (2, "a", 1.0 / 3.5, 3)}
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    a = weak_labels.audit(v, truth, {"x": 1.0, "y": 2.0, "z": 0.5}).first()
+    assert (a["examples"], a["covered"], a["agree"], a["suspects"]) == (5, 4, 1, 3) and a["coverage"] == 0.8
+
+
+def test_names_that_hold_all_words_of_a_term(spark):
+    columns = spark.createDataFrame([(1, "sale price total"), (2, "priceSale"), (3, "price"), (4, "sale_date price"), (5, None)], "example long, name string")
+    lexicon = spark.createDataFrame([("sale_price", "amount"), ("price", "amount"), ("sale date", "day"), ("price_price", "other")], "term string, class string")
+    got = {r["example"]: r["class"] for r in weak_labels.token_votes(columns, lexicon.where("class != 'other'")).collect()}
+    assert got == {1: "amount", 2: "amount"}  # 4 has two classes
+    assert {r["example"]: r["class"] for r in weak_labels.token_votes(columns, lexicon).collect()} == {3: "other"}  # a word twice is two words
 
 
 def test_network_estimate(spark):
