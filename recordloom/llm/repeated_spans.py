@@ -37,7 +37,7 @@ from .text import M1, M2, M3, mix64, written
 #: Bytes of a window, of an anchor, of a chunk's text; positions that are hashed together.
 LENGTH, K, CHUNK, BLOCK = 100, 32, 1 << 20, 1 << 18
 #: Different pieces from which a key is dealt out by windows; bytes of text behind a shard of keys, and in an index; shards at least.
-HOT, KEYS, SHARD, LEAST = 4096, 16 << 20, 2 << 20, 64
+HOT, KEYS, SHARD, LEAST = 4096, 16 << 20, 1 << 20, 64
 #: Bytes of a side that is broadcast rather than joined by shuffle.
 BROADCAST_BYTES = 16 << 20
 PLACE = np.uint64((1 << 20) - 1)
@@ -230,7 +230,7 @@ def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def sent(batches: Iterator[pa.RecordBatch], shards: int, index_shards: int) -> Iterator[pa.RecordBatch]:
-    """Pieces with repeated keys for each index shard; as shard -1 the spans of copies within the chunk."""
+    """Pieces with repeated keys for each index shard; as a shard below 0 the spans of copies within the chunk."""
     for row in rows_of(batches):
         w, order, ids, ties = in_order(row)
         if not len(order):
@@ -262,7 +262,7 @@ def sent(batches: Iterator[pa.RecordBatch], shards: int, index_shards: int) -> I
         groups = [by[cut[s] : cut[s + 1]] for s in own]
         blobs = [b"".join(row["blob"][start[i] : start[i] + n[i] + LENGTH - 1] for i in g) for g in groups]
         local, stop = merged(np.concatenate([m[0] for m in marks]), np.concatenate([m[0] + m[1] - 1 + LENGTH for m in marks]))
-        numbers, none = pa.array(np.append(own, -1), pa.int32()), [np.zeros(0, np.int64)]
+        numbers, none = pa.array(np.append(own, -1 - row["chunk"] % LEAST), pa.int32()), [np.zeros(0, np.int64)]
         yield pa.RecordBatch.from_arrays(
             [
                 numbers, pa.array([row["chunk"]] * len(numbers), pa.int64()), lists([ids[of[g]] for g in groups] + none, pa.int64()), lists([ties[of[g]] for g in groups] + none, pa.int64()),
@@ -359,7 +359,9 @@ class RunIndex:
 
 
 def marked(group: pa.Table) -> pa.Table:
-    """An index shard's pieces to the spans, by chunk, that start earlier elsewhere."""
+    """An index shard's pieces to the spans, by chunk, that start earlier elsewhere; spans that chunks found themselves pass."""
+    if group["shard"][0].as_py() < 0:
+        return group.select(["chunk", "starts", "sizes"]).rename_columns(["chunk", "starts", "stops"])
     flat = lambda c: group[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
     ids, ties, start, n = flat("ids"), flat("ties"), flat("starts").astype(np.int64), flat("sizes").astype(np.int64)
     chunk = np.repeat(group["chunk"].to_numpy(), [len(x) for x in group["starts"]])
@@ -389,6 +391,13 @@ def marked(group: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array(chunks, pa.int64()), "starts": lists([s[0] for s in spans], pa.int32()), "stops": lists([s[1] for s in spans], pa.int32())})
 
 
+def gathered(group: pa.Table) -> pa.Table:
+    """All spans of a chunk, merged: as many as its removed runs."""
+    start, stop = (np.concatenate([np.asarray(x.values) for x in group[c]]).astype(np.int64) for c in ("starts", "stops"))
+    start, stop = merged(start, stop)
+    return pa.table({"chunk": group["chunk"].slice(0, 1), "starts": lists([start], pa.int32()), "stops": lists([stop], pa.int32())})
+
+
 def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks with marks to documents: id, n_bytes, spans, kept."""
     for row in rows_of(batches):
@@ -441,7 +450,6 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     pieces, windows = (x or 0 for x in answers.agg(F.sum("pieces"), F.sum("windows")).first())
     index_shards = max(LEAST, math.ceil((pieces + windows * (LENGTH - K) // 2) * (LENGTH + (LENGTH - K) // 2) / SHARD))
     with_answers = beside(chunks, answers.select("chunk", "shard", "codes"), "answers", F.octet_length("codes"))
-    out = written(with_answers.mapInArrow(lambda b: sent(b, shards, index_shards), SENT))
-    found = written(out.where("shard >= 0").groupBy("shard").applyInArrow(marked, MARKS))
-    marks = out.where("shard < 0").select("chunk", "starts", F.col("sizes").alias("stops")).unionByName(found)
+    found = with_answers.mapInArrow(lambda b: sent(b, shards, index_shards), SENT).groupBy("shard").applyInArrow(marked, MARKS)
+    marks = written(found.groupBy("chunk").applyInArrow(gathered, MARKS))
     return beside(chunks, marks, "marks", 8 * F.size("starts")).mapInArrow(finished, "id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
