@@ -181,15 +181,17 @@ def page_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of a host linked in a ring, crawled from its first page for four rounds; robots rules close one path."""
-    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    """Pages of a host linked in a ring, crawled from its first page for four rounds and twelve pages at most; robots rules close one path."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "#.*", "").alias("url"), "html")
     h = web.host(F.col("url"))
     after = Window.partitionBy(h).orderBy("page_id")
-    edges = p.select("url", F.lead("url").over(after).alias("target")).where("target is not null").union(p.select("url", F.lead("url", 3).over(after).alias("target")).where("target is not null"))
+    both = p.select("url", F.lead("url").over(after).alias("a"), F.lead("url", 3).over(after).alias("b"))
+    edges = both.select("url", F.posexplode(F.array("a", "b")).alias("place", "target")).where("target is not null")
     seeds = p.groupBy(h.alias("h")).agg(F.min_by("url", "page_id").alias("url")).select("url")
-    reached = web.crawl(seeds, p.groupBy("url").agg(F.min(F.sha2("html", 256)).alias("body_hash")), edges, 4)
-    rules = p.select(h.alias("host")).distinct().select("host", F.lit("*").alias("agent"), F.lit(False).alias("allow"), F.lit("/de").alias("prefix"))
-    return web.allowed(reached, rules, "recordloom").select("url", "depth", "allowed")
+    text = F.concat(F.lit("# rules\nUser-agent: other\nDisallow: /\n\nUser-Agent: *\nCrawl-delay: 2\nDisallow: /de\nAllow: /de/a"))
+    rules = p.select(h.alias("host")).distinct().select("host", web.robots(text, "recordloom/1.0")["rules"].alias("rules"))
+    pages = p.groupBy("url").agg(F.min(F.sha2("html", 256)).alias("body_hash"), F.min("page_id").alias("page_id")).select("url", "body_hash", (F.col("page_id") % 9 != 4).alias("follow"))
+    return web.crawl(seeds, pages, edges, 4, 12, rules=rules)
 
 
 def api_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,12 +295,19 @@ select page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<t
   cast(len(regexp_extract_all(html, '(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]>')) as integer) as headings, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') as links,
   cast(len(regexp_extract_all(html, '(?i)<li\b')) as integer) as items,
   regexp_matches(lower(html), 'id="(root|app|__next)"\s*>\s*</div>|data-reactroot|ng-app') or strlen(trim(bare)) * 4 < strlen(array_to_string(regexp_extract_all(html, '(?is)<script\b[^>]*>(.*?)</script\s*>', 1), '')) as shell from p""",
-    "crawl_frontier": r"""with recursive p as (select page_id, url, html, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) as h from pages),
+    "crawl_frontier": r"""with recursive u as (select page_id, regexp_replace(url, '#.*', '') as url, html from pages), p as (select page_id, url, html, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) as h from u),
 e as (select url, lead(url) over (partition by h order by page_id) as a, lead(url, 3) over (partition by h order by page_id) as b from p),
-g as (select distinct url, target from (select url, unnest([a, b]) as target from e) where target is not null),
-w as (select distinct arg_min(url, page_id) as url, 0 as depth from p group by h union select g.target, w.depth + 1 from w join g on g.url = w.url where w.depth < 4),
-d as (select url, min(depth) as depth from w group by url), b as (select url, min(sha256(html)) as body from pages group by url),
-r as (select d.url, depth, row_number() over (partition by body order by depth, d.url) as n from d join b on b.url = d.url)
-select url, cast(depth as integer) as depth, not starts_with(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)?', 1), '/de') as allowed from r where n = 1""",
+g as (select url, target, min(place) as place from (select url, unnest([a, b]) as target, unnest([0, 1]) as place from e) where target is not null group by all),
+ls as (select url, list(target order by place, target) as targets from g group by url),
+b as (select url, min(sha256(html)) as body, min(page_id) % 9 <> 4 as follow, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) as path from u group by url),
+st as (
+  select arg_min(url, page_id) as seed, 0 as i, [{'u': arg_min(url, page_id), 'd': 0}] as q, []::varchar[] as bodies, null::varchar as url, null::integer as depth, null::varchar as outcome from p group by h
+  union all
+  select seed, i + 1, case when outcome = 'fetched' and coalesce(b.follow, false) and q[i + 1].d < 4 then q || list_transform(list_distinct_kept[1:96 - len(q)], lambda t: {'u': t, 'd': q[i + 1].d + 1}) else q end,
+    case when outcome = 'fetched' then list_append(bodies, b.body) else bodies end, q[i + 1].u, q[i + 1].d, outcome
+  from (select st.* exclude (url, depth, outcome), b, list_filter(coalesce(ls.targets, []), lambda t: not list_contains(list_transform(q, lambda x: x.u), t)) as list_distinct_kept,
+      case when starts_with(b.path, '/de') and not starts_with(b.path, '/de/a') then 'robots' when b.url is null then 'failed' when list_contains(bodies, b.body) then 'duplicate' else 'fetched' end as outcome
+    from st left join b on b.url = q[i + 1].u left join ls on ls.url = q[i + 1].u where i < len(q) and len(bodies) < 12))
+select seed, url, depth, i::bigint as place, outcome from st where i > 0""",
 }
 ORACLE_SQL["sql_documents"] = ORACLE_SQL["parsed_bodies"]

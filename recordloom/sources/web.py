@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from ..operators.operations import first_by
 
 
 def host(url: Column) -> Column:
@@ -18,13 +17,64 @@ def path(url: Column) -> Column:
     return F.when(p == "", "/").otherwise(p)
 
 
+def asked_path(url: Column) -> Column:
+    """A URL's path with its query, as robots rules see it."""
+    p = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
+    return F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
+
+
+RULES = "array<struct<path: string, allow: boolean>>"
+
+
+def robots(body: Column, agent: str) -> Column:
+    """struct<rules, delay> of a robots.txt for an agent. Records whose name is part of the agent's win over those for *, if they have a
+    rule or a delay; an empty Disallow is none. Lines without a colon and delays that aren't numbers are passed over."""
+    lines = F.filter(F.transform(F.split(body, "\n", -1), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "#.*", ""), r"[\t\r\f\x0B]", " "))), lambda x: x.contains(":"))
+    none = F.array().cast(RULES)
+    start = F.struct(none.alias("own"), none.alias("any"), F.lit(0.0).alias("own_delay"), F.lit(0.0).alias("any_delay"), F.lit(False).alias("in_own"), F.lit(False).alias("in_any"), F.lit(False).alias("named"))
+
+    def step(a: Column, x: Column) -> Column:
+        key, value = F.lower(F.trim(F.substring_index(x, ":", 1))), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x)))
+        who, name = F.lower(value), key == "user-agent"
+        ours = (who != "") & (who != "*") & F.lit(agent.lower()).contains(who)
+        inside = lambda held, now: F.when(name, (a["named"] & held) | now).otherwise(held)
+        rule = (key == "allow") | ((key == "disallow") & (value != ""))
+        one = F.array(F.struct(value.alias("path"), (key == "allow").alias("allow"))).cast(RULES)
+        delay = F.when(key == "crawl-delay", F.regexp_extract(value, r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?", 0).try_cast("double"))
+        return F.struct(
+            F.when(rule & a["in_own"], F.concat(a["own"], one)).otherwise(a["own"]).alias("own"),
+            F.when(rule & a["in_any"], F.concat(a["any"], one)).otherwise(a["any"]).alias("any"),
+            F.when(a["in_own"], F.coalesce(delay, a["own_delay"])).otherwise(a["own_delay"]).alias("own_delay"),
+            F.when(a["in_any"], F.coalesce(delay, a["any_delay"])).otherwise(a["any_delay"]).alias("any_delay"),
+            inside(a["in_own"], ours).alias("in_own"),
+            inside(a["in_any"], who == "*").alias("in_any"),
+            name.alias("named"),
+        )
+
+    def finish(a: Column) -> Column:
+        own = (F.size(a["own"]) > 0) | (a["own_delay"] > 0)
+        return F.struct(F.when(own, a["own"]).otherwise(a["any"]).alias("rules"), F.when(own, a["own_delay"]).otherwise(a["any_delay"]).alias("delay"))
+
+    return F.aggregate(lines, start, step, finish)
+
+
+def permitted(rules: Column, at: Column) -> Column:
+    """Whether rules let a path be fetched: the longest that it starts with decides, Allow on ties; without any it may."""
+    hits = F.filter(F.coalesce(rules, F.array().cast(RULES)), lambda r: (r["path"] != "") & at.startswith(r["path"]))
+    best = F.array_max(F.transform(hits, lambda r: F.struct(F.octet_length(r["path"]).alias("n"), r["allow"].alias("allow"))))
+    return F.coalesce(best["allow"], F.lit(True))
+
+
 def allowed(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """urls (url) with allowed, by rules (host, agent, allow, prefix): the agent's own record before *, the longest prefix, Allow on ties."""
-    own = rules.where(F.lower("agent") == agent.lower()).select("host").distinct().withColumn("own", F.lit(True))
-    r = rules.join(own, "host", "left").where(F.when(F.col("own"), F.lower("agent") == agent.lower()).otherwise(F.col("agent") == "*")).where("prefix != ''")
-    u = urls.withColumn("__host", host(F.col("url"))).withColumn("__path", path(F.col("url")))
+    """urls (url) with allowed, by rules (host, agent, allow, prefix): records whose agent is part of ours before *, the longest prefix,
+    Allow on ties. A record of ours with empty prefixes only is none."""
+    ours = (F.col("agent") != "") & (F.col("agent") != "*") & F.lit(agent.lower()).contains(F.lower("agent"))
+    some = rules.where((F.col("prefix") != "") | F.col("allow")).where(ours | (F.col("agent") == "*"))
+    own = some.where(ours).select("host").distinct().withColumn("own", F.lit(True))
+    r = some.join(own, "host", "left").where(F.when(F.col("own"), ours).otherwise(F.col("agent") == "*")).where("prefix != ''")
+    u = urls.withColumn("__host", host(F.col("url"))).withColumn("__path", asked_path(F.col("url")))
     hit = u.select("url", "__host", "__path").distinct().join(r, (F.col("__host") == r["host"]) & F.col("__path").startswith(F.col("prefix")))
-    best = hit.groupBy("url").agg(F.max_by("allow", F.struct(F.length("prefix"), "allow")).alias("__allow"))
+    best = hit.groupBy("url").agg(F.max_by("allow", F.struct(F.octet_length("prefix"), "allow")).alias("__allow"))
     return u.join(best, "url", "left").withColumn("allowed", F.coalesce("__allow", F.lit(True))).drop("__allow", "__host", "__path")
 
 
@@ -73,23 +123,55 @@ def ordered_links(pages: DataFrame, limit: int) -> DataFrame:
     return rows.select(*pages.columns, F.posexplode("targets").alias("place", "target"))
 
 
-def crawl(seeds: DataFrame, pages: DataFrame, edges: DataFrame, max_depth: int, *, rules: DataFrame | None = None, agent: str = "", most: int | None = None) -> DataFrame:
-    """Breadth-first over edges (url, target) from seeds (url): (url, depth) of reached pages, each body once (pages: url, body_hash).
+#: Fixed value: how many addresses a crawl queues for each page that it may fetch.
+QUEUED = 8
+
+
+def crawl(seeds: DataFrame, pages: DataFrame, edges: DataFrame, max_depth: int, max_pages: int, *, rules: DataFrame | None = None) -> DataFrame:
+    """The walks from seeds (url) over pages (url, body_hash, follow) and their ordered links, edges (url, target, place): one row for each
+    address that a walk took from its queue, (seed, url, depth, place, outcome), place being its turn.
+
+    Each seed's walk is one of its own, breadth first, on the seed's host. outcome: robots (refused by rules (host, rules), see
+    robots()), failed (no such page), duplicate (its body was seen before: it is neither counted nor followed) or fetched. A walk ends
+    with max_pages fetched; its queue takes QUEUED times as many addresses, the first ones. Only pages with follow lead on.
 
-    A frontier is a DataFrame: joined with the edges, less what was visited. The rounds are max_depth at most; each is
-    persisted (it spills to disk, and a lost executor recomputes it), as the next ones read it again. With robots rules a page that
-    they close to the agent is neither returned nor followed; `most` keeps the first pages by depth and address (a crawl's limit).
+    A round is a level of all walks: joins with pages and edges, and windows over one walk's level, which the queue's bound limits. Rounds are
+    checkpointed, so that no round computes the ones before again.
     """
-    may = (lambda f: allowed(f, rules, agent).where("allowed").drop("allowed")) if rules is not None else (lambda f: f)
-    frontier = may(seeds.select("url").distinct().withColumn("depth", F.lit(0))).persist()
-    visited = frontier
-    for depth in range(1, max_depth + 1):
-        found = frontier.select("url").join(edges, "url").select(F.col("target").alias("url")).distinct()
-        frontier = may(found.join(visited.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))).persist()
-        visited = visited.unionByName(frontier)
-    reached = visited.join(pages, "url")  # rounds are disjoint
-    out = first_by(reached, ["body_hash"], "depth", "url").select("url", "depth")
-    return out if most is None else out.orderBy("depth", "url").limit(most)
+    own = seeds.select(F.regexp_replace("url", "#.*", "").alias("seed")).distinct()
+    level = own.select("seed", F.col("seed").alias("url"), F.lit(1).cast("long").alias("place")).checkpoint()
+    queued, log = level.select("seed", "url"), None
+    turn = Window.partitionBy("seed").orderBy("place")
+    for depth in range(max_depth + 1):
+        took = level
+        if rules is not None:
+            took = took.join(rules.select(F.col("host").alias("__h"), F.col("rules").alias("__r")), host(F.col("url")) == F.col("__h"), "left").withColumn("may", permitted(F.col("__r"), asked_path(F.col("url")))).drop("__h", "__r")
+        else:
+            took = took.withColumn("may", F.lit(True))
+        took = took.join(pages.select("url", "body_hash", "follow", F.lit(True).alias("there")), "url", "left")
+        bodies = log.where("outcome = 'fetched'").select("seed", "body_hash", F.lit(True).alias("old")) if log is not None else None
+        took = took.join(bodies, ["seed", "body_hash"], "left") if bodies is not None else took.withColumn("old", F.lit(None).cast("boolean"))
+        live = F.col("may") & F.col("there")
+        again = F.row_number().over(Window.partitionBy("seed", "body_hash", live).orderBy("place")) > 1
+        outcome = F.when(~F.col("may"), "robots").when(F.col("there").isNull(), "failed").when(F.coalesce("old", F.lit(False)) | again, "duplicate").otherwise("fetched")
+        took = took.withColumn("outcome", outcome)
+        had = log.groupBy("seed").agg(F.count_if(F.col("outcome") == "fetched").alias("had")) if log is not None else own.select("seed", F.lit(0).cast("long").alias("had"))
+        before = F.coalesce(F.sum(F.when(F.col("outcome") == "fetched", 1).otherwise(0)).over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        took = took.join(had, "seed").withColumn("before", F.col("had") + before).where(F.col("before") < max_pages)
+        took = took.select("seed", "url", F.lit(depth).alias("depth"), "place", "outcome", "body_hash", F.coalesce("follow", F.lit(False)).alias("follow")).checkpoint()
+        log = took if log is None else log.unionByName(took)
+        if depth == max_depth:
+            break
+        found = took.where("outcome = 'fetched' and follow").select("seed", "url", F.col("place").alias("page")).join(edges.select("url", F.regexp_replace("target", "#.*", "").alias("target"), F.col("place").alias("link")), "url")
+        found = found.where(host(F.col("target")) == host(F.col("seed"))).groupBy("seed", "target").agg(F.min(F.struct("page", "link")).alias("first"))
+        fresh = found.withColumnRenamed("target", "url").join(queued, ["seed", "url"], "left_anti")
+        held = queued.groupBy("seed").agg(F.count("*").alias("held"))
+        nth = F.row_number().over(Window.partitionBy("seed").orderBy("first"))
+        level = fresh.withColumn("n", nth).join(held, "seed").where(F.col("n") + F.col("held") <= QUEUED * max_pages).select("seed", "url", (F.col("held") + F.col("n")).alias("place")).checkpoint()
+        if level.isEmpty():
+            break
+        queued = queued.unionByName(level.select("seed", "url"))
+    return log.select("seed", "url", "depth", "place", "outcome")
 
 
 def paged(rows: DataFrame, page: int, cap: int | None = None) -> DataFrame:

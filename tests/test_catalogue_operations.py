@@ -230,13 +230,3 @@ def test_snapshots_pages_and_models(spark, tmp_path):
     store.save_model(hits.where("token = 'x'"), totals, str(tmp_path / "model"))
     with pytest.raises(ValueError, match="add up"):
         store.load_model(spark, str(tmp_path / "model"))
-
-
-def test_a_crawl_keeps_to_robots_rules_and_its_limit(spark):
-    pages = spark.createDataFrame([(f"http://h/{x}", x) for x in ("a", "b", "c", "shut/d", "e")], "url string, body_hash string")
-    edges = spark.createDataFrame([("http://h/a", "http://h/shut/d"), ("http://h/shut/d", "http://h/e"), ("http://h/a", "http://h/b"), ("http://h/b", "http://h/c")], "url string, target string")
-    rules = spark.createDataFrame([("h", "*", False, "/shut")], "host string, agent string, allow boolean, prefix string")
-    seeds = spark.createDataFrame([("http://h/a",)], "url string")
-    got = web.crawl(seeds, pages, edges, 3, rules=rules, agent="me")
-    assert {r["url"]: r["depth"] for r in got.collect()} == {"http://h/a": 0, "http://h/b": 1, "http://h/c": 2}
-    assert [r["url"] for r in web.crawl(seeds, pages, edges, 3, most=2).orderBy("depth", "url").collect()] == ["http://h/a", "http://h/b"]

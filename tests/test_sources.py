@@ -1,4 +1,5 @@
 import json
+import random
 import zlib
 
 from pyspark.sql import functions as F
@@ -53,14 +54,78 @@ def test_robots_and_crawl(spark):
     urls = spark.createDataFrame([("http://h/a/x",), ("http://h/b",), ("http://h/a/ok/1",), ("http://g/a/x",)], "url string")
     rules = spark.createDataFrame([("h", "*", False, "/"), ("h", "me", False, "/a"), ("h", "me", True, "/a/ok"), ("g", "other", False, "/")], "host string, agent string, allow boolean, prefix string")
     assert {r["url"]: r["allowed"] for r in web.allowed(urls, rules, "me").collect()} == {"http://h/a/x": False, "http://h/b": True, "http://h/a/ok/1": True, "http://g/a/x": True}
-    pages = spark.createDataFrame([("u0", "0"), ("u1", "1"), ("u2", "1"), ("u3", "3")], "url string, body_hash string")
-    edges = spark.createDataFrame([("u0", "u1"), ("u0", "u2"), ("u2", "u3"), ("u3", "u0")], "url string, target string")
-    got = web.crawl(spark.createDataFrame([("u0",)], "url string"), pages, edges, 2)
-    assert {r["url"]: r["depth"] for r in got.collect()} == {"u0": 0, "u1": 1, "u3": 2}
+    own = spark.createDataFrame([("h", "recordloom", False, "/r"), ("h", "*", False, "/"), ("g", "recordloom", False, ""), ("g", "*", False, "/")], "host string, agent string, allow boolean, prefix string")
+    urls = spark.createDataFrame([("http://h/a",), ("http://h/r?q",), ("http://g/a",)], "url string")
+    assert {r["url"]: r["allowed"] for r in web.allowed(urls, own, "recordloom/1.0").collect()} == {"http://h/a": True, "http://h/r?q": False, "http://g/a": False}
     links = web.links(spark.createDataFrame([("http://h/d/p", "<a href='/x'>1</a><a href=\"y?page=2#f\">2</a><a href='http://other/z'>3</a>")], "url string, html string"))
     assert {r["target"] for r in links.collect()} == {"http://h/x", "http://h/d/y?page=2"}
 
 
+ROBOTS = """
+# all of it
+User-agent: Other
+User-Agent: RecordLoom
+Disallow: /private
+Allow: /private/open
+crawl-delay: 1.5x
+
+User-agent: *
+Disallow: /
+Crawl-delay: soon
+no colon here
+"""
+
+
+def test_robots_records(spark):
+    texts = [ROBOTS, "User-agent: *\nDisallow:\nCrawl-delay: 3", "User-agent: recordloom\nDisallow:\n\nUser-agent: *\nDisallow: /x", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, body string").withColumn("r", web.robots(F.col("body"), "recordloom/1.0 (+mail)"))
+    got = {r["i"]: r["r"] for r in df.collect()}
+    assert [tuple(x) for x in got[0]["rules"]] == [("/private", False), ("/private/open", True)] and got[0]["delay"] == 1.5
+    assert got[1]["rules"] == [] and got[1]["delay"] == 3.0 and [tuple(x) for x in got[2]["rules"]] == [("/x", False)] and got[3]["rules"] == []
+    may = lambda i, p: df.where(F.col("i") == i).select(web.permitted(F.col("r.rules"), F.lit(p))).first()[0]
+    assert [may(0, p) for p in ("/", "/private/a", "/private/open/x")] == [True, False, True] and not may(2, "/x?y") and may(4, "/")
+
+
+def walk(seed, pages, edges, depth, most, refused):
+    """A queue, one address at a time."""
+    queue, queued, bodies, out, fetched, at = [(seed, 0)], {seed}, set(), [], 0, 0
+    while at < len(queue) and fetched < most:
+        url, d = queue[at]
+        at += 1
+        if refused(url):
+            out.append((seed, url, d, at, "robots"))
+        elif url not in pages:
+            out.append((seed, url, d, at, "failed"))
+        elif pages[url][0] in bodies:
+            out.append((seed, url, d, at, "duplicate"))
+        else:
+            bodies.add(pages[url][0])
+            fetched += 1
+            out.append((seed, url, d, at, "fetched"))
+            if d < depth and pages[url][1]:
+                for t in edges.get(url, []):
+                    if len(queue) < 8 * most and t not in queued and t.split("/")[2] == seed.split("/")[2]:
+                        queued.add(t)
+                        queue.append((t, d + 1))
+    return out
+
+
+def test_crawls_walk_a_queue(spark):
+    r = random.Random(11)
+    urls = [f"http://{h}/{'no/' if i % 7 == 3 else ''}{i}" for h in ("h", "g") for i in range(40)]
+    pages = {u: (str(r.randint(0, 30)), r.random() < 0.9) for u in urls if r.random() < 0.9}
+    edges = {u: r.sample(urls, r.randint(0, 9)) for u in urls}
+    rows = lambda x, schema: spark.createDataFrame(x, schema)
+    p = rows([(u, b, f) for u, (b, f) in pages.items()], "url string, body_hash string, follow boolean")
+    e = rows([(u, t, i) for u, ts in edges.items() for i, t in enumerate(ts)], "url string, target string, place int")
+    seeds = ["http://h/0", "http://g/5", "http://h/10"]
+    rules = rows([("h", [("/no", False)]), ("x", [])], f"host string, rules {web.RULES}")
+    for depth, most in ((0, 5), (2, 4), (6, 3), (6, 50)):
+        got = web.crawl(rows([(s,) for s in seeds], "url string"), p, e, depth, most, rules=rules).collect()
+        want = [x for s in seeds for x in walk(s, pages, edges, depth, most, lambda u: u.startswith("http://h/no"))]
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_paging(spark, tmp_path):
     for o in (0, 2, 4):
         (tmp_path / f"p{o}.json").write_text(json.dumps([{"id": o + i} for i in range(min(2, 5 - o))]))
