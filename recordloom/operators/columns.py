@@ -5,12 +5,13 @@ Weights are given (none come with the library); the network is numpy on Arrow ba
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The vocabulary (marks, then printable ASCII, then the rest) and the lengths that are read.
 PAD, CLS, SEP, OTHER, FIRST, VOCABULARY = 0, 1, 2, 3, 4, 99
@@ -81,9 +82,9 @@ def load_weights(spark: SparkSession, path: str, expected: dict[str, tuple[int,
     return out
 
 
-def tag(columns: DataFrame, weights: dict[str, np.ndarray], classes: list[str], heads: int = 4) -> DataFrame:
-    """columns (example, name, values) with the likeliest class and its probability."""
-    length = len(weights["position"])
+def tag(columns: DataFrame, weights: dict[str, np.ndarray], classes: list[str], heads: int = 4, keys: Sequence[str] = ("example",)) -> DataFrame:
+    """columns (keys..., name, values) with the likeliest class and its probability."""
+    length, keys = len(weights["position"]), list(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -94,7 +95,33 @@ def tag(columns: DataFrame, weights: dict[str, np.ndarray], classes: list[str],
                 for i, r in enumerate(rows):
                     ids[i, : len(r)] = r
                 p = forward(ids, weights, heads)
-                yield pd.DataFrame({"example": part["example"], "class": [classes[i] for i in p.argmax(axis=1)], "probability": p.max(axis=1)})
+                yield part[keys].assign(**{"class": [classes[i] for i in p.argmax(axis=1)], "probability": p.max(axis=1)})
+
+    kept = columns.select(*keys, F.col("name").cast("string").alias("name"), F.coalesce("values", F.array().cast("array<string>")).alias("values"))
+    schema = T.StructType([*[kept.schema[k] for k in keys], T.StructField("class", T.StringType()), T.StructField("probability", T.DoubleType())])
+    return kept.mapInPandas(run, schema)
+
+
+def flat_weights(weights: dict[str, np.ndarray]) -> np.ndarray:
+    """All weights in one vector, in the order of their names."""
+    return np.concatenate([weights[k].ravel() for k in sorted(weights)])
 
-    kept = columns.select(F.col("example").cast("long").alias("example"), F.col("name").cast("string").alias("name"), F.coalesce("values", F.array().cast("array<string>")).alias("values"))
-    return kept.mapInPandas(run, "example long, class string, probability double")
+
+def from_flat(flat: np.ndarray, expected: dict[str, tuple[int, ...]]) -> dict[str, np.ndarray]:
+    """Weights of the expected shapes from such a vector; another number of values raises."""
+    sizes = [int(np.prod(expected[k])) for k in sorted(expected)]
+    if len(flat) != sum(sizes):
+        raise ValueError(f"{len(flat)} values for a model of {sum(sizes)}")
+    parts = np.split(np.asarray(flat, float), np.cumsum(sizes)[:-1])
+    return {k: p.reshape(expected[k]) for k, p in zip(sorted(expected), parts)}
+
+
+def parity(weights: dict[str, np.ndarray], other: dict[str, np.ndarray], rows: list[tuple[str, list[str]]], heads: int = 4) -> tuple[float, int]:
+    """(greatest difference of probabilities, changed classes) of two models' weights on the same columns."""
+    length = len(weights["position"])
+    ids = np.full((len(rows), length), PAD)
+    for i, (name, values) in enumerate(rows):
+        t = tokens(name, values, length)
+        ids[i, : len(t)] = t
+    a, b = forward(ids, weights, heads), forward(ids, other, heads)
+    return float(np.abs(a - b).max()), int((a.argmax(1) != b.argmax(1)).sum())

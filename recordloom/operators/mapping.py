@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import jaro_winkler
-from ..functions.text import let, split_parts, trim
+from ..functions.text import let, split_parts, trim, words
 from ..functions.values import KINDS, WEAK, chosen, money_text, normalize, parse_money
 
 # Weights and limits of the evidence.
-ACCEPT, ACCEPT_PART, LABEL_WEIGHT, VALUE_WEIGHT, SAMPLE, WEAK_FLOOR, MAX_PARTS = 0.65, 0.80, 0.55, 0.45, 25, 0.70, 6
+ACCEPT, ACCEPT_PART, LABEL_WEIGHT, VALUE_WEIGHT, SAMPLE, WEAK_FLOOR, MAX_PARTS, NEURAL_GATE = 0.65, 0.80, 0.55, 0.45, 25, 0.70, 6, 0.7
 TOKEN_LEAST, SLUG_LEAST = 0.92, 0.90
 
 #: A default schema: name, kind, role, identity, authority, synonyms, range.
@@ -73,8 +73,6 @@ def label_similarity(label_words: list[str], synonym_words: list[str]) -> float:
 
 def label_scores(labels: DataFrame, fields: DataFrame) -> DataFrame:
     """(label, name, similarity): each distinct label against each field's synonyms (configuration, so broadcast)."""
-    from ..functions.text import words
-
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"label": b["label"], "name": b["name"], "similarity": [label_similarity(list(x), list(y)) for x, y in zip(b["lw"], b["sw"], strict=True)]})
@@ -117,19 +115,49 @@ def part_counts(sampled: DataFrame) -> DataFrame:
     return agg.select("source_id", "label", F.when(good, F.col("lo")).otherwise(0).alias("parts"))
 
 
-def candidates(cells: DataFrame, fields: DataFrame) -> DataFrame:
-    """(source_id, label_ord, label, part, field_ord, name, similarity, pass_rate, reformatted, confidence, eligible); part -1 is the whole cell."""
+#: A trained column tagger: weights, classes and heads (see operators.columns).
+Network = tuple[dict, list[str], int]
+
+
+def tagged(cells: DataFrame, network: Network) -> DataFrame:
+    """(source_id, label, name, neural): the field that the tagger gives a label with its first three values, if it is sure of one."""
+    from . import columns
+
+    full = cells.where(F.coalesce("value", F.lit("")) != "")
+    w = Window.partitionBy("source_id", "label").orderBy("record")
+    first = full.withColumn("n", F.row_number().over(w)).where(F.col("n") <= columns.VALUES)
+    values = F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"])
+    held = cells.select("source_id", "label").distinct().join(first.groupBy("source_id", "label").agg(values.alias("values")), ["source_id", "label"], "left")
+    weights, classes, heads = network
+    said = columns.tag(held.withColumn("name", F.col("label")), weights, classes, heads, keys=("source_id", "label"))
+    return said.where((F.col("probability") >= NEURAL_GATE) & (F.col("class") != "none")).select("source_id", "label", F.col("class").alias("name"), F.col("probability").alias("neural"))
+
+
+def candidates(cells: DataFrame, fields: DataFrame, network: Network | None = None) -> DataFrame:
+    """(source_id, label_ord, label, part, field_ord, name, similarity, pass_rate, reformatted, confidence, eligible); part -1 is the whole cell.
+
+    A part of a composite value is scored by the label's word in its place, where it has as many words as parts, and else not claimed. With
+    a tagger (network) a whole cell's name evidence is the greater of similarity and the tagger's probability for the field that it names.
+    """
     sampled = samples(cells)
     parts = part_counts(sampled)
     pieces = sampled.join(parts, ["source_id", "label"]).select("source_id", "label", "label_ord", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("part"), trim(F.col("value")).alias("piece"))), F.when(F.col("parts") > 0, F.transform(split_parts(F.col("value")), lambda p, i: F.struct(i.alias("part"), p.alias("piece")))).otherwise(F.array().cast("array<struct<part:int,piece:string>>")))).alias("p")).select("source_id", "label", "label_ord", "p.part", "p.piece").where("piece != ''")
     config = fields.select("field_ord", "name", "kind", "low", "high")
     tried = coerce_any(pieces.crossJoin(F.broadcast(config)))
     rates = tried.groupBy("source_id", "label", "part", "field_ord", "name", "kind").agg(F.min("label_ord").alias("label_ord"), F.avg(F.col("c.ok").cast("double")).alias("pass_rate"), (F.sum(F.col("c.reformatted").cast("int")) * 2 > F.sum(F.col("c.ok").cast("int"))).alias("reformatted"))
-    scored = rates.join(label_scores(cells.select("label"), fields), ["label", "name"])
-    confidence = LABEL_WEIGHT * F.col("similarity") + VALUE_WEIGHT * F.col("pass_rate")
+    rates = rates.join(parts, ["source_id", "label"]).withColumn("words", words(F.col("label"))).where((F.col("part") < 0) | (F.size("words") == F.col("parts")))
+    rates = rates.withColumn("scored", F.when(F.col("part") < 0, F.col("label")).otherwise(F.get("words", F.col("part")))).drop("parts", "words")
+    by_label = label_scores(rates.select(F.col("scored").alias("label")), fields).withColumnRenamed("label", "scored")
+    scored = rates.join(by_label, ["scored", "name"]).withColumn("reformatted", F.col("reformatted") | (F.col("part") >= 0))
+    if network is not None:
+        scored = scored.join(tagged(cells, network), ["source_id", "label", "name"], "left").withColumn("neural", F.coalesce("neural", F.lit(0.0)))
+        evidence = F.when(F.col("part") < 0, F.greatest("similarity", "neural")).otherwise(F.col("similarity"))
+    else:
+        scored, evidence = scored.withColumn("neural", F.lit(0.0)), F.col("similarity")
+    confidence = LABEL_WEIGHT * evidence + VALUE_WEIGHT * F.col("pass_rate")
     weak = F.col("kind").isin(*WEAK)
     eligible = (F.col("pass_rate") > 0) & F.when(F.col("part") >= 0, (confidence >= ACCEPT_PART) & ~weak).otherwise((confidence >= ACCEPT) & (~weak | (F.col("similarity") >= WEAK_FLOOR)))
-    return scored.select("source_id", "label_ord", "label", "part", "field_ord", "name", "similarity", "pass_rate", "reformatted", confidence.alias("confidence"), eligible.alias("eligible"))
+    return scored.select("source_id", "label_ord", "label", "part", "field_ord", "name", "similarity", "neural", "pass_rate", "reformatted", confidence.alias("confidence"), eligible.alias("eligible"))
 
 
 def assign(found: DataFrame) -> DataFrame:
@@ -151,12 +179,12 @@ def assign(found: DataFrame) -> DataFrame:
         return rows[keep][["source_id", "field_ord", "name", "label", "part", "confidence"]]
 
     names = found.withColumnRenamed("name", "field").where("eligible").select("source_id", "label_ord", "label", "part", "field_ord", F.col("field").alias("name"), "confidence")
-    return names.groupBy("source_id").applyInPandas(lambda g: greedy(g.rename(columns={"name": "name"})), "source_id string, field_ord int, name string, label string, part int, confidence double")
+    return names.groupBy("source_id").applyInPandas(greedy, "source_id string, field_ord int, name string, label string, part int, confidence double")
 
 
-def infer_mapping(cells: DataFrame, fields: DataFrame) -> DataFrame:
+def infer_mapping(cells: DataFrame, fields: DataFrame, network: Network | None = None) -> DataFrame:
     """Accepted (source_id, field_ord, name, label, part, confidence); nothing for a source without an identity field."""
-    chosen = assign(candidates(cells, fields))
+    chosen = assign(candidates(cells, fields, network))
     anchored = chosen.join(F.broadcast(fields.where("identity").select("name")), "name", "left_semi").select("source_id").distinct()
     return chosen.join(anchored, "source_id", "left_semi")
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.places import parse_address
@@ -31,6 +34,25 @@ def stage_times(runs: DataFrame, stages: list[str]) -> DataFrame:
     return long.where("ms is not null").groupBy("stage").agg(F.count("*").alias("runs"), F.avg("ms").alias("mean_ms"), F.max("ms").alias("most_ms"))
 
 
+MEASURED = "run_id string, place int, stage string, rows long, cells long, ms double, process_ms double"
+
+
+def measured(start: DataFrame, stages: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]], run_id: str) -> tuple[DataFrame, DataFrame]:
+    """(result, run rows) of stages, each a function of the one before: rows and non-null cells of each stage are counted by Spark while
+    the stage runs (df.observe), not by another pass; ms is its time, process_ms the driver's own CPU time in it. Each stage's result is
+    checkpointed, so that its time is its own."""
+    spark, df, out = start.sparkSession, start, []
+    for place, (name, use) in enumerate(stages):
+        began, cpu = time.perf_counter(), time.process_time()
+        df = use(df)
+        seen = Observation(f"{run_id}-{place}")
+        cells = sum((F.count(F.col(f"`{c}`")) for c in df.columns), F.lit(0).cast("long"))
+        df = df.observe(seen, F.count(F.lit(1)).alias("rows"), cells.alias("cells")).checkpoint()
+        got = seen.get
+        out.append((run_id, place, name, got["rows"], got["cells"], (time.perf_counter() - began) * 1000, (time.process_time() - cpu) * 1000))
+    return df, spark.createDataFrame(out, MEASURED)
+
+
 def data_complete(sources: DataFrame, runs: DataFrame, sizes: DataFrame) -> DataFrame:
     """(county, complete): every source's latest run wasn't truncated, and the county is within what a query may hold.
 

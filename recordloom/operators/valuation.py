@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def plausible(sales: DataFrame, low: float = 0.1, high: float = 10.0, least: float = 5000.0) -> DataFrame:
@@ -62,6 +63,46 @@ def ranged(estimates: DataFrame, errors: DataFrame) -> DataFrame:
     return near.withColumns({"estimate": value, "low": value * (1 - F.col("mdape")), "high": value * (1 + F.col("mdape"))}).drop("mdape")
 
 
+#: Fixed value: the uses that have a feature of their own, in the order of the features.
+USES = ("residential", "apartments", "commercial", "industrial", "vacant", "other")
+
+
+def feature_vector(ratio: Column) -> Column:
+    """A property's features, in one projection of its columns: assessed, improvement_value, land_value, sqft, year_built, year, land_area,
+    use; absent numbers count as 0."""
+    c = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+    flag = lambda x: F.when(x, 1.0).otherwise(0.0)
+    assessed, sqft, built, year = F.greatest(c("assessed"), F.lit(1.0)), c("sqft"), c("year_built"), c("year")
+    aged = (built > 1700) & (built <= year)
+    share = lambda x: F.when(x > 0, x / assessed).otherwise(0.0)
+    use = use_group(F.col("use"))
+    return F.array(
+        F.log(assessed * ratio), F.log(assessed), share(c("improvement_value")), share(c("land_value")), flag(c("improvement_value") <= 0), F.log1p(sqft), flag(sqft <= 100),
+        F.log1p(F.when(sqft > 100, assessed / sqft).otherwise(0.0)), F.log1p(F.when(aged, year - built).otherwise(0.0)), flag(~aged), F.log1p(F.greatest(c("land_area"), F.lit(0.0))), (year - 2021) / 5,
+        *[flag(use == g) for g in USES],
+    )
+
+
+def valued(rows: DataFrame, ratios: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]], mean: Sequence[float], std: Sequence[float], mdape: float, clamp: float = 3.0) -> DataFrame:
+    """rows (state, assessed, ... as in feature_vector) with estimate, low and high (the median error on held-out rows off, which is no
+    interval of confidence). ratios: (state, ratio), a row for each calibrated state; another state, and a property without an
+    assessed value, has no estimate."""
+
+    @F.pandas_udf(T.DoubleType())
+    def correction(x: pd.Series) -> pd.Series:
+        h = (np.stack(x.to_list()) - np.asarray(mean)) / np.asarray(std) if len(x) else np.zeros((0, len(mean)))
+        for i, (w, bias) in enumerate(layers):
+            h = h @ w + bias
+            h = np.maximum(h, 0) if i < len(layers) - 1 else h
+        return pd.Series(np.clip(h[:, 0], -clamp, clamp))
+
+    known = F.broadcast(ratios.select(F.upper("state").alias("__state"), F.col("ratio").alias("__ratio")))
+    out = rows.join(known, F.upper("state") == F.col("__state"), "left")
+    out = out.withColumn("__x", correction(feature_vector(F.coalesce("__ratio", F.lit(1.0)))))
+    value = F.when(F.col("__ratio").isNotNull() & (F.col("assessed") > 0), F.col("assessed") * F.col("__ratio") * F.exp("__x"))
+    return out.withColumns({"estimate": value, "low": value * (1 - mdape), "high": value * (1 + mdape)}).drop("__state", "__ratio", "__x")
+
+
 def estimate(rows: DataFrame, features: list[str], layers: list[tuple[np.ndarray, np.ndarray]], clamp: float = 3.0) -> DataFrame:
     """rows with estimate: assessed * exp(network), its log clamped; ReLU between the (weights, bias) layers."""
 
