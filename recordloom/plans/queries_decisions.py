@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schedule
-from ..operators import criteria
+from ..operators import criteria, valuation
 from . import county
 from .derived import FIELDS, SQL_EVENTS, property_events, table
 
@@ -75,7 +75,26 @@ def compiled_county(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.element_at("merged_keys", 1).alias("property_key"), F.size("merged_keys").alias("keys"), "due", "violations", "sources", "locatable")
 
 
-QUERIES = {f.__name__: f for f in (saved_criteria, criteria_outcomes, criteria_coverage, send_windows, compiled_county)}
+def alias_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by counties that are asked for under several spellings."""
+    n = table(spark, sf_dir, "nation")
+    names = n.select(F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("City of "), "n_name")).when(F.col("n_nationkey") % 3 == 1, F.substring_index("n_name", " ", 1)).otherwise(F.col("n_name")).alias("county"))
+    return county.of_counties(property_events(spark, sf_dir), names.distinct()).groupBy("county").agg(F.count("*").alias("events"), F.countDistinct("property_key").alias("properties"))
+
+
+def valuation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of order lines taken for properties, summed up by place in the vector."""
+    k, q = F.col("l_orderkey"), F.col("l_quantity").cast("double")
+    use = F.element_at(F.array(*[F.lit(u) for u in ("Single family", "APARTMENT", "Commercial", "industrial", "vacant land", "farm")]), (k % 6 + 1).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_extendedprice").cast("double").alias("assessed"), F.when(k % 5 > 0, q * 100).otherwise(0.0).alias("improvement_value"), F.when(k % 4 > 0, q * 10).alias("land_value"), (q * 60).alias("sqft"),
+        (1690 + k % 340).cast("double").alias("year_built"), F.lit(2020.0).alias("year"), (q * 50 - 100).alias("land_area"), use.alias("use"),
+    )
+    each = rows.select(F.posexplode(valuation.feature_vector(F.lit(1.25))).alias("feature", "x"))
+    return each.groupBy("feature").agg(F.round(F.avg("x"), 6).alias("mean"), F.count_if(F.col("x") == 0).alias("zeros"))
+
+
+QUERIES = {f.__name__: f for f in (saved_criteria, criteria_outcomes, criteria_coverage, send_windows, compiled_county, alias_events, valuation_features)}
 
 SQL_GRAPHS = """
 cr as (
@@ -118,4 +137,17 @@ select event_id, arg_min(at_s, offset_) filter (at_s is not null) as at_s, arg_m
     "compiled_county": "with " + SQL_EVENTS + """,
 d as (select property_key, arg_max(amount, (event_date, recorded_at, id)) filter (kind = 'tax_delinquency') as due, count(*) filter (kind = 'code_violation') as violations, count(distinct source_id) as sources, cast(split_part(property_key, '|p:', 2) as bigint) as k from pe group by property_key)
 select property_key, 1::integer as keys, coalesce(due, 0.0) as due, violations, sources, k % 3 = 0 or k % 4 = 0 as locatable from d""",
+    "alias_events": "with " + SQL_EVENTS + """,
+n as (select distinct case n_nationkey % 3 when 0 then 'City of ' || n_name when 1 then split_part(n_name, ' ', 1) else n_name end as county from nation),
+g as (select county, regexp_replace(lower(county), '[^a-z0-9]+', '_', 'g') as s from n),
+a as (select distinct county, unnest([s, regexp_replace(s, '^city_of_', '')]) as alias from g),
+h as (select distinct county, property_key from (select distinct property_key from pe) k join a on starts_with(property_key, alias || '|') or contains(property_key, '_' || alias || '|') or contains(lower(property_key), alias || '_'))
+select county, count(*) as events, count(distinct property_key) as properties from h join pe using (property_key) group by county""",
+    "valuation_features": """with r as (
+  select l_extendedprice::double as a, case when l_orderkey % 5 > 0 then l_quantity * 100 else 0 end::double as i, case when l_orderkey % 4 > 0 then l_quantity * 10 else 0 end::double as l, (l_quantity * 60)::double as s,
+    1690 + l_orderkey % 340 as b, (l_quantity * 50 - 100)::double as area, l_orderkey % 6 as u from lineitem),
+v as (select unnest(range(0, 18)) as feature, unnest([ln(greatest(a, 1) * 1.25), ln(greatest(a, 1)), case when i > 0 then i / greatest(a, 1) else 0 end, case when l > 0 then l / greatest(a, 1) else 0 end, case when i <= 0 then 1 else 0 end,
+  ln(1 + s), case when s <= 100 then 1 else 0 end, ln(1 + case when s > 100 then greatest(a, 1) / s else 0 end), ln(1 + case when b > 1700 and b <= 2020 then 2020 - b else 0 end), case when b > 1700 and b <= 2020 then 0 else 1 end, ln(1 + greatest(area, 0)), -0.2,
+  (u = 0)::int, (u = 1)::int, (u = 2)::int, (u = 3)::int, (u = 4)::int, (u = 5)::int]::double[]) as x from r)
+select feature::integer as feature, round(avg(x), 6) as mean, count(*) filter (x = 0) as zeros from v group by feature""",
 }
