@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -27,14 +26,10 @@ def n_words(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which executors share. Where it is unset, a folder of our own serves a local session, as
-    in tests; on a cluster executors would each write to their own disk, so there it has to be set."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or the one set by setCheckpointDir."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("set spark.checkpoint.dir, before the session starts, to a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 

@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.llm import ann, chat, fertility, licenses, mixing, near_dedup, packing, toxicity
+from recordloom.llm import ann, chat, fertility, licenses, mixing, near_dedup, packing, text, toxicity
 
 LONG = "word " * 300_000
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -85,3 +85,17 @@ def test_stages_on_empty_null_and_repeated_rows(spark, tmp_path, rows):
         assert name == "packing" or out.columns == docs.columns
         assert n == {"quality_rules": 0, "toxicity": len(rows), "packing": len(rows)}.get(name, n) and n <= max(3, len(rows)) * 3
     assert near_dedup.deduplicated(docs).count() == (1 if rows and rows[0][0] else len(rows))
+
+
+def test_without_a_shared_folder_the_setting_is_asked_for():
+    class Unset:
+        def get(self, *_):
+            return None
+
+        getCheckpointDir = get  # noqa: N815
+
+    class Session:
+        conf = sparkContext = Unset()  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        text.shared_folder(Session())
