@@ -245,9 +245,9 @@ r as (select *, row_number() over (partition by source_id, label order by record
 select source_id, label, count(*) as sampled, avg(case when money then 1.0 else 0.0 end) as money_rate, max(record) as last_record from r where n <= 25 group by all""",
     "part_counts": "with " + SQL_CELLS + "select source_id, unnest(case when odd = 0 then ['Parcel Number', 'Balance Due', 'Filed Date', 'Status', 'Lat Lon'] else ['apn', 'amount owed', 'date', 'Disposition', 'lat lon'] end) as label, cast(unnest([0, 0, 0, 0, 2]) as integer) as parts from (select distinct source_id, odd from ce)",
     "extracted_events": "with " + SQL_CELLS + "select 'elm_county|p:' || replace(parcel, '-', '') as property_key, 'tax_delinquency' as kind, day as event_date, source_id, coalesce(cast(amount as double), 0.0) as amount from ce",
-    "infer_mapping": "with " + SQL_CELLS + """, l as (select distinct source_id, odd from ce)
+    "infer_mapping": "with " + SQL_CELLS + """, l as (select source_id, odd, avg(case when amount is not null then 1.0 else 0.0 end) as paid from (select *, row_number() over (partition by source_id order by record) as n from ce) where n <= 25 group by source_id, odd)
 select source_id, unnest(['parcel_id', 'amount_due', 'event_date', 'status', 'latitude', 'longitude']) as name, unnest(case when odd = 0 then ['Parcel Number', 'Balance Due', 'Filed Date', 'Status', 'Lat Lon', 'Lat Lon'] else ['apn', 'amount owed', 'date', 'Disposition', 'lat lon', 'lat lon'] end) as label,
-  unnest([-1, -1, -1, -1, 0, 1])::integer as part, 1.0::double as confidence from l""",
+  unnest([-1, -1, -1, -1, 0, 1])::integer as part, unnest([1.0::double, round(0.55 + 0.45 * paid, 6), 1.0, 1.0, 1.0, 1.0]) as confidence from l""",
     "extract_records": "with " + SQL_CELLS + "select source_id, record, parcel as parcel_id, cast(amount as varchar) as amount_due, day as event_date, round((6 - case when amount is null then 1 else 0 end) / 6.0::double, 6) as completeness from ce",
     "nb_counts": "with " + SQL_BAG + "select class, (select count(*) from documents d where d.lang is not distinct from b.class and doc_id is not null) as docs, cast(sum(n) as bigint) as tokens from bag b group by class",
     "nb_predict": "with " + SQL_BAG + """,
