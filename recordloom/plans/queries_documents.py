@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import sql
 from ..functions import text, values
 from ..operators import classify, mapping
-from ..sources import formats, web
+from ..sources import api, formats, web
 from .derived import table
 
 
@@ -198,6 +198,17 @@ def api_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.paged(table(spark, sf_dir, "orders").select("o_orderkey"), 1000)
 
 
+def joined_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as pages of four, joined up to ten; every fifth customer's second page fails."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.floor((F.row_number().over(w) - 1) / 4).cast("int").alias("page"))
+    pages = o.groupBy(F.col("o_custkey").alias("source_id"), "page").agg(F.to_json(F.array_sort(F.collect_list(F.struct("o_orderkey")))).alias("body"))
+    failed = (F.col("source_id") % 5 == 0) & (F.col("page") == 1)
+    pages = pages.select("source_id", "page", F.lit(True).alias("allowed"), F.when(failed, 503).otherwise(200).alias("status"), F.lit(None).cast("string").alias("error"), F.lit("application/json").alias("content_type"), "body")
+    keys = F.from_json("body", "array<struct<o_orderkey: bigint>>")
+    return api.joined_pages(pages, 4, 10).select("source_id", "ok", F.size(keys).alias("records"), F.array_max(F.transform(keys, lambda x: x["o_orderkey"])).alias("last"), "truncated", "pages")
+
+
 def turn_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long conversations: all but the last turns folded into a summary's tail."""
     w = Window.partitionBy("conv_id")
@@ -208,7 +219,7 @@ def turn_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("conv_id", "kept", F.substring(F.col("summary"), F.greatest(F.length("summary") - 2399, F.lit(1)), F.lit(2400)).alias("summary"))
 
 
-QUERIES = {f.__name__: f for f in (slug_tokens, money_parse, date_parse, kind_validate, coerce_values, value_samples, part_counts, infer_mapping, extract_records, extracted_events, nb_counts, nb_predict, nb_leave_one_out, nb_vocabulary, confusion_f1, json_flatten, parsed_bodies, sql_documents, sql_functions, page_projection, crawl_frontier, api_pages, turn_compaction)}
+QUERIES = {f.__name__: f for f in (slug_tokens, money_parse, date_parse, kind_validate, coerce_values, value_samples, part_counts, infer_mapping, extract_records, extracted_events, nb_counts, nb_predict, nb_leave_one_out, nb_vocabulary, confusion_f1, json_flatten, parsed_bodies, sql_documents, sql_functions, page_projection, crawl_frontier, api_pages, joined_bodies, turn_compaction)}
 
 WORDS = "list_transform(regexp_extract_all(regexp_replace({}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[A-Za-z0-9]+'), lambda w: lower(w))"
 STOP = ", ".join(f"'{w}'" for w in classify.STOP)
@@ -289,6 +300,9 @@ select 'json' as format, label, count(*) as cells, count(distinct source_id) as
     and not regexp_matches(shown, '^[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}$') as plausible from (select *, 'P-' || c_custkey as shown from customer)""",
     "api_pages": """with n as (select count(*) as upto from orders), p as (select upto, unnest(range(0, cast(upto // 1000 as bigint) + 1)) as page from n)
 select cast(page as integer) as page, least(1000, upto - page * 1000) as n, case when upto - page * 1000 < 1000 then 'short' else 'next' end as stop from p""",
+    "joined_bodies": """with o as (select o_custkey as source_id, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as i, count(*) over (partition by o_custkey) as n from orders),
+k as (select *, case when source_id % 5 = 0 and n > 4 then 4 else least(n, 10) end as kept from o)
+select source_id, true as ok, any_value(kept)::integer as records, max(o_orderkey) filter (i <= kept) as last, any_value(case when source_id % 5 = 0 then n >= 4 else n > 10 or n % 4 = 0 end) as truncated, ceil(any_value(kept) / 4)::integer as pages from k group by source_id""",
     "turn_compaction": """with c as (select *, count(*) over (partition by conv_id) as n, row_number() over (partition by conv_id order by turn, role, text) as pos from conversations),
 f as (select conv_id, count(*) filter (n <= 4 or pos > n - 2) as kept, coalesce(string_agg(role || ': ' || text, chr(10) order by pos) filter (n > 4 and pos <= n - 2), '') as summary from c group by conv_id)
 select conv_id, kept, right(summary, 2400) as summary from f""",

@@ -25,7 +25,7 @@ import pathlib
 import urllib.request
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -216,3 +216,64 @@ def kept_pages(cells: DataFrame, page_size: int = 1000, max_rows: int = 5000, by
     upto = report.select(*keys, F.col("pages").alias("__pages"))
     kept = (cells.join(upto, keys) if keys else cells.crossJoin(upto)).where((F.col("page") < F.col("__pages")) & F.col("record").isNotNull() & (F.col("record") < max_rows))
     return kept.drop("__pages"), report
+
+
+# --- pages whose bodies are joined to one
+
+#: Records that a joined body holds at most, and rows of a page where the address doesn't say.
+RECORD_CAP, PAGE_ROWS = 5000, 1000
+
+
+def requested_limit(url: Column) -> Column:
+    """The rows of a page that an address asks for."""
+    asked = F.floor(F.regexp_extract(url, r"[?&](?:\$|%24)limit=([0-9]+(?:\.[0-9]+)?)(?=&|#|$)", 1).try_cast("double"))
+    return F.when(asked > 0, asked).otherwise(PAGE_ROWS).cast("long")
+
+
+def with_param(url: Column, name: str, value: Column) -> Column:
+    """An address with a $parameter, which takes the place of one that is there."""
+    there = rf"([?&])(?:\$|%24){name}=[^&#]*"
+    said = F.concat(F.lit(f"%24{name}="), value.cast("string"))
+    return F.when(url.rlike(there), F.regexp_replace(url, F.lit(there), F.concat(F.lit("$1"), said))).otherwise(F.concat(url, F.when(url.contains("?"), "&").otherwise("?"), said))
+
+
+def nth_url(url: Column, page: Column, minimum: int = 0) -> Column:
+    """The address of a page: the first one as it is, unless pages have to be larger than it asks for."""
+    asked = requested_limit(url)
+    limit = F.greatest(asked, F.lit(minimum).cast("long"))
+    return F.when((page == 0) & (limit == asked), url).otherwise(with_param(with_param(url, "limit", limit), "offset", limit * page))
+
+
+def joined_pages(pages: DataFrame, limit: Column | int = PAGE_ROWS, cap: int = RECORD_CAP) -> DataFrame:
+    """(source_id, ok, body, content_type, truncated, pages, error): the JSON arrays of a source's pages as one array.
+
+    pages: source_id, page, allowed (by the host's budget, see operations.host_budget), status (null or 200 if it came), error,
+    content_type, body. A first page that isn't allowed, failed or is no array is the source's error; a later one ends the
+    array there, as truncated. A page with fewer than limit records is the last one; labels aren't compared. Records are
+    objects. Sources hold `cap` records and as many pages as these need, so one row for each is small.
+    """
+    records = F.when(F.ltrim(F.col("body")).startswith("["), F.from_json("body", "array<string>"))
+    wrong = (
+        F.when(~F.coalesce("allowed", F.lit(True)), "host request budget spent; try again shortly").when(F.col("error").isNotNull(), F.col("error"))
+        .when(F.col("status") != 200, F.concat(F.lit("http status "), F.col("status").cast("string"))).when(records.isNull(), "expected a json array of records")
+    )
+    size = (F.lit(limit) if isinstance(limit, int) else limit).cast("long")
+    row = F.struct("page", wrong.alias("wrong"), (records.isNull() & F.coalesce("allowed", F.lit(True)) & F.col("error").isNull() & F.coalesce(F.col("status") == 200, F.lit(True))).alias("came"), records.alias("records"), F.col("content_type").alias("kind"), size.alias("size"))
+    each = pages.groupBy("source_id").agg(F.array_sort(F.collect_list(row)).alias("p"))
+    start = F.struct(F.array().cast("array<string>").alias("held"), F.lit(0).alias("n"), F.lit("").alias("kind"), F.lit(False).alias("done"), F.lit(True).alias("cut"), F.lit(None).cast("string").alias("error"))
+
+    def step(a: Column, p: Column) -> Column:
+        fine = p["wrong"].isNull()
+        together = F.concat(a["held"], F.coalesce(p["records"], F.array().cast("array<string>")))
+        short = fine & (F.size(p["records"]) < p["size"]) & (F.size(together) <= cap)
+        stop = ~fine | short | (F.size(together) >= cap)
+        new = F.struct(
+            F.when(fine, F.slice(together, 1, cap)).otherwise(a["held"]).alias("held"), (a["n"] + F.when(fine | p["came"], 1).otherwise(0)).alias("n"), F.when(fine, F.coalesce(p["kind"], F.lit(""))).otherwise(a["kind"]).alias("kind"),
+            stop.alias("done"), (~short).alias("cut"), F.when(~fine & (a["n"] == 0), p["wrong"]).alias("error"),
+        )
+        return F.when(a["done"], a).otherwise(new)
+
+    out = each.select("source_id", F.aggregate("p", start, step).alias("r"))
+    ok = F.col("r.error").isNull()
+    body = F.when(ok, F.concat(F.lit("["), F.array_join("r.held", ","), F.lit("]"))).otherwise("")
+    return out.select("source_id", ok.alias("ok"), body.alias("body"), F.when(ok, F.col("r.kind")).otherwise("").alias("content_type"), (ok & F.col("r.cut")).alias("truncated"), F.when(ok, F.col("r.n")).otherwise(0).alias("pages"), F.col("r.error").alias("error"))

@@ -146,3 +146,54 @@ def test_a_shrunken_page_isnt_passed_over(tmp_path):
     put(tmp_path, 0, "a")
     with pytest.raises(ValueError, match="fewer"):
         [list(r.read(p)) for p in r.partitions(start, end)]
+
+
+def joined_by_hand(pages, limit, cap):
+    held, n, kind = [], 0, ""
+    for allowed, status, error, ctype, body in pages:
+        wrong = "host request budget spent; try again shortly" if not allowed else error if error else f"http status {status}" if status not in (None, 200) else None
+        if wrong is None:
+            n += 1
+            try:
+                got = json.loads(body)
+            except ValueError:
+                got = None
+            if not isinstance(got, list):
+                wrong = "expected a json array of records"
+        if wrong:
+            return (False, "", "", False, 0, wrong) if not held and kind == "" else (True, held, kind, True, n, None)
+        kind = ctype
+        if len(held) + len(got) > cap:
+            return True, held + got[: cap - len(held)], kind, True, n, None
+        held += got
+        if len(got) < limit:
+            return True, held, kind, False, n, None
+        if len(held) >= cap:
+            return True, held, kind, True, n, None
+    return True, held, kind, True, n, None
+
+
+def test_joined_bodies(spark):
+    a = lambda *ids: json.dumps([{"id": i, "z": {"b": 1, "a": [1.5, None]}} for i in ids])
+    ok = lambda body: (True, 200, None, "json", body)
+    sources = {
+        "two": [ok(a(1, 2)), ok(a(3))], "budget": [ok(a(1, 2)), (False, None, None, None, None)], "spent": [(False, None, None, None, None)], "down": [(True, 503, None, "", "x")], "late": [ok(a(1, 2)), (True, None, "timed out", None, None)],
+        "odd": [ok('{"a": 1}')], "odd later": [ok(a(1, 2)), ok("oops")], "cap": [ok(a(1, 2)), ok(a(3, 4)), ok(a(5, 6))], "over": [ok(a(1, 2)), ok(a(3, 4)), ok(a(5, 6, 7))], "drift": [ok(a(1, 2)), ok('[{"other": 1}]')], "empty": [ok(" []")],
+    }
+    rows = [(s, i, *p) for s, ps in sources.items() for i, p in enumerate(ps)]
+    df = spark.createDataFrame(rows, "source_id string, page int, allowed boolean, status int, error string, content_type string, body string")
+    for cap in (4, 5, 100):
+        for r in api.joined_pages(df, 2, cap).collect():
+            want = joined_by_hand(sources[r["source_id"]], 2, cap)
+            assert (r["ok"], json.loads(r["body"]) if r["body"] else "", r["content_type"], r["truncated"], r["pages"], r["error"]) == want, r["source_id"]
+
+
+def test_addresses_of_pages(spark):
+    from pyspark.sql import functions as F
+
+    urls = ["http://h/resource/a.json", "http://h/resource/a.json?$limit=50&x=1", "http://h/a?%24limit=0&y=2"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    at = lambda page, least=0: [r[0] for r in df.select(api.nth_url(F.col("u"), F.lit(page), least)).collect()]
+    assert at(0) == urls and [r[0] for r in df.select(api.requested_limit(F.col("u"))).collect()] == [1000, 50, 1000]
+    assert at(2) == ["http://h/resource/a.json?%24limit=1000&%24offset=2000", "http://h/resource/a.json?%24limit=50&x=1&%24offset=100", "http://h/a?%24limit=1000&y=2&%24offset=2000"]
+    assert at(0, 60)[1] == "http://h/resource/a.json?%24limit=60&x=1&%24offset=0" and at(0, 60)[0] == urls[0]
