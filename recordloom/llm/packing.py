@@ -1,8 +1,8 @@
 """Packing into optimal length buckets.
 
-Each document is padded to its bucket's length. A histogram of lengths over all documents goes to the driver
-(its size is bounded: lengths up to EXACT have a bin each, longer ones bins of 1/512 of an octave), and dynamic
-programming over it chooses the boundaries that waste the fewest padding tokens. The cost of a bucket (i, j] is
+Each document is padded to its bucket's length. A histogram of exact lengths over all documents goes to the driver (a row for
+each length that occurs: as many as the longest text has words at most, and no more than the root of twice all words,
+since different lengths add up), and dynamic programming over it chooses the boundaries that waste the fewest padding tokens. The cost of a bucket (i, j] is
 length_j * documents - tokens, so each layer of the recursion is a lower envelope of lines and takes linear time.
 
 Batches of at most `budget` padded tokens form inside each bucket. Rows are numbered without gathering a bucket:
@@ -19,21 +19,14 @@ from pyspark.sql import functions as F
 
 from .text import join_small, n_words, without, written
 
-EXACT, PER_OCTAVE = 4096, 512
 #: Rows of a chunk, about.
 CHUNK_ROWS = 100_000
 ADDED = ("n_tokens", "bucket", "bucket_len", "batch", "slot")
 
 
-def length_bin(length: Column) -> Column:
-    """A length's bin: itself up to EXACT, then logarithmic."""
-    octave = F.floor(F.log2(F.greatest(length, F.lit(EXACT)) / EXACT) * PER_OCTAVE).cast("int")
-    return F.when(length <= EXACT, length.cast("int")).otherwise(EXACT + 1 + octave)
-
-
 def optimal_boundaries(lengths: list[int], counts: list[int], tokens: list[int], buckets: int) -> list[int]:
-    """The bucket lengths, ascending, at most `buckets`, that pad least. lengths: the greatest of each bin, ascending;
-    counts: documents in each bin; tokens: their lengths' sum. Exact, in integers."""
+    """The bucket lengths, ascending, at most `buckets`, that pad least. lengths: those that occur, ascending;
+    counts: documents of each; tokens: their lengths' sum. Exact, in integers."""
     m, n, s = len(lengths), [0], [0]
     for c, t in zip(counts, tokens, strict=True):
         n.append(n[-1] + c)
@@ -86,8 +79,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
     order = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col("__pack_len"))
     rows = docs.withColumn("__pack_len", size).withColumn("__pack_order", order)
     lengths = written(rows.select("__pack_len", "__pack_order"))  # so that texts are read twice only, here and for the result
-    histogram = lengths.groupBy(length_bin(F.col("__pack_len")).alias("bin")).agg(F.max("__pack_len").alias("longest"), F.count("*").alias("n"), F.sum("__pack_len").alias("tokens"))
-    bins = sorted((r["longest"], r["n"], r["tokens"]) for r in histogram.collect())  # bounded: see length_bin
+    histogram = lengths.groupBy("__pack_len").agg(F.count("*").alias("n"))
+    bins = sorted((r["__pack_len"], r["n"], r["__pack_len"] * r["n"]) for r in histogram.collect())  # a row for each length
     ends = optimal_boundaries([b[0] for b in bins], [b[1] for b in bins], [b[2] for b in bins], buckets) or [0]
     total = sum(b[1] for b in bins)
     chunks = max(1, math.ceil(total / CHUNK_ROWS))

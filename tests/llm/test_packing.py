@@ -57,3 +57,13 @@ def test_empty(spark):
 def test_long_lengths_have_bounded_bins(spark):
     got = spark.range(1).select(*[packing.length_bin(F.lit(x).cast("long")).alias(str(i)) for i, x in enumerate((0, 4096, 4097, 2**40))]).first()
     assert got[0] == 0 and got[1] == 4096 and got[2] == 4097 and got[3] < 4096 + 512 * 40
+
+
+def test_boundaries_of_long_texts_are_optimal(spark):
+    rng = random.Random(6)
+    sizes = [rng.randint(4000, 30_000) for _ in range(60)] + [rng.randint(1, 50) for _ in range(60)]
+    docs = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, n long").withColumn("text", F.lit("w"))
+    got = packing.pack(docs, length=F.col("n"), buckets=5).collect()
+    lengths = sorted(set(sizes))
+    counts = [sizes.count(x) for x in lengths]
+    assert sum(r["bucket_len"] - r["n_tokens"] for r in got) == brute(lengths, counts, [c * x for c, x in zip(counts, lengths)], 5)
