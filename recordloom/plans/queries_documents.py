@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import sql
 from ..functions import text, values
-from ..operators import classify, mapping
+from ..operators import classify, conversations, mapping
 from ..sources import api, formats, web
 from .derived import table
 
@@ -210,13 +210,8 @@ def joined_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long conversations: all but the last turns folded into a summary's tail."""
-    w = Window.partitionBy("conv_id")
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    n = c.withColumn("n", F.count("*").over(w)).withColumn("at", F.row_number().over(w.orderBy("turn", "role", "text")))
-    old = (F.col("n") > 4) & (F.col("at") <= F.col("n") - 2)
-    folded = n.groupBy("conv_id").agg(F.count_if(~old).alias("kept"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(old, F.struct("at", F.concat("role", F.lit(": "), "text").alias("said"))))), lambda x: x["said"]), "\n").alias("summary"))
-    return folded.select("conv_id", "kept", F.substring(F.col("summary"), F.greatest(F.length("summary") - 2399, F.lit(1)), F.lit(2400)).alias("summary"))
+    """The given conversations have nine turns at most, so they are folded beyond four."""
+    return conversations.compacted(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), most=4, keep=2)
 
 
 QUERIES = {f.__name__: f for f in (slug_tokens, money_parse, date_parse, kind_validate, coerce_values, value_samples, part_counts, infer_mapping, extract_records, extracted_events, nb_counts, nb_predict, nb_leave_one_out, nb_vocabulary, confusion_f1, json_flatten, parsed_bodies, sql_documents, sql_functions, page_projection, crawl_frontier, api_pages, joined_bodies, turn_compaction)}

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.operators import columns, mapping, runs, valuation
+from recordloom.operators import columns, conversations, mapping, runs, valuation
 from recordloom.plans import county
 
 
@@ -140,3 +140,10 @@ def test_valuations(spark):
     for g in got:
         v = want[(g["state"], g["assessed"])]
         assert (g["estimate"], g["low"], g["high"]) == ((None,) * 3 if v is None else (pytest.approx(v), pytest.approx(v * 0.8), pytest.approx(v * 1.2)))
+
+
+def test_long_conversations_are_folded(spark):
+    rows = [("a", i, "user" if i % 2 else "assistant", f"turn {i} " + "x" * 200) for i in range(30)] + [("b", i, "user", str(i)) for i in range(24)] + [("c", None, None, None)]
+    got = {r["conv_id"]: (r["kept"], r["summary"]) for r in conversations.compacted(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")).collect()}
+    whole = "\n".join(f"{r}: {t}" for _, _, r, t in rows[:22])
+    assert got == {"a": (8, whole[-2400:]), "b": (24, ""), "c": (1, "")}
