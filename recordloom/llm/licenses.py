@@ -5,6 +5,9 @@ inverse document frequencies. The second compares each file's candidate segments
 of the whole text around it, across lines and comment leaders) with the notices, and whole files and their openings with the licence texts, as sparse vectors. A licence file
 (by its name, or by its whole text or opening, whatever its name) licenses its directory; files without a notice of their own take the
 licence of the nearest directory above them, by a join of their ancestor paths with the licensed directories.
+
+The nearest notice counts only if its words don't say otherwise (Lesser, Affero, NonCommercial, another version, "not released
+under"): a licence without a template is none, not its neighbour. An SPDX identifier names its licence by itself.
 """
 
 from __future__ import annotations
@@ -30,8 +33,13 @@ NOTICES: dict[str, tuple[str, ...]] = {
     "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "SPDX-License-Identifier: ISC"),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: GPL-3.0"),
     "GPL-2.0": ("Licensed under the GNU General Public License, version 2.", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License", "SPDX-License-Identifier: GPL-2.0"),
-    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"),
-    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0"),
+    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: LGPL-3.0"),
+    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: AGPL-3.0"),
+    "LGPL-2.1": ("Licensed under the GNU Lesser General Public License, version 2.1.", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.",),
+    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    "CC-BY-NC-SA-4.0": ("Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    "CC-BY-NC-ND-4.0": ("Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
@@ -71,14 +79,32 @@ OPENINGS: dict[str, str] = {
     "CC0-1.0": "Creative Commons Legal Code CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES.",
 }
 
+# What the words of a notice must say, and must not, to be of a licence: its nearest neighbours differ in these only.
+GNU, CC = "general public|gpl", r"creative commons|\bcc[ -]by\b|attribution"
+NC, ND, SA = r"non-?commercial|\bnc\b|-nc\b", r"no-?deriv\w*|\bnd\b|-nd\b", r"share-? ?alike|\bsa\b|-sa\b"
+SAYS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "GPL-3.0": ((r"\b3\b|3\.0",), ("lesser", "library general", "affero", "lgpl", "agpl")), "GPL-2.0": ((r"\b2\b|2\.0",), ("lesser", "library general", "affero", "lgpl", "agpl")),
+    "LGPL-3.0": (("lesser|lgpl", r"\b3\b|3\.0"), ()), "LGPL-2.1": (("lesser|lgpl", r"2\.1"), ()), "AGPL-3.0": (("affero|agpl", r"\b3\b|3\.0"), ()),
+    "CC-BY-4.0": ((r"4\.0",), (NC, ND, SA)), "CC-BY-SA-4.0": ((r"4\.0", SA), (NC, ND)), "CC-BY-NC-4.0": ((r"4\.0", NC), (ND, SA)), "CC-BY-ND-4.0": ((r"4\.0", ND), (NC, SA)),
+    "CC-BY-NC-SA-4.0": ((r"4\.0", NC, SA), (ND,)), "CC-BY-NC-ND-4.0": ((r"4\.0", NC, ND), (SA,)), "Apache-2.0": ((r"2\.0",), ()), "BSD-2-Clause": ((), ("neither the name", "3-clause")), "BSD-3-Clause": ((), ("2-clause",)),
+}
+SAYS = {k: (tuple(map(re.compile, must)), tuple(map(re.compile, never))) for k, (must, never) in SAYS.items()}
+#: A notice that denies, and an identifier of the SPDX form: what it names, less -only and -or-later, is the licence.
+DENIES = re.compile(r"\b(?:not|isn't|never|no longer)\s+(?:\w+\s+)?(?:released|licen[sc]ed|distributed|available|covered)\s+(?:under|by)\b", re.I)
+SPDX = re.compile(r"spdx-license-identifier:\s*\(?\s*([a-z0-9.+-]+)", re.I)
+
 ANCHOR = re.compile(r"licen[sc]e|copyright|public domain|permission is|permission to|redistribution|spdx-|creative commons", re.I)
 TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 WORDS = re.compile(r"\S+")
 LETTER = re.compile(r"[^\W_]")
 #: Words of the windows besides those of the notices' own lengths; the least cosine of a notice.
 WINDOWS, LEAST = (6, 12, 24), 0.7
+#: Where a sentence ends, and words of it that are looked at before a window.
+SENTENCE, SENTENCE_WORDS = re.compile(r"[.!?][\s\"')]+"), 30
 #: A file is a licence file by its text if all of it has at least this cosine to a licence's text or notice, or its opening to a long text's.
 WHOLE_LEAST = 0.85
+#: A text of two clauses says the second and the disclaimer, but not the third.
+BINARY, NEITHER = re.compile(r"(?is)redistributions in binary form.*software is provided by"), re.compile(r"(?i)neither\s+the\s+name")
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense)([.-][^/]*)?$"
 
 
@@ -93,6 +119,19 @@ def vector(counts: Counter, idf: dict[str, float], rare: float) -> tuple[dict[st
     return v, math.sqrt(sum(x * x for x in v.values()))
 
 
+def contradicted(licence: str, words: str) -> bool:
+    """Whether the words that are nearest to a licence's say that they are of another one, or deny it."""
+    low = words.lower()
+    must, never = SAYS.get(licence, ((), ()))
+    return any(not p.search(low) for p in must) or any(p.search(low) for p in never) or bool(DENIES.search(low))
+
+
+def identifiers(text: str, names: dict[str, str]) -> list[str]:
+    """The licences that a text's SPDX identifiers name; unknown ones stand as they are."""
+    found = (re.sub(r"(?i)(-only|-or-later|\+)$", "", m[1].rstrip(".")) for m in SPDX.finditer(text))
+    return [names.get(x.lower(), x) for x in found]
+
+
 class Matcher:
     """Cosines of a text to all notices."""
 
@@ -130,11 +169,12 @@ def spans(notices: dict[str, tuple[str, ...]]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def segments(text: str, windows: list[tuple[int, int]]) -> Iterator[str]:
-    """Lines of up to WINDOWS[-1] words with an anchor word, and windows of the whole text at each anchor: a notice may stand amid other prose or be wrapped."""
+def segments(text: str, windows: list[tuple[int, int]]) -> Iterator[tuple[str, str]]:
+    """Lines of up to WINDOWS[-1] words with an anchor word, and windows of the whole text at each anchor: a notice may stand amid other prose or be
+    wrapped. Each with the rest of its sentence before it."""
     for line in text.split("\n"):
         if ANCHOR.search(line) and len(line.split(None, WINDOWS[-1])) <= WINDOWS[-1]:
-            yield line
+            yield line, line
     starts = word_starts(text)
     starts.append(len(text))
     seen = set()
@@ -145,7 +185,8 @@ def segments(text: str, windows: list[tuple[int, int]]) -> Iterator[str]:
             window = first, min(first + size, len(starts) - 1)
             if window not in seen:
                 seen.add(window)
-                yield text[starts[window[0]] : starts[window[1]]]
+                ahead = SENTENCE.split(text[starts[max(0, first - SENTENCE_WORDS)] : starts[window[0]]])[-1]
+                yield (own := text[starts[window[0]] : starts[window[1]]]), ahead + own
 
 
 def whole_licence(text: str, texts: Matcher, openings: Matcher, sizes: list[int]) -> tuple[float, str | None]:
@@ -201,19 +242,27 @@ def license_scan(files: DataFrame, path: Column, *, id_col: str = "doc_id", text
         texts = Matcher(idf, rare, {name: (*chosen.get(name, ()), *own.get(name, ())) for name in {*chosen, *own}})
         openings = Matcher(idf, rare, {name: (text,) for name, text in OPENINGS.items()} if notices is None else {"": ("",)})
         sizes = sorted({len(word_starts(text)) for text in OPENINGS.values()}) if notices is None else [0]
-        name = re.compile(LICENCE_FILE)
+        name, spelt = re.compile(LICENCE_FILE), {x.lower(): x for x in chosen}
         for batch in batches:
             out = []
             for where, text in zip(batch["path"], batch["text"], strict=True):
                 score, found, whole = 0.0, None, False
                 if isinstance(text, str) and ANCHOR.search(text):
-                    for s in segments(text, windows):
+                    named = identifiers(text, spelt) if notices is None else []
+                    if named:
+                        score, found = 1.0, min(named)
+                    for s, around in () if named else segments(text, windows):
                         got = matcher.best(s)
-                        if got[1] and (got[0] > score or (got[0] == score and found and got[1] < found)):
+                        nearer = got[1] and (got[0] > score or (got[0] == score and found and got[1] < found))
+                        if nearer and not (got[0] >= least and contradicted(got[1], around)):
                             score, found = got
+                    if found == "BSD-3-Clause" and BINARY.search(text) and not NEITHER.search(text):
+                        found = "BSD-2-Clause"  # all but its third clause
                     all_of_it = whole_licence(text, texts, openings, sizes)
-                    if all_of_it[0] >= WHOLE_LEAST:
+                    if all_of_it[0] >= WHOLE_LEAST and not contradicted(all_of_it[1], " ".join(islice((m.group() for m in WORDS.finditer(text)), max(sizes)))):
                         (score, found), whole = all_of_it, True
+                        if found == "BSD-3-Clause" and BINARY.search(text) and not NEITHER.search(text):
+                            found = "BSD-2-Clause"
                     elif found and score >= least:
                         whole = bool(isinstance(where, str) and name.search(where))
                 out.append((found, score, whole) if found and score >= least else (None, 0.0, False))

@@ -98,7 +98,9 @@ def test_scan_against_plain_python(spark):
     windows = lic.spans(lic.NOTICES)
     want = {}
     for r in rows:
-        best = max(((cosine(s, t), n) for s in lic.segments(r["text"] or "", windows) for n, ts in lic.NOTICES.items() for t in ts), default=(0.0, None), key=lambda x: x[0])
+        near = [(max((cosine(s, t), n) for n, ts in lic.NOTICES.items() for t in ts), around) for s, around in lic.segments(r["text"] or "", windows)]
+        named = lic.identifiers(r["text"] or "", {n.lower(): n for n in lic.NOTICES})
+        best = (1.0, min(named)) if named else max((b for b, around in near if not (b[0] >= lic.LEAST and lic.contradicted(b[1], around))), default=(0.0, None), key=lambda x: x[0])
         want[r["doc_id"]] = best if best[0] >= lic.LEAST else (0.0, None)
     got = lic.license_scan(docs, F.concat(F.col("doc_id").cast("string"), F.lit("/f")))
     some = 0
@@ -107,3 +109,19 @@ def test_scan_against_plain_python(spark):
             assert r["license"] == want[r["doc_id"]][1] and math.isclose(r["score"], want[r["doc_id"]][0], rel_tol=1e-9)
             some += r["license"] is not None
     assert some
+
+
+GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+CC = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+
+
+def test_neighbours_of_licences_are_told_apart(spark):
+    texts = [
+        ("GPL-2.0", GNU.format("", 2)), ("GPL-3.0", GNU.format("", 3)), ("LGPL-2.1", GNU.format("Lesser ", 2.1)), ("LGPL-3.0", GNU.format("Lesser ", 3)), ("AGPL-3.0", GNU.format("Affero ", 3)), (None, GNU.format("Lesser ", 2)), (None, GNU.format("", 1)),
+        ("CC-BY-4.0", CC.format("")), ("CC-BY-SA-4.0", CC.format("-ShareAlike")), ("CC-BY-NC-SA-4.0", CC.format("-NonCommercial-ShareAlike")), ("CC-BY-ND-4.0", CC.format("-NoDerivatives")), (None, "Licensed under CC BY 3.0."),
+        (None, "This is not released under the MIT License."), ("MIT", "We don't cover it. Released under the MIT License."), ("BSD-2-Clause", "\n".join(x for x in lic.TEXTS["BSD-3-Clause"].split("\n") if not x.startswith("3."))), ("BSD-3-Clause", lic.TEXTS["BSD-3-Clause"]),
+        ("LGPL-2.1", "// SPDX-License-Identifier: LGPL-2.1-or-later\nint x;"), ("BSD-2-Clause", "# SPDX-License-Identifier: BSD-2-Clause"), ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-only */"), ("Zlib", "SPDX-License-Identifier: Zlib"),
+    ]
+    rows = [(i, t) for i, (_, t) in enumerate(texts)] + [(100 + i, f"word{i} thing{i}") for i in range(300)]
+    got = {r["doc_id"]: r["license"] for r in lic.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/f"))).collect()}
+    assert [got[i] for i in range(len(texts))] == [n for n, _ in texts]
