@@ -76,6 +76,17 @@ def stage_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.stage_times(run_rows(spark, sf_dir), ["fetch_ms", "parse_ms", "total_ms"]).withColumn("mean_ms", F.round("mean_ms", 6))
 
 
+def measured_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and cells of three stages over the orders, as Spark counted them while they ran; their times aren't the same twice."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    stages = [
+        ("large", lambda d: d.where("o_totalprice > 100000")),
+        ("shown", lambda d: d.withColumn("status", F.when(F.col("o_orderstatus") == "F", F.col("o_orderstatus")))),
+        ("by_customer", lambda d: d.groupBy("o_custkey").agg(F.count("status").alias("n"), F.max("status").alias("status"))),
+    ]
+    return runs.measured(o, stages, "r")[1].select("place", "stage", "rows", "cells")
+
+
 def data_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty jurisdictions in each nation, so that some of them are complete."""
     part = lambda k: F.concat(F.lit("_"), (k.cast("long") % 50).cast("string"))
@@ -263,7 +274,7 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.ordered_links(table(spark, sf_dir, "pages").select("page_id", "url", "html"), 40).select("page_id", "place", "target")
 
 
-QUERIES = {f.__name__: f for f in (same_owners, markets, service_rows, stamp_hours, wave_totals, stage_times, data_complete, sweep_states, event_outcomes, largest_jurisdiction, latest_tenant, fetch_modes, most_owed, recent_events, resolved_repairs, repaired_states, upserted, catalogue_changes, expanded_urls, field_rates, mapping_checks, validator_votes, weak_label_masks, corpus_counts, vote_suspects, overall_scores, page_features, nb_sweep, use_groups, value_ranges, page_links)}
+QUERIES = {f.__name__: f for f in (same_owners, markets, service_rows, stamp_hours, wave_totals, stage_times, measured_stages, data_complete, sweep_states, event_outcomes, largest_jurisdiction, latest_tenant, fetch_modes, most_owed, recent_events, resolved_repairs, repaired_states, upserted, catalogue_changes, expanded_urls, field_rates, mapping_checks, validator_votes, weak_label_masks, corpus_counts, vote_suspects, overall_scores, page_features, nb_sweep, use_groups, value_ranges, page_links)}
 
 WORDS = "list_transform(regexp_extract_all(regexp_replace({}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[A-Za-z0-9]+'), lambda w: lower(w))"
 CAPITAL = "list_transform({}, lambda p: upper(substr(p, 1, 1)) || substr(p, 2))"
@@ -310,6 +321,9 @@ select o_orderkey, coalesce((b - a) / 3600.0, -1.0) as hours, strftime(cast(d as
     "wave_totals": "with " + SQL_SOURCES + "select case when contains(url, '{parcels}') then 2 else 1 end as wave, count(*) as runs, cast(sum(cast(floor(o_totalprice) as bigint)) as bigint) as total_ms from orders join src on src.k = o_custkey where enabled group by 1",
     "stage_times": """with r as (select unnest(['fetch_ms', 'parse_ms', 'total_ms']) as stage, unnest([case when o_orderkey % 3 > 0 then o_orderkey % 500 end, o_orderkey % 50, cast(floor(o_totalprice) as bigint)])::double as ms from orders)
 select stage, count(*) as runs, round(avg(ms), 6) as mean_ms, max(ms) as most_ms from r where ms is not null group by stage""",
+    "measured_stages": """with l as (select o_custkey, case when o_orderstatus = 'F' then 'F' end as status from orders where o_totalprice > 100000),
+c as (select o_custkey, count(status) as n, max(status) as status from l group by o_custkey)
+select 0 as place, 'large' as stage, count(*) as rows, 4 * count(*) as cells from l union all select 1, 'shown', count(*), 4 * count(*) + count(status) from l union all select 2, 'by_customer', count(*), 2 * count(*) + count(status) from c""",
     "data_complete": "with " + SQL_EVENTS + ", " + SQL_SOURCES + """, l as (select o_custkey as k, arg_max(o_orderkey % 13 = 0, o_orderkey) as truncated from orders group by 1),
 w as (select county || '_' || (k % 50) as county, bool_and(coalesce(not truncated, false)) as whole from src left join l using (k) group by 1),
 z as (select split_part(property_key, '|', 1) || '_' || (cast(split_part(property_key, ':', 2) as bigint) % 50) as county, count(*) as events, count(distinct property_key) as properties from pe group by 1)

@@ -211,6 +211,14 @@ select property_key, current, previous, round((current - previous) / previous, 6
     "entity_groups": SQL_ADDRESS + "select property_key, group_key from g",
     "uniqueness_guard": SQL_ADDRESS + """, t as (select distinct group_key from (select group_key, source_id from g group by all having count(distinct parcel_id) > 1))
 select g.property_key, case when t.group_key is not null then g.property_key else g.group_key end as group_key from g left join t on t.group_key = g.group_key""",
+    "compatible_buckets": SQL_ADDRESS.replace("with ", "with recursive ", 1) + """, n as (select g.group_key, g.property_key, coalesce(directional, '') as d, coalesce(suffix, '') as s, row_number() over (partition by g.group_key order by g.property_key) as i from g),
+st as (
+  select distinct group_key, 0::bigint as i, []::struct(d varchar, s varchar)[] as held, null::varchar as property_key, null::integer as bucket from n
+  union all
+  select group_key, i + 1, case when spot > 0 then list_transform(held, lambda b, j: case when j = spot then {'d': coalesce(nullif(b.d, ''), d), 's': coalesce(nullif(b.s, ''), s)} else b end) else list_append(held, {'d': d, 's': s}) end, key, case when spot > 0 then spot - 1 else len(held) end::integer
+  from (select st.group_key, st.i, st.held, n.property_key as key, n.d, n.s, coalesce(list_position(list_transform(held, lambda b: (b.d = '' or n.d = '' or b.d = n.d) and (b.s = '' or n.s = '' or b.s = n.s)), true), 0) as spot
+    from st join n on n.group_key = st.group_key and n.i = st.i + 1))
+select group_key, property_key, bucket from st where property_key is not null""",
     "property_keys": """select c_custkey, case when c_custkey % 2 = 0 then replace(lower(trim(regexp_replace(c_mktsegment, '[^A-Za-z0-9]+', ' ', 'g'))), ' ', '_') || '|p:AB' || c_custkey
   else replace(lower(trim(regexp_replace(c_mktsegment, '[^A-Za-z0-9]+', ' ', 'g'))), ' ', '_') || '|a:' || array_to_string(list_transform(regexp_extract_all(regexp_replace(c_name, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[A-Za-z0-9]+'),
     lambda w: case when regexp_matches(w, '^[0-9]+$') then coalesce(nullif(ltrim(w, '0'), ''), '0') else lower(w) end), ' ') end as property_key from customer""",
