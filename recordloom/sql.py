@@ -39,6 +39,7 @@ FUNCTIONS: dict[str, tuple[tuple[str, ...], Callable[..., Column]]] = {
     **{f"validate_{kind}": (("value",), lambda c, kind=kind: values.validate(kind, c)) for kind in values.KINDS},
 }
 
+
 def written_out(column: Column) -> str:
     """A column's expression as SQL text: operators that it names as functions, like or(a, b), are quoted; literals stay."""
     said = column._jc.node().sql()
