@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import schedule
@@ -32,9 +32,12 @@ def saved_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer's property with what is measured, under one of ten criteria."""
-    e = property_events(spark, sf_dir).groupBy("property_key").agg(
-        F.sum(F.when(F.col("kind") == "tax_delinquency", F.col("amount"))).alias("owed"), F.max(F.when(F.col("kind") == "assessment_recorded", F.col("amount"))).alias("assessed"),
+    """Each customer's property with what is measured, under one of ten criteria. Amounts owed are added up in the order of events'
+    identifiers: sums of doubles in any other order may end on the other side of half a dollar, from run to run."""
+    so_far = Window.partitionBy("property_key").orderBy("id", "amount").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    events = property_events(spark, sf_dir).withColumn("owed", F.sum(F.when(F.col("kind") == "tax_delinquency", F.col("amount"))).over(so_far))
+    e = events.groupBy("property_key").agg(
+        F.max_by("owed", F.struct("id", "amount")).alias("owed"), F.max(F.when(F.col("kind") == "assessment_recorded", F.col("amount"))).alias("assessed"),
         F.countDistinct("source_id").alias("sources"), F.datediff(F.lit("2000-01-01"), F.max("event_date")).alias("days"),
     )
     key = F.regexp_extract("property_key", r"\|p:(\d+)$", 1).cast("long")

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -126,3 +127,19 @@ def test_coverage(spark):
 @pytest.mark.parametrize("value,text", [(0.5, "$1"), (2.5, "$3"), (1234567.4, "$1,234,567")])
 def test_money(spark, value, text):
     assert spark.range(1).select(cr.shown(F.lit("owed"), F.lit(value)).alias("x")).first()["x"] == text
+
+
+def test_owed_is_added_up_in_the_order_of_events(spark, tmp_path):
+    from datetime import datetime
+
+    from recordloom.plans import queries_decisions
+
+    day, amounts = datetime(1995, 1, 1), [312837.5, 475339.17, 69989.83]  # 858166.4999999999 in this order, 858166.5 in others
+    each = list(itertools.permutations(range(3)))
+    orders = [(9 * (3 * c + j + 1), 10 * c + 1, "O", amounts[j], day) for c, places in enumerate(each) for j in places]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(10 * c + 1, 1) for c in range(len(each))], "c_custkey long, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, "N")], "n_nationkey long, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(1, 1000.0)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = [r["first"] for r in queries_decisions.criteria_outcomes(spark, str(tmp_path)).collect()]
+    assert len(got) == len(each) and all(x.startswith("✓ amount owed $858,166 ") for x in got)
