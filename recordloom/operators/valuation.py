@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,17 +16,49 @@ def plausible(sales: DataFrame, low: float = 0.1, high: float = 10.0, least: flo
     return sales.where((F.col("price") >= least) & (F.col("assessed") > 0) & ratio.between(low, high))
 
 
+#: Ranks are known to 1 / ACCURACY of a group's values from its sketch; twice that on both sides is looked at exactly.
+ACCURACY = 10_000
+
+
+def medians(rows: DataFrame, by: Sequence[str], value: Column) -> DataFrame:
+    """(by, median): exact medians of groups of any size. A sketch gives bounds that hold each group's middle; values outside are only
+    counted where they lie, so that no task gets more than the few distinct ones inside. Nulls are passed over; without any other
+    value the median is null."""
+    v = rows.select(*by, value.alias("value"))
+    near = [0.5 - 2 / ACCURACY, 0.5 + 2 / ACCURACY]
+    bounds = v.groupBy(*by).agg(F.percentile_approx("value", near, ACCURACY).alias("bounds"), F.count("value").alias("n"))
+    b = bounds.select(*[F.col(c).alias(f"__{c}") for c in by], "bounds", "n")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    side = F.when(F.col("value") < F.col("bounds")[0], -1).when(F.col("value") > F.col("bounds")[1], 1).otherwise(0)
+    placed = v.join(F.broadcast(b), same).select(*by, "n", side.alias("side"), "value")  # a row for each group
+    counted = placed.groupBy(*by, "n", "side", F.when(F.col("side") == 0, F.col("value")).alias("value")).agg(F.count("value").alias("here"), F.count("*").alias("rows"))
+    counted = counted.withColumn("here", F.when(F.col("side") == 0, F.col("here")).otherwise(F.col("rows")))
+    upto = counted.withColumn("upto", F.sum("here").over(Window.partitionBy(*by).orderBy("side", "value")))
+    # of n values the median is the mean of those with (n - 1) div 2 and n div 2 values before them
+    at = lambda k: F.min(F.when((F.col("side") == 0) & (F.col("upto") > k), F.col("value")))
+    first = F.floor((F.col("n") - 1) / 2)
+    below = F.max(F.when((F.col("side") < 0) & (F.col("upto") > first), True))
+    found = upto.groupBy(*by, "n").agg(at(first).alias("low"), at(F.floor(F.col("n") / 2)).alias("high"), below.alias("below"))
+    lost = (F.col("n") > 0) & (F.col("below").isNotNull() | F.col("high").isNull())
+    middle = F.when(lost, F.raise_error(F.lit("a sketch's bounds miss the median")).cast("double")).otherwise(F.col("low") + (F.col("high") - F.col("low")) / 2)
+    return found.select(*by, middle.alias("median"))
+
+
 def state_ratios(sales: DataFrame) -> DataFrame:
     """(state, ratio, pooled): exact median price over assessed value of each state and of all sales."""
-    ratio = F.col("price") / F.col("assessed")
-    pooled = sales.agg(F.median(ratio).alias("pooled"))
-    return sales.groupBy("state").agg(F.median(ratio).alias("ratio")).crossJoin(F.broadcast(pooled))
+    groups = F.array(F.struct("state", F.lit(False).alias("all")), F.struct(F.lit(None).alias("state"), F.lit(True).alias("all")))
+    each = sales.select((F.col("price") / F.col("assessed")).alias("ratio"), F.explode(groups).alias("g")).select("g.*", "ratio")
+    m = medians(each, ["all", "state"], F.col("ratio"))
+    pooled = F.max(F.when(F.col("all"), F.col("median"))).over(Window.partitionBy(F.lit(0)))  # a row for each state
+    return m.withColumn("pooled", pooled).where(~F.col("all")).select("state", F.col("median").alias("ratio"), "pooled")
 
 
 def error_measures(predicted: DataFrame, within: float = 0.1) -> DataFrame:
     """(state, mdape, within_share) of (state, price, estimate)."""
     off = F.abs(F.col("estimate") - F.col("price")) / F.col("price")
-    return predicted.groupBy("state").agg(F.median(off).alias("mdape"), F.avg((off <= within).cast("double")).alias("within_share"))
+    shares = predicted.groupBy("state").agg(F.avg((off <= within).cast("double")).alias("within_share"))
+    m = medians(predicted, ["state"], off).select(F.col("state").alias("__state"), F.col("median").alias("mdape"))
+    return shares.join(m, F.col("state").eqNullSafe(F.col("__state"))).select("state", "mdape", "within_share")
 
 
 def feature_scales(rows: DataFrame, features: list[str]) -> DataFrame:

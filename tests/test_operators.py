@@ -185,3 +185,24 @@ def test_network_estimate(spark):
     w = [(np.array([[1.0, 0.0], [0.0, 1.0]]), np.zeros(2)), (np.array([[0.1], [0.2]]), np.array([0.05]))]
     got = [r["estimate"] for r in valuation.estimate(rows, ["a", "b"], w).collect()]
     assert np.allclose(got, [100 * np.exp(0.1 + 0.4 + 0.05), 50 * np.exp(0.1 + 0.05)])
+
+
+def test_medians_hold_no_group_in_one_task(spark):
+    import random
+    import statistics
+
+    from pyspark.sql import functions as F
+
+    from recordloom.operators import valuation
+
+    rng = random.Random(3)
+    values = {"a": [rng.random() for _ in range(5000)], "b": [rng.choice([1.0, 2.0, 3.0]) for _ in range(3001)], "c": [2.0, 1.0], None: [7.0]}
+    rows = [(s, x) for s, xs in values.items() for x in xs] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "state string, x double")
+    got = {r["state"]: r["median"] for r in valuation.medians(df, ["state"], F.col("x")).collect()}
+    assert got == {s: statistics.median(xs) for s, xs in values.items()} | {"d": None}
+    sales = df.where("x is not null").select("state", F.col("x").alias("price"), F.lit(1.0).alias("assessed"))
+    ratios = valuation.state_ratios(sales)
+    assert {r["state"]: (r["ratio"], r["pooled"]) for r in ratios.collect()} == {s: (statistics.median(xs), statistics.median(sum(values.values(), []))) for s, xs in values.items()}
+    for out in (ratios, valuation.error_measures(sales.withColumn("estimate", F.lit(1.0)))):
+        assert "median(" not in out._jdf.queryExecution().optimizedPlan().toString()
