@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_digits, words
+from .shared import written
 
 # Words that carry no class.
 STOP = (
@@ -27,10 +28,18 @@ def body_tokens(text: Column, limit: int | None = BODY_TOKENS) -> Column:
     return kept if limit is None else F.slice(kept, 1, limit)
 
 
+def tokens(docs: DataFrame, id_col: str, text: Column, class_col: str | None = None, limit: int | None = BODY_TOKENS) -> DataFrame:
+    """(doc, class, token, n): each word by itself, n = 1. Texts are dealt out by document, so that a file of few parts keeps all
+    cores busy, and a document's words lie together."""
+    keep = ["doc", *(["class"] if class_col else [])]
+    d = docs.select(F.col(id_col).alias("doc"), *([F.col(class_col).alias("class")] if class_col else []), text.alias("text")).repartition("doc")
+    return d.select(*keep, F.explode(body_tokens(F.col("text"), limit)).alias("token")).withColumn("n", F.lit(1).cast("long"))
+
+
 def bags(docs: DataFrame, id_col: str, text: Column, class_col: str | None = None, limit: int | None = BODY_TOKENS) -> DataFrame:
-    """(doc, class, token, n)."""
-    keep = [F.col(id_col).alias("doc"), *([F.col(class_col).alias("class")] if class_col else [])]
-    return docs.select(*keep, F.explode(body_tokens(text, limit)).alias("token")).groupBy(*[k for k in ("doc", "class") if k == "doc" or class_col], "token").agg(F.count("*").alias("n"))
+    """(doc, class, token, n), counted where a document's words lie: the texts are shuffled, not their words."""
+    each = tokens(docs, id_col, text, class_col, limit)
+    return each.groupBy(*[c for c in each.columns if c != "n"]).agg(F.sum("n").alias("n"))
 
 
 def features(docs: DataFrame, limit: int | None = BODY_TOKENS) -> DataFrame:
@@ -62,41 +71,75 @@ def posteriors(scores: DataFrame) -> DataFrame:
     return p.withColumn("place", F.row_number().over(per.orderBy(F.desc("probability"), "class"))).select("doc", "class", "probability", "place")
 
 
+#: Rows of a model that are broadcast: those of the most frequent words.
+COMMON = 20_000
+
+
+def matched(bag: DataFrame, model: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of bag with those of model, which has one row (on, df, hits) for each word. The most frequent words' rows are broadcast, so
+    that most of a text's words are scored where the text lies; only rarer words are shuffled."""
+    common = model.orderBy(F.desc("df"), *on).limit(COMMON)
+    near = bag.join(F.broadcast(common), list(on))
+    far = bag.join(F.broadcast(common.select(*on)), list(on), "left_anti").join(model, list(on))
+    return near.unionByName(far)
+
+
+def by_token(hits: DataFrame, on: Sequence[str]) -> DataFrame:
+    """(on, hits array<struct<class, hits>>): a row for each word."""
+    return hits.groupBy(*on).agg(F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", "hits"))).alias("hits"))
+
+
 def predict(docs: DataFrame, bag: DataFrame, hits: DataFrame, totals: DataFrame, alpha: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
     """Posteriors of each doc of docs (doc). Tokens outside the vocabulary are skipped. Absent (class, token) pairs share
     one value per class, so only present pairs are joined: score = prior + (tokens known) * ln(alpha / denominator) + sum over hits.
     The table of classes is one row per class. Rows of docs and bag are scored by the model with their values of `by`."""
-    key = list(by) or None  # no columns: one model, joined to all rows
-    vocabulary = hits.select(*by, "token").distinct()
-    v = vocabulary.groupBy(*by).agg(F.count("*").alias("v"))
+    key, on = list(by) or None, [*by, "token"]  # no columns: one model, joined to all rows
+    model = written(by_token(hits, on).join(hits.groupBy(*on).agg(F.sum("hits").alias("df")), on))
+    v = model.groupBy(*by).agg(F.count("*").alias("v"))
     examples = totals.groupBy(*by).agg(F.sum("docs").alias("all_docs"))
     frame = totals.join(F.broadcast(v), key).join(F.broadcast(examples), key).withColumn("denominator", F.col("tokens") + alpha * F.col("v"))
-    known = bag.join(vocabulary, [*by, "token"])
-    sizes = known.groupBy("doc").agg(F.sum("n").alias("known"))
-    present = known.join(hits, [*by, "token"]).groupBy("doc", "class").agg(F.sum(F.col("n") * F.log((F.col("hits") + alpha) / F.lit(alpha))).alias("lift"))
-    pairs = docs.select("doc", *by).join(sizes, "doc", "left").join(F.broadcast(frame), key)
-    scored = pairs.join(present, ["doc", "class"], "left")
-    score = F.log(F.col("docs") / F.col("all_docs")) + F.coalesce("known", F.lit(0)) * F.log(F.lit(alpha) / F.col("denominator")) + F.coalesce("lift", F.lit(0.0))
+    # an entry without a class counts the words known
+    entry = F.array(F.struct(F.lit(None).cast(hits.schema["class"].dataType).alias("class"), F.lit(None).cast("long").alias("hits")))
+    each = matched(bag, model, on).select("doc", "n", F.inline(F.concat("hits", entry)))
+    sums = each.groupBy("doc", "class").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log((F.col("hits") + alpha) / F.lit(alpha))).alias("lift"))
+    sizes = F.max(F.when(F.col("class").isNull(), F.col("known")))
+    found = sums.groupBy("doc").agg(sizes.alias("known"), F.map_from_entries(F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", "lift")))).alias("lifts"))
+    scored = docs.select("doc", *by).join(found, "doc", "left").join(F.broadcast(frame), key)
+    lift = F.coalesce(F.try_element_at("lifts", F.col("class")), F.lit(0.0))
+    score = F.log(F.col("docs") / F.col("all_docs")) + F.coalesce("known", F.lit(0)) * F.log(F.lit(alpha) / F.col("denominator")) + lift
     return posteriors(scored.select("doc", "class", score.alias("score")))
 
 
-def leave_one_out(labels: DataFrame, bag: DataFrame, hits: DataFrame, totals: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """Posteriors of each example under the model without it. labels: (doc, class)."""
-    df = bag.groupBy("token").agg(F.count_distinct("doc").alias("df"), F.sum("n").alias("everywhere"))
-    v = df.agg(F.count("*").alias("v"))
+def held_out_scores(labels: DataFrame, bag: DataFrame, hits: DataFrame, totals: DataFrame, alphas: Sequence[float]) -> DataFrame:
+    """(doc, truth, class, scores): log odds of each example under the model without it, one for each smoothing constant. All
+    constants share one pass over the words. An example has one class."""
+    seen = bag.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("everywhere"), F.min("doc").alias("first"))
+    model = written(seen.join(by_token(hits, ["token"]), "token"))
+    v = model.agg(F.count("*").alias("v"))
     examples = totals.agg(F.sum("docs").alias("all_docs"))
     frame = totals.crossJoin(F.broadcast(v)).crossJoin(F.broadcast(examples))
-    own = bag.join(df, "token").groupBy("doc").agg(F.sum("n").alias("own_tokens"), F.sum((F.col("df") == 1).cast("long")).alias("only_here"), F.sum(F.when(F.col("df") > 1, F.col("n")).otherwise(0)).alias("known"))
-    pairs = labels.select("doc", F.col("class").alias("truth")).join(own, "doc", "left").na.fill(0, ["own_tokens", "only_here", "known"]).crossJoin(F.broadcast(frame))
+    alone = model.where("df = 1").groupBy(F.col("first").alias("doc")).agg(F.count("*").alias("only_here"), F.sum("everywhere").alias("unknown"))
+    mine = matched(bag, model.where("df > 1").select("token", "df", "hits"), ["token"]).select("doc", F.col("class").alias("truth"), "n", F.inline("hits"))
+    left = F.col("hits") - F.when(F.col("class") == F.col("truth"), F.col("n")).otherwise(0)
+    lifts = [F.sum(F.col("n") * F.log((left + a) / F.lit(a))).alias(f"lift_{i}") for i, a in enumerate(alphas)]
+    names = [f"lift_{i}" for i in range(len(alphas))]
+    present = mine.groupBy("doc", "class").agg(*lifts).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("class", F.array(*names).alias("lifts")))).alias("lifts"))
+    own = bag.groupBy("doc").agg(F.sum("n").alias("own_tokens")).join(alone, "doc", "left").join(present, "doc", "left")
+    pairs = labels.select("doc", F.col("class").alias("truth")).join(own, "doc", "left").na.fill(0, ["own_tokens", "only_here", "unknown"]).crossJoin(F.broadcast(frame))
     held = F.col("class") == F.col("truth")
     pairs = pairs.withColumn("docs", F.col("docs") - held.cast("long")).withColumn("tokens", F.col("tokens") - F.when(held, F.col("own_tokens")).otherwise(0)).where("docs > 0")
-    pairs = pairs.withColumn("denominator", F.col("tokens") + alpha * (F.col("v") - F.col("only_here")))
-    mine = bag.join(df, "token").where("df > 1").select("doc", F.col("class").alias("truth"), "token", "n")
-    left = F.col("hits") - F.when(F.col("class") == F.col("truth"), F.col("n")).otherwise(0)
-    present = mine.join(hits, "token").groupBy("doc", "class").agg(F.sum(F.col("n") * F.log((left + alpha) / F.lit(alpha))).alias("lift"))
-    scored = pairs.join(present, ["doc", "class"], "left")
-    score = F.log(F.col("docs") / (F.col("all_docs") - 1)) + F.col("known") * F.log(F.lit(alpha) / F.col("denominator")) + F.coalesce("lift", F.lit(0.0))
-    return posteriors(scored.select("doc", "class", score.alias("score")))
+    known, lift = F.col("own_tokens") - F.col("unknown"), F.try_element_at("lifts", F.col("class"))
+
+    def score(i: int, a: float) -> Column:
+        denominator = F.col("tokens") + a * (F.col("v") - F.col("only_here"))
+        return F.log(F.col("docs") / (F.col("all_docs") - 1)) + known * F.log(F.lit(a) / denominator) + F.coalesce(lift[i], F.lit(0.0))
+
+    return pairs.select("doc", "truth", "class", F.array(*[score(i, a) for i, a in enumerate(alphas)]).alias("scores"))
+
+
+def leave_one_out(labels: DataFrame, bag: DataFrame, hits: DataFrame, totals: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """Posteriors of each example under the model without it. labels: (doc, class)."""
+    return posteriors(held_out_scores(labels, bag, hits, totals, [alpha]).select("doc", "class", F.col("scores")[0].alias("score")))
 
 
 # Smoothing constants that are tried, and what a model has to reach: accuracy left one out, and examples.
@@ -107,20 +150,21 @@ LEAST_ACCURACY, LEAST_EXAMPLES = 0.80, 8
 def sweep(labels: DataFrame, bag: DataFrame, hits: DataFrame, totals: DataFrame, alphas: Sequence[float] = ALPHAS) -> DataFrame:
     """(alpha, examples, accuracy, best, passes): accuracy left one out for each constant; best: the first of the most accurate;
     passes: it is accurate enough on enough examples."""
-    tried = []
-    for i, a in enumerate(alphas):
-        p = leave_one_out(labels, bag, hits, totals, a).where("place = 1").join(labels.withColumnRenamed("class", "truth"), "doc")
-        right = (F.col("class").eqNullSafe(F.col("truth"))).cast("double")
-        tried.append(p.agg(F.lit(i).alias("turn"), F.lit(float(a)).alias("alpha"), F.count("*").alias("examples"), F.avg(right).alias("accuracy")))
-    rows = tried[0]
-    for t in tried[1:]:
-        rows = rows.unionByName(t)
+    scores = held_out_scores(labels, bag, hits, totals, alphas)
+    # the most probable class, ties by name
+    best_of = [F.min(F.struct((-F.col("scores")[i]).alias("score"), "class"))["class"] for i in range(len(alphas))]
+    guesses = scores.groupBy("doc", "truth").agg(F.array(*best_of).alias("guesses"))
+    each = guesses.select("truth", F.posexplode("guesses").alias("turn", "guess"))
+    right = F.col("guess").eqNullSafe(F.col("truth")).cast("double")
+    alpha = F.element_at(F.array(*[F.lit(float(a)) for a in alphas]), F.col("turn") + 1)
+    rows = each.groupBy("turn").agg(F.count("*").alias("examples"), F.avg(right).alias("accuracy")).withColumn("alpha", alpha)
     best = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("accuracy"), "turn")) == 1
     return rows.withColumn("best", best).select("alpha", "examples", "accuracy", "best", ((F.col("accuracy") >= LEAST_ACCURACY) & (F.col("examples") >= LEAST_EXAMPLES)).alias("passes"))
 
 
 def vocabulary(hits: DataFrame, totals: DataFrame, top: int = 10) -> DataFrame:
     """(class, token, hits, lift, place): a class's tokens by lift * ln(1 + hits), those seen once left out."""
+    hits = written(hits)
     corpus = hits.groupBy("token").agg(F.sum("hits").alias("everywhere"))
     size = totals.agg(F.sum("tokens").alias("all_tokens"))
     rows = hits.where("hits >= 2").join(corpus, "token").join(totals, "class").crossJoin(F.broadcast(size))

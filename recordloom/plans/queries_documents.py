@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import sql
 from ..functions import text, values
 from ..operators import classify, conversations, mapping
+from ..operators.shared import written
 from ..sources import api, formats, web
 from .derived import table
 
@@ -95,8 +96,7 @@ def extracted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").alias("doc"), F.col("lang").alias("class"), "text")
-    bag = classify.bags(d, "doc", F.col("text"), "class", limit=None)
-    return d.select("doc", "class"), bag
+    return d.select("doc", "class"), written(classify.bags(d, "doc", F.col("text"), "class", limit=None))
 
 
 def nb_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,8 +121,9 @@ def nb_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nb_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels, bag = labelled(spark, sf_dir)
-    return classify.vocabulary(*classify.train(bag, labels), 20).withColumn("lift", F.round("lift", 6))
+    d = table(spark, sf_dir, "documents").where("doc_id is not null").withColumn("class", F.col("lang"))
+    hits = written(classify.train(classify.tokens(d, "doc_id", F.col("text"), "class", limit=None), d)[0])
+    return classify.vocabulary(*classify.train(hits.withColumnRenamed("hits", "n"), d), 20).withColumn("lift", F.round("lift", 6))
 
 
 def confusion_f1(spark: SparkSession, sf_dir: str) -> DataFrame:

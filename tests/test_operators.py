@@ -206,3 +206,27 @@ def test_medians_hold_no_group_in_one_task(spark):
     assert {r["state"]: (r["ratio"], r["pooled"]) for r in ratios.collect()} == {s: (statistics.median(xs), statistics.median(sum(values.values(), []))) for s, xs in values.items()}
     for out in (ratios, valuation.error_measures(sales.withColumn("estimate", F.lit(1.0)))):
         assert "median(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_are_scored_where_their_documents_lie(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from recordloom.operators import classify
+
+    texts = ["red apple apple pear", "red plum pear", "blue sky sky cloud", "blue cloud rain apple", "rain sky sun", ""]
+    docs = spark.createDataFrame([(i, "ab"[i > 1 and i < 5], t) for i, t in enumerate(texts)], "doc long, class string, text string")
+    bag, labels = classify.bags(docs, "doc", F.col("text"), "class"), docs.select("doc", "class")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc" in plan(bag) and "token" not in "".join(x for x in plan(bag).splitlines() if "hashpartitioning" in x)
+    model = classify.train(bag, labels)
+    want = None
+    for most in (20_000, 2, 1):  # all words broadcast, or some shuffled
+        monkeypatch.setattr(classify, "COMMON", most)
+        p = {(r["doc"], r["class"]): round(r["probability"], 9) for r in classify.predict(labels, bag.drop("class"), *model).collect()}
+        loo = {(r["doc"], r["class"]): round(r["probability"], 9) for r in classify.leave_one_out(labels, bag, *model).collect()}
+        sweep = [tuple(r) for r in classify.sweep(labels, bag, *model).orderBy("alpha").collect()]
+        want = want or (p, loo, sweep)
+        assert (p, loo, sweep) == want and len(p) == len(loo) == 12
+    # all constants share one pass: the words are joined as often for five as for one
+    joins = lambda alphas: plan(classify.sweep(labels, bag, *model, alphas)).count("Join")
+    assert joins(classify.ALPHAS) == joins((1.0,))
