@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import json
 import re
 import zlib
@@ -194,6 +195,18 @@ def cells_of(kind: str | None, body: str | bytes | None) -> list[tuple]:
     return rows or [(None, None, None, None, error or "no records")]
 
 
+#: Cells that go back to Spark at once: a batch has thousands of bodies, whose cells together would fill a worker's memory.
+CELLS_AT_ONCE = 20_000
+
+
+def cell_frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cells of the batches' bodies, all of them, CELLS_AT_ONCE in a frame at most."""
+    names = ["source_id", "format", "record", "label_ord", "label", "value", "error"]
+    each = ((source, kind, *cell) for batch in batches for source, kind, body in zip(batch["source_id"], batch["format"], batch["body"], strict=True) for cell in cells_of(kind, body))
+    while some := list(itertools.islice(each, CELLS_AT_ONCE)):
+        yield pd.DataFrame(some, columns=names).astype({"record": "Int64", "label_ord": "Int32"})
+
+
 def parse_documents(docs: DataFrame) -> DataFrame:
     """docs (source_id, content_type, body) as cells (source_id, format, record, label_ord, label, value, error).
 
@@ -201,13 +214,6 @@ def parse_documents(docs: DataFrame) -> DataFrame:
     A body that can't be parsed gives one row with an error and no cell. label_ord is the place of a label's first appearance.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for source, kind, body in zip(batch["source_id"], batch["format"], batch["body"], strict=True):
-                out += [(source, kind, *cell) for cell in cells_of(kind, body)]
-            yield pd.DataFrame(out, columns=["source_id", "format", "record", "label_ord", "label", "value", "error"]).astype({"record": "Int64", "label_ord": "Int32"})
-
     if dict(docs.dtypes)["body"] == "binary":
         large = F.octet_length("body") > MAX_BYTES
         shown = F.when(~large, F.decode(F.col("body"), "ISO-8859-1"))  # no byte fails: PDFs are told by their first ones
@@ -215,7 +221,7 @@ def parse_documents(docs: DataFrame) -> DataFrame:
         typed = typed.select("source_id", "format", "body")
     else:
         typed = docs.withColumn("format", detect_format(F.col("content_type"), F.col("body"))).select("source_id", "format", "body")
-    return typed.mapInPandas(run, f"source_id string, format string, {CELL_TYPE}")
+    return typed.mapInPandas(cell_frames, f"source_id string, format string, {CELL_TYPE}")
 
 
 # --- native projections

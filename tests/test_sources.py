@@ -216,3 +216,15 @@ def test_binary_bodies_and_corrupt_streams(spark):
     value = lambda s, label: list(got[(got.source_id == s) & (got.label == label)].value)
     assert value("pdf", "Due") == ["$5", "$6", "(7)"] == value("broken", "Due") and value("json", "a") == ["é"]
     assert "deep" in got[got.source_id == "deep"].error.iat[0] and got[got.source_id == "none"].error.iat[0] == "no records"
+
+
+def test_cells_of_a_batch_come_in_bounded_frames():
+    import pandas as pd
+
+    from recordloom.sources import formats
+
+    bodies = [f'{{"rows": [{", ".join(f"""{{"a": {i}, "b": {j}}}""" for j in range(300))}]}}' for i in range(90)]
+    batch = pd.DataFrame({"source_id": [str(i) for i in range(90)], "format": "json", "body": bodies})
+    frames = list(formats.cell_frames(iter([batch.head(60), batch.tail(30)])))
+    assert sum(map(len, frames)) == 90 * 300 * 2 and max(map(len, frames)) == formats.CELLS_AT_ONCE
+    assert pd.concat(frames).groupby("source_id").size().eq(600).all()
