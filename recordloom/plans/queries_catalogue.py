@@ -28,7 +28,8 @@ def enrichment_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "customer")
     keys = property_events(spark, sf_dir).where("amount > 300000").select("property_key").distinct()
     scopes = known.where("c_acctbal > 9000").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).where("n_regionkey = 1").select(F.regexp_replace(F.lower("n_name"), "[^a-z0-9]+", "_").alias("join_key")).distinct()
-    return ops.enrichment(e, keys, scopes).select("id", "property_key")
+    # a row for each nation: shuffled by them, all events of one would come to one task
+    return ops.enrichment(e, keys, F.broadcast(scopes)).select("id", "property_key")
 
 
 def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,3 +22,12 @@ def test_columns_are_pruned_and_states_are_not_sorted(spark):
     text = plan(queries.QUERIES["lifecycle_state"](spark, SF))
     assert "o_totalprice" not in text and "c_name" not in text
     assert "Window" not in text
+
+
+def test_events_are_not_dealt_by_their_nation(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    try:
+        text = plan(queries.QUERIES["enrichment_semi"](spark, SF))
+        assert text.count("hashpartitioning(join_key") <= 1  # of the distinct scopes only
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
