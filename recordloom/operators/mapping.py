@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import jaro_winkler
 from ..functions.text import let, split_parts, trim, words
 from ..functions.values import KINDS, WEAK, chosen, money_text, normalize, parse_money
+from .shared import written
 
 # Weights and limits of the evidence.
 ACCEPT, ACCEPT_PART, LABEL_WEIGHT, VALUE_WEIGHT, SAMPLE, WEAK_FLOOR, MAX_PARTS, NEURAL_GATE = 0.65, 0.80, 0.55, 0.45, 25, 0.70, 6, 0.7
@@ -139,7 +140,7 @@ def candidates(cells: DataFrame, fields: DataFrame, network: Network | None = No
     A part of a composite value is scored by the label's word in its place, where it has as many words as parts, and else not claimed. With
     a tagger (network) a whole cell's name evidence is the greater of similarity and the tagger's probability for the field that it names.
     """
-    sampled = samples(cells)
+    sampled = written(samples(cells))  # SAMPLE cells a label
     parts = part_counts(sampled)
     pieces = sampled.join(parts, ["source_id", "label"]).select("source_id", "label", "label_ord", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("part"), trim(F.col("value")).alias("piece"))), F.when(F.col("parts") > 0, F.transform(split_parts(F.col("value")), lambda p, i: F.struct(i.alias("part"), p.alias("piece")))).otherwise(F.array().cast("array<struct<part:int,piece:string>>")))).alias("p")).select("source_id", "label", "label_ord", "p.part", "p.piece").where("piece != ''")
     config = fields.select("field_ord", "name", "kind", "low", "high")
@@ -184,7 +185,7 @@ def assign(found: DataFrame) -> DataFrame:
 
 def infer_mapping(cells: DataFrame, fields: DataFrame, network: Network | None = None) -> DataFrame:
     """Accepted (source_id, field_ord, name, label, part, confidence); nothing for a source without an identity field."""
-    chosen = assign(candidates(cells, fields, network))
+    chosen = written(assign(candidates(cells, fields, network)))  # a row for each source and field, which several branches read
     anchored = chosen.join(F.broadcast(fields.where("identity").select("name")), "name", "left_semi").select("source_id").distinct()
     return chosen.join(anchored, "source_id", "left_semi")
 
@@ -200,12 +201,14 @@ def extract(cells: DataFrame, mapping: DataFrame, fields: DataFrame) -> DataFram
     """(source_id, record, canonical map, completeness): mapped cells in normal form; what can't be coerced is left out."""
     config = fields.select("name", "kind", "low", "high")
     per_source = mapping.groupBy("source_id").agg(F.count("*").alias("mapped"))
-    joined = cells.join(mapping.select("source_id", "label", "part", "name"), ["source_id", "label"]).join(F.broadcast(config), "name")
+    # cells that aren't mapped stay for their record, which may have no others; cells are read and shuffled once
+    known = mapping.select("source_id", "label", "part", "name").join(F.broadcast(config), "name")
+    joined = cells.join(known, ["source_id", "label"], "left")
     piece = F.when(F.col("part") < 0, trim(F.col("value"))).otherwise(F.get(split_parts(F.col("value")), F.col("part")))
-    got = coerce_any(joined.withColumn("piece", piece)).where("c.ok")
-    made = got.groupBy("source_id", "record").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.col("c.value").alias("value"))))).alias("canonical"))
-    records = cells.select("source_id", "record").distinct().join(per_source, "source_id")
-    out = records.join(made, ["source_id", "record"], "left")
+    got = coerce_any(joined.withColumn("piece", F.when(F.col("name").isNotNull(), piece)))
+    entry = F.when(F.col("c.ok"), F.struct("name", F.col("c.value").alias("value")))
+    made = got.select("source_id", "record", entry.alias("entry")).groupBy("source_id", "record").agg(F.map_from_entries(F.array_sort(F.collect_list("entry"))).alias("canonical"))
+    out = made.join(per_source, "source_id")
     return out.select("source_id", "record", F.coalesce("canonical", F.create_map().cast("map<string,string>")).alias("canonical"), (F.coalesce(F.size("canonical"), F.lit(0)) / F.col("mapped")).alias("completeness"))
 
 

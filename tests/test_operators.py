@@ -230,3 +230,15 @@ def test_words_are_scored_where_their_documents_lie(spark, monkeypatch):
     # all constants share one pass: the words are joined as often for five as for one
     joins = lambda alphas: plan(classify.sweep(labels, bag, *model, alphas)).count("Join")
     assert joins(classify.ALPHAS) == joins((1.0,))
+
+
+def test_extract_reads_cells_once(spark, tmp_path):
+    from recordloom.operators import mapping
+
+    rows = [("s", 1, 0, "apn", "P-0001"), ("s", 1, 1, "note", "x"), ("s", 2, 1, "note", "y"), ("t", 1, 0, "apn", "P-0002")]
+    spark.createDataFrame(rows, "source_id string, record long, label_ord int, label string, value string").write.parquet(f"{tmp_path}/cells")
+    found = spark.createDataFrame([("s", 0, "parcel_id", "apn", -1, 1.0), ("s", 1, "owner", "name", -1, 1.0)], "source_id string, field_ord int, name string, label string, part int, confidence double")
+    out = mapping.extract(spark.read.parquet(f"{tmp_path}/cells"), found, mapping.schema_fields(spark))
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    got = {(r["source_id"], r["record"]): (r["canonical"], r["completeness"]) for r in out.collect()}
+    assert got == {("s", 1): ({"parcel_id": "P-0001"}, 0.5), ("s", 2): ({}, 0.0)}  # a record without mapped cells stays, a source without mapping doesn't
