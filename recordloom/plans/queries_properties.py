@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import places, text
 from ..operators import compile as comp
 from ..operators import decisions, lifecycle
+from ..operators.shared import written
 from .derived import SQL_EVENTS, SQL_OBSERVATIONS, TRUST, fields, property_events, table
 
 #: 2026-01-01T00:00:00Z
@@ -87,7 +88,7 @@ def entity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def uniqueness_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = parsed(spark, sf_dir)
+    p = written(parsed(spark, sf_dir))  # addresses are parsed once for the three branches that read them
     return comp.guarded(comp.with_group(p), p.select("property_key", "source_id", "parcel_id")).select("property_key", "group_key")
 
 

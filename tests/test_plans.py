@@ -31,3 +31,8 @@ def test_events_are_not_dealt_by_their_nation(spark):
         assert text.count("hashpartitioning(join_key") <= 1  # of the distinct scopes only
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_addresses_are_parsed_once(spark):
+    files = queries.QUERIES["uniqueness_guard"](spark, SF).inputFiles()
+    assert files and all("/recordloom-" in f for f in files)
