@@ -13,6 +13,7 @@ from ..functions.places import join_key, parse_address
 from ..functions.text import slug
 from ..operators import compile as comp
 from ..operators import lifecycle, mapping
+from ..operators.shared import written
 from ..sources.formats import parse_documents
 
 
@@ -109,11 +110,12 @@ def compile_county(events: DataFrame, fields: DataFrame, trust: DataFrame, now_e
     order = F.struct("recorded_at", "id")
     address = F.element_at("details", "address")
     keys = events.groupBy("property_key").agg(F.min_by(address, F.when(F.coalesce(address, F.lit("")) != "", order)).alias("address"))
-    keys = keys.withColumn("a", parse_address(F.col("address"))).withColumn("join_key", join_key(F.col("a"))).select("property_key", "join_key", "a.directional", "a.suffix")
+    keys = keys.withColumn("a", parse_address(F.col("address"))).withColumn("join_key", join_key(F.col("a")))
+    keys = written(keys.select("property_key", "join_key", "a.directional", "a.suffix"))
     grouped = comp.guarded(comp.with_group(keys), events.select("property_key", "source_id", F.element_at("details", "parcel_id").alias("parcel_id")))
-    split = comp.buckets(grouped)
     group = F.concat_ws("#", "group_key", F.col("bucket").cast("string"))
-    merged = events.join(split.select("property_key", group.alias("property")), "property_key").withColumnRenamed("property_key", "member").withColumnRenamed("property", "property_key")
+    split = written(comp.buckets(grouped).select("property_key", group.alias("property")))  # what is measured reads it five times
+    merged = events.join(split, "property_key").withColumnRenamed("property_key", "member").withColumnRenamed("property", "property_key")
     seen = comp.observations(merged, fields, trust)
     resolved = comp.resolve(seen).groupBy("property_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"), F.sum(F.size("conflicts")).alias("conflicts"))
     signals = comp.signals(merged, now_epoch)

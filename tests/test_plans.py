@@ -36,3 +36,7 @@ def test_events_are_not_dealt_by_their_nation(spark):
 def test_addresses_are_parsed_once(spark):
     files = queries.QUERIES["uniqueness_guard"](spark, SF).inputFiles()
     assert files and all("/recordloom-" in f for f in files)
+
+
+def test_a_countys_groups_are_found_once(spark):
+    assert any("/recordloom-" in f for f in queries.QUERIES["compiled_county"](spark, SF).inputFiles())
