@@ -33,8 +33,9 @@ def saved_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's property with what is measured, under one of ten criteria. Amounts owed are added up in the order of events'
-    identifiers: sums of doubles in any other order may end on the other side of half a dollar, from run to run."""
-    so_far = Window.partitionBy("property_key").orderBy("id", "amount").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    identifiers: sums of doubles in any other order may end on the other side of half a dollar, from run to run. Events that tie
+    have the same sum, that of all of them, so that any of the last will do."""
+    so_far = Window.partitionBy("property_key").orderBy("id", "amount").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     events = property_events(spark, sf_dir).withColumn("owed", F.sum(F.when(F.col("kind") == "tax_delinquency", F.col("amount"))).over(so_far))
     e = events.groupBy("property_key").agg(
         F.max_by("owed", F.struct("id", "amount")).alias("owed"), F.max(F.when(F.col("kind") == "assessment_recorded", F.col("amount"))).alias("assessed"),

@@ -143,3 +143,18 @@ def test_owed_is_added_up_in_the_order_of_events(spark, tmp_path):
     spark.createDataFrame([(1, 1000.0)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     got = [r["first"] for r in queries_decisions.criteria_outcomes(spark, str(tmp_path)).collect()]
     assert len(got) == len(each) and all(x.startswith("✓ amount owed $858,166 ") for x in got)
+
+
+def test_events_that_tie_are_all_owed(spark, tmp_path):
+    from datetime import datetime
+
+    from recordloom.plans import queries_decisions
+
+    day, first = datetime(1995, 1, 1), 10**13 + 8  # of longer keys an identifier keeps twelve digits, so these tie
+    orders = [(first + 9 * i, c, "O", 1000.25, day) for c in range(1, 200) for i in range(11)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(c, 1) for c in range(1, 200)], "c_custkey long, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, "N")], "n_nationkey long, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(k, 1000.0) for k in range(10)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = [r["first"] for r in queries_decisions.criteria_outcomes(spark, str(tmp_path)).collect()]
+    assert len(got) == 199 and all(" amount owed $11,003 " in x for x in got)
