@@ -10,8 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import is_digits, words
+from . import blocks
 from .shared import written
 
 # Words that carry no class.
@@ -42,6 +44,12 @@ def bags(docs: DataFrame, id_col: str, text: Column, class_col: str | None = Non
     return each.groupBy(*[c for c in each.columns if c != "n"]).agg(F.sum("n").alias("n"))
 
 
+def text_blocks(docs: DataFrame, id_col: str, text: Column, class_col: str, limit: int | None = BODY_TOKENS) -> DataFrame:
+    """What `bags` has, as a table of blocks of documents, for `train`, `leave_one_out` and `sweep`."""
+    d = docs.select(F.col(id_col).alias("doc"), F.col(class_col).alias("class"), text.alias("text"))
+    return blocks.of_texts(d, body_tokens(F.col("text"), limit), F.col("text"))
+
+
 def features(docs: DataFrame, limit: int | None = BODY_TOKENS) -> DataFrame:
     """(doc, token, n) of docs (doc, format, labels, title, headings, text, url): format, words of labels (stop words too), of title,
     headings and URL, each with its prefix, and of the text. Labels and headings are arrays."""
@@ -55,11 +63,17 @@ def features(docs: DataFrame, limit: int | None = BODY_TOKENS) -> DataFrame:
 
 
 def train(bag: DataFrame, labels: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """((class, token, hits), (class, docs, tokens)) from bags and (doc, class) of all examples, empty ones included; a model
-    for each value of the columns `by`, if any."""
+    """((class, token, hits), (class, docs, tokens)) from bags, or a table of blocks, and (doc, class) of all examples, empty ones included;
+    a model for each value of the columns `by`, if any."""
     key = [*by, "class"]
-    hits = bag.groupBy(*key, "token").agg(F.sum("n").alias("hits"))
-    totals = labels.groupBy(*key).agg(F.count("*").alias("docs")).join(hits.groupBy(*key).agg(F.sum("hits").alias("tokens")), key, "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    if "block" in bag.columns:  # a word's counts of one block travel together; those of a class need not be put together by word
+        each = blocks.words(bag).select("token", F.col("hits").alias("of"))
+        hits = each.repartition("token").select("token", F.inline("of")).groupBy(*key, "token").agg(F.sum("hits").alias("hits"))
+        sums = each.select(F.inline("of")).groupBy(*key).agg(F.sum("hits").alias("tokens"))
+    else:
+        hits = bag.groupBy(*key, "token").agg(F.sum("n").alias("hits"))
+        sums = hits.groupBy(*key).agg(F.sum("hits").alias("tokens"))
+    totals = labels.groupBy(*key).agg(F.count("*").alias("docs")).join(sums, key, "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     return hits, totals
 
 
@@ -112,29 +126,17 @@ def predict(docs: DataFrame, bag: DataFrame, hits: DataFrame, totals: DataFrame,
 
 def held_out_scores(labels: DataFrame, bag: DataFrame, hits: DataFrame, totals: DataFrame, alphas: Sequence[float]) -> DataFrame:
     """(doc, truth, class, scores): log odds of each example under the model without it, one for each smoothing constant. All
-    constants share one pass over the words. An example has one class."""
-    seen = bag.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("everywhere"), F.min("doc").alias("first"))
-    model = written(seen.join(by_token(hits, ["token"]), "token"))
-    v = model.agg(F.count("*").alias("v"))
-    examples = totals.agg(F.sum("docs").alias("all_docs"))
-    frame = totals.crossJoin(F.broadcast(v)).crossJoin(F.broadcast(examples))
-    alone = model.where("df = 1").groupBy(F.col("first").alias("doc")).agg(F.count("*").alias("only_here"), F.sum("everywhere").alias("unknown"))
-    mine = matched(bag, model.where("df > 1").select("token", "df", "hits"), ["token"]).select("doc", F.col("class").alias("truth"), "n", F.inline("hits"))
-    left = F.col("hits") - F.when(F.col("class") == F.col("truth"), F.col("n")).otherwise(0)
-    lifts = [F.sum(F.col("n") * F.log((left + a) / F.lit(a))).alias(f"lift_{i}") for i, a in enumerate(alphas)]
-    names = [f"lift_{i}" for i in range(len(alphas))]
-    present = mine.groupBy("doc", "class").agg(*lifts).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("class", F.array(*names).alias("lifts")))).alias("lifts"))
-    own = bag.groupBy("doc").agg(F.sum("n").alias("own_tokens")).join(alone, "doc", "left").join(present, "doc", "left")
-    pairs = labels.select("doc", F.col("class").alias("truth")).join(own, "doc", "left").na.fill(0, ["own_tokens", "only_here", "unknown"]).crossJoin(F.broadcast(frame))
-    held = F.col("class") == F.col("truth")
-    pairs = pairs.withColumn("docs", F.col("docs") - held.cast("long")).withColumn("tokens", F.col("tokens") - F.when(held, F.col("own_tokens")).otherwise(0)).where("docs > 0")
-    known, lift = F.col("own_tokens") - F.col("unknown"), F.try_element_at("lifts", F.col("class"))
-
-    def score(i: int, a: float) -> Column:
-        denominator = F.col("tokens") + a * (F.col("v") - F.col("only_here"))
-        return F.log(F.col("docs") / (F.col("all_docs") - 1)) + known * F.log(F.lit(a) / denominator) + F.coalesce(lift[i], F.lit(0.0))
-
-    return pairs.select("doc", "truth", "class", F.array(*[score(i, a) for i, a in enumerate(alphas)]).alias("scores"))
+    constants share one pass over the words, which are scored in blocks of documents. bag: bags or a table of blocks. An example has
+    one class."""
+    table = bag if "block" in bag.columns else blocks.of_bags(bag, labels)
+    frame = totals.select("class", "docs", "tokens").orderBy("class").collect()  # a row for each class
+    classes = [tuple(c) for c in frame if c["class"] is not None]
+    places = labels.sparkSession.createDataFrame([(c, i) for i, (c, _, _) in enumerate(classes)], T.StructType([labels.schema["class"], T.StructField("place", T.IntegerType())]))
+    seen = blocks.words(table).groupBy("token").agg(F.sum("df").alias("df"))
+    by_place = hits.join(F.broadcast(places), "class").groupBy("token").agg(F.collect_list(F.col("hits") * len(classes) + F.col("place")).alias("hits"))
+    model = written(seen.join(by_place, "token", "left"))
+    known = model.where("df > 1 and hits is not null").select("token", "hits")
+    return blocks.scored(table, known, classes, model.count(), sum(c["docs"] for c in frame), [float(a) for a in alphas])
 
 
 def leave_one_out(labels: DataFrame, bag: DataFrame, hits: DataFrame, totals: DataFrame, alpha: float = 1.0) -> DataFrame:

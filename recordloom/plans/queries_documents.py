@@ -114,9 +114,9 @@ def nb_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nb_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels, bag = labelled(spark, sf_dir)
-    hits, totals = classify.train(bag, labels)
-    p = classify.leave_one_out(labels, bag, hits, totals)
+    d = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").alias("doc"), F.col("lang").alias("class"), "text")
+    texts, labels = classify.text_blocks(d, "doc", F.col("text"), "class", limit=None), d.select("doc", "class")
+    p = classify.leave_one_out(labels, texts, *classify.train(texts, labels))
     return p.where("place = 1").join(labels.withColumnRenamed("class", "truth"), "doc").select("doc", "truth", F.col("class").alias("guess"), F.round("probability", 6).alias("probability"))
 
 

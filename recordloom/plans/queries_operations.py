@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import classify, mapping, runs, valuation, weak_labels
-from ..operators.shared import written
 from ..sources import formats, web
 from .derived import SQL_EVENTS, property_events, table
 
@@ -253,9 +252,8 @@ def page_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nb_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smoothing constants for telling a document's source by its words, left one out."""
     d = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").alias("doc"), F.col("source").alias("class"), "text")
-    bag = written(classify.bags(d, "doc", F.col("text"), "class", limit=None))
-    labels = d.select("doc", "class")
-    return classify.sweep(labels, bag, *classify.train(bag, labels)).withColumn("accuracy", F.round("accuracy", 9))
+    texts, labels = classify.text_blocks(d, "doc", F.col("text"), "class", limit=None), d.select("doc", "class")
+    return classify.sweep(labels, texts, *classify.train(texts, labels)).withColumn("accuracy", F.round("accuracy", 9))
 
 
 def use_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
